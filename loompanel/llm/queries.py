@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from loompanel.llm.bpe import bpe_round_trip, digests
 from loompanel.llm.common import load, text_of
+from loompanel.llm.decontaminate import contamination
 from loompanel.llm.exact_dedup import exact_duplicates
 from loompanel.llm.license_scan import license_scan, license_scan_sql
+from loompanel.llm.minhash import near_duplicates
+from loompanel.llm.quality import fit_quality, score_quality
 from loompanel.llm.sharding import external_shuffle
 from loompanel.llm.token_counts import count_tokens
+from loompanel.llm.toxicity import fit_toxicity, may_learn, score_toxicity
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), threshold=0.8)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +36,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, load(spark, sf_dir, "labels").where(may_learn()))
+    return score_toxicity(docs, model, threshold=0.7).select("doc_id", (~may_learn()).alias("held_out"), "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_round_trip(load(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents"))
 
@@ -45,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_bpe, op8_license, op9_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_quality, op5_bpe, op7_decontamination, op8_license, op9_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
