@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loompanel.llm.bpe import bpe_round_trip, digests
 from loompanel.llm.common import load, text_of
 from loompanel.llm.decontaminate import contamination
 from loompanel.llm.exact_dedup import exact_duplicates
+from loompanel.llm.html_extract import extract_text
 from loompanel.llm.license_scan import license_scan, license_scan_sql
 from loompanel.llm.minhash import near_duplicates
 from loompanel.llm.quality import fit_quality, score_quality
@@ -51,6 +53,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_round_trip(load(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(load(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -68,7 +74,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_quality, op5_bpe, op7_decontamination, op8_license, op9_token_counts, op10_exact_dedup)}
+    found = {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_quality, op5_bpe, op6_html_extraction, op7_decontamination, op8_license, op9_token_counts, op10_exact_dedup)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
