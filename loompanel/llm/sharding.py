@@ -95,7 +95,7 @@ def external_shuffle(
     keyed = docs.withColumn("__lp_tie", F.xxhash64(text)).withColumn(
         "__lp_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__lp_tie")), F.lit(n_buckets).cast("long"))
     )
-    scattered = keyed.repartition(n_buckets, "__lp_bucket").sortWithinPartitions("__lp_bucket", id_col, "__lp_tie").drop("__lp_tie")
+    scattered = keyed.repartitionById(n_buckets, F.col("__lp_bucket").cast("int")).sortWithinPartitions("__lp_bucket", id_col, "__lp_tie").drop("__lp_tie")
     schema = T.StructType([*scattered.schema.fields, T.StructField("__lp_pos", T.LongType())])
     written = materialise(scattered.mapInArrow(_permuted(seed), schema), "shards")
 
