@@ -48,3 +48,26 @@ def tokenizer_file(path: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(path))
+
+
+#: Bits of the map that split_by_ids broadcasts, and bits in one of its rows.
+MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose id may be among ``ids`` (one column), and rows whose id is not.
+
+    The ids go into a bit map of fixed size (8 MB at most, broadcast by rows of 4 kB), so the rows of
+    neither part move.  The more ids, the more other rows end up in the first part; an exact step has
+    to follow there, and only there texts need to be shuffled.
+    """
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    name = ids.columns[0]
+    bits = ids.select(key(F.col(name)).alias("k")).groupBy(F.floor(F.col("k") / MAP_ROW).alias("__lp_r")).agg(F.bitmap_construct_agg(F.col("k") % MAP_ROW).alias("__lp_bits"))
+    keyed = docs.withColumn("__lp_k", key(F.col(id_col)))
+    row = F.floor(F.col("__lp_k") / MAP_ROW)
+    joined = keyed.withColumn("__lp_row", row).join(F.broadcast(bits), F.col("__lp_row") == F.col("__lp_r"), "left")
+    byte = F.conv(F.hex(F.substring("__lp_bits", F.floor(F.col("__lp_k") % MAP_ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(__lp_byte, cast(__lp_k % 8 as int)) % 2") == 1, F.lit(False))
+    marked = joined.withColumn("__lp_byte", byte).withColumn("__lp_hit", hit)
+    return marked.where("__lp_hit").select(*docs.columns), marked.where("NOT __lp_hit").select(*docs.columns)

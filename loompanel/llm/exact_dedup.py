@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import text_of
+from loompanel.llm.common import materialise, split_by_ids, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -66,19 +66,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of equal texts: that of the chosen id, or any one of
     several rows with equal text and id.  Same columns.
 
-    The join and the last step are dealt by id and hash, so no group meets in one task.
+    Only rows that may have to go (their id is dropped or repeated) are shuffled again, dealt by id and
+    hash, so no group meets in one task.
     """
-    chosen = {"min": F.min, "max": F.max}[keep]
-    text = text_of(text_col)
-    stays = (
-        docs.select(F.col(id_col).alias("__lp_keep"), text.alias("__lp_text"))
-        .groupBy(content_hash(F.col("__lp_text")).alias("__lp_g"), "__lp_text")
-        .agg(chosen("__lp_keep").alias("__lp_keep"))
-        .select("__lp_g", "__lp_keep")
-    )
-    rows = docs.withColumn("__lp_h", content_hash(text))
-    return (
-        rows.join(stays, (rows["__lp_h"] == stays["__lp_g"]) & rows[id_col].eqNullSafe(stays["__lp_keep"]), "left_semi")
-        .dropDuplicates([id_col, "__lp_h"])
-        .drop("__lp_h")
-    )
+    found = materialise(exact_duplicates(docs, id_col, text_col, keep).select(F.col(id_col).alias("__lp_id"), "keep_id", "text_sha256"), "exact")
+    going = F.max((~F.col("__lp_id").eqNullSafe(F.col("keep_id"))).cast("int")) == 1
+    doubtful = found.groupBy("__lp_id").agg((going | (F.count(F.lit(1)) > 1)).alias("d")).where("d")
+    maybe, sure = split_by_ids(docs, doubtful.select("__lp_id"), id_col)
+    stay = found.where(F.col("__lp_id").eqNullSafe(F.col("keep_id"))).select("__lp_id", F.col("text_sha256").alias("__lp_s")).distinct()
+    rows = maybe.withColumn("__lp_h", F.sha2(text_of(text_col), 256))
+    kept = rows.join(stay, (rows["__lp_h"] == stay["__lp_s"]) & rows[id_col].eqNullSafe(stay["__lp_id"]), "left_semi")
+    return sure.union(kept.dropDuplicates([id_col, "__lp_h"]).drop("__lp_h"))
