@@ -1,6 +1,6 @@
 """Column helpers shared by the panel operators.
 
-A panel has one row for each ticker and date; ``P`` orders a ticker's rows by date.  Missing values
+A panel has one row for each ticker and date; ``P()`` orders a ticker's rows by date.  Missing values
 are null, never NaN: ``nn`` turns NaN and infinities into null where data enters.
 """
 
@@ -12,18 +12,19 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-P = W.partitionBy("tic").orderBy("date")
-AHEAD = P.rowsBetween(1, W.unboundedFollowing)
-SO_FAR = P.rowsBetween(W.unboundedPreceding, 0)
+
+def P() -> WindowSpec:
+    """A ticker's rows by date.  (A function, as windows need a session, and modules load without one.)"""
+    return W.partitionBy("tic").orderBy("date")
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def trailing(n: int, over: WindowSpec = P) -> WindowSpec:
+def trailing(n: int, over: WindowSpec | None = None) -> WindowSpec:
     """The row and the n-1 before it."""
-    return over.rowsBetween(-(n - 1), 0)
+    return (over or P()).rowsBetween(-(n - 1), 0)
 
 
 def nn(c: str | Column) -> Column:
@@ -37,7 +38,7 @@ def td(a: Column, b: Column) -> Column:
 
 
 def lag(c: str | Column, n: int = 1) -> Column:
-    return F.lag(col(c), n).over(P)
+    return F.lag(col(c), n).over(P())
 
 
 def pct(c: str | Column, n: int = 1) -> Column:
@@ -46,20 +47,20 @@ def pct(c: str | Column, n: int = 1) -> Column:
 
 def filled(c: str | Column) -> Column:
     """The last known value, at or before the row."""
-    return F.last(col(c), ignorenulls=True).over(SO_FAR)
+    return F.last(col(c), ignorenulls=True).over(P().rowsBetween(W.unboundedPreceding, 0))
 
 
-def at_least(value: Column, counted: str | Column, n: int, k: int, over: WindowSpec = P) -> Column:
+def at_least(value: Column, counted: str | Column, n: int, k: int, over: WindowSpec | None = None) -> Column:
     """``value`` where the last n rows hold k known values of ``counted``."""
     return F.when(F.count(col(counted)).over(trailing(n, over)) >= k, value)
 
 
-def rolling(f, c: str | Column, n: int, k: int | None = None, over: WindowSpec = P) -> Column:
+def rolling(f, c: str | Column, n: int, k: int | None = None, over: WindowSpec | None = None) -> Column:
     """Aggregate f over the last n rows; null under k known values (k: n if not given)."""
     return at_least(f(col(c)).over(trailing(n, over)), c, n, n if k is None else k, over)
 
 
-def zscore(c: str | Column, n: int, k: int | None = None, over: WindowSpec = P) -> Column:
+def zscore(c: str | Column, n: int, k: int | None = None, over: WindowSpec | None = None) -> Column:
     """(x - mean) / population deviation over the last n rows; null if the deviation is 0."""
     spread = rolling(F.stddev_pop, c, n, k, over)
     return td(col(c) - rolling(F.avg, c, n, k, over), F.nullif(spread, F.lit(0.0)))

@@ -39,8 +39,8 @@ def bollinger_width(df: DataFrame, n: int = 20) -> DataFrame:
 def channel(df: DataFrame, n: int = 20) -> DataFrame:
     """Slopes of support and resistance, compression of and place in the channel of n bars."""
     low, high = rolling(F.min, "low", n), rolling(F.max, "high", n)
-    following = P.rowsBetween(0, W.unboundedFollowing)
-    out = df.withColumns({"__low": low, "__high": high, "__pos": F.row_number().over(P).cast("double")})
+    following = P().rowsBetween(0, W.unboundedFollowing)
+    out = df.withColumns({"__low": low, "__high": high, "__pos": F.row_number().over(P()).cast("double")})
     out = out.withColumns({"__sup": F.first("__low", ignorenulls=True).over(following), "__res": F.first("__high", ignorenulls=True).over(following)})
     c, span = F.col("close"), F.greatest(F.col("__high") - F.col("__low"), F.lit(TINY))
     full = F.count("__sup").over(trailing(n)) >= n
@@ -57,7 +57,7 @@ def channel(df: DataFrame, n: int = 20) -> DataFrame:
 def swings(df: DataFrame, n: int = 20) -> DataFrame:
     """Distance to, and bars since, the highest high and the lowest low of n bars (the latest of equals)."""
     c = F.greatest(F.abs(F.col("close")), F.lit(TINY))
-    out = df.withColumn("__pos", F.row_number().over(P))
+    out = df.withColumn("__pos", F.row_number().over(P()))
     w, full = trailing(n), F.count("high").over(trailing(n)) >= n
     return out.withColumns(
         {

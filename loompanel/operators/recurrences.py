@@ -26,7 +26,7 @@ def affine_scan(df: DataFrame, name: str, value: Column, alpha: float, seed: int
     """
     q = 1.0 - alpha
     rows = max(2, ceil(log(1e-8) / log(q)))
-    out = df.withColumn("__n", F.row_number().over(P) - seed)
+    out = df.withColumn("__n", F.row_number().over(P()) - seed)
     first = seed_value if seed_value is not None else value
     b = F.when(F.col("__n") == 0, first).when(F.col("__n") > 0, value * alpha)
     out = out.withColumns({"__b": b, "__k": F.pmod("__n", F.lit(rows)), "__block": F.floor(F.col("__n") / rows)})

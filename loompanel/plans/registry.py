@@ -44,7 +44,7 @@ def z(e: str) -> str:
 
 
 def r6(columns: dict[str, str], places: int = 6) -> str:
-    return ", ".join(f"round({e} + {0.31 * 10.0**-places!r}, {places}) AS {n}" for n, e in columns.items())
+    return ", ".join(f"round({e} + {0.31 * 10.0**-places!r}, {places}) + 0.0 AS {n}" for n, e in columns.items())
 
 
 def ti(columns: dict[str, str]) -> str:
