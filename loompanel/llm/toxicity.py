@@ -3,7 +3,7 @@
 *Channel.*  A writer hides a word by look-alike characters (``1d10t``), by pulling its letters apart
 (``i d i o t``, ``i.d.i.o.t``) or by repeating them (``idiooot``).  A token that shows such signs becomes
 a lattice: each character may stand for itself or for the letters it can imitate, a run of equal
-letters for one or two of them.  Viterbi decoding under a character trigram model finds the likeliest
+letters for one or two of them, a space between single letters for itself or nothing.  Viterbi decoding under a character trigram model finds the likeliest
 reading; tokens without signs have one reading, themselves.
 
 *Language model.*  Trigrams of letters are counted over all documents: each task adds up an array over a
@@ -41,6 +41,7 @@ SIGNS = re.compile(r"[^\W\d_][0134578@$!|+€£]+[^\W\d_]|^[0134578@$]+[^\W\d_]{
 APART = re.compile(r"^[^\W_](?:[.\-_*~/\\,][^\W_]){2,}$")
 WORD = re.compile(r"[^\W_]+").findall
 EDGES = ".,;:!?\"'()[]{}<>#%&*=-–—…«»“”„"
+GAP = "\x1f"
 CLASSES = 48  # 0: border, 1: other, 2-27: a-z, 28-47: other letters
 STEM = range(3, 7)
 MARK = 0.3
@@ -152,6 +153,11 @@ class ToxicModel:
 
     def restore(self, token: str) -> str:
         """The likeliest reading of a lower-cased token without spaces."""
+        if GAP in token:  # a space may be real or put in
+            readings: list[list[str]] = []
+            for i, c in enumerate(token.split(GAP)):
+                readings += [["", " "]] * (i > 0) + lattice(c)
+            return viterbi(readings, self.costs)
         bare = token.strip(EDGES)
         if APART.match(bare):
             bare = re.sub(r"[\W_]", "", bare)
@@ -164,10 +170,14 @@ class ToxicModel:
         bare = token.strip(EDGES)
         if bare.isalpha() and not TRIPLE(bare):
             return [bare]
-        return WORD(self.restore(token))
+        words = WORD(self.restore(token))
+        if GAP in token:  # the next likely readings: all one word, or with a one-letter word at an end
+            whole = viterbi([r for c in token.split(GAP) for r in lattice(c)], self.costs)
+            words += [whole, whole[1:], whole[:-1]]
+        return words
 
     def tokens(self, text: str) -> list[str]:
-        """Lower-cased tokens; three and more single characters in a row are put together."""
+        """Lower-cased tokens; three and more single characters in a row make one token."""
         tokens = text.lower().split()
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         if len(single) < 3:
@@ -179,7 +189,7 @@ class ToxicModel:
                     joined.append((single[i], single[j - 1] + 1))
                 i = j
         for a, b in reversed(joined):
-            tokens[a:b] = ["".join(tokens[a:b])]
+            tokens[a:b] = [GAP.join(tokens[a:b])]
         return tokens
 
     def restored(self, text: str) -> str:
