@@ -16,6 +16,7 @@ from loompanel.operators import samples as S
 from loompanel.operators import sector as C
 from loompanel.operators import trendlines as L
 from loompanel.plans.adapters import cte, table, view
+from loompanel.plans.pipelines import Settings, add_all_features, preprocess
 from loompanel.plans.registry import OVER, lag_, over, query, r6, roll
 from loompanel.sources import ingest as I
 from loompanel.sources import sinks as K
@@ -245,3 +246,8 @@ q("g12_group_counts", f"WITH {cte('bars')} SELECT grp, count(*) AS n_rows, count
 q("v08_aligned", pred_sql("tic, date, round(prediction + 0.00000031, 6) AS prediction, round(target + 0.00000031, 6) AS target"), lambda s, d: A.aligned(predictions(s, d).select("tic", "date", "prediction"), predictions(s, d).select("tic", "date", "target")))
 q("m01_batch_score", None, lambda s, d: E.batch_score(S.inference_windows(bars(s, d), ["close"], LEN), lambda rows: [float(r[-1][0] - r[0][0]) for r in rows]))
 q("flagship", pred_sql(f"grp, split, count(*) AS total, CAST(sum({HIT}) AS BIGINT) AS correct, {r6({'accuracy': f'avg({HIT})', 'gross': 'avg(sign(prediction) * target)'}, 4)}", "FROM pred JOIN sp USING (date) GROUP BY grp, split", DATES, SPL), lambda s, d: P.date_split(bars(s, d)).select("tic", "date", "split").join(predictions(s, d), ["tic", "date"]).groupBy("grp", "split").agg(F.count(F.lit(1)).alias("total"), F.sum(E.sign_hit()).alias("correct"), F.avg(E.sign_hit()).alias("accuracy"), F.avg(F.signum("prediction") * F.col("target")).alias("gross")), 4)
+
+
+# ---- whole pipelines ------------------------------------------------------------------------------
+q("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT}, x AS (SELECT *, {roll('avg', 'close', 60, 1)} AS m60, {roll('max', 'high', 252, 1)} AS h252, {roll('stddev_pop', 'close', 20)} AS s20 FROM bars) SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix', 'rolling_mean_60': 'm60', 'distance_to_52w_high': '(h252 - x.close) / x.close'}, 5)}, CAST(isodow(tg.date) - 1 AS INTEGER) AS dayofweek FROM tg JOIN x USING (tic, date) LEFT JOIN vix ON tg.date = vix.date", lambda s, d: add_all_features(bars(s, d), Settings(technical=False), macro=(view(s, d, "vix"),)).select("tic", "date", "target", "vix", "rolling_mean_60", "distance_to_52w_high", "dayofweek"), 5)
+q("n08_a15_preprocess", f"WITH {cte('bars', 'vix')}, {DATES}, {SPL}, {TGT}, b AS (SELECT tg.tic, tg.grp, tg.date, target, coalesce(close, 0) AS close, vix FROM tg LEFT JOIN vix ON tg.date = vix.date), dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM b)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2), m AS (SELECT b.*, split FROM b JOIN sp2 USING (date)), st AS (SELECT quantile_cont(close, 0.5) AS c, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS k, quantile_cont(vix, 1.0 / 3) AS q1, quantile_cont(vix, 2.0 / 3) AS q2 FROM m WHERE split = 'train') SELECT tic, date, split, {r6({'close': '(close - c) / k', 'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st", lambda s, d: preprocess(J.merge_macro(P.target(bars(s, d)), view(s, d, "vix")))[0].select("tic", "date", "split", "close", "target", "regime_id"), 5)
