@@ -251,3 +251,23 @@ q("flagship", pred_sql(f"grp, split, count(*) AS total, CAST(sum({HIT}) AS BIGIN
 # ---- whole pipelines ------------------------------------------------------------------------------
 q("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT}, x AS (SELECT *, {roll('avg', 'close', 60, 1)} AS m60, {roll('max', 'high', 252, 1)} AS h252, {roll('stddev_pop', 'close', 20)} AS s20 FROM bars) SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix', 'rolling_mean_60': 'm60', 'distance_to_52w_high': '(h252 - x.close) / x.close'}, 5)}, CAST(isodow(tg.date) - 1 AS INTEGER) AS dayofweek FROM tg JOIN x USING (tic, date) LEFT JOIN vix ON tg.date = vix.date", lambda s, d: add_all_features(bars(s, d), Settings(technical=False), macro=(view(s, d, "vix"),)).select("tic", "date", "target", "vix", "rolling_mean_60", "distance_to_52w_high", "dayofweek"), 5)
 q("n08_a15_preprocess", f"WITH {cte('bars', 'vix')}, {DATES}, {SPL}, {TGT}, b AS (SELECT tg.tic, tg.grp, tg.date, target, coalesce(close, 0) AS close, vix FROM tg LEFT JOIN vix ON tg.date = vix.date), dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM b)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2), m AS (SELECT b.*, split FROM b JOIN sp2 USING (date)), st AS (SELECT quantile_cont(close, 0.5) AS c, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS k, quantile_cont(vix, 1.0 / 3) AS q1, quantile_cont(vix, 2.0 / 3) AS q2 FROM m WHERE split = 'train') SELECT tic, date, split, {r6({'close': '(close - c) / k', 'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st", lambda s, d: preprocess(J.merge_macro(P.target(bars(s, d)), view(s, d, "vix")))[0].select("tic", "date", "split", "close", "target", "regime_id"), 5)
+
+# ---- smaller pieces -------------------------------------------------------------------------------
+
+
+def failures(s, d):
+    return table(s, d, "events").select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("tic"), F.col("event_type").alias("reason"), F.col("ts").alias("at"))
+
+
+def ledger(s, d):
+    ev = failures(s, d)
+    return ev.groupBy("tic").agg(F.max_by("reason", F.struct("at", "reason")).alias("last_reason"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+q("a23_failure_summary", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_type)) AS last_reason FROM events GROUP BY user_id) SELECT last_reason, count(*) AS n FROM e GROUP BY last_reason", lambda s, d: K.failure_summary(ledger(s, d)).select("last_reason", "n"))
+q("a18_metadata", f"WITH {cte('bars')}, {DATES}, {SPL} SELECT split, count(*) AS n, CAST(10 AS INTEGER) AS length, CAST(5 AS INTEGER) AS horizon FROM bars JOIN sp USING (date) GROUP BY split", lambda s, d: K.dataset_metadata(P.date_split(bars(s, d)), ["close"], 10, 5).drop("features"))
+q("a25_preview", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, CAST(y AS FLOAT) AS target, CAST(10 AS INTEGER) AS length, CAST(close AS FLOAT) AS c0 FROM wn WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 5", lambda s, d: S.preview(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)).select("tic", "date", "target", "length", F.col("last_step")[0].alias("c0")))
+q("s03_default_ids", f"WITH {cte('bars')} SELECT tic, date, CAST(0 AS INTEGER) AS group_id, CAST(1 AS INTEGER) AS dividend_flag FROM bars", lambda s, d: S.default_ids(bars(s, d)).select("tic", "date", "group_id", "dividend_flag"))
+q("v07_flag_domain", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, max(CAST(volume AS BIGINT) % 4) {_wo} AS top, lead(f, {HOR}) {OVER} AS y FROM (SELECT *, lead(close, {HOR}) {OVER} AS f FROM bars) WHERE f IS NOT NULL) SELECT tic, date FROM w WHERE cn = {LEN} AND y IS NOT NULL AND top = 3", lambda s, d: A.flag_domain(S.training_windows(panel(s, d).withColumns({"tic_id": F.lit(0), "dividend_flag": F.col("volume").cast("bigint") % 4}), ["close"], LEN, HOR)).select("tic", "date"))
+q("g13_train_mask", f"WITH {cte('bars')}, {DATES} SELECT tic, date FROM bars JOIN dt USING (date) WHERE pl < CAST(floor(n * 0.7::DOUBLE) AS INT)", lambda s, d: P.date_split(bars(s, d), 0.7).where("split = 'train'").select("tic", "date"))
+q("m05_per_ticker_turnover", pred_sql(f"tic, date, {r6({'turnover': 'abs(ps - coalesce(lag(ps) OVER (PARTITION BY tic ORDER BY date), 0))'})}", "FROM ac", ACC), lambda s, d: E.positions(predictions(s, d), per_ticker=True).select("tic", "date", "turnover"))
