@@ -29,15 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import tokenizer_file
+from loompanel.llm.common import tokenizer_file, worker_tables
 
 #: Fixed: how the byte-level scheme cuts text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens kept by a worker; the cache starts anew when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Longer pre-tokens (in characters) are encoded each time.
 CACHE_CHARS = 48
-PAIRS = 600_000
+PAIRS = 300_000
 GAP = "Ā"
 
 
@@ -185,14 +185,9 @@ class Words(dict):
         return ids
 
 
-_COMPILED: dict[str, Bpe] = {}
-
-
 def compiled(path: str) -> Bpe:
     """The tables of a tokenizer file, once for each worker."""
-    if path not in _COMPILED:
-        _COMPILED[path] = Bpe(path)
-    return _COMPILED[path]
+    return worker_tables("bpe", path, make=lambda: Bpe(path))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

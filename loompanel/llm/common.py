@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -51,13 +54,13 @@ def tokenizer_file(path: str) -> str:
 
 
 #: Bits of the map that split_by_ids broadcasts, and bits in one of its rows.
-MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
+MAP_BITS, MAP_ROW = 1 << 24, 1 << 15
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two parts: rows whose id may be among ``ids`` (one column), and rows whose id is not.
 
-    The ids go into a bit map of fixed size (8 MB at most, broadcast by rows of 4 kB), so the rows of
+    The ids go into a bit map of fixed size (2 MB, broadcast by rows of 4 kB), so the rows of
     neither part move.  The more ids, the more other rows end up in the first part; an exact step has
     to follow there, and only there texts need to be shuffled.
     """
@@ -71,3 +74,19 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFram
     hit = F.coalesce(F.expr("shiftright(__lp_byte, cast(__lp_k % 8 as int)) % 2") == 1, F.lit(False))
     marked = joined.withColumn("__lp_byte", byte).withColumn("__lp_hit", hit)
     return marked.where("__lp_hit").select(*docs.columns), marked.where("NOT __lp_hit").select(*docs.columns)
+
+
+_TABLES: dict[tuple, object] = {}
+
+
+def worker_tables(*key, make):
+    """What an operator keeps in a Python worker (compiled tables, caches).  Workers are used again by later
+    stages; the tables of another operator go first, so that they don't add up."""
+    if key not in _TABLES:
+        if _TABLES:
+            _TABLES.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give freed memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _TABLES[key] = make()
+    return _TABLES[key]

@@ -18,6 +18,7 @@ rows of either table each give their matches.  Other input columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import text_of
+from loompanel.llm.common import text_of, worker_tables
 
 Q = 8
 EDITS = 0.1
@@ -210,7 +211,15 @@ class Items:
         return -1
 
 
-_BUILT: dict[int, Items] = {}
+class Shared:
+    """A broadcast with a name of its own."""
+
+    def __init__(self, df: DataFrame, value: object) -> None:
+        self.id, self.held = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.held.value
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
@@ -239,13 +248,10 @@ def contamination(
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start int, end int, edits int"
     parts = []
     for block in benchmark_blocks(benchmark, block_bytes, item_col, text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            if id(shared.value) not in _BUILT:
-                _BUILT.clear()
-                _BUILT[id(shared.value)] = Items(shared.value, Q, edits)
-            items = _BUILT[id(shared.value)]
+            items = worker_tables("items", shared.id, edits, make=lambda: Items(shared.value, Q, edits))
             for batch in batches:
                 found = [(n, *m) for n, t in enumerate(batch.column(1)) for m in items.find(t.as_py())]
                 columns = list(zip(*found)) if found else [[]] * 5
@@ -265,13 +271,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
     """``docs`` without the rows in whose text an item occurs.  Same columns; no shuffle."""
     place = docs.columns.index(text_col)
     for block in benchmark_blocks(benchmark, block_bytes, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            if id(shared.value) not in _BUILT:
-                _BUILT.clear()
-                _BUILT[id(shared.value)] = Items(shared.value, Q, edits)
-            items = _BUILT[id(shared.value)]
+            items = worker_tables("items", shared.id, edits, make=lambda: Items(shared.value, Q, edits))
             for batch in batches:
                 yield batch.filter(pa.array([not items.find(t.as_py() or "") for t in batch.column(place)], pa.bool_()))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import text_of
+from loompanel.llm.common import text_of, worker_tables
 
 BAD, GOOD, NONE = 0, 1, 2
 SYMBOLS = "#$%&*|<>{}[]^~=+\\@_"
@@ -137,8 +137,6 @@ class Shapes(dict):
         return found
 
 
-_SHAPES = Shapes()
-
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Bins and values of a text's hashed features: shapes, pairs of shapes, repeated words, lengths;
@@ -147,7 +145,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if n == 0:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    shape = np.fromiter(map(_SHAPES.__getitem__, words), dtype=np.int64, count=n)
+    shape = np.fromiter(map(worker_tables("quality", make=Shapes).__getitem__, words), dtype=np.int64, count=n)
     length = np.minimum(np.fromiter(map(len, words), dtype=np.int64, count=n), 15)
     same = np.fromiter(map(eq, words, words[1:]), dtype=bool, count=n - 1)
     parts = [shape, (shape[:-1] * 31 + shape[1:] * 17 + 7) % BINS, (length * 101 + 3) % BINS, np.where(same, 11, 13)]

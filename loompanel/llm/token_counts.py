@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import text_of, tokenizer_file
+from loompanel.llm.common import text_of, tokenizer_file, worker_tables
 
 #: Pre-tokens kept by a worker besides the table; the cache starts anew when full.
 CACHE_WORDS = 400_000
@@ -56,9 +56,9 @@ class ByteLevel:
     """A byte-level BPE file of the tokenizers library, by the pre-tokens of its own pattern."""
 
     def __init__(self, path: str) -> None:
-        from loompanel.llm.bpe import compiled
+        from loompanel.llm.bpe import Bpe
 
-        self.bpe = compiled(path)
+        self.bpe = Bpe(path)
 
     def split(self, text: str) -> list[str]:
         bpe = self.bpe
@@ -120,9 +120,6 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", table_wor
     return {r.w: length(r.w) for r in top.select("w").collect()}
 
 
-_TIERS: dict[tuple[str, int], tuple[Callable[[str], list[str]], Lengths]] = {}
-
-
 def count_tokens(
     docs: DataFrame,
     path: str = "piece_bpe_32k.model",
@@ -137,12 +134,11 @@ def count_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(pack(frequent_words(docs, path, text_col, table_words, sample_docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, hash(shared.value))
-        if key not in _TIERS:
-            _TIERS.clear()
+        def make():
             counter = counter_of(path)
-            _TIERS[key] = counter.split, Lengths(counter.length, unpack(shared.value))
-        split, lengths = _TIERS[key]
+            return counter.split, Lengths(counter.length, unpack(shared.value))
+
+        split, lengths = worker_tables("tokens", path, hash(shared.value), make=make)
         get = lengths.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
