@@ -41,7 +41,8 @@ KINDS = [set(), {"article", "main"}, {"section", "div"}, {"p", "blockquote", "pr
 KIND = {t: i for i, tags in enumerate(KINDS) for t in tags}
 AGAINST = re.compile(r"(?<![a-z])(?:ads?|adsby\w*|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|foot\w*|head(?:er)?|masthead|comments?\w*|disqus\w*|repl(?:y|ies)|cookies?\w*|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|relat\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|search\w*|form|widgets?|copyright|legal|disclaimer|toolbar|tags?|tagcloud|skip|banner|complementary|contentinfo|navigation|dialog)(?![a-z])")
 IN_FAVOUR = re.compile(r"(?<![a-z])(?:article\w*|content|post|entry|main|story|body|text|prose|page)(?![a-z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.DOTALL)
+#: Attributes are taken without backtracking: quoted strings whole, a quote that never closes as it stands.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>])*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 FEATURES = (4, 5, 6, 3)
 

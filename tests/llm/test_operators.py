@@ -245,9 +245,9 @@ def test_html_on_held_out_pages(spark):
     assert right >= 90
     page = '<nav><a href="/">Home</a></nav><article><h1>A &amp; B</h1><p>One\n  two&nbsp;three.<p><b>Four<br>five</b><script>var x="</p>";</script></article><footer>&copy; me</footer>'
     assert model.extract(page) == "A & B\n\nOne two three.\n\nFour five"
-    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<" * 50_000), (4, "u", "</p></div>text"), (None, "u", page)], "page_id bigint, url string, html string").withColumn("text", F.lit(1))
+    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<" * 50_000), (4, "u", "</p></div>text"), (5, "u", "<a " + '"' * 61), (6, "u", "<p class='a>b'>x</p>" + "<a '" * 300), (None, "u", page)], "page_id bigint, url string, html string").withColumn("text", F.lit(1))
     out = html_extract.extract_text(odd, model)
-    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 6 and all(r.n_chars == len(r.text) for r in out.collect())
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 8 and all(r.n_chars == len(r.text) for r in out.collect())
     assert html_extract.extract_text(odd.limit(0), model).count() == 0
 
 
