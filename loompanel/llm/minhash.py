@@ -9,9 +9,12 @@ done), so a document costs its shingles plus about m ln m arrivals.
 
 *Banding.*  32 bands of 6 components: two documents of similarity 0.8 share a band with probability
 1 - (1 - 0.8^6)^32 > 0.9999.  Equal word sequences count as one node before anything is paired.  In a
-bucket each member is paired with the bucket's smallest id, never with all others.  Where members
-of one bucket then lie in different classes, further rounds pair them with other members, drawn by
-a seeded hash, until a round finds no new link.
+bucket each member is paired with the bucket's smallest id first.  Where members of one bucket then
+lie in different classes, all that remains between these classes is compared: as pairs in buckets of
+a few members, and in larger ones block by block, inside Python, where no row is made for a pair and
+what comes out is one link for each class that joins another.  So every two texts that share a band
+are linked if they are alike.  A bucket of n members in many classes costs n^2 comparisons, spread
+over its blocks.
 
 *Verification.*  Pairs whose signatures agree in fewer than 60 % of the components are passed over
 (similarity 0.8 gives so few with probability under 1e-9); for the others the Jaccard similarity of
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loompanel.llm.common import materialise, split_by_ids, text_of, worker_tables
@@ -48,6 +51,8 @@ ROWS = COMPONENTS // BANDS
 #: Words kept by a worker with their hashes; the cache starts anew when full.
 CACHE_WORDS = 200_000
 AGREE = 0.6
+#: Buckets of at most FEW members give pairs; others are compared in blocks of so many shingles (and sets, on average).
+FEW, BLOCK, BLOCK_ROWS = 16, 1 << 20, 2048
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(r"\w+").findall
@@ -202,6 +207,86 @@ def _new_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: f
     return materialise(_verified(with_both, threshold).distinct(), "links")
 
 
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``rows`` shares with each set of ``columns`` (indexes into ``sets``)."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    n = np.diff(np.append(start, len(token)))
+    owners = np.add.reduceat(mix(doc.astype(np.uint64) + np.uint64(1)), start)  # elements of the same sets count together
+    start, n, owners = start[n > 1], n[n > 1], owners[n > 1]
+    _, first, times = np.unique(owners, return_index=True, return_counts=True)
+    total = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for at in range(0, len(first), 1024):
+        c, k = first[at : at + 1024], times[at : at + 1024]
+        column = np.repeat(np.arange(len(c)), n[c])
+        cell = np.arange(len(column)) - np.repeat(np.cumsum(n[c]) - n[c], n[c]) + np.repeat(start[c], n[c])
+        x = np.zeros((len(sets), len(c)), dtype=np.float32)
+        x[doc[cell], column] = 1
+        total += (x[rows] * k.astype(np.float32)) @ x[columns].T
+    return total
+
+
+def joined_classes(sets: list[np.ndarray], root: np.ndarray, rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+    """For each class number (``root`` has each set's) the smallest one that it is linked with, over any
+    number of links between sets of ``rows`` and of ``columns``."""
+    size = np.array([len(s) for s in sets])
+    both = overlaps(sets, rows, columns).astype(np.float64)
+    like = (both > 0) & (both >= threshold * (size[rows][:, None] + size[columns][None, :] - both)) & (root[rows][:, None] != root[columns][None, :])
+    i, j = np.nonzero(like)
+    u, v = np.unique(np.stack([root[rows[i]], root[columns[j]]]), axis=1)
+    least = np.arange(root.max() + 1)
+    while True:
+        now = least.copy()
+        np.minimum.at(now, u, least[v])
+        np.minimum.at(now, v, least[u])
+        if (now == least).all():
+            return least
+        least = now
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes, from the exact similarity of all members (band, node, root) of a bucket
+    that lie in different classes.
+
+    A bucket is dealt to blocks of about BLOCK shingles, and each two blocks are compared in one task.  A
+    class of more than a block has blocks of its own, which are not compared with one another.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+    if members.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    weights = nodes.groupBy("node").agg(F.max("n_shingles").alias("w"))
+    members = members.join(weights, "node").withColumn("w", F.greatest("w", F.lit(BLOCK // BLOCK_ROWS)))
+    kinds = members.groupBy("band", "root").agg(F.sum("w").alias("w")).withColumn("own", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") / BLOCK)).otherwise(0))
+    kinds = materialise(kinds, "classes")
+    bands = kinds.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("w")).otherwise(0)) / BLOCK).alias("shared"), F.sum("own").alias("owned"))
+    before = Window.partitionBy("band").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    large = kinds.where("own > 0").select("band", "root", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("at"))
+    dealt = members.join(bands, "band").join(large, ["band", "root"], "left")
+    dealt = dealt.withColumn("block", F.coalesce(F.expr("shared + at + pmod(xxhash64(node), own)"), F.expr("pmod(xxhash64(root), shared)")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("filter(sequence(0L, cast(shared + owned as bigint) - 1), x -> own IS NULL OR x < shared + at OR x >= shared + at + own)")))
+    wanted = materialise(members.select(F.col("node").alias("id")).distinct(), "wanted")
+    maybe, _ = split_by_ids(docs, wanted, "id")
+    texts = materialise(maybe.join(wanted, "id", "left_semi").distinct(), "texts")
+    dealt = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        names, number = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
+        least = np.arange(len(names))
+        block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if len(names) > 1 and len(rows) and len(columns):
+            sets = [np.unique(shingles(word_hashes(t.as_py()))) for t in group.column("text")]
+            least = joined_classes(sets, number, rows, columns, threshold)
+        a = np.flatnonzero(least < np.arange(len(names)))
+        kinds = group.schema.field("root").type
+        return pa.table({"a": pa.array(names[a].tolist(), kinds), "b": pa.array(names[least[a]].tolist(), kinds)})
+
+    return materialise(dealt.groupBy("band", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, class_id (the smallest id of its class), kept (it is that one)."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -216,24 +301,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     members = materialise(banded.join(shared, "band"), "members")
 
     pairs = materialise(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    tried = pairs
     links = _new_links(pairs, graph, rows, threshold)
     same_id = nodes.where("node IS NOT NULL")
-    turn = 0
-    while True:
+    roots = components(links)
+    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    # two members: their pair is tried
+    mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1 AND n > 2").select("band", "n")
+    left = materialise(placed.join(mixed, "band"), "mixed")
+    few = left.where(F.col("n") <= FEW)
+    more = few.join(few.select("band", F.col("node").alias("other"), F.col("root").alias("other_root")), "band").where("root <> other_root AND node > other")
+    more = more.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    many = left.where(F.col("n") > FEW).select("band", "node", "root")
+    found = [f for f in (_new_links(more, graph, rows, threshold), _block_links(many, graph, rows, threshold)) if not f.isEmpty()]
+    if found:
+        for f in found:
+            links = links.union(f)
         roots = components(links)
-        placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.xxhash64("node", F.lit(turn))).alias("drawn")).where("r0 <> r1").select("band", "drawn")
-        left = materialise(placed.join(mixed, "band"), "mixed")
-        reps = left.where(F.xxhash64("node", F.lit(turn)) == F.col("drawn")).select("band", F.col("node").alias("rep"), F.col("root").alias("rep_root"))
-        more = left.join(reps, "band").where("root <> rep_root").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = _new_links(more, graph, rows, threshold)
-        if found.isEmpty():
-            break
-        tried, links, turn = tried.union(more), links.union(found), turn + 1
     classes = same_id.join(roots, "node", "left").select("words_hash", F.coalesce("root", "node").alias("class_id"))
     return sketched.select("id", "words_hash").join(classes, "words_hash", "left").select(
         F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept")

@@ -322,3 +322,32 @@ def test_viterbi_equals_enumeration():
 
         best = min(("".join(p) for p in product(*lattice)), key=price)
         assert price(toxicity.viterbi(lattice, cost)) == pytest.approx(price(best))
+
+
+def template_group(n, planted, seed=3):
+    """Texts that share six sevenths of their shingles (similarity 0.75), and copies of some of similarity above 0.8."""
+    r = random.Random(seed)
+    shared = " ".join(f"t{i}" for i in range(244))
+    rows = [(i, shared + " " + " ".join(f"u{r.randrange(10**9)}" for _ in range(40))) for i in range(n)]
+    for k in range(planted):  # the last 18 of the own words are new, those before are the same
+        words = rows[2 * k + 1][1].split(" ")
+        rows.append((n + k, " ".join(words[:-18] + [f"v{r.randrange(10**9)}" for _ in range(18)])))
+    return rows
+
+
+def test_near_duplicates_in_a_large_template_group(spark, monkeypatch):
+    rows = template_group(300, 30)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute_classes(rows)
+    assert len({c for _, c in expected}) == 300
+    assert rows_of(minhash.near_duplicates(df), "doc_id", "class_id") == expected
+    monkeypatch.setattr(minhash, "BLOCK", 1 << 13)  # many blocks
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    assert rows_of(minhash.near_duplicates(df), "doc_id", "class_id") == expected
+
+
+def test_overlaps_equal_set_arithmetic():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(20)]
+    rows, columns = np.arange(8), np.arange(5, 20)
+    assert minhash.overlaps(sets, rows, columns).tolist() == [[len(set(sets[i]) & set(sets[j])) for j in columns] for i in rows]
