@@ -1,9 +1,10 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-*Sketch.*  A document is its lower-cased words' five-word shingles, each weighted 1 + ln(count).  Every
-shingle is a Poisson process whose rate is its weight; each arrival hits one of the signature's
-components at random, and a component keeps the shingle that hit it first.  Two signatures agree in
-a component with the probability Jaccard similarity of the weighted sets.  Arrivals stop as soon as
+*Sketch.*  A document is the set of its lower-cased words' five-word shingles, each of weight 1 however
+often it occurs.  Every shingle is a Poisson process whose rate is its weight; each arrival hits one of
+the signature's components at random, and a component keeps the shingle that hit it first.  Two
+signatures agree in a component with the probability Jaccard similarity of the weighted sets; with
+equal weights that is the Jaccard similarity of the sets, which also decides on a link.  Arrivals stop as soon as
 no component can still change (a shingle whose next arrival comes after the latest first hit is
 done), so a document costs its shingles plus about m ln m arrivals.
 
@@ -117,12 +118,11 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 def sketches(texts: list[str], m: int = COMPONENTS) -> tuple[list[bytes], list[int], list[bytes | None]]:
     """For each text: a 128-bit hash of its words, its number of distinct shingles, its signature."""
     hashes = [word_hashes(t) for t in texts]
-    sets = [np.unique(shingles(h), return_counts=True) for h in hashes]
-    sizes = np.array([len(s[0]) for s in sets], dtype=np.int64)
+    sets = [np.unique(shingles(h)) for h in hashes]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    element = mix(np.concatenate([s[0] for s in sets]) if len(sets) else np.zeros(0, np.uint64))
-    weight = 1.0 + np.log(np.concatenate([s[1] for s in sets]).astype(np.float64)) if len(sets) else np.zeros(0)
-    signature = prob_minhash(doc, element, weight, len(texts), m)
+    element = mix(np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64))
+    signature = prob_minhash(doc, element, np.ones(len(element)), len(texts), m)
     return [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], sizes.tolist(), [s.tobytes() if n else None for s, n in zip(signature, sizes)]
 
 

@@ -351,3 +351,13 @@ def test_overlaps_equal_set_arithmetic():
     sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(20)]
     rows, columns = np.arange(8), np.arange(5, 20)
     assert minhash.overlaps(sets, rows, columns).tolist() == [[len(set(sets[i]) & set(sets[j])) for j in columns] for i in rows]
+
+
+def test_near_duplicates_with_a_passage_repeated_often(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"p{i}" for i in range(60)] * 500)), (3, " ".join(f"o{i}" for i in range(400)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, _, (x, y, _) = minhash.sketches([t for _, t in rows])
+    x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+    assert (x == y).mean() > 0.7  # the sets' similarity is 396 / 460
+    assert rows_of(minhash.near_duplicates(df), "doc_id", "class_id") == brute_classes(rows)
