@@ -1,10 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
 *Channel.*  A writer hides a word by look-alike characters (``1d10t``), by pulling its letters apart
-(``i d i o t``, ``i.d.i.o.t``) or by repeating them (``idiooot``).  A token that shows such signs becomes
-a lattice: each character may stand for itself or for the letters it can imitate, a run of equal
-letters for one or two of them, a space between single letters for itself or nothing.  Viterbi decoding under a character trigram model finds the likeliest
-reading; tokens without signs have one reading, themselves.
+(``i d i o t``, ``i.d-iot``, ``i. d. i. o. t.``) or by repeating them (``iidiooot``).  A token that shows
+such signs becomes a lattice: each character may stand for itself or for the letters it can imitate, a
+run of equal letters for one or two of them, a space between single letters and a run of separators
+for itself or nothing.  Viterbi decoding under a character trigram model finds the likeliest reading;
+tokens without signs have one reading, themselves.  Weak signs (one doubled letter, a look-alike at an
+end, separators between longer parts) also occur in plain text: there the token's own words count
+besides the decoded one, and a restored text keeps the token.  Tokens of digits alone are numbers.
 
 *Language model.*  Trigrams of letters are counted over all documents: each task adds up an array over a
 fixed alphabet, so what moves grows with the number of tasks and what is gathered has a fixed bound.
@@ -39,6 +42,8 @@ from loompanel.llm.common import materialise, text_of
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SIGNS = re.compile(r"[^\W\d_][0134578@$!|+€£]+[^\W\d_]|^[0134578@$]+[^\W\d_]{2}|[^\W\d_]{2}[0134578@$]+$|([^\W\d_])\1\1")
 APART = re.compile(r"^[^\W_](?:[.\-_*~/\\,][^\W_]){2,}$")
+SEPARATORS = re.compile(r"[.\-_*~/\\,]+")
+WEAK = re.compile(r"([^\W\d_])\1|[0134578@$!|+€£]|[^\W_][.\-_*~/\\,]+[^\W_]").search
 WORD = re.compile(r"[^\W_]+").findall
 EDGES = ".,;:!?\"'()[]{}<>#%&*=-–—…«»“”„"
 GAP = "\x1f"
@@ -46,8 +51,10 @@ CLASSES = 48  # 0: border, 1: other, 2-27: a-z, 28-47: other letters
 STEM = range(3, 7)
 MARK = 0.3
 Z = 2.33
+DOUBLE = re.compile(r"(.)\1").search
 TRIPLE = re.compile(r"(.)\1\1").search
 CACHE_WORDS = 300_000
+CACHE_READ = 100_000
 
 
 def _class_table() -> np.ndarray:
@@ -142,6 +149,7 @@ class ToxicModel:
 
     def __post_init__(self) -> None:
         self.marked: dict[str, float] = {}
+        self.read: dict[str, list[str]] = {}
         self.heads: set[str] | None = None  # the first letters of all marks
 
     def __getstate__(self):
@@ -169,17 +177,37 @@ class ToxicModel:
         """The words of a restored token."""
         bare = token.strip(EDGES)
         if bare.isalpha() and not TRIPLE(bare):
-            return [bare]
+            return [bare, *self.decoded(token)] if "!" in token or DOUBLE(bare) else [bare]
         words = WORD(self.restore(token))
+        if GAP not in token:
+            words += self.decoded(token)
         if GAP in token:  # the next likely readings: all one word, or with a one-letter word at an end
             whole = viterbi([r for c in token.split(GAP) for r in lattice(c)], self.costs)
             words += [whole, whole[1:], whole[:-1]]
         return words
 
+    def decoded(self, token: str) -> list[str]:
+        """The readings of a token with weak signs as one word, with and without look-alikes at its ends."""
+        words = self.read.get(token)
+        if words is not None:
+            return words
+        bare = token.strip(EDGES)
+        outer = token.strip(EDGES.replace("!", ""))
+        words = []
+        for t in {bare, outer, outer.rstrip("!"), outer.lstrip("!")}:
+            t = SEPARATORS.sub("", t)
+            if WEAK(t) and not t.isdigit() or t != token and WEAK(token) and t.isalpha():
+                words += WORD(viterbi(lattice(t), self.costs))
+        if len(self.read) >= CACHE_READ:
+            self.read.clear()
+        if len(token) <= 64:
+            self.read[token] = words
+        return words
+
     def tokens(self, text: str) -> list[str]:
         """Lower-cased tokens; three and more single characters in a row make one token."""
         tokens = text.lower().split()
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        single = [i for i, t in enumerate(tokens) if len(t) == 1 or len(t) < 5 and len(t.strip(EDGES)) == 1]
         if len(single) < 3:
             return tokens
         joined, i = [], 0
@@ -189,7 +217,7 @@ class ToxicModel:
                     joined.append((single[i], single[j - 1] + 1))
                 i = j
         for a, b in reversed(joined):
-            tokens[a:b] = [GAP.join(tokens[a:b])]
+            tokens[a:b] = [GAP.join(t.strip(EDGES) or t for t in tokens[a:b])]
         return tokens
 
     def restored(self, text: str) -> str:

@@ -361,3 +361,16 @@ def test_near_duplicates_with_a_passage_repeated_often(spark):
     x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
     assert (x == y).mean() > 0.7  # the sets' similarity is 396 / 460
     assert rows_of(minhash.near_duplicates(df), "doc_id", "class_id") == brute_classes(rows)
+
+
+def test_hidden_words_of_each_form_are_decoded():
+    counts = np.zeros(toxicity.CLASSES**3)
+    for word in "idiot stupid moron ass letter well known book".split():
+        c = toxicity.classes(f"\n\n{word} ")
+        np.add.at(counts, (c[:-2] * toxicity.CLASSES + c[1:-1]) * toxicity.CLASSES + c[2:], 100)
+    model = toxicity.ToxicModel(toxicity.trigram_costs(counts), {"idiot": 3.0, "stupid": 3.0, "moron": 3.0, "ass": 3.0})
+    hidden = "iidiot stuupid mmoronn !diot idiot!! a$$ @$$ i-d-iot id.iot i--d--i--o--t 1d-i0t mor0n m0ron moro-n".split()
+    assert [t for t in hidden if not model.weight(t)] == []
+    assert model.evidence("what i. d. i. o. t. said")[0] == model.evidence("what i d i o t said")[0] == 3.0
+    assert [model.weight(t) for t in "letter well-known book 455 2024 1st".split()] == [0.0] * 6
+    assert model.restored("letter well-known") == "letter well-known"
