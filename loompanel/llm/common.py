@@ -53,19 +53,25 @@ def tokenizer_file(path: str) -> str:
     return str(public_tokenizers.path(path))
 
 
-#: Bits of the map that split_by_ids broadcasts, and bits in one of its rows.
-MAP_BITS, MAP_ROW = 1 << 24, 1 << 15
+#: The map of split_by_ids: bits in one of its rows, bits for each id (a power of two in all), and its largest size (16 MB).
+MAP_ROW, MAP_SHARE, MAP_MOST = 1 << 15, 16, 1 << 27
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two parts: rows whose id may be among ``ids`` (one column), and rows whose id is not.
 
-    The ids go into a bit map of fixed size (2 MB, broadcast by rows of 4 kB), so the rows of
-    neither part move.  The more ids, the more other rows end up in the first part; an exact step has
-    to follow there, and only there texts need to be shuffled.
+    The ids go into a bit map (broadcast by rows of 4 kB) that grows with their number, so that about one
+    other row in 16 ends up in the first part, and the rows of neither part move.  An exact step has to
+    follow there, and only there texts need to be shuffled.  Ids that need a map of more than MAP_MOST
+    bits are joined by sorting instead.
     """
-    key = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     name = ids.columns[0]
+    count = ids.agg(F.approx_count_distinct(name)).first()[0]
+    size = max(1 << 20, 1 << (MAP_SHARE * count - 1).bit_length()) if count else 1 << 20
+    if size > MAP_MOST:
+        known = ids.select(F.col(name).alias("__lp_known")).distinct()
+        return docs.join(known, F.col(id_col) == F.col("__lp_known"), "left_semi"), docs.join(known, F.col(id_col) == F.col("__lp_known"), "left_anti")
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = ids.select(key(F.col(name)).alias("k")).groupBy(F.floor(F.col("k") / MAP_ROW).alias("__lp_r")).agg(F.bitmap_construct_agg(F.col("k") % MAP_ROW).alias("__lp_bits"))
     keyed = docs.withColumn("__lp_k", key(F.col(id_col)))
     row = F.floor(F.col("__lp_k") / MAP_ROW)

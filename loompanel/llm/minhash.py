@@ -52,8 +52,8 @@ ROWS = COMPONENTS // BANDS
 #: Words kept by a worker with their hashes; the cache starts anew when full.
 CACHE_WORDS = 200_000
 AGREE = 0.6
-#: Buckets of at most FEW members give pairs; others are compared in blocks of so many shingles (and sets, on average).
-FEW, BLOCK, BLOCK_ROWS = 16, 1 << 20, 2048
+#: Buckets are compared in blocks of so many shingles (and sets, on average).
+BLOCK, BLOCK_ROWS = 1 << 20, 2048
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(r"\w+").findall
@@ -141,6 +141,20 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {kind}, words_hash binary, n_shingles int, signature binary")
 
 
+def shingle_sets(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, shingles (the sorted set of 64-bit hashes, as bytes), for each row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [np.unique(shingles(word_hashes(t))).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
+
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles binary")
+
+
 def _alike(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree in enough components."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -155,56 +169,42 @@ def _alike(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, text_a, text_b) with exact Jaccard similarity of shingle sets >= threshold."""
+    """Pairs (a, b, set_a, set_b) with exact Jaccard similarity of shingle sets >= threshold."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
             for s, t in zip(batch.column(2), batch.column(3)):
-                s, t = s.as_py(), t.as_py()
-                if last[0] != t:  # the pairs of one representative come one after another
-                    last = t, np.unique(shingles(word_hashes(t)))
-                x, y = np.unique(shingles(word_hashes(s))), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both >= threshold * (len(x) + len(y) - both))
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (s, t))
+                few, many = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if few >= threshold * many else 0
+                keep.append(both > 0 and both >= threshold * (few + many - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u, v) is a centre v or has one centre, and not both."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("child")), F.struct(F.col("v").alias("x"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+    seen = ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("least"))
+    return seen.agg(F.count(F.when((F.col("n") > 1) | (F.col("n") == 1) & (F.col("least") == 0), 1))).first()[0] == 0
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected links (a, b); root is the smallest node of its
-    connected component.  Large-star and small-star steps in turn, each written to the shared folder."""
+    """(node, root) for every node of the undirected links (a, b) but the roots themselves; root is the
+    smallest node of its connected component.  Large-star and small-star steps in turn, each written to
+    the shared folder, until the edges are stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = materialise(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = now
-
-
-def _new_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The links among the pairs (a, b): by signature first, then by the texts."""
-    sig = nodes.select("node", "signature")
-    signed = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    alike = materialise(_alike(signed).distinct(), "alike")
-    if alike.isEmpty():
-        return alike
-    wanted = alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct()
-    maybe, _ = split_by_ids(docs, wanted, "id")  # else all texts would move
-    texts = materialise(maybe.join(wanted, "id", "left_semi"), "texts")
-    with_a = alike.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(_verified(with_both, threshold).distinct(), "links")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -247,83 +247,110 @@ def joined_classes(sets: list[np.ndarray], root: np.ndarray, rows: np.ndarray, c
         least = now
 
 
-def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between classes, from the exact similarity of all members (band, node, root) of a bucket
-    that lie in different classes.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(band, node, root, block, i, j) for the members (band, node, n_shingles, root) of the buckets that
+    hold several classes: the block of the member, and each two blocks (i <= j) that it takes part in.
 
-    A bucket is dealt to blocks of about BLOCK shingles, and each two blocks are compared in one task.  A
-    class of more than a block has blocks of its own, which are not compared with one another.
+    A bucket is dealt to blocks of about BLOCK shingles.  A class of more than a block has blocks of its
+    own, which are not compared with one another.
     """
-    kind = members.schema["node"].dataType.simpleString()
-    if members.isEmpty():
-        return members.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    weights = nodes.groupBy("node").agg(F.max("n_shingles").alias("w"))
-    members = members.join(weights, "node").withColumn("w", F.greatest("w", F.lit(BLOCK // BLOCK_ROWS)))
-    kinds = members.groupBy("band", "root").agg(F.sum("w").alias("w")).withColumn("own", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") / BLOCK)).otherwise(0))
-    kinds = materialise(kinds, "classes")
-    bands = kinds.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("w")).otherwise(0)) / BLOCK).alias("shared"), F.sum("own").alias("owned"))
+    weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK // BLOCK_ROWS)).cast("long")
+    kinds = materialise(members.groupBy("band", "root").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")), "classes")
+    kinds = kinds.withColumn("own", F.when(F.col("w") > BLOCK, F.ceil(F.col("w") / BLOCK)).otherwise(0))
+    # the pair of a bucket of two is tried already
+    bands = kinds.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("w")).otherwise(0)) / BLOCK).alias("shared"), F.sum("own").alias("owned"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    bands = materialise(bands.where("k > 1 AND n > 2").select("band", "shared", "owned"), "mixed")
     before = Window.partitionBy("band").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
     large = kinds.where("own > 0").select("band", "root", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("at"))
-    dealt = members.join(bands, "band").join(large, ["band", "root"], "left")
+    dealt = members.join(bands, "band").join(materialise(large, "large"), ["band", "root"], "left")
     dealt = dealt.withColumn("block", F.coalesce(F.expr("shared + at + pmod(xxhash64(node), own)"), F.expr("pmod(xxhash64(root), shared)")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("filter(sequence(0L, cast(shared + owned as bigint) - 1), x -> own IS NULL OR x < shared + at OR x >= shared + at + own)")))
-    wanted = materialise(members.select(F.col("node").alias("id")).distinct(), "wanted")
-    maybe, _ = split_by_ids(docs, wanted, "id")
-    texts = materialise(maybe.join(wanted, "id", "left_semi").distinct(), "texts")
-    dealt = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "text")
-
-    def run(group: pa.Table) -> pa.Table:
-        names, number = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
+    others = F.expr("filter(sequence(0L, cast(shared + owned as bigint) - 1), x -> own IS NULL OR x < shared + at OR x >= shared + at + own)")
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _block_links(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes, from the exact similarity of the members (band, root, block, i, j,
+    shingles) of each two blocks.  One pair of blocks is held in memory at a time."""
+    kind = dealt.schema["root"].dataType.simpleString()
+    keys = ["band", "i", "j"]
+    columns = ["band", "i", "j", "block", "root", "shingles"]
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        types = rows.schema.field("root").type
+        root = rows.column("root").to_numpy()
+        names, number = np.unique(root, return_inverse=True)
+        block, i, j = rows.column("block").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
         least = np.arange(len(names))
-        block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if len(names) > 1 and len(rows) and len(columns):
-            sets = [np.unique(shingles(word_hashes(t.as_py()))) for t in group.column("text")]
-            least = joined_classes(sets, number, rows, columns, threshold)
+        if len(names) > 1 and len(one) and len(other):
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("shingles")]
+            least = joined_classes(sets, number, one, other, threshold)
         a = np.flatnonzero(least < np.arange(len(names)))
-        kinds = group.schema.field("root").type
-        return pa.table({"a": pa.array(names[a].tolist(), kinds), "b": pa.array(names[least[a]].tolist(), kinds)})
+        return pa.RecordBatch.from_arrays([pa.array(names[a].tolist(), types), pa.array(names[least[a]].tolist(), types)], ["a", "b"])
 
-    return materialise(dealt.groupBy("band", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                this = tuple(key[:, x].tolist())
+                if held and this != now:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                now = this
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return dealt.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, class_id (the smallest id of its class), kept (it is that one)."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     sketched = materialise(sketch(docs, id_col, text_col), "sketch")
-    nodes = materialise(
-        sketched.groupBy("words_hash", "n_shingles", "signature").agg(F.min("id").alias("node")), "nodes"
-    )
+    nodes = materialise(sketched.groupBy("words_hash", "n_shingles", "signature").agg(F.min("id").alias("node")), "nodes")
     graph = nodes.where("node IS NOT NULL AND n_shingles > 0")
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))
-    banded = graph.select("node", F.explode(keys).alias("band"))
+    banded = graph.select("node", "n_shingles", F.explode(keys).alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "rep")
-    members = materialise(banded.join(shared, "band"), "members")
-
-    pairs = materialise(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _new_links(pairs, graph, rows, threshold)
-    same_id = nodes.where("node IS NOT NULL")
-    roots = components(links)
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    # two members: their pair is tried
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1 AND n > 2").select("band", "n")
-    left = materialise(placed.join(mixed, "band"), "mixed")
-    few = left.where(F.col("n") <= FEW)
-    more = few.join(few.select("band", F.col("node").alias("other"), F.col("root").alias("other_root")), "band").where("root <> other_root AND node > other")
-    more = more.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    many = left.where(F.col("n") > FEW).select("band", "node", "root")
-    found = [f for f in (_new_links(more, graph, rows, threshold), _block_links(many, graph, rows, threshold)) if not f.isEmpty()]
-    if found:
-        for f in found:
-            links = links.union(f)
-        roots = components(links)
-    classes = same_id.join(roots, "node", "left").select("words_hash", F.coalesce("root", "node").alias("class_id"))
+    # written before the join: adaptive execution splits the hot buckets of plain shuffles only
+    members = materialise(banded.join(materialise(shared, "buckets"), "band"), "members")
+
+    maybe, _ = split_by_ids(rows, members.select("node"), "id")
+    repeated = materialise(sketched.where("id IS NOT NULL").groupBy("id").agg(F.min("words_hash").alias("lo"), F.max("words_hash").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    sets = shingle_sets(maybe)
+    sets = materialise(sets if repeated.isEmpty() else sets.distinct(), "sets")
+    set_a, set_b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    sig_a, sig_b = (graph.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    pairs = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+    alike = materialise(_alike(pairs.join(sig_a, "a").join(sig_b, "b")).distinct(), "alike")
+    links = materialise(_verified(alike.join(set_a, "a").join(set_b, "b"), threshold).union(_same_id(repeated.where("lo <> hi").select("id"), sketched, nodes)), "links")
+    roots = materialise(components(links), "roots")
+
+    placed = materialise(members.join(roots, "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("root")), "placed")
+    dealt = _blocks(placed).join(sets.withColumnRenamed("id", "node"), "node")
+    more = materialise(_block_links(dealt, threshold), "links")
+    ends = materialise(components(more), "roots")  # of classes
+    classes = nodes.where("node IS NOT NULL").join(roots, "node", "left").select("words_hash", F.coalesce("root", "node").alias("root"))
+    classes = classes.join(ends.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("words_hash", F.coalesce("end", "root").alias("class_id"))
     return sketched.select("id", "words_hash").join(classes, "words_hash", "left").select(
         F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept")
     )
 
 
+def _same_id(several: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between all nodes in which one of these ids occurs."""
+    held = sketched.join(several, "id").join(nodes.select("words_hash", "node"), "words_hash").select("id", "node").distinct()
+    least = held.groupBy("id").agg(F.min("node").alias("b"))
+    return held.join(least, "id").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class; rows with a null id stay.  Same columns.
 
