@@ -8,11 +8,12 @@ Expectation-maximisation estimates from these counts the share of good texts and
 how it votes on good and on bad texts; the posterior of a combination is its weak label.
 
 *Scorer.*  A logistic regression on hashed word shapes learns the posteriors from a bounded sample of
-documents (``train_docs``, drawn by a hash of the id).  It scores every text whole, row by row, and
+documents (about ``train_docs`` distinct ones, drawn by a hash of id and text).  It scores every text whole, row by row, and
 carries the labels over to texts on which the labellers are silent or divided.
 
-Nulls count as empty texts; texts without words get score 0.  Null ids are never drawn for training.
-Repeated rows each get a row.  The filter returns the input's columns as they are.
+Nulls count as empty texts; texts without words get score 0.  An empty table gives a model of even
+odds; if nothing is drawn from a table with rows, fitting fails.  Repeated rows each get a row, and
+their votes count each time; the scorer learns from them once.  The filter returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -167,11 +168,20 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + (self.weights[bins] * values).sum(), -60, 60))))
 
 
+def draw_below(share: float) -> int:
+    """The bound that a share (below 1) of all 63-bit hashes stays under."""
+    return max(1, int(share * 2**63))
+
+
 def fit_quality(docs: DataFrame, train_docs: int = 6_000, id_col: str = "doc_id", text_col: str = "text", steps: int = 300) -> QualityModel:
     counts = count_votes(docs, text_col)
     labels = fit_label_model(counts)
-    share = min(1.0, train_docs / max(1, sum(counts.values())))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col(id_col).isNotNull())
+    total = sum(counts.values())
+    # a text of an id is drawn once, however often it is repeated: about train_docs rows at any size
+    drawn = docs.select(F.col(id_col).alias("__lp_id"), text_of(text_col).alias("t"))
+    if total > train_docs:
+        drawn = drawn.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "__lp_id", "t"), 1) < draw_below(train_docs / total))
+    drawn = drawn.distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +189,10 @@ def fit_quality(docs: DataFrame, train_docs: int = 6_000, id_col: str = "doc_id"
             made = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in texts]), pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["votes", "bins", "values"])
 
-    # twice the bound at most, should one id hold very many rows
-    rows = drawn.select(text_of(text_col).alias("t")).limit(2 * train_docs).mapInArrow(run, "votes string, bins binary, values binary").collect()
-    rows = [r for r in rows if len(r.bins)]
+    rows = drawn.select("t").mapInArrow(run, "votes string, bins binary, values binary").collect()
+    if not rows and total:
+        raise RuntimeError(f"none of {total} documents was drawn for training")
+    rows = sorted((r for r in rows if len(r.bins)), key=lambda r: (bytes(r.bins), bytes(r["values"]), r.votes))  # one order, one result
     weights, bias = np.zeros(BINS), 0.0
     if not rows:
         return QualityModel(labels, weights, bias)
