@@ -67,7 +67,7 @@ def positions(df: DataFrame, threshold: float = 0.0, commission: float = 0.001,
     if not per_ticker:
         ends = out.groupBy("tic").agg(F.max_by("position", "date").alias("__end"))
         ends = ends.select("tic", F.lag("__end").over(W.orderBy("tic")).alias("__carry"))
-        out = out.join(F.broadcast(ends), "tic")
+        out = out.join(ends, "tic")
         before = F.coalesce(before, F.col("__carry"))
     turnover = F.abs(F.col("position") - F.coalesce(before, F.lit(0.0)))
     gross = F.col("position") * F.col("target")
@@ -88,7 +88,7 @@ def equity(df: DataFrame, column: str = "net_return", capital: float = 1.0) -> D
     earlier = W.orderBy("tic").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select("tic", "top", F.coalesce(F.product("g").over(earlier), F.lit(1.0)).alias("__carry"))
     carry = carry.select("tic", "__carry", F.max(F.col("__carry") * F.col("top")).over(earlier).alias("__before"))
-    out = out.join(F.broadcast(carry), "tic").withColumns({"equity": F.col("__in") * F.col("__carry") * capital, "__peak": F.greatest(F.col("__top") * F.col("__carry"), F.col("__before")) * capital})
+    out = out.join(carry, "tic").withColumns({"equity": F.col("__in") * F.col("__carry") * capital, "__peak": F.greatest(F.col("__top") * F.col("__carry"), F.col("__before")) * capital})
     return out.withColumn("drawdown", td(F.col("equity") - F.col("__peak"), F.col("__peak"))).drop("__g", "__in", "__top", "__carry", "__before", "__peak")
 
 

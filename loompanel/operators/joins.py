@@ -30,23 +30,27 @@ def ratios(statements: DataFrame) -> DataFrame:
     return statements.select("tic", "date", *(td(F.col(a), F.nullif(F.col(b), F.lit(0.0))).alias(k) for k, (a, b) in pairs.items()))
 
 
+def _bars_and_quarters(bars: DataFrame, quarters: DataFrame, columns: list[str]) -> DataFrame:
+    """Bars (``__bar`` 1) and the quarters (0) that are not before the ticker's first bar."""
+    rows = bars.select("tic", "date", *(F.lit(None).cast("double").alias(c) for c in columns), F.lit(1).alias("__bar"))
+    rows = rows.unionByName(quarters.select("tic", "date", *columns, F.lit(0).alias("__bar")))
+    first = F.min(F.when(F.col("__bar") == 1, F.col("date"))).over(W.partitionBy("tic"))
+    return rows.withColumn("__first", first).where("date >= __first").drop("__first")
+
+
 def as_of(bars: DataFrame, quarters: DataFrame, columns: list[str]) -> DataFrame:
     """For each bar the last known value of each column, of quarters from the ticker's first bar on.
 
     Bars and quarters are put in one order by ticker and date: one shuffle, one pass, no range join.
     """
-    first = bars.groupBy("tic").agg(F.min("date").alias("__first"))
-    late = quarters.join(F.broadcast(first), "tic").where("date >= __first").select("tic", "date", *columns, F.lit(0).alias("__bar"))
-    rows = bars.select("tic", "date", *(F.lit(None).cast("double").alias(c) for c in columns), F.lit(1).alias("__bar")).unionByName(late)
+    rows = _bars_and_quarters(bars, quarters, columns)
     order = W.partitionBy("tic").orderBy("date", "__bar").rowsBetween(W.unboundedPreceding, 0)
     return rows.select("tic", "date", "__bar", *(F.last(c, ignorenulls=True).over(order).alias(c) for c in columns)).where("__bar = 1").drop("__bar")
 
 
 def interpolate(bars: DataFrame, quarters: DataFrame, columns: list[str]) -> DataFrame:
     """Linear in days between known quarters; the last value after them, null before."""
-    first = bars.groupBy("tic").agg(F.min("date").alias("__first"))
-    late = quarters.join(F.broadcast(first), "tic").where("date >= __first").select("tic", "date", *columns, F.lit(0).alias("__bar"))
-    rows = bars.select("tic", "date", *(F.lit(None).cast("double").alias(c) for c in columns), F.lit(1).alias("__bar")).unionByName(late)
+    rows = _bars_and_quarters(bars, quarters, columns)
     order = W.partitionBy("tic").orderBy("date", "__bar")
     before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
     made = {}

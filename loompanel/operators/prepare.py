@@ -60,13 +60,18 @@ def ranked_dates(df: DataFrame) -> DataFrame:
     return df.select("date").distinct().withColumn("place", F.row_number().over(W.orderBy("date")) - 1)
 
 
+def by_date(df: DataFrame) -> DataFrame:
+    """A table of one row for each date, for broadcast: the type DATE holds 3.7 million days at most, so its
+    size is bounded without counting.  Other keys are left to adaptive execution."""
+    return F.broadcast(df) if df.schema["date"].dataType.typeName() == "date" else df
+
+
 def date_split(df: DataFrame, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """split = train, val or test by the rank of the date; bounds are cut down in floating point."""
-    dates = ranked_dates(df)
-    n = dates.count()
-    a, b = int(n * train), int(n * (train + val))
+    dates = ranked_dates(df).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
+    a, b = (F.floor(F.col("n") * F.lit(float(x))) for x in (train, train + val))
     named = F.when(F.col("place") < a, "train").when(F.col("place") < b, "val").otherwise("test")
-    return df.join(small(dates.select("date", named.alias("split"))), "date")
+    return df.join(by_date(dates.select("date", named.alias("split"))), "date")
 
 
 def _folds(df: DataFrame, ranges: list[tuple[int, str, int, int]]) -> DataFrame:

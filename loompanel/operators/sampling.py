@@ -12,9 +12,9 @@ def balanced(tickers: DataFrame, n: int, seed: int | None = None) -> DataFrame:
 
     Each group gives its n // groups first by market cap (unknown last, then by name), the rest come from
     the common order.  With fewer places than groups, the groups of the largest caps give their first.
-    ``seed``: by a seeded hash instead of the caps.
+    ``seed``: by the MD5 of "seed|tic" instead of the caps.
     """
-    order: list[Column] = [F.desc_nulls_last("market_cap"), F.asc("tic")] if seed is None else [F.xxhash64(F.lit(seed), "tic").asc(), F.asc("tic")]
+    order: list[Column] = [F.desc_nulls_last("market_cap"), F.asc("tic")] if seed is None else [F.md5(F.concat(F.lit(f"{seed}|"), "tic")).asc(), F.asc("tic")]
     groups = tickers.select("grp").distinct().count()
     if not groups or n <= 0:
         return tickers.limit(0)

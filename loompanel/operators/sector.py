@@ -41,7 +41,7 @@ def chosen_peers(panel: DataFrame, window: int = 252, least: int = 10) -> DataFr
     """For each ticker and day with complete windows, the peer of largest absolute return correlation (the
     first by name of equals), with the regression of closes on the peer's.
 
-    Pairs are dealt by sector, ticker and peer; windows are ranked only where both sides are complete.
+    Pairs are dealt by sector, ticker and peer and ranked by running sums; no window is gathered for a pair.
     """
     g = sector_grid(panel)
     mine = g.select("grp", "date", "tic", F.col("close").alias("y"), F.col("r").alias("ry"))
@@ -55,7 +55,6 @@ def chosen_peers(panel: DataFrame, window: int = 252, least: int = 10) -> DataFr
             "c": F.abs(F.corr(F.when(joint, F.col("ry")), F.when(joint, F.col("rx"))).over(w)),
             "pair_beta": F.regr_slope("y", "x").over(w), "my": F.avg("y").over(w), "mx": F.avg("x").over(w),
             "vy": F.var_pop("y").over(w), "vx": F.var_pop("x").over(w), "cxy": F.covar_pop("y", "x").over(w),
-            "ys": F.collect_list("y").over(w), "xs": F.collect_list("x").over(w),
         }
     ).where((F.col("ny") == window) & (F.col("nx") == window) & (F.col("n") >= least) & F.col("c").isNotNull() & ~F.isnan("c"))
     first = F.row_number().over(W.partitionBy("grp", "tic", "date").orderBy(F.desc("c"), "peer"))
@@ -71,20 +70,29 @@ def spreads(panel: DataFrame, window: int = 252, norm: int = 60) -> DataFrame:
     spread = F.sqrt(F.greatest(F.col("vy") - beta * F.col("cxy") * 2 + beta * beta * F.col("vx"), F.lit(0.0)))
     p = p.withColumn("rolling_std_spread", F.nullif(spread, F.lit(0.0)))
     p = p.withColumn("spread_zscore", td(F.col("spread") - F.col("rolling_mean_spread"), F.col("rolling_std_spread")))
-    keep = ["grp", "tic", "date", "peer", "pair_beta", "spread", "rolling_mean_spread", "rolling_std_spread", "spread_zscore", "ys", "xs"]
+    keep = ["grp", "tic", "date", "peer", "pair_beta", "spread", "rolling_mean_spread", "rolling_std_spread", "spread_zscore"]
     calendar = panel.select("grp", "date").distinct().join(panel.select("grp", "tic").distinct(), "grp")
     out = calendar.join(p.select(*keep), ["grp", "tic", "date"], "left")
     return out.withColumn("spread_norm", zscore("spread", norm)).where("peer IS NOT NULL").drop("grp")
 
 
+def spread_windows(panel: DataFrame, chosen: DataFrame, window: int = 252) -> DataFrame:
+    """``chosen`` (tic, date, peer, ...) with the closes of both over the window: ys, xs.  Windows are gathered
+    once for each ticker and day, for the chosen peers only."""
+    w = trailing(window, W.partitionBy("grp", "tic").orderBy("date"))
+    held = sector_grid(panel).withColumn("v", F.collect_list("close").over(w)).where(F.size("v") == window).select("tic", "date", "v")
+    peers = held.select(F.col("tic").alias("peer"), "date", F.col("v").alias("xs"))
+    return chosen.join(held.withColumnRenamed("v", "ys"), ["tic", "date"]).join(peers, ["peer", "date"])
+
+
 def _adf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([adf(np.asarray(v, dtype=np.float64)) for v in values], columns=["stat", "p"], dtype="float64")
 
 
-def spread_adf(with_spreads: DataFrame) -> DataFrame:
-    """Unit-root statistic and p-value of each window's spread under its beta."""
+def spread_adf(panel: DataFrame, chosen: DataFrame, window: int = 252) -> DataFrame:
+    """``chosen`` (of ``spreads``) with the unit-root statistic and p-value of each window's spread under its beta."""
     series = F.expr("zip_with(ys, xs, (y, x) -> y - pair_beta * x)")
-    out = with_spreads.withColumn("__t", F.pandas_udf(_adf, "struct<stat:double,p:double>")(series))
+    out = spread_windows(panel, chosen, window).withColumn("__t", F.pandas_udf(_adf, "struct<stat:double,p:double>")(series))
     return out.withColumns({"spread_adf_stat": nn("__t.stat"), "spread_adf_pvalue": nn("__t.p")}).drop("__t", "ys", "xs")
 
 

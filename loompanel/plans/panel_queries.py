@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loompanel.functions.columns import P as PANEL
 from loompanel.functions.columns import rounded, row_mean
 from loompanel.operators import analyse as A
 from loompanel.operators import evaluate as E
@@ -17,7 +18,7 @@ from loompanel.operators import sector as C
 from loompanel.operators import trendlines as L
 from loompanel.plans.adapters import cte, table, view
 from loompanel.plans.pipelines import Settings, add_all_features, preprocess
-from loompanel.plans.registry import OVER, lag_, over, query, r6, roll
+from loompanel.plans.registry import ORACLES, OVER, QUERIES, lag_, over, query, r6, roll
 from loompanel.sources import ingest as I
 from loompanel.sources import sinks as K
 
@@ -62,14 +63,13 @@ q("a01_a03_standardise_union", f"WITH {cte('bars')} SELECT tic, date, {r6({c: c
 q("a04_mean_series", f"WITH {cte('bars')} SELECT tic, date, {r6({'m': '(open + high + low + close) / 4'})} FROM bars", lambda s, d: bars(s, d).select("tic", "date", row_mean("open", "high", "low", "close").alias("m")))
 q("a05_yield_mean", f"WITH {cte('yields')} SELECT date, {r6({'bondyield': '(y2 + y10 + y30) / 3'})} FROM yields", lambda s, d: I.mean_series(view(s, d, "yields"), "bondyield", ("y2", "y10", "y30")))
 q("a06_merge_series", f"WITH {cte('vix', 'yields')} SELECT coalesce(v.date, y.date) AS date, {r6({'vix': 'vix', 'y2': 'y2'})} FROM vix v FULL JOIN yields y ON v.date = y.date", lambda s, d: I.merge_series([view(s, d, "vix"), view(s, d, "yields").select("date", "y2")]))
-TYPES = ("ECONOMY", "STANDARD", "PROMO")
-
-
-def commodity_names(s, d):
-    return [r.name for r in view(s, d, "commodity").select("name").distinct().orderBy("name").limit(6).collect()]
-
-
-q("a06_pivot_series", f"WITH {cte('commodity')}, top AS (SELECT DISTINCT name FROM commodity ORDER BY name LIMIT 6), t AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM top) SELECT date, " + ", ".join(f"round(max(CASE WHEN i = {i} THEN price END) + 0.00000031, 6) AS c{i}" for i in range(1, 7)) + " FROM commodity JOIN t USING (name) GROUP BY date", lambda s, d: (lambda names: I.pivot_series(view(s, d, "commodity").where(F.col("name").isin(names)), names).select("date", *(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names, 1))))(commodity_names(s, d)))
+#: All part types of the adapter's commodity panel.
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+q(
+    "a06_pivot_series",
+    f"WITH {cte('commodity')} SELECT date, {r6({t.lower(): f'max(CASE WHEN name = $${t}$$ THEN price END)' for t in TYPES})} FROM commodity GROUP BY date",
+    lambda s, d: I.pivot_series(view(s, d, "commodity"), list(TYPES)).select("date", *(F.col(t).alias(t.lower()) for t in TYPES)),
+)
 
 
 def documents_of_tickers(s, d):
@@ -91,7 +91,11 @@ ASOF = ", ".join(f"(SELECT max_by(r.{k}, r.date) FROM rat r WHERE r.tic = b.tic
 FB = "fb AS (SELECT tic, date, min(date) OVER (PARTITION BY tic) AS f FROM bars)"
 q("j04_as_of", f"WITH {cte('bars', 'statements')}, {RAT}, {FB}, o AS (SELECT tic, date, {ASOF} FROM fb b) SELECT tic, date, {r6({k: k for k in RATIO})} FROM o", lambda s, d: J.as_of(bars(s, d), J.ratios(view(s, d, "statements")), list(RATIO)))
 q("j05_interpolate", f"WITH {cte('bars', 'statements')}, {RAT}, {FB}, k AS (SELECT r.tic, r.date, r.roi FROM rat r JOIN (SELECT DISTINCT tic, f FROM fb) x ON r.tic = x.tic AND r.date >= x.f WHERE roi IS NOT NULL), o AS (SELECT b.tic, b.date, p.date AS da, p.roi AS a, n.date AS db, n.roi AS b FROM fb b ASOF LEFT JOIN k p ON b.tic = p.tic AND b.date >= p.date ASOF LEFT JOIN k n ON b.tic = n.tic AND b.date < n.date) SELECT tic, date, {r6({'roi': 'CASE WHEN b IS NULL OR a IS NULL THEN a ELSE a + (b - a) * (date - da) / CAST(db - da AS DOUBLE) END'})} FROM o", lambda s, d: J.interpolate(bars(s, d), J.ratios(view(s, d, "statements")).select("tic", "date", "roi"), ["roi"]))
-q("f55_daily_fundamentals", f"WITH {cte('bars', 'statements', 'highlights')}, {RAT}, {FB}, o AS (SELECT tic, date, (SELECT max_by(r.roi, r.date) FROM rat r WHERE r.tic = b.tic AND r.date >= b.f AND r.date <= b.date AND r.roi IS NOT NULL) AS roi FROM fb b) SELECT o.tic, o.date, {r6({'roi': 'roi', 'dividend_yield': 'dividend_yield'})} FROM o LEFT JOIN highlights h ON o.tic = h.tic", lambda s, d: J.daily_fundamentals(bars(s, d), J.ratios(view(s, d, "statements")).select("tic", "date", "roi"), view(s, d, "highlights").select("tic", "dividend_yield")))
+q(
+    "f55_daily_fundamentals",
+    f"WITH {cte('bars', 'statements', 'highlights')}, {RAT}, {FB}, o AS (SELECT tic, date, {ASOF} FROM fb b) SELECT o.tic, o.date, {r6({k: k for k in (*RATIO, 'market_cap', 'dividend_yield')})} FROM o LEFT JOIN highlights h ON o.tic = h.tic",
+    lambda s, d: J.daily_fundamentals(bars(s, d), J.ratios(view(s, d, "statements")), view(s, d, "highlights").select("tic", "market_cap", "dividend_yield")),
+)
 q("f56_inference_defaults", f"WITH {cte('statements')}, {RAT} SELECT tic, date, {r6({k: k for k in RATIO} | {'pe_ratio': '0.0', 'peg_ratio': '0.0', 'eps': '0.0'})}, CAST(2 AS TINYINT) AS dividend_flag FROM rat", lambda s, d: J.inference_defaults(J.ratios(view(s, d, "statements"))))
 q("j01_macro_merge", f"WITH {cte('bars', 'vix', 'yields')} SELECT tic, b.date, {r6({'close': 'close', 'vix': 'vix', 'y2': 'y2'})} FROM bars b LEFT JOIN vix v ON b.date = v.date LEFT JOIN yields y ON b.date = y.date", lambda s, d: J.merge_macro(bars(s, d), view(s, d, "vix"), None, view(s, d, "yields")).select("tic", "date", "close", "vix", "y2"))
 q("j06_date_grid", f"WITH {cte('bars')} SELECT tic, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM bars GROUP BY tic", lambda s, d: J.date_grid(bars(s, d)))
@@ -117,7 +121,7 @@ pp AS (SELECT a.grp, a.date, a.tic, b.tic AS peer, a.close AS y, b.close AS x, C
 pw AS (SELECT grp, date, tic, peer, y, x, count(y) {_po} AS ny, count(x) {_po} AS nx, count(ry) {_po} AS n, abs(corr(ry, rx) {_po}) AS c, regr_slope(y, x) {_po} AS beta, avg(y) {_po} AS my, avg(x) {_po} AS mx, var_pop(y) {_po} AS vy, var_pop(x) {_po} AS vx, covar_pop(y, x) {_po} AS cxy FROM pp),
 pk AS (SELECT *, row_number() OVER (PARTITION BY grp, tic, date ORDER BY c DESC, peer) AS rk FROM pw WHERE ny = {PW} AND nx = {PW} AND n >= 10 AND c IS NOT NULL AND NOT isnan(c))"""
 q("f46_f47_pairs", f"WITH {cte('bars')}, {PAIR}, o AS (SELECT *, y - beta * x AS s, my - beta * mx AS m, sqrt(greatest(vy - 2 * beta * cxy + beta * beta * vx, 0)) AS sd FROM pk WHERE rk = 1 AND vx > 0) SELECT tic, date, peer, {r6({'pair_beta': 'beta', 'spread': 's', 'rolling_mean_spread': 'm', 'rolling_std_spread': 'nullif(sd, 0)', 'spread_zscore': '(s - m) / nullif(sd, 0)'}, 4)} FROM o", lambda s, d: C.spreads(bars(s, d), PW).select("tic", "date", "peer", "pair_beta", "spread", "rolling_mean_spread", "rolling_std_spread", "spread_zscore"), 4)
-q("f48_f49_spread_adf", None, lambda s, d: C.spread_adf(C.spreads(bars(s, d), PW, 20)).select("tic", "date", "spread_norm", "spread_adf_stat", "spread_adf_pvalue"))
+q("f48_f49_spread_adf", None, lambda s, d: C.spread_adf(bars(s, d), C.spreads(bars(s, d), PW, 20), PW).select("tic", "date", "spread_norm", "spread_adf_stat", "spread_adf_pvalue"))
 q("f50_f52_equilibrium", None, lambda s, d: C.equilibrium(bars(s, d), 30, 20))
 q("f15_f16_trendlines", None, lambda s, d: L.trendlines(bars(s, d).select("tic", "date", "high", "low", "close")).drop("high", "low", "close"))
 
@@ -155,9 +159,9 @@ q("n10_inverse", f"WITH {cte('bars')}, p AS (SELECT close AS y, (close - 500) /
 
 # ---- sampling -------------------------------------------------------------------------------------
 q("b04_balanced", f"WITH {cte('highlights')}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY market_cap DESC NULLS LAST, tic) AS k FROM highlights), s AS (SELECT * FROM r WHERE k <= 12 // (SELECT count(DISTINCT grp) FROM highlights)), x AS (SELECT * FROM r WHERE tic NOT IN (SELECT tic FROM s) ORDER BY market_cap DESC NULLS LAST, tic LIMIT 12 - (SELECT count(*) FROM s)) SELECT tic, grp FROM s UNION ALL SELECT tic, grp FROM x", lambda s, d: G.balanced(view(s, d, "highlights"), 12).select("tic", "grp"))
-q("b05_balanced_random", None, lambda s, d: G.balanced(view(s, d, "highlights"), 12, seed=3).select("tic", "grp"))
+q("b05_balanced_random", f"WITH {cte('highlights')}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('3|' || tic), tic) AS k FROM highlights), s AS (SELECT * FROM r WHERE k <= 12 // (SELECT count(DISTINCT grp) FROM highlights)), x AS (SELECT * FROM r WHERE tic NOT IN (SELECT tic FROM s) ORDER BY md5('3|' || tic), tic LIMIT 12 - (SELECT count(*) FROM s)) SELECT tic, grp FROM s UNION ALL SELECT tic, grp FROM x", lambda s, d: G.balanced(view(s, d, "highlights"), 12, seed=3).select("tic", "grp"))
 q("b06_sample_stats", f"WITH {cte('highlights')} SELECT grp, count(DISTINCT tic) AS tickers FROM highlights GROUP BY grp", lambda s, d: G.sample_stats(view(s, d, "highlights")))
-q("b07_tuning_subset", f"WITH {cte('bars', 'highlights')}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY market_cap DESC NULLS LAST, tic) AS k FROM highlights) SELECT b.tic, b.date FROM bars b JOIN r ON b.tic = r.tic AND k <= 2 WHERE b.date >= (SELECT max(date) FROM bars x JOIN r USING (tic) WHERE k <= 2) - 365", lambda s, d: P.trailing_years(bars(s, d).join(F.broadcast(G.balanced(view(s, d, "highlights"), 10).select("tic")), "tic", "left_semi"), 1).select("tic", "date"))
+q("b07_tuning_subset", f"WITH {cte('bars', 'highlights')}, r AS (SELECT tic, row_number() OVER (PARTITION BY grp ORDER BY market_cap DESC NULLS LAST, tic) AS k FROM highlights), c AS MATERIALIZED (SELECT tic, date, max(date) OVER () AS top FROM bars JOIN r USING (tic) WHERE k <= 2) SELECT tic, date FROM c WHERE date >= top - 365", lambda s, d: P.trailing_years(bars(s, d).join(J.small(G.balanced(view(s, d, "highlights"), 10).select("tic")), "tic", "left_semi"), 1).select("tic", "date"))
 
 # ---- samples --------------------------------------------------------------------------------------
 LEN, HOR = 10, 5
@@ -169,22 +173,79 @@ def panel(s, d):
 
 _wo = over(LEN)
 WIN = f"wn AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(target, {HOR}) {OVER} AS y, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM tg)"
-_flat = lambda x: x.select("tic", "date", "start", F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), "target")
+_flat = lambda x, few=True: x.select("tic", "date", "start", *([] if few else [c for c in x.columns if c not in ("tic", "date", "start", "target")]), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), "target")
 WSQL = "CAST(st AS INTEGER) AS start, round(list_sum(list_transform(cs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS csum, CAST(len(cs) AS INTEGER) AS n"
 query("s01_training_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {WSQL}, CAST(y AS FLOAT) AS target FROM wn WHERE cn = {LEN} AND y IS NOT NULL")(lambda s, d: _flat(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)))
 query("s02_window_index", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, CAST(st AS INTEGER) AS start, CAST(st + {LEN + HOR - 1} AS INTEGER) AS target_idx FROM wn WHERE cn = {LEN} AND y IS NOT NULL AND st % 3 = 0")(lambda s, d: S.window_index(panel(s, d), ["close", "volume"], LEN, HOR, 3))
 query("s04_inference_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {WSQL} FROM wn WHERE cn = {LEN}")(lambda s, d: _flat(S.inference_windows(panel(s, d), ["close", "volume"], LEN).withColumn("target", F.lit(0.0))).drop("target"))
-q("s05_trend_samples", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {r6({f'p{i}': f'cs[10] + {i} * (cs[10] - cs[6]) / 4' for i in range(3)}, 4)} FROM wn WHERE cn = {LEN} AND y IS NOT NULL", lambda s, d: S.trend_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", *(F.col("future_path")[i].alias(f"p{i}") for i in range(3))), 4)
-RICH = f"rc AS (SELECT *, lead(close, 1) {OVER} AS c1, lead(close, 2) {OVER} AS c2, lead(close, 3) {OVER} AS c3, lead(close, 4) {OVER} AS c4, lead(close, 5) {OVER} AS c5 FROM wn), rv AS (SELECT tic, date, close, c1, c5, sqrt(list_var_pop([(c1 - close) / close, (c2 - c1) / close, (c3 - c2) / close, (c4 - c3) / close, (c5 - c4) / close])) AS vol FROM rc WHERE cn = {LEN} AND y IS NOT NULL AND c5 IS NOT NULL AND abs(close) >= 1e-8)"
-q("s06_rich_samples", f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {r6({'r1': '(c1 / close - 1) * 100', 'r5': '(c5 / close - 1) * 100', 'volatility': 'vol'}, 5)} FROM rv", lambda s, d: S.rich_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", F.col("return_path")[0].alias("r1"), F.col("return_path")[4].alias("r5"), "volatility"), 5)
+q("s05_trend_samples", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {r6({f'p{i}': f'cs[10] + {i} * (cs[10] - cs[6]) / 4' for i in range(HOR)}, 4)}, CAST(y AS FLOAT) AS target, CAST({HOR} AS BIGINT) AS steps FROM wn WHERE cn = {LEN} AND y IS NOT NULL", lambda s, d: S.trend_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", *(F.col("future_path")[i].alias(f"p{i}") for i in range(HOR)), "target", F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("steps")), 4)
+RICH = f"rc AS (SELECT *, {', '.join(f'lead(close, {k}) {OVER} AS c{k}' for k in range(1, HOR + 1))}, list([open, high, low, close, volume]) OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {HOR} FOLLOWING) AS blk FROM wn), rv AS (SELECT *, sqrt(list_var_pop([(c1 - close) / close, (c2 - c1) / close, (c3 - c2) / close, (c4 - c3) / close, (c5 - c4) / close])) AS vol FROM rc WHERE cn = {LEN} AND y IS NOT NULL AND c5 IS NOT NULL AND abs(close) >= 1e-8)"
+_BLOCK = ("open", "high", "low", "close", "volume")
+q(
+    "s06_rich_samples",
+    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {WSQL}, CAST(y AS FLOAT) AS target, "
+    + r6({f"c{i}": f"c{i}" for i in range(1, HOR + 1)} | {f"r{i}": f"(c{i} / close - 1) * 100" for i in range(1, HOR + 1)} | {"volatility": "vol"}, 5)
+    + ", " + r6({f"{c}{i}": f"blk[{i}][{j}]" for i in range(1, HOR + 1) for j, c in enumerate(_BLOCK, 1) if c != "close"}, 5) + " FROM rv",
+    lambda s, d: _flat(S.rich_samples(panel(s, d), ["close", "volume"], LEN, HOR), False).select(
+        "tic", "date", "start", "csum", "n", "target",
+        *(F.col("close_path")[i].alias(f"c{i + 1}") for i in range(HOR)), *(F.col("return_path")[i].alias(f"r{i + 1}") for i in range(HOR)), "volatility",
+        *(F.col("future_ohlcv")[i][j].alias(f"{c}{i + 1}") for i in range(HOR) for j, c in enumerate(_BLOCK) if c != "close"),
+    ),
+    5,
+)
 q("s07_volatility_regime", f"WITH {cte('bars')}, {DATES}, {SPL}, {TGT}, {WIN}, {RICH}, vv AS (SELECT tic, rv.date, round(vol + 0.0000031, 5) AS vol, split FROM rv JOIN sp USING (date)), cu AS (SELECT split, quantile_cont(vol, 1.0/3) AS a, quantile_cont(vol, 2.0/3) AS b FROM vv GROUP BY split) SELECT tic, date, CAST(CASE WHEN vol <= a THEN 0 WHEN vol >= b THEN 2 ELSE 1 END AS INTEGER) AS regime_label FROM vv JOIN cu USING (split)", lambda s, d: S.volatility_regime(S.rich_samples(panel(s, d), ["close"], LEN, HOR).withColumn("volatility", F.round(F.col("volatility") + 0.0000031, 5)).join(P.date_split(bars(s, d)).select("tic", "date", "split"), ["tic", "date"])).select("tic", "date", "regime_label"))
-query("s08_tuning_windows", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(close) {OVER} AS y, lead(date) {OVER} AS yd FROM bars) SELECT tic, CAST(st AS INTEGER) AS start, yd AS date, CAST(y AS FLOAT) AS target FROM w WHERE cn = {LEN} AND y IS NOT NULL")(lambda s, d: S.tuning_windows(bars(s, d), ["close", "volume"], LEN).drop("features"))
+query("s08_tuning_windows", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(close) {OVER} AS y, lead(date) {OVER} AS yd, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM bars) SELECT tic, {WSQL}, round(list_sum(list_transform(vs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS vsum, yd AS date, CAST(y AS FLOAT) AS target FROM w WHERE cn = {LEN} AND y IS NOT NULL")(
+    lambda s, d: (lambda x: x.select("tic", "start", F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[1].cast("double")), 1).alias("vsum"), "date", "target"))(S.tuning_windows(bars(s, d), ["close", "volume"], LEN))
+)
 q("s09_metadata", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, first_value(date) {_wo} AS x0, lead(date, 1) {OVER} AS y0, lead(close, {HOR}) {OVER} AS fc FROM bars) SELECT tic, date, x0, y0, {r6({'last_close': 'close', 'future_close': 'fc', 'realised': '(fc / close - 1) * 100'}, 5)} FROM w WHERE cn = {LEN} AND fc IS NOT NULL", lambda s, d: S.sample_metadata(bars(s, d), LEN, HOR).select("tic", "date", F.col("x_dates")[0].alias("x0"), F.col("y_dates")[0].alias("y0"), "last_close", "future_close", "realised"), 5)
 query("s10_head", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, CAST(st AS INTEGER) AS start FROM wn WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 25")(lambda s, d: S.head(S.window_index(panel(s, d), ["close"], LEN, HOR), 25).select("tic", "start"))
-q("s12_flatten", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS FLOAT) AS e_t{i}" for i in range(8)) + " FROM embeddings", lambda s, d: S.flatten(table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e")), "e", [8]))
-q("s13_softmax", f"SELECT vec_id, {r6({'p0': 'exp(CAST(embedding[1] AS DOUBLE)) / (exp(CAST(embedding[1] AS DOUBLE)) + exp(CAST(embedding[2] AS DOUBLE)) + exp(CAST(embedding[3] AS DOUBLE)))'})} FROM embeddings", lambda s, d: table(s, d, "embeddings").select("vec_id", S.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))[0].alias("p0")))
-q("n12_window_zscore", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, avg(CAST(CAST(close AS FLOAT) AS DOUBLE)) {_wo} AS m, stddev_pop(CAST(CAST(close AS FLOAT) AS DOUBLE)) {_wo} AS sd FROM bars) SELECT tic, date, {r6({'last_z': 'greatest(-5, least(5, (CAST(CAST(close AS FLOAT) AS DOUBLE) - m) / (sd + 1e-5)))'}, 5)} FROM w WHERE cn = {LEN}", lambda s, d: S.inference_windows(bars(s, d), ["close"], LEN).select("tic", "date", F.element_at(S.normalise_window(F.col("features"), 0), -1).alias("last_z")), 5)
-q("f02_stamps", "SELECT user_id, CAST(sum(minute(ts)) AS BIGINT) AS m, CAST(sum(hour(ts)) AS BIGINT) AS h, CAST(sum(isodow(ts) - 1) AS BIGINT) AS w FROM events GROUP BY user_id", lambda s, d: X.stamps(table(s, d, "events").groupBy("user_id").agg(F.collect_list("ts").alias("t")), "t").select("user_id", *(F.aggregate(f"t_{n}", F.lit(0).cast("bigint"), lambda a, v: a + v).alias(k) for n, k in (("minute", "m"), ("hour", "h"), ("weekday", "w")))))
+DIM = 64
+q("s12_flatten", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS FLOAT) AS e_t{i}" for i in range(DIM)) + " FROM embeddings", lambda s, d: S.flatten(table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("e")), "e", [DIM]))
+q(
+    "s12_flatten_named",
+    f"SELECT vec_id, {r6({f'm_f{j}_t{i}': f'CAST(embedding[{8 * i + j + 1}] AS DOUBLE)' for i in range(8) for j in range(8)}, 9)} FROM embeddings",
+    lambda s, d: S.flatten(grid(s, d), "m", [8, 8], [f"f{j}" for j in range(8)]),
+    9,
+)
+q(
+    "s13_softmax",
+    f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings) SELECT vec_id, {r6({f'p{i}': f'e[{i + 1}] / list_sum(e)' for i in range(DIM)}, 8)} FROM v",
+    lambda s, d: table(s, d, "embeddings").select("vec_id", S.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p")).select("vec_id", *(F.col("p")[i].alias(f"p{i}") for i in range(DIM))),
+    8,
+)
+_z = "CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+q(
+    "n12_window_zscore",
+    f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, list({_z.format(x='close')}) {_wo} AS cs, avg({_z.format(x='close')}) {_wo} AS m, stddev_pop({_z.format(x='close')}) {_wo} AS sd FROM bars) SELECT tic, date, "
+    + r6({f"z{i}": f"greatest(-5, least(5, (cs[{i + 1}] - m) / (sd + 1e-5)))" for i in range(LEN)}, 5)
+    + ", " + r6({"first_back": "cs[1]"}, 5) + f" FROM w WHERE cn = {LEN}",
+    lambda s, d: normalised_windows(s, d),
+    5,
+)
+
+
+def normalised_windows(s, d):
+    """The z-scores of each window, and its first value restored from them."""
+    x = F.transform("features", lambda r: r[0].cast("double"))
+    w = S.inference_windows(bars(s, d), ["close"], LEN).select("tic", "date", S.normalise_window(F.col("features"), 0, 1e9).alias("free"), S.normalise_window(F.col("features"), 0).alias("z"), (F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / LEN).alias("mean"), S.array_std(x).alias("sd"))
+    return w.select("tic", "date", *(F.col("z")[i].alias(f"z{i}") for i in range(LEN)), S.denormalise_window(F.col("free"), F.col("mean"), F.col("sd"))[0].alias("first_back"))
+
+
+STAMPS = {"minute": "minute(ts)", "hour": "hour(ts)", "weekday": "isodow(ts) - 1", "day": "day(ts)", "month": "month(ts)"}
+q(
+    "f02_stamps",
+    "SELECT user_id, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in STAMPS.items()) + ", count(*) AS n FROM events GROUP BY user_id",
+    lambda s, d: stamp_sums(table(s, d, "events")),
+)
+
+
+def stamp_sums(events: DataFrame) -> DataFrame:
+    """Sums of the stamps of each user, from arrays of one user and day at most."""
+    arrays = X.stamps(events.groupBy("user_id", F.to_date("ts").alias("on")).agg(F.collect_list("ts").alias("t")), "t")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return arrays.groupBy("user_id").agg(*(F.sum(add(f"t_{n}")).alias(n) for n in STAMPS), F.sum(F.size("t").cast("bigint")).alias("n"))
+
+
 q("v11_embedding_sizes", f"WITH {cte('bars')}, ids AS (SELECT count(DISTINCT tic) AS n FROM bars) SELECT 'tic_id' AS \"column\", CAST(n AS BIGINT) AS size FROM ids UNION ALL SELECT 'day', 32", lambda s, d: S.embedding_sizes(X.calendar(P.encode(bars(s, d), P.label_ids(bars(s, d), "tic"), "tic", "tic_id")), ["tic_id", "day"]))
 
 # ---- evaluation -----------------------------------------------------------------------------------
@@ -192,12 +253,34 @@ q("g02_g03_sectors", pred_sql(f"grp, count(*) AS total, CAST(sum({HIT}) AS BIGIN
 q("m03_regression", pred_sql(f"grp, count(*) AS n, {r6({'mse': 'avg(pow(prediction - target, 2))', 'rmse': 'sqrt(avg(pow(prediction - target, 2)))', 'mae': 'avg(abs(prediction - target))', 'r2': '1 - avg(pow(prediction - target, 2)) / var_pop(target)', 'mape': 'CASE WHEN count(*) FILTER (WHERE target = 0 AND prediction <> 0) = 0 THEN avg(abs((prediction - target) / nullif(target, 0))) * 100 END', 'directional_accuracy': f'avg({HIT})'}, 3)}, count(*) FILTER (WHERE target = 0) AS n_zero_targets", "FROM pred GROUP BY grp"), lambda s, d: E.regression(predictions(s, d), "grp"), 3)
 ACC = "ac AS (SELECT *, CASE WHEN prediction > 0 THEN 1.0::DOUBLE WHEN prediction < 0 THEN -1.0 ELSE 0.0 END AS ps FROM pred), tu AS (SELECT *, abs(ps - coalesce(lag(ps) OVER (ORDER BY tic, date), 0)) AS tv, ps * target AS gr FROM ac), nr AS (SELECT *, tv * 0.001 * 100 AS co, gr - tv * 0.001 * 100 AS net FROM tu)"
 q("m04_m06_positions", pred_sql(f"tic, date, {r6({'position': 'ps', 'turnover': 'tv', 'gross_return': 'gr', 'cost': 'co', 'net_return': 'net'})}", "FROM nr", ACC), lambda s, d: E.positions(predictions(s, d)).select("tic", "date", "position", "turnover", "gross_return", "cost", "net_return"))
-EQ = "eq AS (SELECT *, sum(ln(1 + net / 100000000)) OVER (ORDER BY tic, date ROWS UNBOUNDED PRECEDING) AS lg FROM nr), pk AS (SELECT *, max(lg) OVER (ORDER BY tic, date ROWS UNBOUNDED PRECEDING) AS mx FROM eq)"
-_eq = lambda s, d: E.equity(E.positions(predictions(s, d)).withColumn("net_return", F.col("net_return") / 1_000_000))
-q("m07_m10_equity", pred_sql(f"tic, date, {r6({'equity': 'exp(lg)', 'drawdown': 'exp(lg - mx) - 1'}, 5)}", "FROM pk", ACC, EQ), lambda s, d: _eq(s, d).select("tic", "date", "equity", "drawdown"), 5)
+EQ = "eq AS (SELECT *, sum(ln(1 + net / 100)) OVER (ORDER BY tic, date ROWS UNBOUNDED PRECEDING) AS lg FROM nr), pk AS (SELECT *, max(lg) OVER (ORDER BY tic, date ROWS UNBOUNDED PRECEDING) AS mx FROM eq)"
+CALM = f"WITH {cte('calm')}, pred AS (SELECT tic, grp, date, round((q - r) / r * 100 + 0.00000031, 6) AS prediction, round((f - close) / close * 100 + 0.00000031, 6) AS target FROM (SELECT *, lag(close, 7) {OVER} AS q, lag(close, 8) {OVER} AS r, lead(close) {OVER} AS f FROM calm) WHERE f IS NOT NULL AND r IS NOT NULL), {ACC}, {EQ}"
+
+
+def calm_predictions(s, d):
+    """A panel of small monthly returns; the prediction is the return of seven months ago."""
+    df = P.target(view(s, d, "calm"), 1)
+    back = lambda n: F.lag("close", n).over(PANEL())
+    old = F.round((back(7) - back(8)) / back(8) * 100 + 0.00000031, 6)
+    return df.select("tic", "grp", "date", old.alias("prediction"), F.round(F.col("target") + 0.00000031, 6).alias("target")).where("prediction IS NOT NULL")
+
+
+q(
+    "m07_m10_equity",
+    f"{CALM} SELECT tic, date, {r6({'equity': 'exp(lg)', 'drawdown': 'exp(lg - mx) - 1'}, 5)} FROM pk",
+    lambda s, d: E.equity(E.positions(calm_predictions(s, d))).select("tic", "date", "equity", "drawdown"),
+    5,
+)
+_TRADES = {"win_rate": "avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)", "avg_win": "avg(net) FILTER (WHERE net > 0)", "avg_loss": "avg(net) FILTER (WHERE NOT net > 0)", "profit_factor": "(sum(net) FILTER (WHERE net > 0)) / abs(sum(net) FILTER (WHERE NOT net > 0))", "total_turnover": "sum(tv)", "total_cost": "sum(co)", "total_return": "sum(net)"}
+_RISK = {"sharpe": "avg(net) / stddev_pop(net) * sqrt(252)", "sortino": "avg(net) / stddev_pop(CASE WHEN net < 0 THEN net END) * sqrt(252)", "final_equity": "arg_max(exp(lg), (tic, date))", "max_drawdown": "min(exp(lg - mx) - 1)"}
+q(
+    "m12_backtest",
+    f"{CALM} SELECT count(*) AS trades, {r6(_TRADES | _RISK, 4)}, count(*) FILTER (WHERE tv > 0) AS position_changes FROM pk",
+    lambda s, d: E.backtest(calm_predictions(s, d)),
+    4,
+)
 q("m08_m09_risk", pred_sql(r6({"sharpe": "avg(net) / stddev_pop(net) * sqrt(252)", "sortino": "avg(net) / stddev_pop(CASE WHEN net < 0 THEN net END) * sqrt(252)"}), "FROM nr", ACC), lambda s, d: E.positions(predictions(s, d)).agg(E.sharpe(F.col("net_return")).alias("sharpe"), E.sortino(F.col("net_return")).alias("sortino")))
 q("m11_m14_trades", pred_sql(f"count(*) AS trades, {r6({'win_rate': 'avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)', 'avg_win': 'avg(net) FILTER (WHERE net > 0)', 'avg_loss': 'avg(net) FILTER (WHERE NOT net > 0)', 'profit_factor': '(sum(net) FILTER (WHERE net > 0)) / abs(sum(net) FILTER (WHERE NOT net > 0))', 'total_turnover': 'sum(tv)', 'total_cost': 'sum(co)', 'total_return': 'sum(net)'}, 3)}, count(*) FILTER (WHERE tv > 0) AS position_changes", "FROM nr", ACC), lambda s, d: E.trade_stats(E.positions(predictions(s, d))), 3)
-q("m12_backtest", pred_sql(f"count(*) AS trades, {r6({'sharpe': 'avg(net) / stddev_pop(net) * sqrt(252)', 'final_equity': 'exp(sum(ln(1 + net / 100000000)))'}, 4)}, (SELECT round(min(exp(lg - mx) - 1) + 0.000031, 4) FROM pk) AS max_drawdown", "FROM nr", ACC, EQ), lambda s, d: E.positions(predictions(s, d)).agg(F.count(F.lit(1)).alias("trades"), E.sharpe(F.col("net_return")).alias("sharpe")).join(F.broadcast(_eq(s, d).agg(F.max_by("equity", F.struct("tic", "date")).alias("final_equity"), F.min("drawdown").alias("max_drawdown")))), 4)
 q("m13_g04_report", pred_sql(f"tic, grp, date, {r6({'target': 'target', 'prediction': 'prediction', 'distance': 'abs(prediction - target)', 'std_real': 'stddev_samp(target) OVER (PARTITION BY tic)', 'std_predicted': 'stddev_samp(prediction) OVER (PARTITION BY tic)'})}, {HIT} AS direction_score"), lambda s, d: E.report(predictions(s, d)))
 MEM = f"mb AS (SELECT tic, date, 'a' AS member, prediction AS p FROM pred UNION ALL SELECT tic, date, 'b', prediction / 2 FROM pred WHERE prediction > 0)"
 
@@ -215,7 +298,19 @@ _e = "(target - prediction)"
 _wr = "0.5 * avg(greatest(-prediction * sign(target), 0))"
 q("m19_m21_losses", pred_sql(r6({"directional_mse": f"avg({_e} * {_e}) + {_wr}", "directional_huber": f"avg(CASE WHEN abs({_e}) <= 1 THEN 0.5 * {_e} * {_e} ELSE abs({_e}) - 0.5 END) + {_wr}", "pinball": f"avg(greatest(0.9 * {_e}, -0.1 * {_e}))", "soft_sharpe": "-avg(tanh(prediction) * target) / (stddev_pop(tanh(prediction) * target) + 1e-8)"}, 2)), lambda s, d: E.losses(predictions(s, d)), 2)
 q("m22_cost_adjusted", pred_sql(r6({"cost_adjusted": "avg(pow(prediction - target, 2)) + avg(tv * 0.001) - avg(th * target - tv * 0.001)"}, 2), "FROM t2", "t1 AS (SELECT *, tanh(prediction) AS th FROM pred)", f"t2 AS (SELECT *, abs(th - coalesce(lag(th) {OVER}, th)) AS tv FROM t1)"), lambda s, d: E.cost_adjusted_loss(predictions(s, d)), 2)
-q("m23_rich_loss", f"WITH v AS (SELECT list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings) SELECT {r6({'rich_loss': 'avg(pow(a[1] - b[1], 2)) + 2 * avg(list_sum(list_transform(list_zip(a, b), lambda z: pow(z[1] - z[2], 2))) / 8) + avg(ln(exp(a[1]) + exp(a[2]) + exp(a[3])) - a[1])'}, 5)} FROM v", lambda s, d: (lambda v: E.rich_loss(v.select(F.col("a")[0].alias("prediction"), F.col("b")[0].alias("target"), F.col("a").alias("path_hat"), F.col("b").alias("path"), F.col("a").alias("block_hat"), F.col("b").alias("block"), F.slice("a", 1, 3).alias("logits"), F.lit(0).alias("label"))))(table(s, d, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("a"), F.transform(F.slice("embedding", 9, 8), lambda x: x.cast("double")).alias("b"))), 5)
+q(
+    "m23_rich_loss",
+    f"WITH v AS (SELECT list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings) SELECT {r6({'rich_loss': 'avg(pow(a[1] - b[1], 2)) + 0.5 * avg(list_sum(list_transform(list_zip(a, b), lambda z: pow(z[1] - z[2], 2))) / 32) + 0.25 * avg(list_sum(list_transform(list_zip(a, list_reverse(b)), lambda z: pow(z[1] - z[2], 2))) / 32) + 2 * avg(ln(list_sum(list_transform(a, lambda x: exp(x)))) - a[2])'}, 5)} FROM v",
+    lambda s, d: E.rich_loss(two_halves(s, d), (1.0, 0.5, 0.25, 2.0)),
+    5,
+)
+
+
+def two_halves(s, d):
+    """The vectors' halves as prediction and target."""
+    half = lambda at: F.transform(F.slice("embedding", at, 32), lambda x: x.cast("double"))
+    v = table(s, d, "embeddings").select(half(1).alias("a"), half(33).alias("b"))
+    return v.select(F.col("a")[0].alias("prediction"), F.col("b")[0].alias("target"), F.col("a").alias("path_hat"), F.col("b").alias("path"), F.col("a").alias("block_hat"), F.reverse("b").alias("block"), F.col("a").alias("logits"), F.lit(1).alias("label"))
 
 
 def grid(s, d):
@@ -224,7 +319,13 @@ def grid(s, d):
 
 
 GRID = "fl AS (SELECT vec_id, (i - 1) // 8 AS step, (i - 1) % 8 AS f, CAST(embedding[i] AS DOUBLE) AS a FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i))"
-q("m24_forecast_summary", f"WITH {GRID} SELECT vec_id, {r6({'median0': 'quantile_cont(a, 0.5)', 'mean0': 'avg(a)', 'std0': 'stddev_pop(a)'}, 5)} FROM fl WHERE f = 0 GROUP BY vec_id", lambda s, d: E.forecast_summary(grid(s, d), "m").select("vec_id", F.col("median_path")[0].alias("median0"), F.col("mean_path")[0].alias("mean0"), F.col("std_path")[0].alias("std0")), 5)
+_STEPS = {"median": "quantile_cont(a, 0.5)", "mean": "avg(a)", "std": "stddev_pop(a)"}
+q(
+    "m24_forecast_summary",
+    f"WITH {GRID} SELECT vec_id, {r6({f'{n}{i}': f'{e} FILTER (WHERE f = {i})' for n, e in _STEPS.items() for i in range(8)}, 5)} FROM fl GROUP BY vec_id",
+    lambda s, d: E.forecast_summary(grid(s, d), "m").select("vec_id", *(F.col(f"{n}_path")[i].alias(f"{n}{i}") for n in _STEPS for i in range(8))),
+    5,
+)
 q("g14_attribution", f"WITH {GRID} SELECT CAST(f AS INTEGER) AS feature, {r6({'mean_attribution': 'avg(a)', 'mean_abs': 'avg(abs(a))', 'importance': 'avg(abs(a))'})}, CAST(row_number() OVER (ORDER BY avg(abs(a)) DESC, f) AS INTEGER) AS rank FROM fl GROUP BY f", lambda s, d: A.attribution_importance(grid(s, d), "m"))
 q("g15_attention", f"WITH {GRID} SELECT CAST(f AS INTEGER) AS position, {r6({'weight': 'avg(a)'})} FROM fl GROUP BY f ORDER BY avg(a) DESC, f LIMIT 5", lambda s, d: A.attention_by_position(grid(s, d), "m"))
 q("g16_pruning", f"WITH {GRID}, im AS (SELECT CAST(f AS INTEGER) AS feature, avg(abs(a)) AS importance FROM fl GROUP BY f), rk AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM im) SELECT feature, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 6 THEN 'bottom_percent' ELSE '' END AS reason, rank > 6 AS drop FROM rk", lambda s, d: A.pruning(A.attribution_importance(grid(s, d), "m").select("feature", "importance"), 0.2).drop("importance"))
@@ -244,13 +345,53 @@ q("g10_sparsity", f"WITH {cte('bars')}, {RP} " + " UNION ALL ".join(f"SELECT '{f
 q("g11_g05_distribution", f"WITH {cte('bars')}, {RP} SELECT {r6({'mean': 'avg(target)', 'std': 'stddev_samp(target)', 'min': 'min(target)', 'max': 'max(target)', 'median': 'quantile_cont(target, 0.5)'}, 4)} FROM rp", lambda s, d: A.distribution(ret_panel(s, d)), 4)
 q("g12_group_counts", f"WITH {cte('bars')} SELECT grp, count(*) AS n_rows, count(DISTINCT tic) AS tickers FROM bars GROUP BY grp", lambda s, d: A.group_counts(bars(s, d)))
 q("v08_aligned", pred_sql("tic, date, round(prediction + 0.00000031, 6) AS prediction, round(target + 0.00000031, 6) AS target"), lambda s, d: A.aligned(predictions(s, d).select("tic", "date", "prediction"), predictions(s, d).select("tic", "date", "target")))
-q("m01_batch_score", None, lambda s, d: E.batch_score(S.inference_windows(bars(s, d), ["close"], LEN), lambda rows: [float(r[-1][0] - r[0][0]) for r in rows]))
+q("m01_batch_score", f"WITH {cte('bars')}, w AS (SELECT *, list(CAST(CAST(close AS FLOAT) AS DOUBLE)) {_wo} AS cs FROM bars) SELECT tic, date, {r6({'prediction': 'cs[10] - cs[1]'})} FROM w WHERE len(cs) = {LEN}", lambda s, d: E.batch_score(S.inference_windows(bars(s, d), ["close"], LEN), lambda rows: [float(r[-1][0]) - float(r[0][0]) for r in rows]))
 q("flagship", pred_sql(f"grp, split, count(*) AS total, CAST(sum({HIT}) AS BIGINT) AS correct, {r6({'accuracy': f'avg({HIT})', 'gross': 'avg(sign(prediction) * target)'}, 4)}", "FROM pred JOIN sp USING (date) GROUP BY grp, split", DATES, SPL), lambda s, d: P.date_split(bars(s, d)).select("tic", "date", "split").join(predictions(s, d), ["tic", "date"]).groupBy("grp", "split").agg(F.count(F.lit(1)).alias("total"), F.sum(E.sign_hit()).alias("correct"), F.avg(E.sign_hit()).alias("accuracy"), F.avg(F.signum("prediction") * F.col("target")).alias("gross")), 4)
 
 
 # ---- whole pipelines ------------------------------------------------------------------------------
-q("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT}, x AS (SELECT *, {roll('avg', 'close', 60, 1)} AS m60, {roll('max', 'high', 252, 1)} AS h252, {roll('stddev_pop', 'close', 20)} AS s20 FROM bars) SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix', 'rolling_mean_60': 'm60', 'distance_to_52w_high': '(h252 - x.close) / x.close'}, 5)}, CAST(isodow(tg.date) - 1 AS INTEGER) AS dayofweek FROM tg JOIN x USING (tic, date) LEFT JOIN vix ON tg.date = vix.date", lambda s, d: add_all_features(bars(s, d), Settings(technical=False), macro=(view(s, d, "vix"),)).select("tic", "date", "target", "vix", "rolling_mean_60", "distance_to_52w_high", "dayofweek"), 5)
-q("n08_a15_preprocess", f"WITH {cte('bars', 'vix')}, {DATES}, {SPL}, {TGT}, b AS (SELECT tg.tic, tg.grp, tg.date, target, coalesce(close, 0) AS close, vix FROM tg LEFT JOIN vix ON tg.date = vix.date), dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM b)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2), m AS (SELECT b.*, split FROM b JOIN sp2 USING (date)), st AS (SELECT quantile_cont(close, 0.5) AS c, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS k, quantile_cont(vix, 1.0 / 3) AS q1, quantile_cont(vix, 2.0 / 3) AS q2 FROM m WHERE split = 'train') SELECT tic, date, split, {r6({'close': '(close - c) / k', 'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st", lambda s, d: preprocess(J.merge_macro(P.target(bars(s, d)), view(s, d, "vix")))[0].select("tic", "date", "split", "close", "target", "regime_id"), 5)
+#: The queries whose columns make up the whole panel, with the decimals they are compared to.
+FAMILIES = {
+    "f01_calendar": 6, "f03_ema": 5, "f04_rsi": 6, "f05_stochrsi": 5, "f06_macd": 5, "f07_atr_norm": 6, "f08_roc": 6, "f09_bollinger_width": 6, "f10_f12_channel": 6, "f13_f14_swings": 6, "f17_fibonacci": 6,
+    "f18_candle_shape": 6, "f19_gaps": 6, "f20_shape_changes": 6, "f20_w04_smoothed_bodies": 5, "f21_ranges": 6, "f22_percent_sizes": 6, "f23_returns": 6, "f24_volatility": 6, "f25_support": 6, "f26_volume": 6, "f27_lags": 6,
+    "f28_close_rolling": 5, "f29_shape_rolling": 5, "f30_patterns": 6, "f31_distances": 6, "f32_breakouts": 6, "f33_f34_swing_flags": 6, "f35_year_extremes": 6, "f36_volume_confirmation": 6, "f37_atr_ratio": 6, "f38_volatilities": 6,
+    "f39_trend_strength": 6, "f40_trend_persistence": 6, "f41_signal_lags": 6, "g01_f43_f45_relative": 5,
+}
+
+
+def family_columns(s, d) -> dict[str, list[str]]:
+    """The columns of each family, each in the first family that has it."""
+    found: dict[str, list[str]] = {}
+    for name in FAMILIES:
+        known = {c for columns in found.values() for c in columns}
+        found[name] = [c for c in QUERIES[name](s, d).columns if c not in ("tic", "date") and c not in known]
+    return found
+
+
+def all_features(s, d):
+    """All families but trend lines and pairs, with the volatility index."""
+    df = add_all_features(bars(s, d), Settings(), macro=(view(s, d, "vix"),))
+    shown = {c: places for name, columns in family_columns(s, d).items() for places in [FAMILIES[name]] for c in columns}
+    kinds = dict(df.dtypes)
+    shift = lambda c, p: F.round(F.col(c) + F.lit(0.31 * 10.0**-p), p).alias(c) if kinds[c] == "double" else F.col(c)
+    return df.select("tic", "date", *(shift(c, p) for c, p in {"target": 5, "vix": 5, **shown}.items()))
+
+
+_doubled = ", ".join(f"f{i}.* EXCLUDE (tic, date" + (", volume_momentum" if name == "f36_volume_confirmation" else "") + ")" for i, name in enumerate(FAMILIES))
+_joined = " ".join(f"JOIN ({ORACLES[name]}) f{i} ON f{i}.tic = tg.tic AND f{i}.date = tg.date" for i, name in enumerate(FAMILIES))
+query("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT} SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix'}, 5)}, {_doubled} FROM tg LEFT JOIN vix ON tg.date = vix.date {_joined}")(all_features)
+
+_SCALED = ("open", "high", "low", "close", "volume", "vix")
+_SPLIT2 = "dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM tg)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2)"
+_FITTED = ", ".join(f"quantile_cont(coalesce({c}, 0), 0.5) AS {c}_c, quantile_cont(coalesce({c}, 0), 0.75) - quantile_cont(coalesce({c}, 0), 0.25) AS {c}_k" for c in _SCALED)
+q(
+    "n08_a15_preprocess",
+    f"WITH {cte('bars', 'vix')}, {TGT}, {_SPLIT2}, m AS (SELECT tg.* EXCLUDE (target), CASE WHEN tg.volume > 45 THEN 0 ELSE target END AS target, vix, split, dense_rank() OVER (ORDER BY tic) - 1 AS tic_id, dense_rank() OVER (ORDER BY grp) - 1 AS group_id FROM tg LEFT JOIN vix ON tg.date = vix.date JOIN sp2 ON tg.date = sp2.date), "
+    f"st AS (SELECT {_FITTED}, quantile_cont(vix, 1.0 / 3) AS q1, quantile_cont(vix, 2.0 / 3) AS q2 FROM m WHERE split = 'train') "
+    f"SELECT tic, date, grp, split, CAST(tic_id AS INTEGER) AS tic_id, CAST(group_id AS INTEGER) AS group_id, {r6({c: f'(coalesce({c}, 0) - {c}_c) / CASE WHEN abs({c}_k) > 0 THEN {c}_k ELSE 1 END' for c in _SCALED} | {'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st",
+    lambda s, d: preprocess(J.merge_macro(P.target(bars(s, d)).withColumn("target", F.expr("CASE WHEN volume > 45 THEN NULL ELSE target END")), view(s, d, "vix")))[0],
+    5,
+)
 
 # ---- smaller pieces -------------------------------------------------------------------------------
 
@@ -264,7 +405,7 @@ def ledger(s, d):
     return ev.groupBy("tic").agg(F.max_by("reason", F.struct("at", "reason")).alias("last_reason"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-q("a23_failure_summary", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_type)) AS last_reason FROM events GROUP BY user_id) SELECT last_reason, count(*) AS n FROM e GROUP BY last_reason", lambda s, d: K.failure_summary(ledger(s, d)).select("last_reason", "n"))
+q("a23_failure_summary", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_type)) AS last_reason, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id) SELECT last_reason, count(*) AS n, min(first_at) AS oldest, max(last_at) AS newest FROM e GROUP BY last_reason", lambda s, d: K.failure_summary(ledger(s, d)))
 q("a18_metadata", f"WITH {cte('bars')}, {DATES}, {SPL} SELECT split, count(*) AS n, CAST(10 AS INTEGER) AS length, CAST(5 AS INTEGER) AS horizon FROM bars JOIN sp USING (date) GROUP BY split", lambda s, d: K.dataset_metadata(P.date_split(bars(s, d)), ["close"], 10, 5).drop("features"))
 q("a25_preview", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, CAST(y AS FLOAT) AS target, CAST(10 AS INTEGER) AS length, CAST(close AS FLOAT) AS c0 FROM wn WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 5", lambda s, d: S.preview(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)).select("tic", "date", "target", "length", F.col("last_step")[0].alias("c0")))
 q("s03_default_ids", f"WITH {cte('bars')} SELECT tic, date, CAST(0 AS INTEGER) AS group_id, CAST(1 AS INTEGER) AS dividend_flag FROM bars", lambda s, d: S.default_ids(bars(s, d)).select("tic", "date", "group_id", "dividend_flag"))

@@ -62,7 +62,7 @@ def add_all_features(bars: DataFrame, s: Settings | None = None, statements: Dat
     if s.sector:
         df = C.relative(df, s.norm_window)
     if s.pairs:
-        pairs = C.spread_adf(C.spreads(bars, s.pair_window, s.norm_window)).drop("peer")
+        pairs = C.spread_adf(bars, C.spreads(bars, s.pair_window, s.norm_window), s.pair_window).drop("peer")
         df = df.join(pairs, ["tic", "date"], "left")
     for m in macro:
         df = df.join(J.small(m), "date", "left")
