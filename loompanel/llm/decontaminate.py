@@ -6,8 +6,10 @@ edits; then some diagonal band of the text holds at least L - q + 1 - k q of the
 
 Each task rolls the q-gram hashes of a text in numpy, looks them up in the benchmark's table, counts
 hits by item and overlapping diagonal band (width k + 1, each counted with its right neighbour), keeps
-the bands that reach the bound and verifies these regions by a banded alignment.  Texts are read row
-by row, without a shuffle; items shorter than q are looked for as they are.
+the bands that reach the bound, counts grams of three letters in them by the same lemma (a beginning
+that many items share does not get past this), and verifies what is left by banded alignments, many side
+by side.  Texts are read row by row, without a shuffle; items shorter than q are looked for as whole
+words, by hash.
 
 The benchmark table is gathered in blocks of at most ``block_bytes`` of text (its size is computed
 first); a larger benchmark takes one pass over the texts for each block.  A single item is never cut.
@@ -19,6 +21,7 @@ rows of either table each give their matches.  Other input columns are not read.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
@@ -33,6 +36,9 @@ from loompanel.llm.common import text_of, worker_tables
 Q = 8
 EDITS = 0.1
 BITS = 22
+#: Letters of the q-grams of the finer count; hits expanded and cells aligned at a time.
+FINE = 3
+ENTRIES, CELLS = 1 << 22, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -78,43 +84,55 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
-def banded_distance(item: np.ndarray, window: np.ndarray, k: int, width: int) -> tuple[int, int, int] | None:
-    """The fewest edits (at most k) that turn the item into a stretch of the window that starts within
-    ``width`` of its front: (edits, start, end), or None.
+def banded_distances(items: list[np.ndarray], windows: list[np.ndarray], budgets: np.ndarray, widths: np.ndarray) -> list[tuple[int, int, int] | None]:
+    """For each item the fewest edits (at most its budget) that turn it into a stretch of its window that
+    starts within ``width`` of the front: (edits, start, end), or None.  All are aligned side by side.
 
-    Cell j of row i stands for window place i + j - k; the row is an alignment of item[:i].  Each cell
-    keeps where its stretch began.
+    Cell j of row i stands for window place i + j - budget; the row is an alignment of item[:i].  Each
+    cell keeps where its stretch began.
     """
-    length = len(item)
-    span = width + 2 * k + 1
-    place = np.arange(span) - k
-    big = length + len(window) + 1
+    found: list[tuple[int, int, int] | None] = [None] * len(items)
+    length = np.array([len(i) for i in items])
+    reach = np.array([len(w) for w in windows])
+    span, most = int((widths + 2 * budgets).max()) + 1, int(length.max())
+    big = most + int(reach.max()) + 1
+    letters = np.zeros((len(items), most), dtype=np.uint32)
     # letters beyond the window match nothing
-    padded = np.full(length + span, np.iinfo(np.uint32).max, dtype=np.uint32)
-    held = window[: length + span - k]
-    padded[k : k + len(held)] = held
-    cost = np.where((place >= 0) & (place <= min(width, len(window))), 0, big)
+    padded = np.full((len(items), most + span), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for c, (item, window, k) in enumerate(zip(items, windows, budgets.tolist())):
+        letters[c, : len(item)] = item
+        held = window[: most + span - k]
+        padded[c, k : k + len(held)] = held
+    place = np.arange(span)[None, :] - budgets[:, None]
+    cost = np.where((place >= 0) & (place <= np.minimum(widths, reach)[:, None]), 0, big)
     start = place.copy()
     step = np.arange(span)
-    gap, gap_start = np.empty(span, dtype=np.int64), np.zeros(span, dtype=np.int64)
-    gap[-1] = big
-    for i in range(length):
-        diagonal = cost + (padded[i : i + span] != item[i])
-        gap[:-1] = cost[1:] + 1  # the item's letter is left out
-        gap_start[:-1] = start[1:]
+    alive = np.arange(len(items))
+    gap, gap_start = np.full(cost.shape, big), np.zeros(cost.shape, dtype=np.int64)
+    for i in range(most):
+        diagonal = cost + (padded[:, i : i + span] != letters[:, i : i + 1])
+        gap[:, :-1] = cost[:, 1:] + 1  # the item's letter is left out
+        gap_start[:, :-1] = start[:, 1:]
         best = np.minimum(diagonal, gap)
         # letters of the window put in: cell j from cell j - d costs d
-        source = np.minimum.accumulate((best - step) * span + step) % span  # ties: the nearer front cell
-        cost = best[source] + step - source
-        start = np.where(diagonal <= gap, start, gap_start)[source]
-        if not i % 8 and cost.min() > k:
-            return None
-    end = length + place
-    cost = np.where((end >= 0) & (end <= len(window)), cost, big)
-    j = int(np.argmin(cost))
-    if cost[j] > k:
-        return None
-    return int(cost[j]), int(start[j]), int(end[j])
+        source = np.minimum.accumulate((best - step) * span + step, axis=1) % span  # ties: the nearer front cell
+        cost = np.take_along_axis(best, source, 1) + step - source
+        start = np.take_along_axis(np.where(diagonal <= gap, start, gap_start), source, 1)
+        for x in np.flatnonzero(length[alive] == i + 1).tolist():
+            c = alive[x]
+            end = i + 1 + place[x]
+            last = np.where((end >= 0) & (end <= reach[c]), cost[x], big)
+            j = int(np.argmin(last))
+            if last[j] <= budgets[c]:
+                found[c] = int(last[j]), int(start[x, j]), int(end[j])
+        if not i % 8:
+            on = (cost.min(axis=1) <= budgets[alive]) & (length[alive] > i + 1)
+            if not on.any():
+                break
+            if on.mean() < 0.75:
+                alive = alive[on]
+                padded, letters, place, cost, start, gap, gap_start = (t[on] for t in (padded, letters, place, cost, start, gap, gap_start))
+    return found
 
 
 class Items:
@@ -138,17 +156,38 @@ class Items:
         self.keys, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
         self.map = np.zeros(1 << BITS, dtype=bool)
         self.map[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        self.short = [i for i, c in enumerate(self.codes) if len(c) < q]
+        self.joint = np.repeat(np.arange(len(self.keys)), self.times) * max(1, len(self.ids)) + self.owner  # rises
+        self.short: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for n in sorted({len(c) for c in self.codes if len(c) < q}):
+            of = [i for i, c in enumerate(self.codes) if len(c) == n]
+            self.short[n] = np.array([self.whole(self.codes[i], n)[0] for i in of], dtype=np.uint64), of
+
+    @staticmethod
+    def whole(codes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all stretches of n letters."""
+        h = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
+        for j in range(n):
+            h = h * np.uint64(_BASE) + codes[j : len(codes) - n + 1 + j]
+        return h
+
+    def short_places(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Where items of less than q letters stand, as whole words."""
+        found = []
+        edge = np.concatenate([[True], codes == 32, [True]])  # before each place, and after the last
+        for n, (hashes, of) in self.short.items():
+            if len(codes) < n:
+                continue
+            free = np.flatnonzero(edge[: len(codes) - n + 1] & edge[n + 1 :])
+            h = self.whole(codes, n)[free]
+            at = free[np.isin(h, hashes)]
+            for p in at.tolist():
+                found += [(i, p, p + n, 0) for i in of if (self.codes[i] == codes[p : p + n]).all()]
+        return found
 
     def find(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item id, start, end, edits) in places of the text."""
         codes, where = fold(text)
-        found: list[tuple[int, int, int, int]] = []
-        for i in self.short:
-            c = self.codes[i]
-            for p in range(len(codes) - len(c) + 1):
-                if (codes[p : p + len(c)] == c).all() and (p == 0 or codes[p - 1] == 32) and (p + len(c) == len(codes) or codes[p + len(c)] == 32):
-                    found.append((i, p, p + len(c), 0))
+        found = self.short_places(codes) if self.short else []
         h = grams(codes, self.q)
         hit = np.flatnonzero(self.map[(h >> np.uint64(64 - BITS)).astype(np.int64)]) if len(self.keys) else np.zeros(0, np.int64)
         if len(hit):
@@ -156,17 +195,45 @@ class Items:
             same = self.keys[k] == h[hit]
             hit, k = hit[same], k[same]
         if len(hit):
-            found += self.regions(codes, hit, k)
-        apart: list[tuple[int, int, int, int]] = []
-        for i, a, b, e in sorted(found, key=lambda m: (m[0], m[3], m[1])):  # of overlapping matches of an item, the nearest
-            if b > a and not any(j == i and a < d and c < b for j, c, d, _ in reversed(apart)):
-                apart.append((i, a, b, e))
-        return [(self.ids[i], int(where[a]), int(where[b - 1]) + 1, e) for i, a, b, e in sorted(apart)]
-
-    def regions(self, codes: np.ndarray, hit: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int, int]]:
-        n = self.times[k]
+            whole = self.times[k].sum() <= ENTRIES
+            bands = self.bands(hit, self.first[k], self.times[k]) if whole else self.candidates(hit, k, 0, len(self.ids))
+            found += self.verified(codes, bands)
+        apart: dict[int, tuple[list[int], list[int]]] = {}
+        kept = []
+        for i, a, b, e in sorted(set(found), key=lambda m: (m[0], m[3], m[1], m[2])):  # of overlapping matches of an item, the nearest
+            starts, ends = apart.setdefault(i, ([], []))
+            n = bisect_right(starts, a)
+            if b > a and (n == 0 or ends[n - 1] <= a) and (n == len(starts) or starts[n] >= b):
+                starts.insert(n, a)
+                ends.insert(n, b)
+                kept.append((i, a, b, e))
+        return [(self.ids[i], int(where[a]), int(where[b - 1]) + 1, e) for i, a, b, e in sorted(kept)]
+
+    def candidates(self, hit: np.ndarray, k: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+        """(item, front of a diagonal band) for the bands of the items low to high - 1 that hold enough of an
+        item's q-grams.  At most about ENTRIES hits are expanded at a time: by halves of the items, then by
+        overlapping stretches of the text."""
+        n_ids = len(self.ids)
+        begin = np.searchsorted(self.joint, k * n_ids + low)
+        n = np.searchsorted(self.joint, k * n_ids + high) - begin
+        total = int(n.sum())
+        if total > ENTRIES and high - low > 1:
+            middle = (low + high) // 2
+            return self.candidates(hit, k, low, middle) + self.candidates(hit, k, middle, high)
+        own = n > 0
+        hit, begin, n = hit[own], begin[own], n[own]
+        if total <= ENTRIES:
+            return self.bands(hit, begin, n) if total else []
+        length = len(self.codes[low])
+        around = length + 4 * int(self.budget[low]) + 8
+        step = max(4 * around, int(ENTRIES // max(1, n.max())))
+        cuts = range(int(hit[0]), int(hit[-1]) + 1, step)
+        parts = [slice(*np.searchsorted(hit, [x - around, x + step + around])) for x in cuts]
+        return [c for p in parts if p.stop > p.start for c in self.bands(hit[p], begin[p], n[p])]
+
+    def bands(self, hit: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
         stop = np.cumsum(n)
-        entry = np.arange(stop[-1]) + np.repeat(self.first[k] - (stop - n), n)
+        entry = np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)
         owner = self.owner[entry]
         diagonal = np.repeat(hit, n) - self.offset[entry]
         width = self.budget[owner] + 1
@@ -175,7 +242,7 @@ class Items:
         cells = int(band.max()) - low + 2
         cell = owner * cells + (band - low)
         order = np.argsort(cell, kind="stable")
-        keys, begin, counts = np.unique(cell[order], return_index=True, return_counts=True)
+        keys, first, counts = np.unique(cell[order], return_index=True, return_counts=True)
         offset = self.offset[entry[order]]
         right = np.zeros(len(keys), dtype=np.int64)
         follows = np.flatnonzero(np.diff(keys) == 1)
@@ -186,29 +253,74 @@ class Items:
         for x in np.flatnonzero(counts + right >= bound).tolist():
             i, b = divmod(int(keys[x]), cells)
             # an item's q-gram counts once, however often a repetitive text has it in the band
-            if len(np.unique(offset[begin[x] : begin[x] + counts[x] + right[x]])) < bound[x]:
-                continue
-            budget = int(self.budget[i])
-            front = (b + low) * (budget + 1)
-            a, last = max(0, front - budget), front + 3 * budget + 1  # where the stretch may begin
-            if last < a:
-                continue
-            window = codes[a : last + 1 + len(self.codes[i]) + budget]
-            item = self.codes[i]
-            exact = self.exact(item, window)
-            if exact >= 0:
-                found.append((i, a + exact, a + exact + len(item), 0))
-            elif budget and (m := banded_distance(item, window, budget, last - a)):
-                found.append((i, a + m[1], a + m[2], m[0]))
+            if right[x] == 0 or len(np.unique(offset[first[x] : first[x] + counts[x] + right[x]])) >= bound[x]:
+                found.append((i, (b + low) * (int(self.budget[i]) + 1)))
         return found
 
+    def verified(self, codes: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the candidates that hold up: found unchanged, or aligned side by side."""
+        found, close = [], []
+        fine = self.fine(codes)
+        spots: dict[int, list[int]] = {}
+        for i, front in bands:
+            spots.setdefault(i, []).append(front)
+        for i, fronts in spots.items():
+            item, budget = self.codes[i], int(self.budget[i])
+            at = np.array(fronts)
+            first = np.maximum(0, at - budget)  # where the stretch may begin
+            last = at + 3 * budget + 1
+            for x in self.likely(item, fine, budget, first, last).tolist():
+                a = int(first[x])
+                window = codes[a : int(last[x]) + 1 + len(item) + budget]
+                exact = self.exact(item, window)
+                if exact >= 0:
+                    found.append((i, a + exact, a + exact + len(item), 0))
+                elif budget:
+                    close.append((i, a, int(last[x]) - a, item, window, budget))
+        close.sort(key=lambda c: len(c[3]))
+        at = 0
+        while at < len(close):  # as many at a time as fit in CELLS cells
+            n = max(1, CELLS // max(1, len(close[min(len(close), at + 512) - 1][3]) + 5 * close[at][5] + 2))
+            part = close[at : at + min(n, 512)]
+            at += len(part)
+            aligned = banded_distances([c[3] for c in part], [c[4] for c in part], np.array([c[5] for c in part]), np.array([c[2] for c in part]))
+            found += [(c[0], c[1] + m[1], c[1] + m[2], m[0]) for c, m in zip(part, aligned) if m]
+        return found
+
+    def likely(self, item: np.ndarray, text: np.ndarray, budget: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which of the stretches (they begin at first to last; text: its hashes) can hold the item, by the same lemma for shorter
+        q-grams: of all but FINE * budget the item's places have to be met within the band.  This puts away
+        texts that share a common beginning with many items and no more."""
+        length = len(item)
+        bound = length - FINE + 1 - FINE * budget
+        good = last >= first
+        if bound <= 0 or not budget or not len(text):
+            return np.flatnonzero(good)
+        whole = self.fine(item)
+        reach = int((last - first).max()) + budget + 1
+        met = np.zeros(len(first), dtype=bool)
+        rows = max(1, CELLS // (len(whole) * (reach + budget)))
+        for x in range(0, len(first), rows):
+            a = first[x : x + rows]
+            place = a[:, None] - budget + np.arange(len(whole) + reach + budget)[None, :]
+            here = text[np.clip(place, 0, len(text) - 1)]
+            views = np.lib.stride_tricks.sliding_window_view(here, reach + budget, axis=1)[:, : len(whole)]
+            met[x : x + rows] = (views == whole[None, :, None]).any(axis=2).sum(axis=1) >= bound
+        return np.flatnonzero(good & met)
+
+    @classmethod
+    def fine(cls, codes: np.ndarray) -> np.ndarray:
+        return (cls.whole(codes, FINE) >> np.uint64(48)).astype(np.uint16)
+
     @staticmethod
     def exact(item: np.ndarray, window: np.ndarray) -> int:
         """The first place where the item stands unchanged, or -1."""
-        for p in np.flatnonzero(window[: len(window) - len(item) + 1] == item[0]).tolist() if len(window) >= len(item) else []:
-            if (window[p : p + len(item)] == item).all():
-                return p
-        return -1
+        if len(window) < len(item):
+            return -1
+        at = window.tobytes().find(item.tobytes())
+        while at > 0 and at % 4:
+            at = window.tobytes().find(item.tobytes(), at + 1)
+        return at // 4 if at >= 0 else -1
 
 
 class Shared:
