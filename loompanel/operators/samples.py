@@ -78,11 +78,22 @@ def rich_samples(df: DataFrame, features: list[str], length: int, horizon: int)
     """Windows with the bars that follow: OHLCV block, close path, returns over the last close in percent,
     volatility of the steps over the last close.  Windows whose last close is about 0 are left out."""
     ahead = P().rowsBetween(1, horizon)
-    out, whole = _windows(df.withColumns({"__b": F.collect_list(F.array("open", "high", "low", "close", "volume")).over(ahead), "__p": F.collect_list("close").over(ahead), "__y": F.lead("target", horizon).over(P())}), features, length)
+    out, whole = _windows(df.withColumns({"label_date": F.lead("date", horizon).over(P()), "__b": F.collect_list(F.array("open", "high", "low", "close", "volume")).over(ahead), "__p": F.collect_list("close").over(ahead), "__y": F.lead("target", horizon).over(P())}), features, length)
     last = F.col("close")
     rows = out.where(whole & (F.size("__p") == horizon) & (F.abs(last) >= 1e-8) & F.col("__y").isNotNull())
     steps = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: (F.element_at("__p", i) - F.when(i == 1, last).otherwise(F.element_at("__p", F.greatest(i - 1, F.lit(1))))) / last)
-    return rows.select("tic", "date", "start", "features", F.col("__b").alias("future_ohlcv"), F.col("__p").alias("close_path"), F.transform("__p", lambda x: (x / last - 1) * 100).alias("return_path"), array_std(steps).alias("volatility"), F.col("__y").cast("float").alias("target"))
+    return rows.select("tic", "date", "start", "label_date", "features", F.col("__b").alias("future_ohlcv"), F.col("__p").alias("close_path"), F.transform("__p", lambda x: (x / last - 1) * 100).alias("return_path"), array_std(steps).alias("volatility"), F.col("__y").cast("float").alias("target"))
+
+
+def regime_labels(samples: DataFrame, existing: DataFrame | None = None, included: bool = True, split: str = "split") -> DataFrame:
+    """regime_label of each sample: the regime (tic, date, regime_id) of its label row where ``existing`` is given
+    (``label_date``; 1 if there is none), else by volatility; 0 if labels are not wanted."""
+    if not included:
+        return samples.withColumn("regime_label", F.lit(0))
+    if existing is None:
+        return volatility_regime(samples, split)
+    known = existing.select("tic", F.col("date").alias("label_date"), F.col("regime_id").cast("int").alias("regime_label"))
+    return samples.join(known, ["tic", "label_date"], "left").withColumn("regime_label", F.coalesce("regime_label", F.lit(1)))
 
 
 def volatility_regime(samples: DataFrame, split: str = "split", low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
@@ -151,7 +162,12 @@ def embedding_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def preview(samples: DataFrame, k: int = 5) -> DataFrame:
-    """The first k samples: target, length and the first five features of the last step."""
-    return head(samples, k).select("tic", "date", "target", F.size("features").alias("length"), F.slice(F.element_at("features", -1), 1, 5).alias("last_step"))
+    """The first k samples: target, length, first and last day and month (-1 if unknown) and the first five
+    features of the last step."""
+    ends = {}
+    for c in ("day", "month"):
+        known = f"{c}_seq" in samples.columns
+        ends |= {f"start_{c}": F.element_at(f"{c}_seq", 1) if known else F.lit(-1).cast("long"), f"end_{c}": F.element_at(f"{c}_seq", -1) if known else F.lit(-1).cast("long")}
+    return head(samples, k).select("tic", "date", "target", F.size("features").alias("length"), *(v.alias(n) for n, v in ends.items()), F.slice(F.element_at("features", -1), 1, 5).alias("last_step"))
 
 

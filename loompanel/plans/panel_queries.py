@@ -102,6 +102,7 @@ q("j06_date_grid", f"WITH {cte('bars')} SELECT tic, CAST(unnest(generate_series(
 q("j07_sector_pairs", f"WITH {cte('bars')} SELECT a.tic, b.tic AS peer, count(*) AS n, round(max(a.close - b.close) + 0.00000031, 6) AS gap FROM bars a JOIN bars b ON a.grp = b.grp AND a.date = b.date AND a.tic <> b.tic GROUP BY a.tic, b.tic", lambda s, d: J.same_sector_pairs(bars(s, d)).groupBy("tic", "peer").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y") - F.col("x")).alias("gap")))
 q("j08_j09_realign", f"WITH {cte('bars')} SELECT tic, date, {r6({'close': 'close / 10', 'raw_close': 'close'})} FROM bars", lambda s, d: J.realign(bars(s, d).select("tic", "date", (F.col("close") / 10).alias("close")), bars(s, d), ("tic", "date")))
 q("a21_failure_ledger", "WITH e AS (SELECT 'T' || (user_id % 50) AS tic, event_type AS reason, ts AS tm FROM events) SELECT tic, min_by(reason, (tm, reason)) AS first_reason, max_by(reason, (tm, reason)) AS last_reason, CAST(count(*) AS BIGINT) AS attempts FROM e GROUP BY tic", lambda s, d: (lambda ev: K.failure_upsert(K.failure_upsert(s.createDataFrame([], "tic string, first_reason string, last_reason string, first_at timestamp_ntz, last_at timestamp_ntz, attempts bigint").select("tic", "first_reason", "last_reason", F.col("first_at").cast(dict(ev.dtypes)["at"]), F.col("last_at").cast(dict(ev.dtypes)["at"]), "attempts"), ev.where("tic < 'T3'")), ev.where("tic >= 'T3'")).drop("first_at", "last_at"))(table(s, d, "events").select(F.concat(F.lit("T"), (F.col("user_id") % 50).cast("string")).alias("tic"), F.col("event_type").alias("reason"), F.col("ts").alias("at"))))
+q("a22_one_removed", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_type)) AS last_reason, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id) SELECT 'T' || user_id AS tic, last_reason, first_at, last_at FROM e WHERE user_id <> 3", lambda s, d: K.failure_removed(ledger(s, d), "T3"))
 q("a22_without_failed", f"WITH {cte('highlights')} SELECT tic FROM highlights WHERE tic NOT IN (SELECT tic FROM highlights WHERE dividend_yield < -0.9)", lambda s, d: K.without_failed(view(s, d, "highlights").select("tic"), view(s, d, "highlights").where("dividend_yield < -0.9")))
 q("a24_named_ids", "SELECT c_custkey, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'stock_' || c_nationkey END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey", lambda s, d: E.named_ids(table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("id")), table(s, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "id", "name", "stock_").select("c_custkey", "name"))
 q("v04_non_finite", f"WITH {cte('bars')}, x AS (SELECT CASE WHEN volume < 5 THEN 'NaN'::DOUBLE WHEN volume > 90 THEN 'inf'::DOUBLE ELSE close END AS x FROM bars) SELECT 'x' AS feature, count(*) FILTER (WHERE isnan(x)) AS nan, count(*) FILTER (WHERE x = 'inf') AS pos_inf, CAST(0 AS BIGINT) AS neg_inf, CAST(0 AS BIGINT) AS nulls FROM x", lambda s, d: A.non_finite(bars(s, d).select(F.when(F.col("volume") < 5, float("nan")).when(F.col("volume") > 90, float("inf")).otherwise(F.col("close")).alias("x")), ["x"]))
@@ -179,21 +180,26 @@ query("s01_training_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, dat
 query("s02_window_index", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, CAST(st AS INTEGER) AS start, CAST(st + {LEN + HOR - 1} AS INTEGER) AS target_idx FROM wn WHERE cn = {LEN} AND y IS NOT NULL AND st % 3 = 0")(lambda s, d: S.window_index(panel(s, d), ["close", "volume"], LEN, HOR, 3))
 query("s04_inference_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {WSQL} FROM wn WHERE cn = {LEN}")(lambda s, d: _flat(S.inference_windows(panel(s, d), ["close", "volume"], LEN).withColumn("target", F.lit(0.0))).drop("target"))
 q("s05_trend_samples", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {r6({f'p{i}': f'cs[10] + {i} * (cs[10] - cs[6]) / 4' for i in range(HOR)}, 4)}, CAST(y AS FLOAT) AS target, CAST({HOR} AS BIGINT) AS steps FROM wn WHERE cn = {LEN} AND y IS NOT NULL", lambda s, d: S.trend_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", *(F.col("future_path")[i].alias(f"p{i}") for i in range(HOR)), "target", F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("steps")), 4)
-RICH = f"rc AS (SELECT *, {', '.join(f'lead(close, {k}) {OVER} AS c{k}' for k in range(1, HOR + 1))}, list([open, high, low, close, volume]) OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {HOR} FOLLOWING) AS blk FROM wn), rv AS (SELECT *, sqrt(list_var_pop([(c1 - close) / close, (c2 - c1) / close, (c3 - c2) / close, (c4 - c3) / close, (c5 - c4) / close])) AS vol FROM rc WHERE cn = {LEN} AND y IS NOT NULL AND c5 IS NOT NULL AND abs(close) >= 1e-8)"
+RICH = f"rc AS (SELECT *, lead(date, {HOR}) {OVER} AS label_date, {', '.join(f'lead(close, {k}) {OVER} AS c{k}' for k in range(1, HOR + 1))}, list([open, high, low, close, volume]) OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {HOR} FOLLOWING) AS blk FROM wn), rv AS (SELECT *, sqrt(list_var_pop([(c1 - close) / close, (c2 - c1) / close, (c3 - c2) / close, (c4 - c3) / close, (c5 - c4) / close])) AS vol FROM rc WHERE cn = {LEN} AND y IS NOT NULL AND c5 IS NOT NULL AND abs(close) >= 1e-8)"
 _BLOCK = ("open", "high", "low", "close", "volume")
 q(
     "s06_rich_samples",
-    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {WSQL}, CAST(y AS FLOAT) AS target, "
+    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {WSQL}, label_date, CAST(y AS FLOAT) AS target, "
     + r6({f"c{i}": f"c{i}" for i in range(1, HOR + 1)} | {f"r{i}": f"(c{i} / close - 1) * 100" for i in range(1, HOR + 1)} | {"volatility": "vol"}, 5)
     + ", " + r6({f"{c}{i}": f"blk[{i}][{j}]" for i in range(1, HOR + 1) for j, c in enumerate(_BLOCK, 1) if c != "close"}, 5) + " FROM rv",
     lambda s, d: _flat(S.rich_samples(panel(s, d), ["close", "volume"], LEN, HOR), False).select(
-        "tic", "date", "start", "csum", "n", "target",
+        "tic", "date", "start", "csum", "n", "label_date", "target",
         *(F.col("close_path")[i].alias(f"c{i + 1}") for i in range(HOR)), *(F.col("return_path")[i].alias(f"r{i + 1}") for i in range(HOR)), "volatility",
         *(F.col("future_ohlcv")[i][j].alias(f"{c}{i + 1}") for i in range(HOR) for j, c in enumerate(_BLOCK) if c != "close"),
     ),
     5,
 )
 q("s07_volatility_regime", f"WITH {cte('bars')}, {DATES}, {SPL}, {TGT}, {WIN}, {RICH}, vv AS (SELECT tic, rv.date, round(vol + 0.0000031, 5) AS vol, split FROM rv JOIN sp USING (date)), cu AS (SELECT split, quantile_cont(vol, 1.0/3) AS a, quantile_cont(vol, 2.0/3) AS b FROM vv GROUP BY split) SELECT tic, date, CAST(CASE WHEN vol <= a THEN 0 WHEN vol >= b THEN 2 ELSE 1 END AS INTEGER) AS regime_label FROM vv JOIN cu USING (split)", lambda s, d: S.volatility_regime(S.rich_samples(panel(s, d), ["close"], LEN, HOR).withColumn("volatility", F.round(F.col("volatility") + 0.0000031, 5)).join(P.date_split(bars(s, d)).select("tic", "date", "split"), ["tic", "date"])).select("tic", "date", "regime_label"))
+q(
+    "s07_existing_regime",
+    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT rv.tic, rv.date, CAST(coalesce(CASE WHEN b.volume >= 10 THEN CAST(b.volume AS BIGINT) % 3 END, 1) AS INTEGER) AS regime_label FROM rv JOIN bars b ON b.tic = rv.tic AND b.date = label_date",
+    lambda s, d: S.regime_labels(S.rich_samples(panel(s, d), ["close"], LEN, HOR), bars(s, d).where("volume >= 10").select("tic", "date", (F.col("volume").cast("bigint") % 3).alias("regime_id"))).select("tic", "date", "regime_label"),
+)
 query("s08_tuning_windows", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(close) {OVER} AS y, lead(date) {OVER} AS yd, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM bars) SELECT tic, {WSQL}, round(list_sum(list_transform(vs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS vsum, yd AS date, CAST(y AS FLOAT) AS target FROM w WHERE cn = {LEN} AND y IS NOT NULL")(
     lambda s, d: (lambda x: x.select("tic", "start", F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[1].cast("double")), 1).alias("vsum"), "date", "target"))(S.tuning_windows(bars(s, d), ["close", "volume"], LEN))
 )
@@ -406,8 +412,15 @@ def ledger(s, d):
 
 
 q("a23_failure_summary", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_type)) AS last_reason, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id) SELECT last_reason, count(*) AS n, min(first_at) AS oldest, max(last_at) AS newest FROM e GROUP BY last_reason", lambda s, d: K.failure_summary(ledger(s, d)))
-q("a18_metadata", f"WITH {cte('bars')}, {DATES}, {SPL} SELECT split, count(*) AS n, CAST(10 AS INTEGER) AS length, CAST(5 AS INTEGER) AS horizon FROM bars JOIN sp USING (date) GROUP BY split", lambda s, d: K.dataset_metadata(P.date_split(bars(s, d)), ["close"], 10, 5).drop("features"))
-q("a25_preview", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, CAST(y AS FLOAT) AS target, CAST(10 AS INTEGER) AS length, CAST(close AS FLOAT) AS c0 FROM wn WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 5", lambda s, d: S.preview(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)).select("tic", "date", "target", "length", F.col("last_step")[0].alias("c0")))
+q("a18_metadata", f"WITH {cte('bars')}, {DATES}, {SPL} SELECT split, count(*) AS n, CAST(10 AS INTEGER) AS length, CAST(5 AS INTEGER) AS horizon, 'close,volume' AS features FROM bars JOIN sp USING (date) GROUP BY split", lambda s, d: K.dataset_metadata(P.date_split(bars(s, d)), ["close", "volume"], 10, 5).withColumn("features", F.array_join("features", ",")))
+q(
+    "a25_preview",
+    f"WITH {cte('bars')}, {TGT}, {WIN}, w2 AS (SELECT *, first_value(date) {_wo} AS d0 FROM wn) SELECT tic, date, CAST(y AS FLOAT) AS target, CAST(10 AS INTEGER) AS length, CAST(day(d0) AS BIGINT) AS start_day, CAST(day(date) AS BIGINT) AS end_day, CAST(month(d0) AS BIGINT) AS start_month, CAST(month(date) AS BIGINT) AS end_month, "
+    + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in ("open", "high", "low", "close", "volume")) + f" FROM w2 WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 5",
+    lambda s, d: S.preview(S.training_windows(X.calendar(panel(s, d)), ["open", "high", "low", "close", "volume", "target"], LEN, HOR)).select(
+        "tic", "date", "target", "length", "start_day", "end_day", "start_month", "end_month", *(F.col("last_step")[i].alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume")))
+    ),
+)
 q("s03_default_ids", f"WITH {cte('bars')} SELECT tic, date, CAST(0 AS INTEGER) AS group_id, CAST(1 AS INTEGER) AS dividend_flag FROM bars", lambda s, d: S.default_ids(bars(s, d)).select("tic", "date", "group_id", "dividend_flag"))
 q("v07_flag_domain", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, max(CAST(volume AS BIGINT) % 4) {_wo} AS top, lead(f, {HOR}) {OVER} AS y FROM (SELECT *, lead(close, {HOR}) {OVER} AS f FROM bars) WHERE f IS NOT NULL) SELECT tic, date FROM w WHERE cn = {LEN} AND y IS NOT NULL AND top = 3", lambda s, d: A.flag_domain(S.training_windows(panel(s, d).withColumns({"tic_id": F.lit(0), "dividend_flag": F.col("volume").cast("bigint") % 4}), ["close"], LEN, HOR)).select("tic", "date"))
 q("g13_train_mask", f"WITH {cte('bars')}, {DATES} SELECT tic, date FROM bars JOIN dt USING (date) WHERE pl < CAST(floor(n * 0.7::DOUBLE) AS INT)", lambda s, d: P.date_split(bars(s, d), 0.7).where("split = 'train'").select("tic", "date"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from loompanel.operators import analyse as A
 from loompanel.operators import features as X
 from loompanel.operators import joins as J
 from loompanel.operators import prepare as P
@@ -69,11 +70,17 @@ def add_all_features(bars: DataFrame, s: Settings | None = None, statements: Dat
     return P.target(df, s.horizon, s.squash)
 
 
-def preprocess(df: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """The encoded, split and normalised panel, and the scaler's parameters (column, center, scale)."""
+def preprocess(df: DataFrame, s: Settings | None = None, export: str | None = None, required: tuple[str, ...] = ("tic", "date", "close", "target")) -> tuple[DataFrame, DataFrame]:
+    """The encoded, split and normalised panel, and the scaler's parameters (column, center, scale).
+
+    A missing required column is an error.  ``export``: where the encoded panel is written before anything is
+    filled, for evaluations that need raw closes."""
     s = s or Settings()
+    A.column_contract(df.columns, {"panel": list(required)})
     for column, name in (("tic", "tic_id"), ("grp", "group_id")):
         df = P.encode(df, P.label_ids(df, column), column, name)
+    if export:
+        df.write.mode("overwrite").parquet(export)
     df = P.date_split(P.fill_target(df), s.train, s.val)
     if s.regime_column and s.regime_column in df.columns:
         df = P.regime(df, s.regime_column, P.fit_regime(df, s.regime_column))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable
 
@@ -33,13 +34,22 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def fingerprint(settings: dict) -> str:
-    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def write_arrays(df: DataFrame, path: str, keys: list[str], order: tuple[str, ...] = ("tic", "start")) -> None:
+    """Samples as one table for each array column and split (``path/key/split=...``); ``order`` columns stay with
+    every array, so the tables can be put together again."""
+    for key in keys:
+        df.select("split", *order, key).write.mode("overwrite").partitionBy("split").parquet(f"{path}/{key}")
 
 
-def stage(spark: SparkSession, folder: str, name: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The stage as written before under the same settings, or made and written now."""
-    path = f"{folder}/{name}/fingerprint={fingerprint(settings)}"
+def fingerprint(settings: dict, code: tuple[object, ...] = ()) -> str:
+    """Of settings and of the source text of the functions and modules that make the stage."""
+    texts = [hashlib.sha256(inspect.getsource(c).encode()).hexdigest() for c in code]
+    return hashlib.sha256(json.dumps([settings, texts], sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def stage(spark: SparkSession, folder: str, name: str, settings: dict, make: Callable[[], DataFrame], code: tuple[object, ...] = ()) -> DataFrame:
+    """The stage as written before under the same settings and code, or made and written now."""
+    path = f"{folder}/{name}/fingerprint={fingerprint(settings, code)}"
     try:
         return spark.read.parquet(path)
     except Exception as e:
@@ -50,10 +60,21 @@ def stage(spark: SparkSession, folder: str, name: str, settings: dict, make: Cal
 
 
 def dataset_metadata(samples: DataFrame, features: list[str], length: int, horizon: int) -> DataFrame:
-    """Counts by split with the shape, one row each."""
+    """Counts by split with the features and the shape, one row each."""
     return samples.groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumns({"features": F.array(*map(F.lit, features)), "length": F.lit(length), "horizon": F.lit(horizon)})
 
 
+def write_metadata(spark: SparkSession, path: str, features: list[str], length: int, horizon: int, regime: DataFrame | None = None, **more) -> None:
+    """One JSON row about a dataset (``path/info``; ``regime``: thresholds as column, stat, value) and the names
+    of its features, one in a line (``path/features``)."""
+    cuts = {r.column: {} for r in regime.collect()} if regime is not None else {}
+    for r in regime.collect() if regime is not None else ():  # a few rows
+        cuts[r.column][r.stat] = r.value
+    info = {"num_features": len(features), "length": length, "horizon": horizon, "feature_cols": features, "regime_params": cuts, **more}
+    spark.createDataFrame([(json.dumps(info, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+    spark.createDataFrame([(f,) for f in features], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+
+
 def append_run(spark: SparkSession, path: str, run: dict, blobs: tuple[str, ...] = ()) -> None:
     """One ledger row; nested values as JSON text."""
     row = {k: json.dumps(v) if k in blobs or isinstance(v, dict | list) else v for k, v in run.items()}
@@ -74,10 +95,22 @@ def without_failed(tickers: DataFrame, ledger: DataFrame, enabled: bool = True)
     return tickers.join(ledger.select("tic"), "tic", "left_anti") if enabled else tickers
 
 
+def failure_removed(ledger: DataFrame, tic: str | None = None) -> DataFrame:
+    """The ledger without one ticker, or empty."""
+    return ledger.limit(0) if tic is None else ledger.where(~F.col("tic").eqNullSafe(F.lit(tic)))
+
+
 def failure_summary(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("last_reason").agg(F.count(F.lit(1)).alias("n"), F.min("first_at").alias("oldest"), F.max("last_at").alias("newest"))
 
 
-def report_sinks(tables: dict[str, DataFrame], path: str) -> None:
+def scalars(df: DataFrame) -> DataFrame:
+    """The columns that hold no arrays, maps or structs."""
+    return df.select(*(c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))))
+
+
+def report_sinks(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
+    """Each table as CSV with a header or as JSON lines; only scalar columns."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        w = scalars(df).write.mode("overwrite")
+        w.json(f"{path}/{name}") if kind == "json" else w.option("header", True).csv(f"{path}/{name}")

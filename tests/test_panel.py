@@ -1,6 +1,8 @@
 """Hand-computed values, edge cases and the no-look-ahead rule."""
 
 import datetime as dt
+import json
+import math
 import random
 
 import pandas as pd
@@ -162,7 +164,67 @@ def test_pairs_equal_direct_computation(spark):
     spread = w["A"] - beta * w[peer]
     r = got["A", end]
     assert r.peer == peer and r.pair_beta == pytest.approx(beta) and r.spread_zscore == pytest.approx((spread.iloc[-1] - spread.mean()) / spread.std(ddof=0))
-    assert C.spread_adf(C.spreads(df, 12, 5)).count() == len(got)
+    tested = {(r.tic, r.date): r for r in C.spread_adf(df, C.spreads(df, 12, 5), 12).collect()}
+    assert set(tested) == set(got)
+    stat, p = adf(spread.to_numpy())
+    assert tested["A", end].spread_adf_stat == pytest.approx(stat) and tested["A", end].spread_adf_pvalue == pytest.approx(p)
+
+
+def test_spread_tests_of_the_whole_panel_equal_direct_computation(spark):
+    """f48_f49: the z-score of the spread and its unit-root test, row by row in pandas."""
+    df = panel(spark, ("A", "B", "BB", "C", "D"), 40, seed=3)
+    got = {(r.tic, r.date): r for r in C.spread_adf(df, C.spreads(df, 12, 6), 12).collect()}
+    rows = {(r.tic, r.date): r for r in df.collect()}
+    groups = {}
+    for t, d in rows:
+        groups.setdefault(rows[t, d].grp, {}).setdefault(t, {})[d] = rows[t, d].close
+    seen = 0
+    for members in groups.values():
+        wide = pd.DataFrame(members).sort_index()
+        ret = wide.pct_change(fill_method=None)
+        spreads = {}
+        for i in range(11, len(wide)):
+            w, rr = wide.iloc[i - 11 : i + 1], ret.iloc[i - 11 : i + 1]
+            for t in wide:
+                c = {o: abs(rr[t].corr(rr[o])) for o in wide if o != t}
+                if not c:
+                    continue
+                peer = min(c, key=lambda o: (-round(c[o], 12), o))
+                s = w[t] - w[t].cov(w[peer]) / w[peer].var() * w[peer]
+                spreads.setdefault(t, {})[wide.index[i]] = s.iloc[-1]
+                r = got[t, wide.index[i]]
+                stat, p = adf(s.to_numpy())
+                assert r.peer == peer and (r.spread_adf_stat, r.spread_adf_pvalue) == (pytest.approx(stat, abs=1e-6), pytest.approx(p, abs=1e-6))
+                last = pd.Series(spreads[t]).iloc[-6:]
+                want = (last.iloc[-1] - last.mean()) / last.std(ddof=0) if len(last) == 6 else None
+                assert r.spread_norm == (pytest.approx(want, abs=1e-6) if want is not None else None)
+                seen += 1
+    assert seen == len(got) > 100
+
+
+def test_equilibrium_of_the_whole_panel_equals_direct_computation(spark):
+    """f50_f52, window by window in numpy."""
+    import numpy as np
+
+    df = panel(spark, ("A", "B", "BB", "C", "D"), 45, seed=5)
+    got = {(r.grp, r.date): r for r in C.equilibrium(df, 30, 10).collect()}
+    members = {}
+    for r in df.collect():
+        members.setdefault(r.grp, {}).setdefault(r.tic, {})[r.date] = r.close
+    for grp, closes in members.items():
+        wide = np.log(pd.DataFrame(closes).sort_index())
+        gaps = {}
+        for i in range(29, len(wide)):
+            w = wide.iloc[i - 29 : i + 1]
+            s = w.to_numpy() @ johansen_vector(w.to_numpy())
+            r = got.pop((grp, wide.index[i]))
+            gaps[wide.index[i]] = s[-1]
+            stat, p = adf(s)
+            assert r.equilibrium_gap == pytest.approx(s[-1]) and r.equilibrium_zscore == pytest.approx((s[-1] - s[-10:].mean()) / s[-10:].std())
+            assert r.equilibrium_adf_stat == pytest.approx(stat) and r.equilibrium_adf_pvalue == pytest.approx(p)
+            last = pd.Series(gaps).iloc[-10:]
+            assert r.equilibrium_gap_norm == (pytest.approx((last.iloc[-1] - last.mean()) / last.std(ddof=0)) if len(last) == 10 else None)
+    assert not got
 
 
 def test_unit_root_and_cointegration():
@@ -181,12 +243,154 @@ def test_trendlines_do_not_cross(spark):
     assert len(rows) == 21 and all(r.opt_channel_width_30 > 0 for r in rows)
 
 
+def test_trendlines_equal_a_row_by_row_search(spark):
+    """f15_f16: least squares line, then steps of halving length from the touched bar, in plain Python."""
+    import numpy as np
+
+    def search(y, pivot, slope, above, tolerance=1e-4):
+        def error(s):
+            gaps = [s * (i - pivot) + y[pivot] - v for i, v in enumerate(y)]
+            crossed = min(gaps) < -tolerance if above else max(gaps) > tolerance
+            return float("inf") if crossed else sum(g * g for g in gaps)
+
+        best = error(slope)
+        if best == float("inf"):
+            slope, best = 0.0, error(0.0)
+        step = max(max(max(y) - min(y), tolerance) / (len(y) - 1), tolerance)
+        for _ in range(40):
+            if step <= tolerance:
+                break
+            down, up = error(slope - step), error(slope + step)
+            if min(down, up) < float("inf") and min(down, up) <= best:
+                slope, best = (slope - step, down) if down <= up else (slope + step, up)
+            else:
+                step /= 2
+        return slope
+
+    df = panel(spark, ("A", "B"), 45, seed=9)
+    got = {(r.tic, r.date): r for r in L.trendlines(df, 20).collect()}
+    for t in ("A", "B"):
+        rows = df.where(F.col("tic") == t).orderBy("date").collect()
+        for i, r in enumerate(rows):
+            g = got[t, r.date]
+            if i < 19:
+                assert g.opt_slope_sup_20 is None and g.opt_slope_res_20 is None
+                continue
+            w = rows[i - 19 : i + 1]
+            close, low, high = ([x[c] for x in w] for c in ("close", "low", "high"))
+            slope, base = np.polyfit(range(20), close, 1)
+            line = [base + slope * k for k in range(20)]
+            lo = min(range(20), key=lambda k: low[k] - line[k])
+            hi = max(range(20), key=lambda k: high[k] - line[k])
+            sup, res = search(low, lo, slope, False), search(high, hi, slope, True)
+            assert (g.opt_slope_sup_20, g.opt_slope_res_20) == (pytest.approx(sup, abs=1e-6), pytest.approx(res, abs=1e-6))
+            assert g.opt_channel_width_20 == pytest.approx(res * (19 - hi) + high[hi] - sup * (19 - lo) - low[lo], abs=1e-4)
+
+
+def test_readers(spark, tmp_path):
+    df = panel(spark, ("A",), 3)
+    df.write.parquet(str(tmp_path / "saved/stocks.parquet"))
+    df.select("date").write.parquet(str(tmp_path / "saved/vix.parquet"))
+    assert set(I.load_saved(spark, str(tmp_path / "saved"))) == {"stocks", "vix"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        I.load_saved(spark, str(tmp_path / "none"))
+    df.write.option("header", True).csv(str(tmp_path / "bars.csv"))
+    assert I.read_scoring(spark, str(tmp_path / "bars.csv")).count() == I.read_scoring(spark, str(tmp_path / "saved/stocks.parquet")).count() == 3
+    df.drop("volume").write.parquet(str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="volume"):
+        I.read_scoring(spark, str(tmp_path / "short"))
+    quarter = '{"quarterly": {"2024-03-31": {"totalAssets": "10", "netIncome": "x"}, "bad": {"totalAssets": "1"}}}'
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "AB.json").write_text('{"Financials": {"Balance_Sheet": %s, "Income_Statement": {"quarterly": {"2024-06-30": {"netIncome": "3"}}}}}' % quarter)
+    rows = {(r.tic, str(r.date)): (r.totalAssets, r.netIncome) for r in I.statements(I.read_fundamentals(spark, str(tmp_path / "f"))).collect()}
+    assert rows["AB", "2024-03-31"] == (10.0, None) and rows["AB", "2024-06-30"] == (None, 3.0)  # either side alone
+
+
+def test_contracts_and_inventories(spark):
+    assert A.column_contract(["tic", "vix"], {"key": ["tic"]}, {"macro": ["vix", "bondyield"]}) == {"macro": {"present": ["vix"], "missing": ["bondyield"]}}
+    a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1,)], "x int")
+    A.same_columns({"train": a, "val": a}, ["x"])
+    for splits, wanted in (({"train": a, "val": b}, None), ({"train": a}, ["z"])):
+        with pytest.raises(ValueError):
+            A.same_columns(splits, wanted)
+    found = {r.family: r.n for r in A.feature_inventory(spark, ["tic", "date", "target", "rsi_7", "ema_50", "ema_200", "vix", "odd"]).collect()}
+    assert found == {"rsi": 1, "ema": 2, "macro": 1, "other": 1}
+    assert X.structure_metadata(["close", "doji"], ["close", "doji", "higher_high"]) == {"generated": ["higher_high"], "preserved": ["close", "doji"], "windows": [20, 60, 120, 252]}
+    v = spark.createDataFrame([(0.5,)], "x double").select(P.apply_inverse(F.col("x"), "affine", 2.0, 1.0).alias("a"), P.apply_inverse(F.col("x"), "log", 1.0, 3.0).alias("l")).first()
+    assert v.a == 2.0 and v.l == pytest.approx(3.6487212707)
+    logs = spark.createDataFrame([(float(i), math.log1p(i + 4.0)) for i in range(1, 9)], "raw double, norm double")
+    f = P.fit_inverse(logs).first()
+    assert f.kind == "log" and f.b == pytest.approx(-4.0) and f.residual < 1e-9
+    s = spark.createDataFrame([([3],), ([4, 3],)], "stock_id array<int>")
+    assert P.samples_by_ids(s, [3]).count() == 1
+
+
+def test_regime_labels(spark):
+    df = panel(spark, ("A",), 20).withColumn("target", F.lit(1.0))
+    samples = S.rich_samples(df, ["close"], 4, 2).withColumn("split", F.lit("train"))
+    known = df.where(F.col("date") < DAY + dt.timedelta(10)).select("tic", "date", F.lit(2).alias("regime_id"))
+    got = {r.label_date: r.regime_label for r in S.regime_labels(samples, known).collect()}
+    assert all(v == (2 if k < DAY + dt.timedelta(10) else 1) for k, v in got.items()) and len(got) == samples.count()
+    assert {r.regime_label for r in S.regime_labels(samples).collect()} == {0, 1, 2}
+    assert {r.regime_label for r in S.regime_labels(samples, included=False).collect()} == {0}
+
+
+def test_preprocess_exports_before_the_fill(spark, tmp_path):
+    from loompanel.plans.pipelines import preprocess
+
+    df = panel(spark, ("A", "B"), 20).withColumn("vix", F.when(F.dayofmonth("date") % 2 == 0, F.lit(20.0))).withColumn("target", F.lit(1.0))
+    out, params = preprocess(df, export=str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert raw.where("vix IS NULL").count() > 0 == out.where("vix IS NULL").count() and "tic_id" in raw.columns and raw.count() == out.count() == 40
+    back = J.realign(out.select("tic", "date", "close"), raw, ("tic", "date"))
+    assert back.where("raw_close < 50").count() == 0
+    K.export_normalised(out, str(tmp_path / "ready"))
+    assert not {"tic", "date", "grp", "split"} & set(spark.read.parquet(str(tmp_path / "ready")).columns)
+    with pytest.raises(ValueError, match="target"):
+        preprocess(df.drop("target"))
+
+
+def test_splits_arrays_metadata_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("A", 0, "train", [1.0, 2.0], [1]), ("A", 1, "val", [3.0], [2])], "tic string, start int, split string, features array<double>, day_seq array<int>")
+    K.write_splits(df, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s/split=val")).first().features == [3.0]
+    K.write_arrays(df, str(tmp_path / "a"), ["features", "day_seq"])
+    parts = [spark.read.parquet(str(tmp_path / "a" / k)) for k in ("features", "day_seq")]
+    assert parts[0].join(parts[1], ["split", "tic", "start"]).select(df.columns).orderBy("start").collect() == df.orderBy("start").collect()
+    K.write_metadata(spark, str(tmp_path / "m"), ["x", "y"], 10, 5, P.regime_params(spark, "vix", [1.0, 2.0]), num_stocks=3)
+    info = json.loads(spark.read.text(str(tmp_path / "m/info")).first().value)
+    assert info["regime_params"] == {"vix": {"cut_0": 1.0, "cut_1": 2.0, "default": 1.0}} and info["num_stocks"] == 3 and info["feature_cols"] == ["x", "y"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "m/features")).collect()] == ["x", "y"]
+    K.report_sinks({"trades": df}, str(tmp_path / "r"), "json")
+    assert spark.read.json(str(tmp_path / "r/trades")).columns == ["split", "start", "tic"]
+    K.report_sinks({"trades": df}, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c/trades")).count() == 2
+    shown = S.preview(df.withColumn("date", F.lit(DAY)).withColumn("target", F.lit(1.0)).withColumn("features", F.array("features"))).first()
+    assert (shown.start_day, shown.end_day, shown.start_month, shown.last_step) == (1, 1, -1, [1.0, 2.0])
+
+
+def test_failure_ledger(spark):
+    at = dt.datetime(2024, 1, 1)
+    new = spark.createDataFrame([("A", "x", at), ("A", "y", at + dt.timedelta(1)), ("B", "z", at)], "tic string, reason string, at timestamp")
+    empty = spark.createDataFrame([], "tic string, first_reason string, last_reason string, first_at timestamp, last_at timestamp, attempts bigint")
+    ledger = K.failure_upsert(K.failure_upsert(empty, new), new.where("tic = 'B'"))
+    rows = {r.tic: (r.first_reason, r.last_reason, r.attempts) for r in ledger.collect()}
+    assert rows == {"A": ("x", "y", 2), "B": ("z", "z", 2)}
+    assert [r.tic for r in K.failure_removed(ledger, "A").collect()] == ["B"] and K.failure_removed(ledger).count() == 0
+    names = spark.createDataFrame([("A",), ("C",)], "tic string")
+    assert [r.tic for r in K.without_failed(names, ledger).collect()] == ["C"] and K.without_failed(names, ledger, enabled=False).count() == 2
+    assert {r.last_reason: r.n for r in K.failure_summary(ledger).collect()} == {"y": 1, "z": 1}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("A", DAY, 1.0)], "tic string, date date, x double")
     made = []
     for _ in range(2):
         K.stage(spark, str(tmp_path), "s", {"a": 1}, lambda: made.append(1) or df).collect()
     assert len(made) == 1
+    K.stage(spark, str(tmp_path), "s", {"a": 1}, lambda: made.append(1) or df, (X.calendar,)).collect()  # other code
+    K.stage(spark, str(tmp_path), "s", {"a": 2}, lambda: made.append(1) or df).collect()  # other settings
+    assert len(made) == 3 and K.fingerprint({}, (X.calendar,)) != K.fingerprint({}, (X.roc,))
     with pytest.raises(ValueError):
         K.export_normalised(df.withColumn("name", F.lit("x")))
     K.append_run(spark, str(tmp_path / "runs"), {"run": "a", "metrics": {"mse": 1}})
