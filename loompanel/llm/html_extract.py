@@ -2,11 +2,14 @@
 
 *Tree.*  A page is parsed leniently (implied end tags, unclosed elements, raw script and style); its
 block elements and the text blocks inside them are the nodes.  Inline elements belong to their block.
+Parsing takes time in proportion to the page's length, whatever is left open in it.
 
 *Model.*  Every node is content or not.  A node potential for an element's features (hints in class, id
 and role, share of link text, length, sentences) and a potential between parent and child, by the
-child's kind of tag, are estimated by counting over labelled pages.  Sum-product messages go up the tree and down again; a text block is
-kept if its marginal probability of content is at least one half.
+child's kind of tag and whether it stands inside an article, are estimated by counting over labelled
+pages.  Wrappers that say nothing and hold one part pass the state on, however deep they are nested.
+Sum-product messages go up the tree and down again; a text block is kept if its marginal probability of
+content is at least one half.
 
 *Text.*  Character references are decoded, white space in a block becomes one space, blocks are trimmed
 and joined in page order by a blank line.  Nothing else is dropped or cut.
@@ -31,30 +34,39 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object canvas textarea title select audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+#: What stands in these is no text of the page; the first four run to the end of the page if they are not closed.
+TO_THE_END = set("script style title textarea".split())
+DROPPED = TO_THE_END | set("noscript template svg iframe canvas select audio video button".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var object picture math semantics annotation mi mn mo ms mtext mrow msup msub mfrac msqrt mroot mover munder mtable mtr mtd".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "option": {"option"}}
-SCOPES = set("table ul ol dl div section article main body aside header footer nav form td".split())
+#: Tags whose start tag closes an open one of the same group, and the elements beyond which it closes none.
+GROUPS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "thead": 5, "tbody": 5, "tfoot": 5}
+CLOSES = {"li": (1,), "dt": (2,), "dd": (2,), "td": (4,), "th": (4,), "tr": (3, 4), "thead": (3, 4, 5), "tbody": (3, 4, 5), "tfoot": (3, 4, 5)}
+SCOPES = set("table ul ol dl div section article main body aside header footer nav form td th".split())
+LISTS = set("table ul ol dl menu".split())
+NOWHERE = (-1,) * 6
 #: Tags by kind; other block tags are kind 0.
-KINDS = [set(), {"article", "main"}, {"section", "div"}, {"p", "blockquote", "pre", "figure", "figcaption", "dd"}, set("h1 h2 h3 h4 h5 h6 hgroup".split()), set("ul ol dl menu".split()), {"li", "dt"}, {"nav"}, {"header"}, {"footer", "address"}, {"aside"}, set("form fieldset".split()), set("table tbody thead tr".split()), {"td", "th"}, {"html", "body"}, {"#text"}]
+KINDS = [set(), {"article", "main"}, {"section", "div"}, {"p", "blockquote", "pre", "figure", "figcaption", "dd"}, set("h1 h2 h3 h4 h5 h6 hgroup".split()), set("ul ol dl menu".split()), {"li", "dt"}, {"nav"}, {"header"}, {"footer", "address"}, {"aside"}, set("form fieldset".split()), set("table tbody thead tfoot tr".split()), {"td", "th"}, {"html", "body"}, {"#text"}]
 KIND = {t: i for i, tags in enumerate(KINDS) for t in tags}
-AGAINST = re.compile(r"(?<![a-z])(?:ads?|adsby\w*|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|foot\w*|head(?:er)?|masthead|comments?\w*|disqus\w*|repl(?:y|ies)|cookies?\w*|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|relat\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|search\w*|form|widgets?|copyright|legal|disclaimer|toolbar|tags?|tagcloud|skip|banner|complementary|contentinfo|navigation|dialog)(?![a-z])")
+#: Words that authors of pages use in names of classes, by what they say about the part.
+AGAINST = re.compile(r"(?<![a-z])(?:ads?|adsby\w*|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|rail|foot\w*|head(?:er)?|masthead|comments?\w*|disqus\w*|repl(?:y|ies)|respon(?:d|ses?)|discussions?|reactions?|feedback|threads?|cookies?\w*|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|relat\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|search\w*|form|widgets?|copyright|legal|disclaimer|toolbar|tags?|tagcloud|skip|complementary|contentinfo|navigation|dialog)(?![a-z])")
 IN_FAVOUR = re.compile(r"(?<![a-z])(?:article\w*|content|post|entry|main|story|body|text|prose|page)(?![a-z])")
-#: Attributes are taken without backtracking: quoted strings whole, a quote that never closes as it stands.
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>])*+)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+OPENING = re.compile(r"=\s*+([\"'])|>")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|data-main)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 FEATURES = (4, 5, 6, 3)
 
 
 @dataclass
 class Tree:
-    """Nodes in page order (parents first): parent, kind, hint; text blocks by node."""
+    """Nodes in page order (parents first): parent, kind, hint, whether they stand inside an article or a
+    part whose name speaks in favour; text blocks by node."""
 
     parent: list[int]
     kind: list[int]
     hint: list[int]
     mark: list[bool]
+    inside: list[bool]
     blocks: dict[int, tuple[str, int]]  # text, and its characters in links
 
 
@@ -65,117 +77,181 @@ def _hint(attributes: str) -> tuple[int, bool]:
     return (1 if AGAINST.search(said) else 0) + (2 if IN_FAVOUR.search(said) else 0), found.get("data-main") == "1"
 
 
-def parse(html: str) -> Tree:
-    tree = Tree([-1], [KIND["html"]], [0], [False], {})
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones have their block's node
-    pieces: list[str] = []
-    linked: list[str] = []
-    links = 0
-
-    def node(parent: int, kind: int, hint: int = 0, mark: bool = False) -> int:
+class Tags:
+    """The tags of a page, in one pass: (start, end, whether an end tag, name, attributes).  Comments and
+    declarations have the name "".  A quote that never closes, or behind which no tag ends, stands as it is;
+    a tag that never ends is text."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.plain = html, html.rfind(">"), False
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; a ``>`` is known to follow."""
+        if not self.plain:
+            i = at
+            while m := OPENING.search(self.html, i):
+                quote = m.group(1)
+                if quote is None:
+                    return m.start()
+                close = -1 if quote in self.unclosed else self.html.find(quote, m.end())
+                if close < 0:
+                    self.unclosed.add(quote)
+                i = m.end() if close < 0 else close + 1
+            self.plain = True
+        return self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        html = self.html
+        while 0 <= (i := html.find("<", at)) < self.last:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(html), False, "", ""
+            closing = html.startswith("</", i)
+            name = NAME.match(html, i + 1 + closing)
+            if name:
+                end = self.end(name.end())
+                return i, end + 1, closing, name.group().lower(), html[name.end() : end]
+            if closing or html[i + 1] in "!?":
+                return i, html.find(">", i) + 1, False, "", ""
+            at = i + 1
+        if i >= 0 and (i := html.find("<!--", i)) >= 0:  # a comment without an end
+            return i, len(html), False, "", ""
+        return None
+
+
+class Builder:
+    """Makes the tree: a stack of open blocks, each with its open inline elements.  Every step costs time
+    in proportion to what it opens and closes, so a page costs time in proportion to its length."""
+
+    def __init__(self) -> None:
+        self.tree = Tree([-1], [KIND["html"]], [0], [False], [False], {})
+        self.open: list[tuple[str, int, tuple[int, ...], list[str], dict[str, int]]] = [("html", 0, NOWHERE, [], {})]
+        self.count: dict[str, int] = {}  # open blocks by tag
+        self.pieces: list[str] = []
+        self.linked: list[str] = []
+        self.links = 0
+
+    def node(self, kind: int, hint: int = 0, mark: bool = False, favour: bool = False) -> int:
+        tree, parent = self.tree, self.open[-1][1]
         tree.parent.append(parent)
         tree.kind.append(kind)
         tree.hint.append(hint)
         tree.mark.append(mark)
+        tree.inside.append(tree.inside[parent] or tree.kind[parent] == 1 or tree.hint[parent] == 2)
         return len(tree.parent) - 1
 
-    def flush() -> None:
-        nonlocal pieces, linked
-        if pieces:
-            text = " ".join("".join(pieces).split())
+    def flush(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
             if text:
-                tree.blocks[node(stack[-1][1], KIND["#text"])] = text, min(len(text), len("".join(linked)))
-            pieces, linked = [], []
+                self.tree.blocks[self.node(KIND["#text"])] = text, min(len(text), len("".join(self.linked)))
+            self.pieces, self.linked = [], []
 
-    def add(raw: str) -> None:
+    def add(self, raw: str) -> None:
         if raw:
             text = unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if links:
-                linked.append(text)
-
-    def close(depth: int) -> None:
-        """Close the open elements from this place of the stack on."""
-        nonlocal links
-        if any(t not in INLINE for t, _ in stack[depth:]):
-            flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
-    def close_nearest(tags: set[str], bounds: set[str]) -> None:
-        for d in range(len(stack) - 1, 0, -1):
-            if stack[d][0] in tags:
-                close(d)
-                return
-            if stack[d][0] in bounds:
-                return
-
-    at, skip = 0, 0
-    for m in TOKEN.finditer(html):
-        if m.start() < skip:
-            continue
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m.group(1):  # end tag
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == tag:
-                    close(d)
-                    break
-                if tag in INLINE and stack[d][0] not in INLINE:
-                    break
-            continue
-        if tag in RAW:
-            if tag not in INLINE:
-                flush() if tag in ("title", "iframe", "object", "video", "audio", "canvas", "textarea", "select") else None
-            if not m.group(3).rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{tag}\s*[^>]*>", re.IGNORECASE).search(html, at)
-                at = skip = end.end() if end else len(html)
-            continue
-        if tag in ("br", "wbr", "img", "input"):
-            if tag == "br":
-                pieces.append(" ")
-            continue
-        if tag in VOID:
+            self.pieces.append(text)
+            if self.links:
+                self.linked.append(text)
+
+    def close(self, depth: int) -> None:
+        """Close the open blocks from this place of the stack on."""
+        if len(self.open) > depth:
+            self.flush()
+        while len(self.open) > depth:
+            tag, _, _, inline, _ = self.open.pop()
+            self.count[tag] -= 1
+            self.links -= inline.count("a")
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self.pieces.append(" ")
+        elif tag in INLINE:
+            inline, count = self.open[-1][3:]
+            inline.append(tag)
+            count[tag] = count.get(tag, 0) + 1
+            self.links += tag == "a"
+        elif tag == "body":
+            self.flush()
+            self.close(1)
+            self.open[0][3].clear()
+            self.open[0][4].clear()
+            self.links = 0
+        elif tag in ("html", "head"):
+            self.flush()
+        elif tag == "hr" or tag not in VOID:
+            near = self.open[-1][2]
+            if tag in CLOSES_P and near[0] > 0:
+                self.close(near[0])
+            if tag in CLOSES and (at := [near[g] for g in CLOSES[tag] if near[g] > 0]):
+                self.close(min(at))
+            self.flush()
             if tag == "hr":
-                close_nearest({"p"}, SCOPES)
-                flush()
-            continue
+                return
+            near = self.open[-1][2]
+            hint, mark = _hint(attributes) if attributes else (0, False)
+            node = self.node(KIND.get(tag, 0), hint, mark)
+            if tag in GROUPS or tag in SCOPES or tag in LISTS:
+                own = list(NOWHERE if tag in LISTS else near)
+                if tag in SCOPES:
+                    own[0] = -1
+                if tag in GROUPS:
+                    own[GROUPS[tag]] = len(self.open)
+                near = tuple(own)
+            self.open.append((tag, node, near, [], {}))
+            self.count[tag] = self.count.get(tag, 0) + 1
+
+    def end(self, tag: str) -> None:
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            continue
-        if tag == "html":
-            continue
-        if tag in CLOSES_P:
-            close_nearest({"p"}, SCOPES - {"p"})
-        if tag in SELF_CLOSING:
-            close_nearest(SELF_CLOSING[tag], {"table", "ul", "ol", "dl", "menu"})
-            if tag == "tr":
-                close_nearest({"tr"}, {"table"})
-        flush()
-        if tag in ("head", "body"):  # their own end does not matter
-            if tag == "body":
-                del stack[1:]
-                links = 0
-            continue
-        hint, mark = _hint(m.group(3)) if m.group(3) else (0, False)
-        stack.append((tag, node(stack[-1][1], KIND.get(tag, 0), hint, mark)))
-    if skip < len(html):
-        add(html[at:])
-    flush()
-    return tree
+            inline, count = self.open[-1][3:]
+            while count.get(tag):
+                last = inline.pop()
+                count[last] -= 1
+                self.links -= last == "a"
+                if last == tag:
+                    break
+        elif self.count.get(tag):
+            depth = len(self.open) - 1
+            while self.open[depth][0] != tag:
+                depth -= 1
+            self.close(depth)
+        elif tag == "p":
+            self.flush()
+
+
+def parse(html: str) -> Tree:
+    build, tags = Builder(), Tags(html)
+    at = 0
+    never: set[str] = set()  # dropped elements without an end tag from here on
+    while found := tags.next(at):
+        start, end, closing, tag, attributes = found
+        build.add(html[at:start])
+        at = end
+        if closing:
+            build.end(tag)
+        elif tag in DROPPED:
+            if tag in never or attributes.endswith("/") and tag not in TO_THE_END:
+                continue
+            stop = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, at)
+            if stop:
+                at = max(html.find(">", stop.end() - 1) + 1, stop.end())
+            elif tag in TO_THE_END:
+                at = len(html)
+            else:
+                never.add(tag)
+        elif tag:
+            build.start(tag, attributes)
+    build.add(html[at:])
+    build.flush()
+    return build.tree
 
 
 def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
-    """The discrete features of every element; a text block has none of its own."""
+    """The discrete features of every element; a text block, and a plain wrapper around one part, have none
+    of their own."""
     n = len(tree.parent)
-    chars, linked, ends = [0] * n, [0] * n, [0] * n
+    chars, linked, ends, parts = [0] * n, [0] * n, [0] * n, [0] * n
     for i, (text, in_links) in tree.blocks.items():
         chars[i], linked[i] = len(text), in_links
         ends[i] = text.count(". ") + text.count(", ") + text.endswith((".", "!", "?", "…"))
@@ -184,9 +260,10 @@ def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         ends[p] += ends[i]
-    out = []
+        parts[p] += chars[i] > 0
+    out: list[tuple[int, int, int, int] | None] = []
     for i in range(n):
-        if i in tree.blocks:
+        if i in tree.blocks or tree.kind[i] in (0, 2) and not tree.hint[i] and parts[i] == 1:
             out.append(None)
             continue
         share = linked[i] / chars[i] if chars[i] else 0
@@ -197,10 +274,19 @@ def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
     return out
 
 
+#: A plain wrapper around one part is what the part around it is.
+STRAIGHT = [[0.999, 0.001], [0.001, 0.999]]
+
+
+def case(tree: Tree, i: int) -> int:
+    """Which pair potential a node has with its parent: by its kind, whether it stands inside an article, and
+    whether its name speaks against it."""
+    return 4 * tree.kind[i] + 2 * tree.inside[i] + (tree.hint[i] == 1)
+
+
 @dataclass
 class TreeModel:
-    """root: shares of the states at the root.  pair[kind][parent][child]: potential between states,
-    by the child's kind.  node[feature][state][value]: node potentials."""
+    """root: shares of the states at the root.  pair[case][parent][child]: potential between states.  node[feature][state][value]: node potentials."""
 
     root: list[float]
     pair: list[list[list[float]]]
@@ -211,7 +297,9 @@ class TreeModel:
         n = len(tree.parent)
         hint, density, size, ends = self.node
         up0, up1 = [0.5] * n, [0.5] * n
+        pairs = []
         for i, seen in enumerate(observed(tree)):
+            pairs.append(self.pair[case(tree, i)] if seen or i in tree.blocks else STRAIGHT)
             if seen:
                 f, g, h, k = seen
                 up0[i] = hint[0][f] * density[0][g] * size[0][h] * ends[0][k]
@@ -221,7 +309,7 @@ class TreeModel:
             s = up0[i] + up1[i]
             u, v = up0[i] / s, up1[i] / s
             up0[i], up1[i] = u, v
-            (p00, p01), (p10, p11) = self.pair[tree.kind[i]]
+            (p00, p01), (p10, p11) = pairs[i]
             to0[i], to1[i] = p00 * u + p01 * v, p10 * u + p11 * v
             p = tree.parent[i]
             x, y = up0[p] * to0[i], up1[p] * to1[i]
@@ -231,7 +319,7 @@ class TreeModel:
         for i in range(n):
             if i:
                 p = tree.parent[i]
-                (p00, p01), (p10, p11) = self.pair[tree.kind[i]]
+                (p00, p01), (p10, p11) = pairs[i]
                 # all that the parent knows but from this child
                 x, y = up0[p] * down0[p] / to0[i], up1[p] * down1[p] / to1[i]
                 d0, d1 = x * p00 + y * p10, x * p01 + y * p11
@@ -263,15 +351,15 @@ def states_of(tree: Tree) -> list[int]:
 def count_tree_model(trees: list[Tree], power: float) -> TreeModel:
     """Shares by counting.  ``power`` softens the potentials of what the text looks like: siblings look
     alike, and each counts as evidence of its own."""
-    pair = [[[1.0, 0.02], [1.0, 1.0]] for _ in KINDS]  # content hardly stands in what is none
+    pair = [[[1.0, 0.02], [1.0, 1.0]] for _ in range(4 * len(KINDS))]  # content hardly stands in what is none
     node = [[[0.5] * size for _ in range(2)] for size in FEATURES]
     root = [0.5, 1.0]
     for tree in trees:
         state = states_of(tree)
         root[state[0]] += 1
         for i, values in enumerate(observed(tree)):
-            if i:
-                pair[tree.kind[i]][state[tree.parent[i]]][state[i]] += 1
+            if i and (values or i in tree.blocks):
+                pair[case(tree, i)][state[tree.parent[i]]][state[i]] += 1
             for f, v in enumerate(values or ()):
                 node[f][state[i]][v] += 1
     pair = [[[x / sum(row) for x in row] for row in table] for table in pair]
@@ -291,11 +379,12 @@ def fit_tree_model(pages: Iterable[str], powers: tuple[float, ...] = (0.05, 0.1,
     return count_tree_model(trees, min(powers, key=wrong))
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
-    """Pages of many layouts with their content marked, drawn from rules: where the article stands, and
-    which menus, headers, notices, adverts, forms, comments, sidebars and footers stand around it."""
+def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
+    """Pages of many layouts with their content marked, drawn from rules: where the article stands, how
+    deep, and which menus, headers, notices, adverts, forms, comments, sidebars and footers stand around it."""
     r = random.Random(seed)
     syllables = ["la", "ne", "ti", "or", "en", "sch", "al", "qu", "io", "er", "ta", "mo", "vi", "do"]
+    m = ' data-main="1"'
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high)))
@@ -306,58 +395,86 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
     def links(count: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{i}">{words(1, 4)}</a></{tag}>' for i in range(count))
 
+    def named(kind: str, names: str, inner: str) -> str:
+        return f'<{kind} {r.choice(["class", "class", "id"])}="{r.choice(names.split())}">{inner}</{kind}>'
+
+    def wrapped(inner: str, most: int) -> str:
+        """In up to ``most`` elements that say nothing."""
+        for _ in range(r.randint(0, most)):
+            inner = r.choice(["<div>{}</div>", "<div>{}</div>", "<section>{}</section>", '<div class="row">{}</div>', '<div class="c-12">{}</div>']).format(inner)
+        return inner
+
+    def paragraph() -> str:
+        text = prose(1, r.choice([1, 2, 6, 10]))
+        if r.random() < 0.3:
+            text += f' <a href="#">{words(1, 3)}</a> {prose(1, 1)}'
+        if r.random() < 0.2:
+            text = f"<{(t := r.choice(['em', 'strong', 'span', 'i']))}>{prose(1, 2)}</{t}> {text}"
+        return r.choice([f"<p{m}>{text}</p>"] * 5 + [f"<p{m}>{text}", f"<div{m}>{text}</div>"])
+
     def article() -> str:
-        m = ' data-main="1"'
-        parts = [f"<h1{m}>{words(3, 10).capitalize()}</h1>"]
-        for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
+        title = f"<h1{m}>{words(3, 10).capitalize()}</h1>"
+        if r.random() < 0.25:
+            title = f"<header>{title}{r.choice(['', f'<p{m}>{prose(1, 1)}</p>'])}</header>"
+        parts = [title]
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
-            text = prose(1, r.choice([1, 2, 6, 10]))
-            if r.random() < 0.3:
-                text += f' <a href="#">{words(1, 3)}</a> {prose(1, 1)}'
-            if kind < 0.7:
-                parts.append(f"<p{m}>{text}</p>" if r.random() < 0.7 else f"<p{m}><b>{text}<br>")
-            elif kind < 0.78:
+            if kind < 0.66:
+                parts.append(wrapped(paragraph(), r.choice([0, 0, 0, 2])))
+            elif kind < 0.74:
                 parts.append(f"<h2{m}>{words(1, 6)}</h2>")
-            elif kind < 0.86:
+            elif kind < 0.82:
                 parts.append("<ul>" + "".join(f"<li{m}>{prose(1, 1)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif kind < 0.87:
+                parts.append(r.choice([f"<blockquote{m}>{prose(1, 3)}</blockquote>", f"<blockquote><p{m}>{prose(1, 3)}</p></blockquote>", f"<pre{m}>{prose(1, 3)}</pre>"]))
             elif kind < 0.91:
-                parts.append(f"<blockquote{m}>{prose(1, 3)}</blockquote>")
-            elif kind < 0.95:
                 parts.append(f"<table><tr><td{m}>{words(1, 4)}</td><td{m}>{words(1, 4)}</td></tr></table>")
-            else:
+            elif kind < 0.95:
                 parts.append(f"<figure><figcaption{m}>{words(3, 9)}</figcaption></figure>")
+            else:
+                parts.append(wrapped("".join(paragraph() for _ in range(r.randint(2, 4))), 3))
             if r.random() < 0.06:
-                parts.append(f'<div class="{r.choice(["ad", "advert", "promo-box", "sponsored"])}">{prose(1, 2)}</div>')
+                parts.append(named("div", "ad advert promo-box sponsored advertisement ad-slot", prose(1, 2)))
             if r.random() < 0.04:
                 parts.append(f'<aside class="related"><ul>{links(3)}</ul></aside>')
-        body = "".join(parts)
-        return r.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div id="content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<article class="post-body"><section>{}</section></article>', '<main role="main">{}</main>', '<div class="wrap"><div class="story">{}</div></div>']).format(body)
+        if r.random() < 0.1:
+            parts.append(f"<footer>{links(r.randint(2, 4), 'span')}</footer>")
+        body = wrapped("".join(parts), r.choice([0, 0, 1, 4]))
+        if r.random() < 0.08:  # a text without paragraphs
+            body = f"<div{m}>{prose(1, 4)}<br><br>{prose(1, 4)}<br>{prose(1, 3)}</div>"
+        return r.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div id="content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<article class="post-body"><section>{}</section></article>', '<main role="main">{}</main>', '<div class="wrap"><div class="story">{}</div></div>', "<div>{}</div>", "<div>{}</div>", "{}"]).format(body)
+
+    def comments() -> str:
+        kind = r.choice(["li", "div", "article"])
+        inner = "".join(f"<{kind}>{r.choice(['', f'<b>{words(1, 2)}</b>'])}<p>{prose(1, 4)}</p></{kind}>" for _ in range(r.randint(1, 6)))
+        inner = f"<h3>{words(1, 2)}</h3>" + (f"<ol>{inner}</ol>" if kind == "li" else inner)
+        return named(r.choice(["section", "div"]), "comments comment-list responses discussion thread replies reader-reactions", inner)
 
     def before() -> list[str]:
         return [
             f"<nav><ul>{links(r.randint(3, 9))}</ul></nav>",
-            f'<div class="{r.choice(["menu", "navbar", "top-nav"])}">{links(r.randint(3, 8), "span")}</div>',
-            f'<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>',
-            f'<div class="{r.choice(["header", "masthead", "site-header"])}"><a href="/">{words(1, 2)}</a> {words(2, 5)}</div>',
-            f'<div class="{r.choice(["ad", "ads", "advert", "banner"])}">{prose(1, 2)}</div>',
-            f'<div class="{r.choice(["cookie-notice", "notice", "consent", "alert"])}"><p>{prose(1, 2)}</p><button>{words(1, 1)}</button></div>',
+            named("div", "menu navbar top-nav navigation", links(r.randint(3, 8), "span")),
+            f"<header>{wrapped(f'<h1>{words(1, 3)}</h1><p>{words(3, 8)}</p>', 1)}</header>",
+            named("div", "header masthead site-header", f'<a href="/">{words(1, 2)}</a> {words(2, 5)}'),
+            named("div", "ad ads advert banner sponsor", wrapped(f"<p>{prose(1, 2)}</p>", 2)),
+            named("div", "cookie-notice notice consent alert", f"<p>{prose(1, 2)}</p><button>{words(1, 1)}</button>"),
             f'<form action="/s"><label>{words(1, 2)}</label><input name="q"><button>{words(1, 1)}</button></form>',
             f'<ul class="breadcrumb">{links(3)}</ul>',
+            wrapped(f"<ul>{links(r.randint(3, 7))}</ul>", 2),
         ]
 
     def after() -> list[str]:
-        comments = "".join(f"<li><p>{prose(1, 3)}</p></li>" for _ in range(r.randint(1, 6)))
         return [
-            f"<footer><p>{prose(1, 2)}</p></footer>",
-            f"<footer>&copy; {words(1, 2)} &middot; {prose(1, 3)}</footer>",
+            f"<footer>{wrapped(f'<p>{prose(1, 2)}</p>', 1)}</footer>",
+            f"<footer>{words(1, 2)} {r.choice(['|', '-', '/'])} {prose(1, 3)}</footer>",
             f'<div id="footer" class="footer">{words(3, 9)} {links(3, "span")}</div>',
             f"<aside><h3>{words(1, 3)}</h3><ul>{links(r.randint(3, 6))}</ul></aside>",
-            f'<div class="sidebar"><p>{prose(1, 3)}</p>{links(4, "p")}</div>',
-            f'<section id="comments"><h3>{words(1, 2)}</h3><ol>{comments}</ol></section>',
-            f'<div class="comments"><div class="comment"><p>{prose(1, 4)}</p></div><div class="comment"><p>{prose(1, 4)}</p></div></div>',
-            f'<div class="{r.choice(["related", "share", "social", "newsletter", "subscribe"])}"><p>{words(2, 9)}</p><ul>{links(4)}</ul></div>',
+            named("div", "sidebar side-bar right-rail", f"<p>{prose(1, 3)}</p>{links(4, 'p')}"),
+            comments(),
+            comments(),
+            named("div", "related share social newsletter subscribe", f"<p>{words(2, 9)}</p><ul>{links(4)}</ul>"),
             f'<form class="newsletter"><p>{prose(1, 1)}</p><input type="email"></form>',
-            f'<div class="ad">{prose(1, 2)}</div>',
+            named("div", "ad advert promo sponsored", prose(1, 2)),
         ]
 
     pages = []
@@ -366,11 +483,10 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
         last = [b for b in after() if r.random() < 0.35]
         r.shuffle(first)
         r.shuffle(last)
-        title = words(2, 7)
         inner = "".join([*first, article(), *last])
         if r.random() < 0.3:
             inner = f'<div id="{r.choice(["page", "wrapper", "container"])}">{inner}</div>'
-        pages.append(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><script>var a='<p>';</script><!-- {i} -->{inner}</body></html>")
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 7)}</title><style>p{{}}</style></head><body><script>if (a < b) document.write('<p>');</script><!-- {i} -->{inner}</body></html>")
     return pages
 
 
