@@ -1,31 +1,40 @@
 """Toxicity by noisy-channel deobfuscation.
 
-*Channel.*  A writer hides a word by look-alike characters (``1d10t``), by pulling its letters apart
-(``i d i o t``, ``i.d-iot``, ``i. d. i. o. t.``) or by repeating them (``iidiooot``).  A token that shows
-such signs becomes a lattice: each character may stand for itself or for the letters it can imitate, a
-run of equal letters for one or two of them, a space between single letters and a run of separators
-for itself or nothing.  Viterbi decoding under a character trigram model finds the likeliest reading;
-tokens without signs have one reading, themselves.  Weak signs (one doubled letter, a look-alike at an
-end, separators between longer parts) also occur in plain text: there the token's own words count
-besides the decoded one, and a restored text keeps the token.  Tokens of digits alone are numbers.
-
-*Language model.*  Trigrams of letters are counted over all documents: each task adds up an array over a
-fixed alphabet, so what moves grows with the number of tasks and what is gathered has a fixed bound.
-
-*Score.*  From labelled texts (a bounded sample, ``train_docs``) the words of restored texts and their
-beginnings are counted by label.  Those that mark toxic texts beyond chance (lower confidence bound of
-their precision at ``MARK`` or more) are counted anew by the distinct pairs of words around them, so
-that copies of a text count once; those still beyond chance weigh the log of their odds.  A logistic
-regression on the sum and the largest of a text's weights and on its length gives the score.  Texts
-are scored whole, row by row.
-
-Nulls count as empty texts (a low score, as for any text without marks).  Unlabelled rows and null labels train nothing.
-Repeated rows each get a row; other input columns are not read.
+*Channel.*  A writer hides a word by look-alike characters (``1d10t``, Cyrillic or accented letters), by
+pulling it apart (``i d i o t``, ``i.d-iot``, ``id iot``) or by repeating letters (``iidiooot``).  A token
+becomes a lattice: each character may stand for itself or for the letters it can imitate, a run of equal
+letters for one or two of them, a space between pieces and a run of separators for itself or nothing.
+Viterbi decoding under a character trigram model finds the likeliest reading.  Strong signs replace the
+token in the restored text; weak ones (one doubled letter, a look-alike at an end, separators between
+longer parts) also occur in plain text: there the token's own words count besides the decoded one.
+Tokens of digits alone are numbers.
+
+*Language model.*  Trigrams of characters are counted over all documents into a table in the shared
+folder, which grows with what the corpus holds.  Decoding takes from it the trigrams of the letters it
+can meet: the ``LETTERS`` most frequent ones and those that can be imitated, so what is broadcast has a
+fixed bound.
+
+*Gate.*  Readings of one token share a skeleton: look-alikes as letters, runs as one letter, separators
+gone.  A token is decoded if the skeleton of a part of it is that of a marked word or begins with that of a
+marked stem; no other token can be read as one, so nothing is lost.
+
+*Score.*  In labelled texts (a bounded sample, ``train_docs``) skeletons and their beginnings are counted
+by label.  Tokens whose skeletons mark toxic texts beyond chance (lower confidence bound of their precision
+at ``MARK`` or more) are decoded, and the words and stems read are counted anew by the distinct pairs of
+words around them, so that copies of a text count once; those still beyond chance weigh the log of their
+odds.  A logistic regression on a text's largest weights, its length and the weight for its length gives
+the score; both labels weigh the same in it.  Texts are scored whole, row by row.
+
+Nulls count as empty texts (a low score, as for any text without marks).  Unlabelled rows and null labels
+train nothing; a text of an id trains once for each of its labels.  Repeated rows each get a row; other
+input columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,171 +47,258 @@ from pyspark.sql import functions as F
 
 from loompanel.llm.common import materialise, text_of
 
-#: The letters that a character can imitate.
+#: The letters that a character can imitate, and letters of other alphabets by their looks.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
-SIGNS = re.compile(r"[^\W\d_][0134578@$!|+€£]+[^\W\d_]|^[0134578@$]+[^\W\d_]{2}|[^\W\d_]{2}[0134578@$]+$|([^\W\d_])\1\1")
-APART = re.compile(r"^[^\W_](?:[.\-_*~/\\,][^\W_]){2,}$")
-SEPARATORS = re.compile(r"[.\-_*~/\\,]+")
-WEAK = re.compile(r"([^\W\d_])\1|[0134578@$!|+€£]|[^\W_][.\-_*~/\\,]+[^\W_]").search
+ALIKE = dict(zip("авеіјкмнорстухѕԁӏԛԝαβεικνορτυχ", "abeijkmhopctyxsdlqwabeikvoptux"))
+LETTERS = 64
+OTHER, BORDER = 1, 0
+STRONG = re.compile(r"[^\W\d_][0134578@$!|+€£]+[^\W\d_]|^[0134578@$]+[^\W\d_]{2}|[^\W\d_]{2}[0134578@$]+$|([^\W\d_])\1\1|^[^\W_](?:[.\-_*~/\\,]+[^\W_]){2,}$")
+SEPARATORS = ".-_*~/\\,"
+RUNS = re.compile(r"(.)\1*", re.DOTALL)
 WORD = re.compile(r"[^\W_]+").findall
+PART = re.compile(r"[^\W_]+|.", re.DOTALL).findall
 EDGES = ".,;:!?\"'()[]{}<>#%&*=-–—…«»“”„"
+INNER = EDGES.replace("!", "")
 GAP = "\x1f"
-CLASSES = 48  # 0: border, 1: other, 2-27: a-z, 28-47: other letters
 STEM = range(3, 7)
+LONGEST = 24
+TOP = 3
 MARK = 0.3
 Z = 2.33
-DOUBLE = re.compile(r"(.)\1").search
-TRIPLE = re.compile(r"(.)\1\1").search
 CACHE_WORDS = 300_000
-CACHE_READ = 100_000
 
 
-def _class_table() -> np.ndarray:
-    table = np.ones(0x110000, dtype=np.int64)
-    for c in range(0x3000):
-        x = chr(c)
-        if x.isspace():
-            table[c] = 0
-        elif x.isalpha():
-            low = x.lower()[0]
-            table[c] = 2 + ord(low) - 97 if "a" <= low <= "z" else 28 + ord(low) % 20
-    return table
+class _Skeleton(dict):
+    """The letter that a character counts as in a skeleton ("" for separators); i and l look alike."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = unicodedata.normalize("NFKD", c)[:1].lower() or c
+        base = ALIKE.get(base, IMITATES.get(base, base))[:1]
+        self[code] = found = "i" if base == "l" else base if base.isalpha() or base.isdigit() else ""
+        return found
 
-_CLASS: list[np.ndarray] = []
 
+_SKELETON = _Skeleton()
+_double = re.compile(r"(.)\1+", re.DOTALL)
 
-def classes(text: str) -> np.ndarray:
-    if not _CLASS:
-        _CLASS.append(_class_table())
-    return _CLASS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
+def skeleton(token: str) -> str:
+    return _double.sub(r"\1", token.translate(_SKELETON))
 
-def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each trigram of character classes occurs in all texts."""
+
+def skeletons(token: str, longest: int) -> set[str]:
+    """The skeletons of a token's parts, of about ``longest`` letters at most: a part is what stands between
+    two characters that are no letter or digit, with or without these."""
+    if token.isalnum():
+        return {skeleton(token)}
+    parts = list(map(skeleton, PART(token)))
+    found = set()
+    for a, whole in enumerate(parts):
+        if not whole:
+            continue
+        found.add(whole)
+        for part in parts[a + 1 :]:
+            if len(whole) > longest:
+                break
+            if part:
+                whole = _double.sub(r"\1", whole + part)
+                found.add(whole)
+    return found
+
+
+def keys_of(token: str) -> set[str]:
+    """Skeletons and their beginnings ("abc*")."""
+    found = skeletons(token, LONGEST)
+    return found | {s[:n] + "*" for s in found for n in STEM if len(s) > n}
+
+
+_FOLD: list[np.ndarray] = []
+
+
+def _folded(text: str) -> np.ndarray:
+    """Code points in lower case, with white space as BORDER and what is no letter as OTHER."""
+    if not _FOLD:
+        table = np.full(0x110000, OTHER, dtype=np.uint64)
+        for c in range(0x110000):
+            x = chr(c)
+            if x.isspace():
+                table[c] = BORDER
+            elif x.isalpha():
+                low = x.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _FOLD.append(table)
+    return _FOLD[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
+def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each trigram of characters occurs in all texts: gram (three times 21 bits), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                c = classes("\n" + "\n".join(batch.column(0).slice(at, 64).to_pylist()) + "\n")
-                total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells])], ["cell", "n"])
+            for at in range(0, batch.num_rows, 512):
+                c = _folded("\n\n" + "\n\n".join(batch.column(0).slice(at, 512).to_pylist()) + "\n\n")
+                grams, n = np.unique((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n)], ["gram", "n"])
 
-    summed = docs.select(text_of(text_col).alias("t")).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(CLASSES**3)
-    for r in summed.collect():  # CLASSES^3 cells at most
-        counts[r.cell] = r.n
-    return counts
+    return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def trigram_costs(counts: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of a class after two others, smoothed by the class's own share."""
-    cube = counts.reshape(CLASSES, CLASSES, CLASSES)
-    alone = cube.sum(axis=(0, 1)) + 1.0
-    share = alone / alone.sum()
-    return -np.log((cube + 5 * share) / (cube.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
+@dataclass
+class Letters:
+    """Costs (negative log probabilities) of a letter after two others, smoothed by the letter's own share."""
+
+    letters: str
+    costs: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.place = {c: i + 2 for i, c in enumerate(self.letters)} | {" ": BORDER}
+        self.size = len(self.letters) + 2
+        self.flat = array("f", self.costs.astype(np.float32).tobytes())
+
+    def __getstate__(self):
+        return self.letters, self.costs
+
+    def __setstate__(self, state) -> None:
+        self.letters, self.costs = state
+        self.__post_init__()
+
+    @classmethod
+    def of(cls, counts: dict[tuple[str, str, str], int], letters: str) -> Letters:
+        """From counts of trigrams; " " is a border, "." any other character."""
+        place = {c: i + 2 for i, c in enumerate(letters)} | {" ": BORDER}
+        cube = np.zeros((len(letters) + 2,) * 3)
+        for (a, b, c), n in counts.items():
+            cube[place.get(a, OTHER), place.get(b, OTHER), place.get(c, OTHER)] += n
+        alone = cube.sum(axis=(0, 1)) + 1.0
+        return cls(letters, -np.log((cube + 5 * alone / alone.sum()) / (cube.sum(axis=2, keepdims=True) + 5)))
+
+    def cost(self, text: str) -> float:
+        x = y = BORDER
+        total = 0.0
+        for c in text:
+            z = self.place.get(c, OTHER)
+            total += self.flat[(x * self.size + y) * self.size + z]
+            x, y = y, z
+        return total
+
+
+def language_model(docs: DataFrame, text_col: str = "text") -> Letters:
+    """The trigrams of the most frequent letters and of those that can be imitated, taken from the table of
+    all; every other letter counts as OTHER."""
+    table = materialise(count_trigrams(docs, text_col), "trigrams")
+    last = F.col("gram").bitwiseAND((1 << 21) - 1)
+    common = table.where(last > 1).groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
+    letters = {chr(r.c) for r in common} | set("".join(IMITATES.values())) | set(ALIKE.values())
+    order = sorted(letters)
+    place = {ord(c): i + 2 for i, c in enumerate(order)}
+    known = F.create_map(*(F.lit(x) for pair in (place | {BORDER: BORDER}).items() for x in pair))
+    cell = lambda shift: F.coalesce(F.element_at(known, F.shiftright("gram", shift).bitwiseAND((1 << 21) - 1).cast("int")), F.lit(OTHER))
+    # at most (LETTERS and a few dozen)^3 rows
+    rows = table.groupBy(cell(42).alias("a"), cell(21).alias("b"), cell(0).alias("c")).agg(F.sum("n").alias("n")).collect()
+    names = " ." + "".join(order)
+    return Letters.of({(names[r.a], names[r.b], names[r.c]): r.n for r in rows}, "".join(order))
 
 
 def lattice(token: str) -> list[list[str]]:
-    """The readings of each run of equal characters of a token."""
+    """The readings of each run of equal characters of a token; GAP stands for a space between pieces."""
     readings = []
-    for run in (m.group() for m in re.finditer(r"(.)\1*", token, re.DOTALL)):
+    for run in (m.group() for m in RUNS.finditer(token)):
         c, n = run[0], len(run)
-        letters = IMITATES.get(c, "") if not c.isalpha() else c
-        if not letters:
-            readings.append([run])
+        if c == GAP:
+            readings.append(["", " "])
         elif c.isalpha():
-            readings.append([c] if n == 1 else [c, c * 2])
+            base = c if c.isascii() else ALIKE.get(b := unicodedata.normalize("NFKD", c)[:1].lower(), b)
+            letters = c if base == c or not base.isalpha() else c + base
+            readings.append([x * k for x in letters for k in range(1, min(n, 2) + 1)])
+        elif c in IMITATES:
+            readings.append([x * k for x in IMITATES[c] for k in range(1, min(n, 2) + 1)] + [run])
         else:
-            readings.append([x * k for x in letters for k in range(1, min(n, 2) + 1)] + [run])
+            readings.append([run, ""] if c in SEPARATORS else [run])
     return readings
 
 
-def viterbi(readings: list[list[str]], cost: np.ndarray) -> str:
+def viterbi(readings: list[list[str]], model: Letters) -> str:
     """The likeliest string; a reading that keeps a look-alike pays as a character that is no letter."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    place, size, flat = model.place, model.size, model.flat
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
     for options in [*readings, [" "]]:
-        then: dict[tuple[int, int], tuple[float, str]] = {}
+        then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (paid, read) in states.items():
             for option in options:
                 x, y, total = a, b, paid
-                for c in classes(option).tolist():
-                    total += float(cost[x, y, c])
-                    x, y = y, c
-                old = then.get((x, y))
-                if old is None or (total, read + option) < old:
-                    then[x, y] = (total, read + option)
+                for c in option:
+                    z = place.get(c, OTHER)
+                    total += flat[(x * size + y) * size + z]
+                    x, y = y, z
+                if (x, y) not in then or total < then[x, y][0]:  # of equals, the first
+                    then[x, y] = total, (read, option)
         states = then
-    return min(states.values())[1][:-1]
+    parts, read = [], min(states.values(), key=lambda s: s[0])[1]
+    while read:
+        read, option = read
+        parts.append(option)
+    return "".join(reversed(parts))[:-1]
 
 
 @dataclass
 class ToxicModel:
-    """costs: of character trigrams.  marks: weights of words and stems ("abc*") that mark toxic texts.
-    curve: the regression's weights of the constant, the sum, the largest mark and the log length."""
+    """letters: the language model.  marks: weights of words and stems ("abc*") that mark toxic texts.
+    curve: the regression's weights of the constant and of the evidence."""
 
-    costs: np.ndarray
+    letters: Letters
     marks: dict[str, float] = field(default_factory=dict)
-    curve: tuple[float, float, float, float] = (-4.0, 1.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
-        self.marked: dict[str, float] = {}
-        self.read: dict[str, list[str]] = {}
-        self.heads: set[str] | None = None  # the first letters of all marks
+        self.watch({skeleton(m) for m in self.marks if m[-1] != "*"} | {skeleton(m) + "*" for m in self.marks if m[-1] == "*"})
 
     def __getstate__(self):
-        return self.costs, self.marks, self.curve
+        return self.letters, self.marks, self.curve
 
     def __setstate__(self, state) -> None:
-        self.costs, self.marks, self.curve = state
+        self.letters, self.marks, self.curve = state
         self.__post_init__()
 
+    def watch(self, keys: set[str]) -> None:
+        """Sets the skeletons, and beginnings ("abc*") of skeletons, whose tokens are decoded."""
+        self.whole = {k for k in keys if k[-1] != "*"}
+        self.stems = {k[:-1] for k in keys if k[-1] == "*"}
+        self.lengths = sorted({len(s) for s in self.stems})
+        self.longest = max([*map(len, self.whole), *self.lengths], default=0)
+        # pieces between spaces are put together for words of some length only
+        self.prefixes = {w[:n] for w in self.whole if len(w) >= 4 for n in range(1, len(w))}
+        self.seen: dict[str, tuple[float, str]] = {}
+
+    def suspect(self, token: str) -> bool:
+        """Whether the token can be read as a watched word, or as one that begins with a watched stem."""
+        return any(s in self.whole or any(s[:n] in self.stems for n in self.lengths) for s in skeletons(token, self.longest))
+
     def restore(self, token: str) -> str:
-        """The likeliest reading of a lower-cased token without spaces."""
-        if GAP in token:  # a space may be real or put in
-            readings: list[list[str]] = []
-            for i, c in enumerate(token.split(GAP)):
-                readings += [["", " "]] * (i > 0) + lattice(c)
-            return viterbi(readings, self.costs)
-        bare = token.strip(EDGES)
-        if APART.match(bare):
-            bare = re.sub(r"[\W_]", "", bare)
-        elif not SIGNS.search(bare):
-            return token
-        return viterbi(lattice(bare), self.costs)
-
-    def words(self, token: str) -> list[str]:
-        """The words of a restored token."""
-        bare = token.strip(EDGES)
-        if bare.isalpha() and not TRIPLE(bare):
-            return [bare, *self.decoded(token)] if "!" in token or DOUBLE(bare) else [bare]
-        words = WORD(self.restore(token))
-        if GAP not in token:
-            words += self.decoded(token)
-        if GAP in token:  # the next likely readings: all one word, or with a one-letter word at an end
-            whole = viterbi([r for c in token.split(GAP) for r in lattice(c)], self.costs)
-            words += [whole, whole[1:], whole[:-1]]
-        return words
-
-    def decoded(self, token: str) -> list[str]:
-        """The readings of a token with weak signs as one word, with and without look-alikes at its ends."""
-        words = self.read.get(token)
-        if words is not None:
+        """The likeliest reading of a lower-cased token with strong signs; any other token as it is."""
+        bare = token if GAP in token else token.strip(EDGES)
+        strong = GAP in token or STRONG.search(bare) and any(c.isalpha() for c in bare)
+        return viterbi(lattice(bare), self.letters) if strong else token
+
+    def words(self, token: str) -> set[str]:
+        """The words of a token that its own letters and its likeliest readings give."""
+        if GAP in token:
+            words = set(WORD(viterbi(lattice(token), self.letters)))
+            if all(len(t) == 1 for t in token.split(GAP)):  # a one-letter word may stand at an end
+                whole = viterbi(lattice(token.replace(GAP, "")), self.letters)
+                words |= {whole, whole[1:], whole[:-1]}
             return words
-        bare = token.strip(EDGES)
-        outer = token.strip(EDGES.replace("!", ""))
-        words = []
+        bare, outer = token.strip(EDGES), token.strip(INNER)
+        found = set(WORD(bare))
         for t in {bare, outer, outer.rstrip("!"), outer.lstrip("!")}:
-            t = SEPARATORS.sub("", t)
-            if WEAK(t) and not t.isdigit() or t != token and WEAK(token) and t.isalpha():
-                words += WORD(viterbi(lattice(t), self.costs))
-        if len(self.read) >= CACHE_READ:
-            self.read.clear()
-        if len(token) <= 64:
-            self.read[token] = words
-        return words
+            if t and not t.isdigit():
+                found.update(WORD(viterbi(lattice(t), self.letters)))
+        return found
+
+    def marks_of(self, token: str) -> set[str]:
+        """The words of a token and their beginnings."""
+        words = self.words(token)
+        return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
 
     def tokens(self, text: str) -> list[str]:
         """Lower-cased tokens; three and more single characters in a row make one token."""
@@ -220,50 +316,76 @@ class ToxicModel:
             tokens[a:b] = [GAP.join(t.strip(EDGES) or t for t in tokens[a:b])]
         return tokens
 
-    def restored(self, text: str) -> str:
-        return " ".join(map(self.restore, self.tokens(text)))
-
-    def marks_of(self, token: str) -> list[str]:
-        return [m for w in self.words(token) for m in (w, *(w[:n] + "*" for n in STEM if len(w) > n))]
+    def look(self, token: str) -> tuple[bool, str]:
+        """Whether the token is to be decoded; its skeleton, if a watched word begins with it."""
+        if GAP in token:
+            return any(c.isalpha() for c in token), ""
+        plain = skeleton(token.strip(EDGES))
+        return self.suspect(token), plain if plain in self.prefixes else ""
+
+    def pieces(self, tokens: list[str], i: int, begun: str) -> str | None:
+        """Tokens from place i on, put together, if their skeletons make up a watched word."""
+        whole = begun
+        for j in range(i + 1, min(len(tokens), i + 12)):
+            if GAP in tokens[j]:
+                return None
+            whole = _double.sub(r"\1", whole + skeleton(tokens[j].strip(EDGES)))
+            if whole in self.whole:
+                return GAP.join(t.strip(EDGES) for t in tokens[i : j + 1])
+            if whole not in self.prefixes:
+                return None
+        return None
+
+    def suspects(self, tokens: list[str]) -> Iterator[tuple[int, str]]:
+        """Place and form of everything in the tokens that is to be decoded."""
+        for i, token in enumerate(tokens):
+            decode, begun = self.look(token)
+            if decode:
+                yield i, token
+            if begun and (put := self.pieces(tokens, i, begun)):
+                yield i, put
 
     def weight(self, token: str) -> float:
         """The largest weight of the marks of a token, 0 without any."""
-        if self.heads is None:
-            self.heads = {m[:3] for m in self.marks}
-        heads = self.heads
-        if not any(w[:3] in heads for w in self.words(token)):
-            return 0.0
-        return max(self.marks.get(m, 0.0) for m in self.marks_of(token))
-
-    def evidence(self, text: str) -> tuple[float, float, float]:
+        return max((self.marks.get(m, 0.0) for m in self.marks_of(token)), default=0.0)
+
+    def evidence(self, text: str) -> tuple[float, float, float, float]:
+        """Sum of the TOP largest weights of distinct tokens, the largest, the log length, weight for ten tokens."""
         tokens = self.tokens(text)
-        marked, total, most = self.marked, 0.0, 0.0
-        for token in set(tokens):
-            w = marked.get(token)
-            if w is None:
-                w = self.weight(token)
-                if len(marked) >= CACHE_WORDS:
-                    marked.clear()
+        seen, marked = self.seen, {}
+        for i, token in enumerate(tokens):
+            known = seen.get(token)
+            if known is None:
+                decode, begun = self.look(token)
+                known = self.weight(token) if decode else 0.0, begun
+                if len(seen) >= CACHE_WORDS:
+                    seen.clear()
                 if len(token) <= 64:
-                    marked[token] = w
-            if w:
-                total += w
-                most = w if w > most else most
-        return total, most, log(1 + len(tokens))
+                    seen[token] = known
+            if known[0]:
+                marked[token] = known[0]
+            if known[1] and (put := self.pieces(tokens, i, known[1])) and (w := self.weight(put)):
+                marked[put] = w
+        found = sorted(marked.values(), reverse=True)
+        return sum(found[:TOP]), found[0] if found else 0.0, log(1 + len(tokens)), 10 * sum(found) / (1 + len(tokens))
+
+    def restored(self, text: str) -> str:
+        return " ".join(map(self.restore, self.tokens(text)))
 
     def score(self, text: str) -> float:
         x = sum(a * b for a, b in zip(self.curve, (1.0, *self.evidence(text))))
         return 1 / (1 + exp(-min(max(x, -50.0), 50.0)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, with a small ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, with a small ridge; both labels weigh the same in all."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
+    rows = np.where(y > 0.5, max(1.0, (y <= 0.5).sum() / max(1, (y > 0.5).sum())), 1.0)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 0.5 * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.5 * w), -3, 3)
+        h = (x * (rows * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.5 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, x.T @ (rows * (y - p)) - 0.5 * w), -3, 3)
     return tuple(w.tolist())
 
 
@@ -279,16 +401,27 @@ def may_learn(id_col: str | Column = "doc_id") -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(3)) != 1
 
 
+def drawn(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows, by a hash of the key columns; all rows if there are no more."""
+    n = df.count()
+    return df if n <= most else df.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), *key), 1) < max(1, int(most / n * 2**63)))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """t, y of about ``train_docs`` labelled texts, each text of an id once for each of its labels."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lp_id"), F.col(label_col).cast("int").alias("__lp_y")).distinct()
+    some = F.broadcast(materialise(drawn(known, train_docs, "__lp_id", "__lp_y"), "toxic-labels"))  # train_docs rows of two numbers
+    joined = docs.select(F.col(id_col).alias("__lp_d"), text_of(text_col).alias("t")).join(some, F.col("__lp_d") == F.col("__lp_id")).select("__lp_id", "t", F.col("__lp_y").alias("y"))
+    # an id may hold very many texts
+    return materialise(drawn(joined, train_docs, "__lp_id", "t").distinct().select("t", "y").repartition(32), "toxic-train")
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> ToxicModel:
     """``labels`` (id, label 0/1) are taken as they are: leave held-out rows out before."""
-    model = ToxicModel(trigram_costs(count_trigrams(docs, text_col)))
-    # train_docs rows of two numbers: small enough to broadcast
-    drawn = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lp_id"), F.col(label_col).cast("int").alias("__lp_y"))
-    drawn = drawn.orderBy(F.xxhash64(F.lit(11), "__lp_id"), "__lp_y").limit(train_docs)
-    rows = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("__lp_id")).select(text_of(text_col).alias("t"), F.col("__lp_y").alias("y"))
-    rows = materialise(rows.repartition(32), "toxic-train")
+    rows = training_rows(docs, labels, train_docs, id_col, text_col, label_col)
+    model = ToxicModel(language_model(docs, text_col))
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return model
@@ -301,42 +434,50 @@ def fit_toxicity(
         total: Counter[str] = Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                marks = {k for t in set(model.tokens(text)) for k in model.marks_of(t)}
-                total.update(marks)
+                found = set().union(*map(keys_of, set(model.tokens(text))))
+                total.update(found)
                 if y:
-                    toxic.update(marks)
+                    toxic.update(found)
             if len(total) > 400_000:
                 yield packed(total, toxic)
                 total, toxic = Counter(), Counter()
         yield packed(total, toxic)
 
     sums = rows.mapInArrow(texts, "mark string, n bigint, hits bigint").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    # far above the share of toxic texts: few marks are
-    found = {r.mark: 1.0 for r in sums.where(f"hits >= 4 AND hits > {MARK} * n").collect() if lower_bound(r.hits, r.n) >= MARK}
+    # far above the share of toxic texts: few skeletons are
+    model.watch({r.mark for r in sums.where(f"hits >= 4 AND hits > {MARK} * n").collect() if lower_bound(r.hits, r.n) >= MARK})
+    watched = model.whole | {s + "*" for s in model.stems}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.watch(watched)
         for batch in batches:
             seen = set()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = ["", *model.tokens(text), ""]
-                for i in range(1, len(tokens) - 1):
-                    seen.update((k, tokens[i - 1] + " " + tokens[i + 1], y) for k in model.marks_of(tokens[i]) if k in found)
-            marks, around, ys = zip(*seen) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(around, pa.string()), pa.array(ys, pa.int32())], ["mark", "around", "y"])
+                for i, form in model.suspects(tokens[1:-1]):
+                    around = tokens[i] + " " + tokens[min(i + 2 + (form.count(GAP) if GAP not in tokens[i + 1] else 0), len(tokens) - 1)]
+                    for m in model.marks_of(form):
+                        if (skeleton(m) if m[-1:] != "*" else skeleton(m) + "*") in watched:
+                            seen.add((m, around, y))
+            marks, near, ys = zip(*seen) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(near, pa.string()), pa.array(ys, pa.int32())], ["mark", "around", "y"])
 
     apart = rows.mapInArrow(contexts, "mark string, around string, y int").groupBy("mark", "around").agg(F.max("y").alias("y"))
     toxic, clean = sizes[1], sizes[0]
+    marks = {}
     for r in apart.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect():
         if r.hits >= 4 and lower_bound(r.hits, r.n) >= MARK:
-            model.marks[r.mark] = max(0.0, log((r.hits + 0.5) / (toxic + 1)) - log((r.n - r.hits + 0.5) / (clean + 1)))
+            marks[r.mark] = max(0.0, log((r.hits + 0.5) / (toxic + 1)) - log((r.n - r.hits + 0.5) / (clean + 1)))
+    model = ToxicModel(model.letters, marks)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [model.evidence(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), batch.column(1)], ["a", "b", "c", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(4)), batch.column(1)], ["a", "b", "c", "d", "y"])
 
-    seen = rows.mapInArrow(weighed, "a double, b double, c double, y int").toPandas()  # train_docs rows of four numbers
-    model.curve = fit_curve(seen[["a", "b", "c"]].to_numpy(), (seen["y"] == 1).to_numpy(dtype=np.float64))
+    seen = rows.mapInArrow(weighed, "a double, b double, c double, d double, y int").toPandas()  # about train_docs rows of five numbers
+    seen = seen.sort_values(["a", "b", "c", "d", "y"])  # one order, one result
+    model.curve = fit_curve(seen[["a", "b", "c", "d"]].to_numpy(), (seen["y"] == 1).to_numpy(dtype=np.float64))
     return model
 
 
