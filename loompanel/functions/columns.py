@@ -56,8 +56,25 @@ def at_least(value: Column, counted: str | Column, n: int, k: int, over: WindowS
 
 
 def rolling(f, c: str | Column, n: int, k: int | None = None, over: WindowSpec | None = None) -> Column:
-    """Aggregate f over the last n rows; null under k known values (k: n if not given)."""
-    return at_least(f(col(c)).over(trailing(n, over)), c, n, n if k is None else k, over)
+    """Aggregate f over the last n rows; null under k known values (k: n if not given).
+
+    For one known value nothing is counted: aggregates of unknown values only are null anyway."""
+    value = f(col(c)).over(trailing(n, over))
+    return value if k == 1 else at_least(value, c, n, n if k is None else k, over)
+
+
+def extremes(df: DataFrame, largest: bool, column: str, names: dict[int, str]) -> DataFrame:
+    """Adds the largest (or least) known value of the last n rows, n by name, from short to long.
+
+    The shortest window slides; a longer one is put together from windows of the one before that end some
+    rows earlier (they may overlap), so its cost does not grow with its length."""
+    f, best = (F.max, F.greatest) if largest else (F.min, F.least)
+    m, name = 0, ""
+    for n in sorted(names):
+        parts = [lag(name, i * m) for i in range(n // m)] + [lag(name, n - m)] if m else []
+        df = df.withColumn(names[n], best(*parts) if parts else rolling(f, column, n, 1))
+        m, name = n, names[n]
+    return df
 
 
 def zscore(c: str | Column, n: int, k: int | None = None, over: WindowSpec | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loompanel.functions.columns import P, add_if_missing, filled, flag, lag, pct, rolling, td, trailing, zero, zscore
+from loompanel.functions.columns import P, add_if_missing, extremes, filled, flag, lag, pct, rolling, td, trailing, zero, zscore
 
 TINY = 1e-8
 
@@ -185,17 +185,23 @@ def patterns(df: DataFrame) -> DataFrame:
 SIGNALS = ("higher_high", "lower_high", "higher_low", "lower_low", "breakout_20d", "breakdown_20d", "trend_strength_score")
 
 
+def _extremes(df: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """__h and __l with the number of rows: the highest high and the lowest low."""
+    df = extremes(df, True, "high", {n: f"__h{n}" for n in windows})
+    return extremes(df, False, "low", {n: f"__l{n}" for n in windows})
+
+
 def distances(df: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 252)) -> DataFrame:
     c = F.col("close")
     made = {}
     for n in windows:
-        made |= {f"distance_to_{n}d_high": zero(td(rolling(F.max, "high", n, 1) - c, c)), f"distance_to_{n}d_low": zero(td(c - rolling(F.min, "low", n, 1), c))}
-    return add_if_missing(df, made)
+        made |= {f"distance_to_{n}d_high": zero(td(F.col(f"__h{n}") - c, c)), f"distance_to_{n}d_low": zero(td(c - F.col(f"__l{n}"), c))}
+    return add_if_missing(_extremes(df, windows), made).drop(*(f"__{k}{n}" for n in windows for k in "hl"))
 
 
 def breakouts(df: DataFrame, windows: tuple[int, ...] = (20, 60, 120)) -> DataFrame:
     """The close against the extremes of the n bars before."""
-    out = df.withColumns({f"__{k}{n}": rolling(f, c, n, 1) for n in windows for k, f, c in (("h", F.max, "high"), ("l", F.min, "low"))})
+    out = _extremes(df, windows)
     made = {}
     for n in windows:
         made |= {f"breakout_{n}d": flag(F.col("close") > lag(f"__h{n}")), f"breakdown_{n}d": flag(F.col("close") < lag(f"__l{n}"))}
@@ -212,7 +218,9 @@ def swing_flags(df: DataFrame, n: int = 20) -> DataFrame:
 
 def year_extremes(df: DataFrame, n: int = 252, near: float = 0.05) -> DataFrame:
     c = F.col("close")
-    out = df.withColumns({"__h": td(rolling(F.max, "high", n, 1) - c, c), "__l": td(c - rolling(F.min, "low", n, 1), c)})
+    steps = tuple(m for m in (20, 60, 120) if m < n) + (n,)
+    out = _extremes(df, steps).withColumns({"__h": td(F.col(f"__h{n}") - c, c), "__l": td(c - F.col(f"__l{n}"), c)})
+    out = out.drop(*(f"__{k}{m}" for m in steps for k in "hl"))
     return add_if_missing(out, {"distance_to_52w_high": zero(F.col("__h")), "distance_to_52w_low": zero(F.col("__l")), "near_52w_high": flag(F.col("__h") <= near), "near_52w_low": flag(F.col("__l") <= near)}).drop("__h", "__l")
 
 
