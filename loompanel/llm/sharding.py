@@ -8,8 +8,11 @@ the shards like cards (position mod shards), so shard sizes differ by one row at
 sizes of the texts or of groups of copies.
 
 What is held in memory is one bucket of a task (``bucket_bytes`` of text on average; a single text
-larger than that is a bucket of its own size).  The result depends on the seed, the bucket count
-and the rows only, not on the order in which tasks or machines deliver them.
+larger than that is a bucket of its own size).  A task takes several buckets, one after another, when
+there are more than ``PARTITIONS``.  The result depends on the seed, the bucket count and the rows
+only, not on the order in which tasks or machines deliver them.  Rows equal in id and text of which
+there are more than ``COPIES`` would all fall into one bucket: they are dealt by their place in the
+input besides, so with such rows the result depends on the input's layout, too.
 
 Nulls: a null text is scattered and counted as empty and stays null in the result; null ids are
 scattered like any other id.  Repeated rows are dealt one by one; rows equal in id and text can
@@ -31,6 +34,8 @@ from pyspark.sql import types as T
 
 from loompanel.llm.common import materialise, text_of
 
+#: Tasks of the scatter at most; more equal rows than COPIES are split.
+PARTITIONS, COPIES = 50_000, 1000
 #: Offsets of up to so many buckets are broadcast (16 bytes each); beyond, they are joined by sorting.
 BROADCAST_BUCKETS = 500_000
 #: Buckets in a block of the two-level running sum of bucket sizes.
@@ -90,12 +95,20 @@ def external_shuffle(
     to the shared folder."""
     docs = docs.drop("shard", "slot")
     text = text_of(text_col)
-    size = docs.agg(F.sum(F.octet_length(text) + F.lit(1).cast("long"))).first()[0] or 0
-    n_buckets = max(1, ceil(size / bucket_bytes))
-    keyed = docs.withColumn("__lp_tie", F.xxhash64(text)).withColumn(
-        "__lp_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("__lp_tie")), F.lit(n_buckets).cast("long"))
-    )
-    scattered = keyed.repartitionById(n_buckets, F.col("__lp_bucket").cast("int")).sortWithinPartitions("__lp_bucket", id_col, "__lp_tie").drop("__lp_tie")
+    keyed = docs.withColumn("__lp_tie", F.xxhash64(text))
+    equal = keyed.groupBy(F.col(id_col).alias("__lp_id"), "__lp_tie").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text) + F.lit(1).cast("long")).alias("size"))
+    size, most = equal.agg(F.sum("size"), F.max("n")).first()
+    n_buckets = max(1, ceil((size or 0) / bucket_bytes))
+    salt = F.lit(0).cast("long")
+    if (most or 0) > COPIES:
+        hot = materialise(equal.where(F.col("n") > COPIES).select("__lp_id", F.col("__lp_tie").alias("__lp_same")), "hot")
+        place = keyed.withColumn("__lp_place", F.monotonically_increasing_id())
+        keyed = place.join(hot, F.col(id_col).eqNullSafe(F.col("__lp_id")) & (F.col("__lp_tie") == F.col("__lp_same")), "left").drop("__lp_id")
+        salt = F.when(F.col("__lp_same").isNotNull(), F.col("__lp_place")).otherwise(salt)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "__lp_tie", salt), F.lit(n_buckets).cast("long"))
+    keyed = keyed.withColumn("__lp_bucket", bucket).drop("__lp_place", "__lp_same")
+    n_tasks = min(n_buckets, PARTITIONS)
+    scattered = keyed.repartitionById(n_tasks, (F.col("__lp_bucket") % n_tasks).cast("int")).sortWithinPartitions("__lp_bucket", id_col, "__lp_tie").drop("__lp_tie")
     schema = T.StructType([*scattered.schema.fields, T.StructField("__lp_pos", T.LongType())])
     written = materialise(scattered.mapInArrow(_permuted(seed), schema), "shards")
 
