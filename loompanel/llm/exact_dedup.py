@@ -1,13 +1,15 @@
 """Exact deduplication by 128-bit content hash with a byte comparison inside every hash group.
 
-Only built-in functions: the work is two shuffles.
+Only built-in functions.
 
-1. ``group by hash, text`` - the text in the key is the byte comparison, so two texts that collide
-   form two classes.  Copies are combined on the map side, which turns a group that holds a third
-   of all rows into one row for each map task before anything moves.
-2. Every row (its id and two hashes, no text) joins its class.  A hot class is one row on the
-   class side; adaptive execution splits the row side.  Rows find their class by the content hash
-   and the text's SHA-256, so texts that collide in the content hash still part.
+1. ``group by hash``: which content hashes occur more than once.  16 bytes for each row move, combined on
+   the map side.  Rows of other hashes are groups of their own and are done.
+2. ``group by hash, text`` over the rows of repeated hashes - the text in the key is the byte
+   comparison, so two texts that collide form two classes.  Copies are combined on the map side, which
+   turns a group that holds a third of all rows into one row for each map task before anything moves.
+3. These rows (id and two hashes, no text) join their classes.  A hot class is one row on the class
+   side; adaptive execution splits the row side.  Rows find their class by the content hash and the
+   text's SHA-256, so texts that collide in the content hash still part.
 
 Nulls count as the empty text, repeated rows each get a row, null ids are carried through (a group
 with only null ids keeps them all out: ``kept`` is false and ``keep_id`` null).
@@ -42,23 +44,24 @@ def exact_duplicates(
     chosen = {"min": F.min, "max": F.max}[keep]
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("__lp_id"), text.alias("__lp_text"))
-    hashed = [hash_of(F.col("__lp_text")).alias("__lp_h"), F.unhex(F.sha2(F.col("__lp_text"), 256)).alias("__lp_s")]
+    rows = rows.withColumn("__lp_h", hash_of(F.col("__lp_text")))
+    repeated = materialise(rows.groupBy("__lp_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__lp_h"), "repeated")
+    maybe, alone = split_by_ids(rows, repeated, "__lp_h")
+    sha = F.unhex(F.sha2(F.col("__lp_text"), 256)).alias("__lp_s")
     # only fixed-width values in the aggregate, so that it stays a hash aggregate
     classes = (
-        rows.groupBy(hash_of(F.col("__lp_text")).alias("__lp_h"), "__lp_text")
+        maybe.groupBy("__lp_h", "__lp_text")
         .agg(chosen("__lp_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("__lp_h", hashed[1], "keep_id", "group_size")
+        .select("__lp_h", sha, "keep_id", "group_size")
     )
-    return (
-        rows.select("__lp_id", *hashed)
-        .join(classes, ["__lp_h", "__lp_s"])
-        .select(
-            F.col("__lp_id").alias(id_col),
-            "keep_id",
-            "group_size",
-            F.coalesce(F.col("__lp_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-            F.lower(F.hex("__lp_s")).alias("text_sha256"),
-        )
+    grouped = maybe.select("__lp_id", "__lp_h", sha).join(classes, ["__lp_h", "__lp_s"]).select("__lp_id", "keep_id", "group_size", "__lp_s")
+    single = alone.select("__lp_id", F.col("__lp_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), sha)
+    return grouped.union(single).select(
+        F.col("__lp_id").alias(id_col),
+        "keep_id",
+        "group_size",
+        F.coalesce(F.col("__lp_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.lower(F.hex("__lp_s")).alias("text_sha256"),
     )
 
 
