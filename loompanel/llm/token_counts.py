@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loompanel.llm.common import text_of, tokenizer_file, worker_tables
+from loompanel.llm.common import materialise, text_of, tokenizer_file, worker_tables
 
 #: Pre-tokens kept by a worker besides the table; the cache starts anew when full.
 CACHE_WORDS = 400_000
@@ -104,7 +104,7 @@ def unpack(packed: tuple[bytes, bytes, bytes]) -> dict[str, int]:
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", table_words: int = 32_768, sample_docs: int = 2_000) -> dict[str, int]:
-    """The most frequent pre-tokens of a bounded sample, with their lengths."""
+    """The most frequent pre-tokens of a bounded sample (``table_words`` at most), with their lengths."""
     n = docs.count()
     picked = docs.select(text_of(text_col).alias("t")).sample(min(1.0, sample_docs / max(n, 1)), seed=5)
 
@@ -115,9 +115,16 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", table_wor
             kept = [(w, k) for w, k in seen.items() if len(w) <= CACHE_CHARS]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([k for _, k in kept], pa.int64())], ["w", "k"])
 
-    top = picked.mapInArrow(words, "w string, k bigint").groupBy("w").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "w").limit(table_words)
+    counts = materialise(picked.mapInArrow(words, "w string, k bigint").groupBy("w").agg(F.sum("k").alias("k")), "words")
+    # how many words occur how often tells from where on at most table_words are left: only these are gathered
+    least, total = 1 << 62, 0
+    for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(table_words).collect():
+        total += r.n
+        if total > table_words:
+            break
+        least = r.k
     length = counter_of(path).length
-    return {r.w: length(r.w) for r in top.select("w").collect()}
+    return {w: length(w) for w in sorted(r.w for r in counts.where(F.col("k") >= least).select("w").collect())}
 
 
 def count_tokens(
