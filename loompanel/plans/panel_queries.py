@@ -47,18 +47,34 @@ def q(name: str, sql: str | None, f, places: int = 6):
 
 
 # ---- sources, sinks, validation -------------------------------------------------------------------
-def json_index(s: SparkSession, d: str) -> DataFrame:
-    """The nations as index documents, to be parsed again."""
-    n, r = table(s, d, "nation"), table(s, d, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).withColumn("member", F.struct(F.col("n_name").alias("Code"), F.lower("n_name").alias("Name"), F.col("r_name").alias("Sector"), F.concat(F.lit("I"), (F.col("n_nationkey") % 3).cast("string")).alias("Industry"), (F.col("n_nationkey") * 2).cast("string").alias("Weight")))
-    doc = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), "member"))).alias("m"))
-    return doc.select(F.to_json(F.struct(F.map_from_entries(F.transform("m", lambda e: F.struct(e["k"].cast("string"), e["member"]))).alias("Components"))).alias("value"))
+#: Members of one index document at most.
+INDEX_BLOCK = 500
 
 
-IDX = "idx AS (SELECT n_name AS code, lower(n_name) AS name, r_name AS sector, 'I' || (n_nationkey % 3) AS industry, CAST(n_nationkey * 2 AS DOUBLE) AS weight, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)"
-q("a07_constituents", f"WITH {IDX} SELECT code, name, sector, industry, weight FROM idx", lambda s, d: I.constituents(json_index(s, d)).drop("pos"))
-q("a08_first_codes", f"WITH {IDX} SELECT code FROM idx ORDER BY k LIMIT 7", lambda s, d: I.first_codes(I.constituents(json_index(s, d)), 7))
-q("a09_filter_constituents", f"WITH {IDX} SELECT code, weight FROM idx WHERE industry IN ('I0', 'I1') AND code <> 'NATION_3' AND weight >= 8", lambda s, d: I.filter_constituents(I.constituents(json_index(s, d)), exclude=["NATION_3"], industries=["I0", "I1"], min_weight=8.0).select("code", "weight"))
+def json_index(s: SparkSession, d: str) -> DataFrame:
+    """The customers as index documents, one for each region and block of keys, to be parsed again."""
+    places = table(s, d, "nation").join(table(s, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    rows = table(s, d, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
+    member = F.struct(
+        F.col("c_name").alias("Code"), F.lower("c_name").alias("Name"), F.col("r_name").alias("Sector"),
+        F.concat(F.lit("I"), (F.col("c_custkey") % 3).cast("string")).alias("Industry"), (F.col("c_custkey") * 2).cast("string").alias("Weight"),
+    )
+    entry = F.struct(F.col("c_custkey").alias("k"), member.alias("member"))
+    docs = rows.groupBy("r_name", F.floor(F.col("c_custkey") / INDEX_BLOCK)).agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    members = F.map_from_entries(F.transform("m", lambda e: F.struct(e["k"].cast("string"), e["member"])))
+    return docs.select(F.to_json(F.struct(members.alias("Components"))).alias("value"))
+
+
+IDX = f"""idx AS (SELECT c_name AS code, lower(c_name) AS name, r_name AS sector, 'I' || (c_custkey % 3) AS industry, CAST(c_custkey * 2 AS DOUBLE) AS weight,
+row_number() OVER (PARTITION BY r_name, c_custkey // {INDEX_BLOCK} ORDER BY c_custkey) - 1 AS pos
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+q("a07_constituents", f"WITH {IDX} SELECT code, name, sector, industry, weight, CAST(pos AS INTEGER) AS pos FROM idx", lambda s, d: I.constituents(json_index(s, d)))
+q("a08_first_codes", f"WITH {IDX} SELECT code FROM idx ORDER BY pos, code LIMIT 7", lambda s, d: I.first_codes(I.constituents(json_index(s, d)), 7))
+q(
+    "a09_filter_constituents",
+    f"WITH {IDX} SELECT code, weight FROM idx WHERE industry IN ('I0', 'I1') AND code <> 'Customer#000000003' AND weight >= 8 AND sector <> 'ASIA'",
+    lambda s, d: I.filter_constituents(I.constituents(json_index(s, d)), exclude=["Customer#000000003"], sectors=["AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"], industries=["I0", "I1"], min_weight=8.0).select("code", "weight"),
+)
 q("a01_a03_standardise_union", f"WITH {cte('bars')} SELECT tic, date, {r6({c: c for c in ('open', 'high', 'low', 'close', 'volume')})} FROM bars", lambda s, d: I.union_panels([I.standardise_bars(bars(s, d).where("grp < 'AMF'")), I.standardise_bars(bars(s, d).where("grp >= 'AMF'").withColumnRenamed("close", "Adj Close").withColumn("close", F.lit(0.0)))]))
 q("a04_mean_series", f"WITH {cte('bars')} SELECT tic, date, {r6({'m': '(open + high + low + close) / 4'})} FROM bars", lambda s, d: bars(s, d).select("tic", "date", row_mean("open", "high", "low", "close").alias("m")))
 q("a05_yield_mean", f"WITH {cte('yields')} SELECT date, {r6({'bondyield': '(y2 + y10 + y30) / 3'})} FROM yields", lambda s, d: I.mean_series(view(s, d, "yields"), "bondyield", ("y2", "y10", "y30")))
@@ -97,7 +113,12 @@ q(
     lambda s, d: J.daily_fundamentals(bars(s, d), J.ratios(view(s, d, "statements")), view(s, d, "highlights").select("tic", "market_cap", "dividend_yield")),
 )
 q("f56_inference_defaults", f"WITH {cte('statements')}, {RAT} SELECT tic, date, {r6({k: k for k in RATIO} | {'pe_ratio': '0.0', 'peg_ratio': '0.0', 'eps': '0.0'})}, CAST(2 AS TINYINT) AS dividend_flag FROM rat", lambda s, d: J.inference_defaults(J.ratios(view(s, d, "statements"))))
-q("j01_macro_merge", f"WITH {cte('bars', 'vix', 'yields')} SELECT tic, b.date, {r6({'close': 'close', 'vix': 'vix', 'y2': 'y2'})} FROM bars b LEFT JOIN vix v ON b.date = v.date LEFT JOIN yields y ON b.date = y.date", lambda s, d: J.merge_macro(bars(s, d), view(s, d, "vix"), None, view(s, d, "yields")).select("tic", "date", "close", "vix", "y2"))
+q(
+    "j01_macro_merge",
+    f"WITH {cte('bars', 'vix', 'yields', 'commodity')}, cm AS (SELECT date, {', '.join(f'max(CASE WHEN name = $${t}$$ THEN price END) AS {t.lower()}' for t in TYPES)} FROM commodity GROUP BY date) "
+    f"SELECT tic, b.date, {r6({c: c for c in ('close', 'vix', 'y2', 'y10', 'y30', *map(str.lower, TYPES))})} FROM bars b LEFT JOIN vix v ON b.date = v.date LEFT JOIN yields y ON b.date = y.date LEFT JOIN cm ON b.date = cm.date",
+    lambda s, d: J.merge_macro(bars(s, d), view(s, d, "vix"), I.pivot_series(view(s, d, "commodity"), list(TYPES)).withColumnsRenamed({t: t.lower() for t in TYPES}), view(s, d, "yields")).select("tic", "date", "close", "vix", "y2", "y10", "y30", *map(str.lower, TYPES)),
+)
 q("j06_date_grid", f"WITH {cte('bars')} SELECT tic, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM bars GROUP BY tic", lambda s, d: J.date_grid(bars(s, d)))
 q("j07_sector_pairs", f"WITH {cte('bars')} SELECT a.tic, b.tic AS peer, count(*) AS n, round(max(a.close - b.close) + 0.00000031, 6) AS gap FROM bars a JOIN bars b ON a.grp = b.grp AND a.date = b.date AND a.tic <> b.tic GROUP BY a.tic, b.tic", lambda s, d: J.same_sector_pairs(bars(s, d)).groupBy("tic", "peer").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y") - F.col("x")).alias("gap")))
 q("j08_j09_realign", f"WITH {cte('bars')} SELECT tic, date, {r6({'close': 'close / 10', 'raw_close': 'close'})} FROM bars", lambda s, d: J.realign(bars(s, d).select("tic", "date", (F.col("close") / 10).alias("close")), bars(s, d), ("tic", "date")))
