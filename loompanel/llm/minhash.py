@@ -10,19 +10,19 @@ done), so a document costs its shingles plus about m ln m arrivals.
 
 *Banding.*  32 bands of 6 components: two documents of similarity 0.8 share a band with probability
 1 - (1 - 0.8^6)^32 > 0.9999.  Equal word sequences count as one node before anything is paired.  In a
-bucket each member is paired with the bucket's smallest id first.  Where members of one bucket then
-lie in different classes, all that remains between these classes is compared: as pairs in buckets of
-a few members, and in larger ones block by block, inside Python, where no row is made for a pair and
-what comes out is one link for each class that joins another.  So every two texts that share a band
-are linked if they are alike.  A bucket of n members in many classes costs n^2 comparisons, spread
-over its blocks.
+bucket each member is paired with the bucket's smallest id first.  Where members of a bucket of three
+or more then lie in different classes, all that remains between these classes is compared: block by
+block, inside Python, where no row is made for a pair and what comes out is one link for each class that
+joins another.  So every two texts that share a band are linked if they are alike.  A bucket of n
+members in many classes costs n^2 comparisons, spread over its blocks.
 
 *Verification.*  Pairs whose signatures agree in fewer than 60 % of the components are passed over
-(similarity 0.8 gives so few with probability under 1e-9); for the others the Jaccard similarity of
-the two shingle sets is computed exactly from the texts, and 0.8 or more makes a link.
+(similarity 0.8 gives so few with probability under 1e-9, as sketch and link have the same weights);
+for the others the Jaccard similarity of the two shingle sets is computed exactly, and 0.8 or more makes a
+link.  Sets are made once, for texts that share a bucket.
 
 *Classes* are the connected components of the links, found by alternating large-star and small-star
-steps; the class id is its smallest document id.
+steps until the edges are stars; the class id is its smallest document id.
 
 Hot groups: equal documents are combined before the shuffle; every other step groups to one small
 row for a key and joins that back, where adaptive execution splits the hot side.
@@ -352,14 +352,15 @@ def _same_id(several: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class; rows with a null id stay.  Same columns.
+    """``docs`` with one document of each class; rows with a null id stay.  Same columns.
 
-    Only rows that may have to go (their id is dropped or repeated) are shuffled.
+    An id with several texts is one document: all its texts stay or go together, equal ones once.  Only
+    rows that may have to go (their id is dropped or repeated) are shuffled.
     """
     found = materialise(near_duplicates(docs, threshold, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lp_id"), "kept"), "kept")
     doubtful = found.groupBy("__lp_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept")
     maybe, sure = split_by_ids(docs, doubtful.select("__lp_id"), id_col)
     stay = found.where("kept").select("__lp_id").distinct()
     named = maybe.where(F.col(id_col).isNotNull())
-    kept = named.join(stay, named[id_col] == stay["__lp_id"], "left_semi").dropDuplicates([id_col])
+    kept = named.join(stay, named[id_col] == stay["__lp_id"], "left_semi").withColumn("__lp_h", F.sha2(text_of(text_col), 256)).dropDuplicates([id_col, "__lp_h"]).drop("__lp_h")
     return sure.union(kept).union(maybe.where(F.col(id_col).isNull()))
