@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loompanel.functions.quantiles import exact_quantiles
+
 
 def family(c):
     """The family of a feature by its name."""
@@ -61,7 +63,8 @@ def sparsity(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str = "target") -> DataFrame:
-    return df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), F.percentile(column, F.lit(0.5)).alias("median"))
+    median = F.lit(exact_quantiles(df, [column], (0.5,))[column][0]).cast("double")
+    return df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), median.alias("median"))
 
 
 def group_counts(df: DataFrame, by: str = "grp") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import P, nn, td
+from loompanel.functions.quantiles import exact_quantiles
 from loompanel.operators.joins import small
 
 SKIP = ("day", "month", "dayofweek", "dividend_flag", "regime_id")
@@ -130,8 +131,8 @@ def extend_ids(ids: DataFrame, df: DataFrame, column: str, order: str = "date")
 
 def fit_regime(df: DataFrame, column: str, cuts: tuple[float, ...] = (1 / 3, 2 / 3)) -> list[float]:
     """Exact quantiles of the training rows."""
-    found = df.where("split = 'train'").agg(F.percentile(column, F.array(*map(F.lit, cuts)))).first()[0]
-    return [float(x) for x in found] if found else []
+    found = exact_quantiles(df.where("split = 'train'"), [column], cuts)[column]
+    return [x for x in found if x is not None]
 
 
 def regime(df: DataFrame, column: str, cuts: list[float], default: int = 1, name: str = "regime_id") -> DataFrame:
@@ -160,22 +161,25 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def fit_scaler(df: DataFrame, columns: list[str], method: str = "robust") -> DataFrame:
-    """(column, center, scale) from the training rows, in one pass; a scale of 0 becomes 1."""
+    """(column, center, scale) from the training rows; a scale of 0 becomes 1."""
+    train = df.where("split = 'train'")
+    if method == "robust":
+        found = exact_quantiles(train, columns, (0.25, 0.5, 0.75))
+        rows = [(c, q[1], 1.0 if q[0] is None or q[2] == q[0] else q[2] - q[0]) for c, q in found.items()]
+        return df.sparkSession.createDataFrame(rows, "column string, center double, scale double")
+
     def stats(c: str) -> Column:
         x = F.col(c)
         if method == "standard":
             center, scale = F.avg(x), F.stddev_pop(x)
         elif method == "minmax":
             center, scale = F.min(x), F.max(x) - F.min(x)
-        elif method == "log":
-            center, scale = F.min(x), F.lit(1.0)
         else:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            center, scale = q[1], q[2] - q[0]
+            center, scale = F.min(x), F.lit(1.0)
         scale = F.when(F.abs(scale) > 0, scale).otherwise(F.lit(1.0))
         return F.struct(F.lit(c).alias("column"), center.cast("double").alias("center"), scale.cast("double").alias("scale"))
 
-    return df.where("split = 'train'").agg(F.array(*map(stats, columns)).alias("s")).select(F.explode("s").alias("p")).select("p.*")
+    return train.agg(F.array(*map(stats, columns)).alias("s")).select(F.explode("s").alias("p")).select("p.*")
 
 
 def scale(df: DataFrame, params: DataFrame, method: str = "robust", inference: bool = False, offset: float = 1.0) -> DataFrame:
@@ -190,7 +194,8 @@ def scale(df: DataFrame, params: DataFrame, method: str = "robust", inference: b
 def fit_inverse(pairs: DataFrame, raw: str = "raw", norm: str = "norm") -> DataFrame:
     """One row: kind (affine or log), a, b and the largest residual of the better inverse."""
     p = pairs.select(F.col(raw).alias("y"), F.col(norm).alias("x")).where("y IS NOT NULL AND x IS NOT NULL")
-    f = p.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.percentile(F.col("y") - F.expm1("x"), F.lit(0.5)).alias("m"))
+    shift = exact_quantiles(p.select((F.col("y") - F.expm1("x")).alias("m")), ["m"], (0.5,))["m"][0]
+    f = p.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.lit(shift).cast("double").alias("m"))
     r = p.join(F.broadcast(f)).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("m").alias("m"), F.max(F.abs(F.col("a") * F.col("x") + F.col("b") - F.col("y"))).alias("ea"), F.max(F.abs(F.expm1("x") + F.col("m") - F.col("y"))).alias("el"))
     log = F.col("el") < F.col("ea")
     return r.select(F.when(log, "log").otherwise("affine").alias("kind"), F.when(log, F.lit(1.0)).otherwise(F.col("a")).alias("a"), F.when(log, F.col("m")).otherwise(F.col("b")).alias("b"), F.least("el", "ea").alias("residual"))

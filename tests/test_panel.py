@@ -325,6 +325,22 @@ def test_contracts_and_inventories(spark):
     assert P.samples_by_ids(s, [3]).count() == 1
 
 
+@pytest.mark.parametrize("accuracy", [20, 100_000])
+def test_exact_quantiles_equal_percentile(spark, accuracy):
+    from loompanel.functions.quantiles import exact_quantiles
+
+    r = random.Random(2)
+    rows = [(r.gauss(0, 1), float(r.choice([0, 0, 0, 0, 1, 2])), r.randint(-5, 5) if r.random() < 0.5 else None, None, float(i % 7 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "x double, ties double, holes int, none double, rare double").repartition(5)
+    shares = (0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 1.0)
+    got = exact_quantiles(df, df.columns, shares, accuracy)
+    want = df.agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in df.columns)).first()
+    for c in df.columns:
+        assert got[c] == (pytest.approx(want[c]) if want[c] is not None else [None] * len(shares))
+    one = exact_quantiles(spark.createDataFrame([(2.0,)], "x double"), ["x"], (0.5,))
+    assert one == {"x": [2.0]} and exact_quantiles(df.limit(0), ["x"], (0.5,)) == {"x": [None]}
+
+
 def test_regime_labels(spark):
     df = panel(spark, ("A",), 20).withColumn("target", F.lit(1.0))
     samples = S.rich_samples(df, ["close"], 4, 2).withColumn("split", F.lit("train"))
