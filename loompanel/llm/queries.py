@@ -16,9 +16,12 @@ from loompanel.llm.html_extract import extract_text
 from loompanel.llm.license_scan import license_scan, license_scan_sql
 from loompanel.llm.minhash import near_duplicates
 from loompanel.llm.quality import fit_quality, score_quality
+from loompanel.llm.runs import periodic_runs, planted_tails, strongest
 from loompanel.llm.sharding import external_shuffle
+from loompanel.llm.simhash import simhash_components
 from loompanel.llm.token_counts import count_tokens
 from loompanel.llm.toxicity import fit_toxicity, may_learn, score_toxicity
+from loompanel.llm.whitening import whiten
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +76,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(load(spark, sf_dir, "documents"), radius=2)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_tails(load(spark, sf_dir, "documents").select("doc_id", "text")), least=24)
+    best = strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_quality, op5_bpe, op6_html_extraction, op7_decontamination, op8_license, op9_token_counts, op10_exact_dedup)}
+    found = {f.__name__: f for f in (op1_near_dedup, op2_sharding, op3_toxicity, op4_quality, op5_bpe, op6_html_extraction, op7_decontamination, op8_license, op9_token_counts, op10_exact_dedup, op11_simhash, op12_periodic_runs, op13_whitening)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
