@@ -54,7 +54,10 @@ def johansen_vector(levels: np.ndarray, lags: int = 1) -> np.ndarray | None:
     known = np.hstack([past, np.ones((len(now), 1))])
     clean = lambda a: a - known @ np.linalg.lstsq(known, a, rcond=None)[0]
     r0, r1 = clean(now), clean(before)
-    s00, s01, s11 = r0.T @ r0 / len(r0), r0.T @ r1 / len(r0), r1.T @ r1 / len(r0)
+    return _first_vector(r0.T @ r0 / len(r0), r0.T @ r1 / len(r0), r1.T @ r1 / len(r0))
+
+
+def _first_vector(s00: np.ndarray, s01: np.ndarray, s11: np.ndarray) -> np.ndarray | None:
     try:
         half = np.linalg.inv(np.linalg.cholesky(s11))
         values, vectors = np.linalg.eigh(half @ s01.T @ np.linalg.solve(s00, s01) @ half.T)
@@ -62,3 +65,23 @@ def johansen_vector(levels: np.ndarray, lags: int = 1) -> np.ndarray | None:
         return None
     v = half.T @ vectors[:, np.argmax(values)]
     return v * np.sign(v[np.argmax(np.abs(v))])
+
+
+def johansen_rows(levels: np.ndarray, lags: int = 1) -> np.ndarray:
+    """What the moments of ``johansen_from_moments`` are made of, for each row of the levels from number
+    lags + 1 on: its change, the level before, the changes before, 1.  Unknown numbers are 0."""
+    change = np.diff(levels, axis=0)
+    parts = [change[lags:], levels[lags:-1], *(change[lags - k : len(change) - k] for k in range(1, lags + 1)), np.ones((len(change) - lags, 1))]
+    return np.nan_to_num(np.hstack(parts), nan=0.0)
+
+
+def johansen_from_moments(moments: np.ndarray, n: int, m: int, lags: int = 1) -> np.ndarray | None:
+    """As ``johansen_vector``, from Z'Z of the n rows Z that ``johansen_rows`` makes of a window of m series."""
+    if n <= m * (lags + 1):
+        return None
+    x, k = moments[: 2 * m], moments[2 * m :]
+    try:
+        rest = (x[:, : 2 * m] - x[:, 2 * m :] @ np.linalg.solve(k[:, 2 * m :], k[:, : 2 * m])) / n
+    except np.linalg.LinAlgError:
+        return None
+    return _first_vector(rest[:m, :m], rest[:m, m:], rest[m:, m:])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loompanel.functions.moments import correlations
 from loompanel.functions.quantiles import exact_quantiles
 
 
@@ -31,25 +32,18 @@ def target_correlation(df: DataFrame, features: list[str], target: str = "target
     return out.withColumns({"abs_correlation": F.abs("correlation"), "family": family(F.col("feature"))})
 
 
-def correlated_pairs(df: DataFrame, features: list[str], threshold: float | None = 0.9, chunk: int = 500, signed: bool = False) -> DataFrame:
-    """Pairs of features whose absolute correlation reaches the threshold (all without one); so many pairs in one
-    pass.  ``signed``: the correlation itself."""
-    name, value = ("correlation", lambda c: c) if signed else ("abs_correlation", F.abs)
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    out = None
-    for at in range(0, len(pairs), chunk):
-        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(F.corr(a, b)).alias(name)) for a, b in pairs[at : at + chunk]]
-        part = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("p")).select("p.*")
-        out = part if out is None else out.union(part)
-    return out if threshold is None else out.where(F.abs(F.col(name)) >= threshold)
+def correlated_pairs(df: DataFrame, features: list[str], threshold: float | None = 0.9, signed: bool = False) -> DataFrame:
+    """Pairs of features whose absolute correlation reaches the threshold (all without one), in one pass over the
+    rows at any number of features.  ``signed``: the correlation itself."""
+    r = F.col("correlation")
+    found = correlations(df, features).where("i < j")
+    found = found if threshold is None else found.where(F.abs(r) >= threshold)
+    return found.select("a", "b", r if signed else F.abs(r).alias("abs_correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs, both ways and with themselves; each pair is computed once."""
-    found = correlated_pairs(df, columns, threshold=None, signed=True)
-    own = df.agg(F.array(*(F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.corr(c, c).alias("correlation")) for c in columns)).alias("r"))
-    turned = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "correlation")
-    return found.unionByName(turned).unionByName(own.select(F.explode("r").alias("p")).select("p.*"))
+    """All pairs, both ways and with themselves, in one pass over the rows."""
+    return correlations(df, columns).select("a", "b", "correlation")
 
 
 def family_summary(correlations: DataFrame) -> DataFrame:

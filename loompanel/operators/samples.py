@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import P, trailing
+from loompanel.functions.quantiles import grouped_quantiles
 
 
 def _windows(df: DataFrame, features: list[str], length: int, ids: tuple[str, ...] = ()) -> DataFrame:
@@ -97,10 +98,13 @@ def regime_labels(samples: DataFrame, existing: DataFrame | None = None, include
 
 
 def volatility_regime(samples: DataFrame, split: str = "split", low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
-    """0, 1 or 2 by the volatility quantiles of each split."""
-    cuts = samples.groupBy(split).agg(F.percentile("volatility", F.array(F.lit(low), F.lit(high))).alias("__q"))
-    v, q = F.col("volatility"), F.col("__q")
-    return samples.join(F.broadcast(cuts), split).withColumn("regime_label", F.when(v <= q[0], 0).when(v >= q[1], 2).otherwise(1)).drop("__q")
+    """0, 1 or 2 by the volatility quantiles of each split (exact, one job for all splits; memory is bounded)."""
+    cuts = grouped_quantiles(samples, split, ["volatility"], (low, high))
+    rows = [(g, *q["volatility"]) for g, q in cuts.items()]
+    table = samples.sparkSession.createDataFrame(rows, f"__s {samples.schema[split].dataType.simpleString()}, __a double, __b double")
+    v = F.col("volatility")
+    label = F.when(v <= F.col("__a"), 0).when(v >= F.col("__b"), 2).otherwise(1)
+    return samples.join(F.broadcast(table), F.col(split).eqNullSafe(F.col("__s"))).withColumn("regime_label", label).drop("__s", "__a", "__b")
 
 
 def tuning_split(df: DataFrame, train: float = 0.7, val: float = 0.2) -> DataFrame:

@@ -20,6 +20,12 @@ SELECT n_name AS tic, r_name AS grp, CAST(l_shipdate AS DATE) AS date,
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
 JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 GROUP BY n_name, r_name, CAST(l_shipdate AS DATE)""",
+    "weeks": """
+SELECT n_name AS tic, r_name AS grp, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / sum(l_quantity) AS close
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+GROUP BY n_name, r_name, CAST(date_trunc('week', l_shipdate) AS DATE)""",
     "calm": """
 SELECT n_name AS tic, r_name AS grp, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
        100 + CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS close

@@ -134,17 +134,44 @@ LOO = "CASE WHEN count({c}) OVER w > 1 THEN (sum(CAST(round({c} * 1000000) AS BI
 REL = f"r0 AS (SELECT *, (close - {lag_('close')}) / {lag_('close')} AS ret FROM bars), r1 AS (SELECT *, {LOO.format(c='close')} AS pc, {LOO.format(c='ret')} AS pr FROM r0 WINDOW w AS (PARTITION BY grp, date)), r2 AS (SELECT *, (close - pc) / nullif(abs(pc), 0) AS rel FROM r1)"
 Z60 = f"(rel - {roll('avg', 'rel', 60)}) / nullif({roll('stddev_pop', 'rel', 60)}, 0)"
 q("g01_f43_f45_relative", f"WITH {cte('bars')}, {REL} SELECT tic, date, {r6({'stock_return_1d': 'ret', 'relative_price_vs_sector': 'rel', 'relative_return_vs_sector': 'ret - pr', 'relative_price_vs_sector_norm': Z60}, 5)} FROM r2", lambda s, d: C.relative(bars(s, d)).select("tic", "date", "stock_return_1d", "relative_price_vs_sector", "relative_return_vs_sector", "relative_price_vs_sector_norm"), 5)
-PW = 12
-_po = over(PW, "grp, tic, peer")
-PAIR = f"""dd AS (SELECT DISTINCT grp, date FROM bars), tt AS (SELECT DISTINCT grp, tic FROM bars),
-gr AS (SELECT dd.grp, dd.date, tt.tic, b.close FROM dd JOIN tt USING (grp) LEFT JOIN bars b ON b.tic = tt.tic AND b.date = dd.date),
+#: Windows of the pair queries: of days, which a nation has no year of without a gap, and of weeks, which it has.
+PW, WEEKS = 12, 252
+
+
+def pair_sql(base: str, window: int) -> str:
+    po = over(window, "grp, tic, peer")
+    return f"""dd AS (SELECT DISTINCT grp, date FROM {base}), tt AS (SELECT DISTINCT grp, tic FROM {base}),
+gr AS (SELECT dd.grp, dd.date, tt.tic, b.close FROM dd JOIN tt USING (grp) LEFT JOIN {base} b ON b.tic = tt.tic AND b.date = dd.date),
 g2 AS (SELECT *, (close - lag(close) {OVER}) / nullif(lag(close) {OVER}, 0) AS r FROM gr),
 pp AS (SELECT a.grp, a.date, a.tic, b.tic AS peer, a.close AS y, b.close AS x, CASE WHEN b.r IS NOT NULL THEN a.r END AS ry, CASE WHEN a.r IS NOT NULL THEN b.r END AS rx FROM g2 a JOIN g2 b ON a.grp = b.grp AND a.date = b.date AND a.tic <> b.tic),
-pw AS (SELECT grp, date, tic, peer, y, x, count(y) {_po} AS ny, count(x) {_po} AS nx, count(ry) {_po} AS n, abs(corr(ry, rx) {_po}) AS c, regr_slope(y, x) {_po} AS beta, avg(y) {_po} AS my, avg(x) {_po} AS mx, var_pop(y) {_po} AS vy, var_pop(x) {_po} AS vx, covar_pop(y, x) {_po} AS cxy FROM pp),
-pk AS (SELECT *, row_number() OVER (PARTITION BY grp, tic, date ORDER BY c DESC, peer) AS rk FROM pw WHERE ny = {PW} AND nx = {PW} AND n >= 10 AND c IS NOT NULL AND NOT isnan(c))"""
-q("f46_f47_pairs", f"WITH {cte('bars')}, {PAIR}, o AS (SELECT *, y - beta * x AS s, my - beta * mx AS m, sqrt(greatest(vy - 2 * beta * cxy + beta * beta * vx, 0)) AS sd FROM pk WHERE rk = 1 AND vx > 0) SELECT tic, date, peer, {r6({'pair_beta': 'beta', 'spread': 's', 'rolling_mean_spread': 'm', 'rolling_std_spread': 'nullif(sd, 0)', 'spread_zscore': '(s - m) / nullif(sd, 0)'}, 4)} FROM o", lambda s, d: C.spreads(bars(s, d), PW).select("tic", "date", "peer", "pair_beta", "spread", "rolling_mean_spread", "rolling_std_spread", "spread_zscore"), 4)
+pw AS (SELECT grp, date, tic, peer, y, x, count(y) {po} AS ny, count(x) {po} AS nx, count(ry) {po} AS n, abs(corr(ry, rx) {po}) AS c, regr_slope(y, x) {po} AS beta, avg(y) {po} AS my, avg(x) {po} AS mx, var_pop(y) {po} AS vy, var_pop(x) {po} AS vx, covar_pop(y, x) {po} AS cxy FROM pp),
+pk AS (SELECT *, row_number() OVER (PARTITION BY grp, tic, date ORDER BY c DESC, peer) AS rk FROM pw WHERE ny = {window} AND nx = {window} AND n >= 10 AND c IS NOT NULL AND NOT isnan(c)),
+pq AS (SELECT *, y - beta * x AS s, my - beta * mx AS m, sqrt(greatest(vy - 2 * beta * cxy + beta * beta * vx, 0)) AS sd FROM pk WHERE rk = 1 AND vx > 0)"""
+
+
+SPREADS = ("pair_beta", "spread", "rolling_mean_spread", "rolling_std_spread", "spread_zscore")
+SPREAD_SQL = {"pair_beta": "beta", "spread": "s", "rolling_mean_spread": "m", "rolling_std_spread": "nullif(sd, 0)", "spread_zscore": "(s - m) / nullif(sd, 0)"}
+
+
+def daily_pairs(s: SparkSession, d: str) -> DataFrame:
+    return C.spreads(bars(s, d), PW).select("tic", "date", "peer", *SPREADS)
+
+
+def weekly_pairs(s: SparkSession, d: str) -> DataFrame:
+    return C.spreads(view(s, d, "weeks"), WEEKS).select("tic", "date", "peer", *SPREADS)
+
+
+def weekly_tests(s: SparkSession, d: str) -> DataFrame:
+    weeks = view(s, d, "weeks")
+    return C.spread_adf(weeks, C.spreads(weeks, WEEKS), WEEKS).select("tic", "date", "spread_norm", "spread_adf_stat", "spread_adf_pvalue")
+
+
+q("f46_f47_pairs", f"WITH {cte('bars')}, {pair_sql('bars', PW)} SELECT tic, date, peer, {r6(SPREAD_SQL, 4)} FROM pq", daily_pairs, 4)
+q("f46_f47_pairs_of_weeks", f"WITH {cte('weeks')}, {pair_sql('weeks', WEEKS)} SELECT tic, date, peer, {r6(SPREAD_SQL, 4)} FROM pq", weekly_pairs, 4)
 q("f48_f49_spread_adf", None, lambda s, d: C.spread_adf(bars(s, d), C.spreads(bars(s, d), PW, 20), PW).select("tic", "date", "spread_norm", "spread_adf_stat", "spread_adf_pvalue"))
+q("f48_f49_spread_adf_of_weeks", None, weekly_tests)
 q("f50_f52_equilibrium", None, lambda s, d: C.equilibrium(bars(s, d), 30, 20))
+q("f50_f52_equilibrium_of_weeks", None, lambda s, d: C.equilibrium(view(s, d, "weeks"), WEEKS))
 q("f15_f16_trendlines", None, lambda s, d: L.trendlines(bars(s, d).select("tic", "date", "high", "low", "close")).drop("high", "low", "close"))
 
 # ---- targets, splits, folds, encodings, scalers ---------------------------------------------------

@@ -227,6 +227,97 @@ def test_equilibrium_of_the_whole_panel_equals_direct_computation(spark):
     assert not got
 
 
+@pytest.fixture
+def plain_corr(spark):
+    """Without the error that ``corr`` is where a column has no variance."""
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def holed(spark, tickers, days, seed):
+    """A panel with gaps, a flat ticker and a close of 0."""
+    r = random.Random(seed)
+    flat = F.when(F.col("tic") == tickers[-1], 50.0).otherwise(F.col("close"))
+    df = panel(spark, tickers, days, seed).withColumn("close", F.when((F.col("tic") == tickers[0]) & (F.dayofyear("date") == 20), 0.0).otherwise(flat))
+    gone = spark.createDataFrame([(t, DAY + dt.timedelta(r.randrange(days))) for t in tickers for _ in range(2)], "tic string, date date")
+    return df.join(gone, ["tic", "date"], "left_anti")
+
+
+def test_pairs_over_blocks_and_chunks(spark, monkeypatch, plain_corr):
+    """Blocks of two tickers and chunks of nine dates give what one block and chunk give, and what windows over all
+    pairs give."""
+    from pyspark.sql import Window as W
+
+    df = holed(spark, ("A", "AA", "AB", "B", "BB", "BC", "BD", "C", "D"), 70, 4).persist()
+    keys = ("tic", "date", "peer")
+    whole = C.spread_adf(df, C.spreads(df, 12, 5), 12).orderBy(*keys).collect()
+    monkeypatch.setattr(C, "BLOCK", 2)
+    monkeypatch.setattr(C, "CHUNK", 9)
+    parts = C.spread_adf(df, C.spreads(df, 12, 5), 12).orderBy(*keys).collect()
+    assert len(whole) == len(parts) > 100
+    for x, y in zip(whole, parts):
+        assert [x[k] for k in keys] == [y[k] for k in keys] and [v for v in x[3:]] == pytest.approx([v for v in y[3:]], nan_ok=True)
+    grid = df.select("grp", "date").distinct().join(df.select("grp", "tic").distinct(), "grp").join(df.select("grp", "tic", "date", "close"), ["grp", "tic", "date"], "left")
+    before = F.lag("close").over(W.partitionBy("tic").orderBy("date"))
+    grid = grid.withColumn("r", F.try_divide(F.col("close") - before, F.nullif(before, F.lit(0.0))))
+    other = grid.select("grp", "date", F.col("tic").alias("peer"), F.col("close").alias("x"), F.col("r").alias("rx"))
+    w = W.partitionBy("tic", "peer").orderBy("date").rowsBetween(-11, 0)
+    joint = F.col("r").isNotNull() & F.col("rx").isNotNull()
+    pairs = grid.join(other, ["grp", "date"]).where("tic <> peer").select("tic", "peer", "date", F.count("close").over(w).alias("ny"), F.count("x").over(w).alias("nx"), F.count(F.when(joint, 1)).over(w).alias("n"), F.abs(F.corr(F.when(joint, F.col("r")), F.when(joint, F.col("rx"))).over(w)).alias("c"))
+    pairs = pairs.where("ny = 12 AND nx = 12 AND n >= 10 AND c IS NOT NULL AND NOT isnan(c)")
+    first = F.row_number().over(W.partitionBy("tic", "date").orderBy(F.desc("c"), "peer"))
+    assert [(r.tic, r.date, r.peer) for r in pairs.withColumn("k", first).where("k = 1").orderBy("tic", "date").collect()] == [(r.tic, r.date, r.peer) for r in whole]
+    assert "D" not in {r.peer for r in whole}  # a flat close has no correlation
+    plan = C.chosen_peers(df, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "peer" not in plan.split("FlatMapGroupsInPandas")[1].split("\n", 1)[1]  # no pair is joined
+
+
+def test_equilibrium_over_chunks(spark, monkeypatch):
+    df = holed(spark, ("A", "AA", "B", "C", "D"), 70, 6)
+    whole = C.equilibrium(df, 30, 10).orderBy("grp", "date").collect()
+    monkeypatch.setattr(C, "CHUNK", 7)
+    parts = C.equilibrium(df, 30, 10).orderBy("grp", "date").collect()
+    assert len(whole) == len(parts) > 60 and sum(r.equilibrium_gap is not None for r in whole) > 10
+    for x, y in zip(whole, parts):
+        assert x[:2] == y[:2] and [v for v in x[2:]] == pytest.approx([v for v in y[2:]], abs=1e-6)
+
+
+def test_correlations_equal_corr(spark, plain_corr):
+    """One pass over all pairs, with unknown values, large means, constant columns and constant overlaps."""
+    r = random.Random(8)
+    some = lambda v, p: v if r.random() < p else None
+    rows = []
+    for i in range(3000):
+        x = r.gauss(0, 1)
+        rows.append((x, some(x + r.gauss(0, 0.3), 0.7), some(1e9 + x, 0.9), 0.1, some(5.5, 0.5), None, some(r.choice([0, 1]), 0.4), float("nan") if i % 50 == 0 else x * 1e-9, 7.0 if i < 2999 else 8.0, some(1.5, 0.001)))
+    names = list("abcdefghkl")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" if c != "g" else "g int" for c in names)).repartition(7)
+    got = {(x.a, x.b): x.correlation for x in A.correlation_matrix(df, names).collect()}
+    clean = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names))
+    want = clean.agg(*(F.corr(a, b).alias(f"{a}{b}") for a in names for b in names)).first()
+    assert len(got) == 100
+    for a in names:
+        for b in names:
+            w = want[f"{a}{b}"]
+            w = None if w is None or math.isnan(w) else w
+            # about a mean of 1e9 the two-pass sum itself is good to some 1e-8
+            assert got[a, b] == (w if w is None else pytest.approx(w, abs=1e-7 if "c" in (a, b) else 1e-9)), (a, b)
+    pairs = {(x.a, x.b): x.abs_correlation for x in A.correlated_pairs(df, names, 0.5).collect()}
+    assert set(pairs) == {k for k, v in got.items() if k[0] < k[1] and v is not None and abs(v) >= 0.5} and ("a", "b") in pairs
+    assert A.correlated_pairs(df, names, None, signed=True).count() == 45 and A.correlation_matrix(df.limit(0), names).count() == 0
+
+
+def test_wide_correlations_take_one_scan(spark):
+    names = [f"x{i}" for i in range(300)]
+    df = spark.range(2000).select(*(F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)))
+    found = A.correlation_matrix(df, names)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    sample = {(r.a, r.b): r.correlation for r in found.where("a = 'x7' AND b IN ('x0', 'x299', 'x7')").collect()}
+    want = df.agg(*(F.corr("x7", b).alias(b) for b in ("x0", "x299", "x7"))).first()
+    assert all(sample["x7", b] == pytest.approx(want[b], abs=1e-9) for b in ("x0", "x299", "x7")) and found.count() == 90_000
+
+
 def test_unit_root_and_cointegration():
     import numpy as np
 
@@ -341,6 +432,31 @@ def test_exact_quantiles_equal_percentile(spark, accuracy):
     assert one == {"x": [2.0]} and exact_quantiles(df.limit(0), ["x"], (0.5,)) == {"x": [None]}
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_no_more_than_the_bound_is_gathered(spark, monkeypatch, accuracy):
+    """Brackets are narrowed until 50 values at most lie inside; by group, as percentile does."""
+    from loompanel.functions import quantiles as Q
+
+    r = random.Random(6)
+    rows = [(r.choice("aab") if i else None, r.lognormvariate(0, 4), float(r.choice([0, 0, 0, 0, 0, 1, 2])), r.uniform(-1, 1) ** 9 if r.random() < 0.3 else None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, x double, ties double, tight double").repartition(5)
+    sizes, passes = [], []
+    gathered, narrow = Q._gathered, Q._narrow
+    monkeypatch.setattr(Q, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    monkeypatch.setattr(Q, "_gathered", lambda rows, brackets, most: sizes.extend((b, g, i) for (g, i, j), b in brackets.items()) or gathered(rows, brackets, most))
+    shares = (0.0, 0.25, 0.5, 2 / 3, 1.0)
+    got = Q.grouped_quantiles(df, "g", ["x", "ties", "tight"], shares, accuracy, most=50)
+    want = df.groupBy("g").agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in ("x", "ties", "tight"))).collect()
+    assert len(got) == len(want) == 3 and passes
+    for w in want:
+        for c in ("x", "ties", "tight"):
+            assert got[w.g][c] == (pytest.approx(w[c], rel=1e-12) if w[c] is not None else [None] * 5)
+    names = ["x", "ties", "tight"]
+    for b, g, i in sizes:  # what lies strictly inside the last bracket is what is gathered
+        assert sum(row[0] == g and row[1 + i] is not None and b.low < row[1 + i] < b.high for row in rows) <= 50, names[i]
+    assert Q.exact_quantiles(df, ["x"], (0.5,), accuracy, most=50)["x"][0] == pytest.approx(df.agg(F.percentile("x", F.lit(0.5))).first()[0])
+
+
 def test_regime_labels(spark):
     df = panel(spark, ("A",), 20).withColumn("target", F.lit(1.0))
     samples = S.rich_samples(df, ["close"], 4, 2).withColumn("split", F.lit("train"))
