@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,9 +53,31 @@ def family_summary(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"))
 
 
+def distinct_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, n_unique): exact, nulls left out.
+
+    Two levels: a task gives each value of a feature once for each batch, and these are combined before they
+    move; a value of a feature that is left counts one.  No row is repeated for a feature."""
+    kinds = dict(df.dtypes)
+    numbers = {f: kinds[f] in ("tinyint", "smallint", "int", "float", "double") for f in features}
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, f in enumerate(features):
+                found = batch.column(i).unique().drop_null()
+                empty = pa.nulls(len(found), pa.string() if numbers[f] else pa.float64())
+                pair = [found, empty] if numbers[f] else [empty, found]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int32()), *pair], ["i", "x", "t"])
+
+    cast = df.select(*(F.col(f"`{f}`").cast("double" if numbers[f] else "string").alias(f"c{i}") for i, f in enumerate(features)))
+    distinct = cast.mapInArrow(values, "i int, x double, t string").groupBy("i", "x", "t").agg(F.lit(1))
+    return distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique")).select(F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), "n_unique")
+
+
 def sparsity(df: DataFrame, features: list[str]) -> DataFrame:
-    made = {f: (F.countDistinct(f), F.avg((F.col(f) == 0).cast("double")), F.stddev_samp(f)) for f in features}
-    return _long(df, made, "n_unique", "zero_ratio", "std")
+    made = {f: (F.avg((F.col(f) == 0).cast("double")), F.stddev_samp(f)) for f in features}
+    out = _long(df, made, "zero_ratio", "std").join(F.broadcast(distinct_counts(df, features)), "feature", "left")  # one row for each feature
+    return out.select("feature", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "zero_ratio", "std")
 
 
 def distribution(df: DataFrame, column: str = "target") -> DataFrame:
@@ -100,6 +124,23 @@ def column_contract(columns: list[str], required: dict[str, list[str]], optional
     return {k: {"present": [c for c in v if c in columns], "missing": [c for c in v if c not in columns]} for k, v in (optional or {}).items()}
 
 
+#: Columns of a bar.
+OHLCV = ("open", "high", "low", "close", "volume")
+
+
+def ohlcv_contract(df: DataFrame) -> None:
+    """Raises where a column of a bar is missing."""
+    missing = sorted(set(OHLCV) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing OHLCV columns: {missing}")
+
+
+def null_counts(df: DataFrame, columns: tuple[str, ...] = OHLCV) -> DataFrame:
+    """(feature, nulls, rows) of each column, in one pass; NaN counts as unknown."""
+    unknown = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return _long(df, {c: (F.count_if(unknown(c)), F.count(F.lit(1))) for c in columns}, "nulls", "rows")
+
+
 def non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of NaN, infinities and nulls of each column, in one pass."""
     inf = float("inf")

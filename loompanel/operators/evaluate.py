@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import P, td
+from loompanel.functions.ranks import with_earlier, with_place
 
 YEAR = 252
 LOWER = ("loss", "mse", "rmse", "mae", "mape", "max_drawdown")
@@ -66,7 +67,8 @@ def positions(df: DataFrame, threshold: float = 0.0, commission: float = 0.001,
     before = F.lag("position").over(P())
     if not per_ticker:
         ends = out.groupBy("tic").agg(F.max_by("position", "date").alias("__end"))
-        ends = ends.select("tic", F.lag("__end").over(W.orderBy("tic")).alias("__carry"))
+        ends = with_place(ends, ["tic"], "__k")
+        ends = ends.join(ends.select((F.col("__k") + 1).alias("__k"), F.col("__end").alias("__carry")), "__k", "left").select("tic", "__carry")
         out = out.join(ends, "tic")
         before = F.coalesce(before, F.col("__carry"))
     turnover = F.abs(F.col("position") - F.coalesce(before, F.lit(0.0)))
@@ -85,9 +87,8 @@ def equity(df: DataFrame, column: str = "net_return", capital: float = 1.0) -> D
     out = out.withColumn("__in", F.product("__g").over(inside))
     out = out.withColumn("__top", F.max("__in").over(inside))
     totals = out.groupBy("tic").agg(F.max_by("__in", "date").alias("g"), F.max("__in").alias("top"))
-    earlier = W.orderBy("tic").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select("tic", "top", F.coalesce(F.product("g").over(earlier), F.lit(1.0)).alias("__carry"))
-    carry = carry.select("tic", "__carry", F.max(F.col("__carry") * F.col("top")).over(earlier).alias("__before"))
+    carry = with_earlier(totals, ["tic"], F.col("g"), "__carry")
+    carry = with_earlier(carry, ["tic"], F.col("__carry") * F.col("top"), "__before", "max").select("tic", "__carry", "__before")
     out = out.join(carry, "tic").withColumns({"equity": F.col("__in") * F.col("__carry") * capital, "__peak": F.greatest(F.col("__top") * F.col("__carry"), F.col("__before")) * capital})
     return out.withColumn("drawdown", td(F.col("equity") - F.col("__peak"), F.col("__peak"))).drop("__g", "__in", "__top", "__carry", "__before", "__peak")
 

@@ -7,11 +7,15 @@ never replace columns that are there; the other families leave unknown values nu
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import P, add_if_missing, extremes, filled, flag, lag, pct, rolling, td, trailing, zero, zscore
+from loompanel.operators.analyse import ohlcv_contract
 
 TINY = 1e-8
 
@@ -84,7 +88,7 @@ def _over(a: Column, b: Column) -> Column:
 
 def candle_shape(df: DataFrame) -> DataFrame:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    body, upper, lower, span = F.abs(c - o), F.greatest(h - F.greatest(o, c), F.lit(0.0)), F.greatest(F.least(o, c) - l, F.lit(0.0)), h - l
+    body, upper, lower, span = F.abs(c - o), F.greatest(h - F.greatest(o, c), F.lit(0.0)), F.greatest(F.least(o, c) - l, F.lit(0.0)), F.greatest(h - l, F.lit(0.0))
     made = {"body_size": body, "upper_shadow": upper, "lower_shadow": lower, "high_low_range": span}
     made |= {"body_ratio": _over(body, span), "upper_shadow_ratio": _over(upper, span), "lower_shadow_ratio": _over(lower, span), "close_position": _over(c - l, span), "open_position": _over(o - l, span)}
     return add_if_missing(df, {k: zero(v) for k, v in made.items()} | {"candle_direction": F.signum(c - o).cast("tinyint")})
@@ -227,7 +231,7 @@ def year_extremes(df: DataFrame, n: int = 252, near: float = 0.05) -> DataFrame:
 def volume_confirmation(df: DataFrame, n: int = 20, windows: tuple[int, ...] = (20, 60, 120)) -> DataFrame:
     """Needs breakouts."""
     ratio = td(F.col("volume"), F.nullif(rolling(F.avg, "volume", n, 1), F.lit(0.0)))
-    any_of = lambda k: F.greatest(*(F.col(f"{k}_{w}d") for w in windows)) > 0
+    any_of = lambda k: reduce(lambda a, b: a | b, (F.col(f"{k}_{w}d") > 0 for w in windows))
     return add_if_missing(df, {"breakout_volume_ratio": F.when(any_of("breakout"), zero(ratio)).otherwise(F.lit(0.0)), "breakdown_volume_ratio": F.when(any_of("breakdown"), zero(ratio)).otherwise(F.lit(0.0)), "volume_spike_ratio": zero(ratio), "volume_momentum": zero(ratio - 1)})
 
 
@@ -254,12 +258,31 @@ def signal_lags(df: DataFrame, signals: tuple[str, ...] = SIGNALS, steps: tuple[
     return add_if_missing(df, {f"{s}_lag_{n}": F.coalesce(lag(s, n), F.lit(0)).cast(kinds[s]) for s in signals for n in steps})
 
 
-def market_structure(df: DataFrame) -> DataFrame:
-    """All structure families in their fixed order."""
-    for family in (distances, breakouts, swing_flags, year_extremes, volume_confirmation, ranges, atr_ratio):
-        df = df.transform(family)
+@dataclass(frozen=True)
+class Structure:
+    """Which windows the structure families are made with."""
+
+    enabled: bool = True
+    windows: tuple[int, ...] = (20, 60, 120, 252)
+    breakouts: tuple[int, ...] = (20, 60, 120)
+    count: int = 20
+    near: float = 0.05
+    volume: int = 20
+    trends: tuple[int, ...] = (20, 60)
+    lags: tuple[int, ...] = (1, 3, 5, 10, 20)
+
+
+def market_structure(df: DataFrame, s: Structure = Structure()) -> DataFrame:
+    """All structure families in their fixed order.  A missing column of the bars is an error."""
+    ohlcv_contract(df)
+    if not s.enabled:
+        return df
+    df = swing_flags(breakouts(distances(df, s.windows), s.breakouts), s.count)
+    df = volume_confirmation(year_extremes(df, near=s.near), s.volume, s.breakouts)
+    df = df.transform(ranges).transform(atr_ratio)
     df = volatility(volatility(df, "rolling_volatility_20", 20), "rolling_volatility_60", 60)
-    return df.transform(trend_strength).transform(trend_persistence).transform(signal_lags)
+    df = trend_persistence(trend_strength(df, s.count), s.trends)
+    return signal_lags(df, tuple(c for c in SIGNALS if c in df.columns), s.lags)
 
 
 def candlesticks(df: DataFrame) -> DataFrame:

@@ -15,12 +15,8 @@ BROADCAST_DATES = 100_000
 def small(df: DataFrame, bound: int = BROADCAST_DATES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``bound`` rows; else it is joined by sorting.
 
-    The table is kept while it is counted, so what it is made of runs once for both."""
-    kept = df.persist()
-    if kept.limit(bound + 1).count() <= bound:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    Only its first column is made for the count, and no more rows than the bound."""
+    return F.broadcast(df) if df.select(df.columns[0]).limit(bound + 1).count() <= bound else df
 
 
 def merge_macro(panel: DataFrame, vix: DataFrame | None = None, commodities: DataFrame | None = None, yields: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loompanel.functions.columns import P, nn, td
 from loompanel.functions.quantiles import exact_quantiles
+from loompanel.functions.ranks import with_place
 from loompanel.operators.joins import small
 
 SKIP = ("day", "month", "dayofweek", "dividend_flag", "regime_id")
@@ -57,8 +58,8 @@ def fill_target(df: DataFrame) -> DataFrame:
 
 
 def ranked_dates(df: DataFrame) -> DataFrame:
-    """Distinct dates with their place from 0.  One row for each date: small enough for one window."""
-    return df.select("date").distinct().withColumn("place", F.row_number().over(W.orderBy("date")) - 1)
+    """Distinct dates with their place from 0."""
+    return with_place(df.select("date").where("date IS NOT NULL").distinct(), ["date"])
 
 
 def by_date(df: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def fold_bounds(folds: DataFrame) -> DataFrame:
 
 def label_ids(df: DataFrame, column: str) -> DataFrame:
     """(column, id): place of each distinct value in sorted order, from 0.  One row for each value."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("id", F.row_number().over(W.orderBy(column)) - 1)
+    return with_place(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "id")
 
 
 def encode(df: DataFrame, ids: DataFrame, column: str, name: str) -> DataFrame:
@@ -126,7 +127,8 @@ def extend_ids(ids: DataFrame, df: DataFrame, column: str, order: str = "date")
     """The map with new values numbered on, by first appearance (then by value)."""
     new = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("o")).join(ids.select(column), column, "left_anti")
     start = ids.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    return ids.unionByName(new.select(column, (F.row_number().over(W.orderBy("o", column)) + start).cast("int").alias("id")))
+    numbered = with_place(new, ["o", column], "id")
+    return ids.unionByName(numbered.select(column, (F.col("id") + start + 1).cast("int").alias("id")))
 
 
 def fit_regime(df: DataFrame, column: str, cuts: tuple[float, ...] = (1 / 3, 2 / 3)) -> list[float]:

@@ -409,7 +409,7 @@ FAMILIES = {
     "f01_calendar": 6, "f03_ema": 5, "f04_rsi": 6, "f05_stochrsi": 5, "f06_macd": 5, "f07_atr_norm": 6, "f08_roc": 6, "f09_bollinger_width": 6, "f10_f12_channel": 6, "f13_f14_swings": 6, "f17_fibonacci": 6,
     "f18_candle_shape": 6, "f19_gaps": 6, "f20_shape_changes": 6, "f20_w04_smoothed_bodies": 5, "f21_ranges": 6, "f22_percent_sizes": 6, "f23_returns": 6, "f24_volatility": 6, "f25_support": 6, "f26_volume": 6, "f27_lags": 6,
     "f28_close_rolling": 5, "f29_shape_rolling": 5, "f30_patterns": 6, "f31_distances": 6, "f32_breakouts": 6, "f33_f34_swing_flags": 6, "f35_year_extremes": 6, "f36_volume_confirmation": 6, "f37_atr_ratio": 6, "f38_volatilities": 6,
-    "f39_trend_strength": 6, "f40_trend_persistence": 6, "f41_signal_lags": 6, "g01_f43_f45_relative": 5,
+    "f39_trend_strength": 6, "f40_trend_persistence": 6, "f41_signal_lags": 6, "g01_f43_f45_relative": 5, "f46_f47_pairs": 4, "f55_daily_fundamentals": 6,
 }
 
 
@@ -418,22 +418,28 @@ def family_columns(s, d) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     for name in FAMILIES:
         known = {c for columns in found.values() for c in columns}
-        found[name] = [c for c in QUERIES[name](s, d).columns if c not in ("tic", "date") and c not in known]
+        found[name] = [c for c in QUERIES[name](s, d).columns if c not in ("tic", "date", "peer") and c not in known]
     return found
 
 
+def whole_panel(s: SparkSession, d: str, settings: Settings) -> DataFrame:
+    highlights = view(s, d, "highlights").select("tic", "market_cap", "dividend_yield")
+    return add_all_features(bars(s, d), settings, view(s, d, "statements"), highlights, (view(s, d, "vix"),))
+
+
 def all_features(s, d):
-    """All families but trend lines and pairs, with the volatility index."""
-    df = add_all_features(bars(s, d), Settings(), macro=(view(s, d, "vix"),))
+    """All families that have SQL (not trend lines, unit-root tests and equilibrium), with the volatility index."""
+    df = whole_panel(s, d, Settings(pairs=True, pair_tests=False, pair_window=PW))
     shown = {c: places for name, columns in family_columns(s, d).items() for places in [FAMILIES[name]] for c in columns}
     kinds = dict(df.dtypes)
     shift = lambda c, p: F.round(F.col(c) + F.lit(0.31 * 10.0**-p), p).alias(c) if kinds[c] == "double" else F.col(c)
     return df.select("tic", "date", *(shift(c, p) for c, p in {"target": 5, "vix": 5, **shown}.items()))
 
 
-_doubled = ", ".join(f"f{i}.* EXCLUDE (tic, date" + (", volume_momentum" if name == "f36_volume_confirmation" else "") + ")" for i, name in enumerate(FAMILIES))
-_joined = " ".join(f"JOIN ({ORACLES[name]}) f{i} ON f{i}.tic = tg.tic AND f{i}.date = tg.date" for i, name in enumerate(FAMILIES))
+_doubled = ", ".join(f"f{i}.* EXCLUDE (tic, date" + {"f36_volume_confirmation": ", volume_momentum", "f46_f47_pairs": ", peer"}.get(name, "") + ")" for i, name in enumerate(FAMILIES))
+_joined = " ".join(f"{'LEFT ' * (name == 'f46_f47_pairs')}JOIN ({ORACLES[name]}) f{i} ON f{i}.tic = tg.tic AND f{i}.date = tg.date" for i, name in enumerate(FAMILIES))
 query("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT} SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix'}, 5)}, {_doubled} FROM tg LEFT JOIN vix ON tg.date = vix.date {_joined}")(all_features)
+query("f58_complete_panel")(lambda s, d: whole_panel(s, d, Settings(trendlines=True, pairs=True, equilibrium=True, pair_window=30, pair_norm=20)))
 
 _SCALED = ("open", "high", "low", "close", "volume", "vix")
 _SPLIT2 = "dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM tg)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2)"

@@ -16,6 +16,10 @@ from loompanel.operators import trendlines as L
 from loompanel.sources import sinks
 
 
+#: Sector days that are broadcast: a hundred sectors over 27 years of days.
+SECTOR_DAYS = 1_000_000
+
+
 @dataclass
 class Settings:
     """Which families are made, and with which windows."""
@@ -28,8 +32,12 @@ class Settings:
     candles: bool = True
     sector: bool = True
     pairs: bool = False
+    pair_tests: bool = True
+    equilibrium: bool = False
     pair_window: int = 252
     norm_window: int = 60
+    pair_norm: int = 60
+    structure_windows: X.Structure = X.Structure()
     horizon: int = 5
     squash: float | None = None
     train: float = 0.7
@@ -39,8 +47,8 @@ class Settings:
 
 
 def add_all_features(bars: DataFrame, s: Settings | None = None, statements: DataFrame | None = None, highlights: DataFrame | None = None, macro: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """Calendar, technical, geometric, structure, Fibonacci, candles, fundamentals, sector, macro, target, in
-    this order.  Families share one order by ticker, so they cost one shuffle; the sector family and the
+    """Calendar, technical, geometric, structure, Fibonacci, candles, fundamentals, sector, pairs, equilibrium,
+    macro, target, in this order.  Families share one order by ticker, so they cost one shuffle; the sector family and the
     joins add theirs."""
     s = s or Settings()
     df = X.calendar(bars)
@@ -52,7 +60,7 @@ def add_all_features(bars: DataFrame, s: Settings | None = None, statements: Dat
     if s.trendlines:
         df = L.trendlines(df)
     if s.structure:
-        df = X.market_structure(df)
+        df = X.market_structure(df, s.structure_windows)
     if s.fibonacci:
         df = X.fibonacci(df)
     if s.candles:
@@ -63,8 +71,10 @@ def add_all_features(bars: DataFrame, s: Settings | None = None, statements: Dat
     if s.sector:
         df = C.relative(df, s.norm_window)
     if s.pairs:
-        pairs = C.spread_adf(bars, C.spreads(bars, s.pair_window, s.norm_window), s.pair_window).drop("peer")
-        df = df.join(pairs, ["tic", "date"], "left")
+        pairs = C.spreads(bars, s.pair_window, s.pair_norm)
+        df = df.join((C.spread_adf(bars, pairs, s.pair_window) if s.pair_tests else pairs).drop("peer"), ["tic", "date"], "left")
+    if s.equilibrium:  # one row for each sector and day
+        df = df.join(J.small(C.equilibrium(bars, s.pair_window, s.pair_norm), SECTOR_DAYS), ["grp", "date"], "left")
     for m in macro:
         df = df.join(J.small(m), "date", "left")
     return P.target(df, s.horizon, s.squash)

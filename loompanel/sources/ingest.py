@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import nn, row_mean
+from loompanel.operators.analyse import ohlcv_contract
 
 CONSTITUENT = "struct<Code:string,Name:string,Sector:string,Industry:string,Weight:string>"
 STATEMENT = ("totalAssets", "totalLiab", "totalStockholderEquity", "totalCurrentAssets", "totalCurrentLiabilities", "netIncome")
@@ -117,7 +118,5 @@ def statements(docs: DataFrame) -> DataFrame:
 def read_scoring(spark: SparkSession, path: str) -> DataFrame:
     """A CSV or Parquet table of bars."""
     df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
-    missing = {"open", "high", "low", "close", "volume"} - {c.lower() for c in df.columns}
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")
+    ohlcv_contract(df.toDF(*(c.lower() for c in df.columns)))
     return df

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +49,47 @@ def fingerprint(settings: dict, code: tuple[object, ...] = ()) -> str:
     return hashlib.sha256(json.dumps([settings, texts], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def stage(spark: SparkSession, folder: str, name: str, settings: dict, make: Callable[[], DataFrame], code: tuple[object, ...] = ()) -> DataFrame:
-    """The stage as written before under the same settings and code, or made and written now."""
-    path = f"{folder}/{name}/fingerprint={fingerprint(settings, code)}"
+MARK = "run string, fingerprint string, columns string, rows bigint"
+
+
+def published(spark: SparkSession, path: str, mark: str) -> DataFrame | None:
+    """The run that the marker of a stage names, if its fingerprint, columns and number of rows are as marked."""
     try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        marks = spark.read.schema(MARK).json(f"{path}/published").where(F.col("fingerprint") == mark).orderBy("run").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return None
+    for m in marks:
+        try:
+            found = spark.read.parquet(f"{path}/run={m.run}")
+        except AnalysisException as e:  # taken away after it was published
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            continue
+        if json.dumps(found.dtypes) == m.columns and found.count() == m.rows:
+            return found
+    return None
+
+
+def stage(spark: SparkSession, folder: str, name: str, settings: dict, make: Callable[[], DataFrame], code: tuple[object, ...] = ()) -> DataFrame:
+    """The stage as written before under the same settings and code, or made and written now.
+
+    A run writes to a folder of its own and is published by a marker (one row in one file, which appears whole
+    or not at all) that names it, after everything else is written.  A writer that died leaves a folder that no
+    marker names: it is never read, and the stage is made again.  Of two writers at once both are whole; the
+    first by name is read."""
+    mark = fingerprint(settings, code)
+    path = f"{folder}/{name}/fingerprint={mark}"
+    found = published(spark, path, mark)
+    if found is not None:
+        return found
+    run = uuid.uuid4().hex
+    make().write.parquet(f"{path}/run={run}")
+    written = spark.read.parquet(f"{path}/run={run}")
+    row = (run, mark, json.dumps(written.dtypes), written.count())
+    spark.createDataFrame([row], MARK).coalesce(1).write.mode("append").json(f"{path}/published")
+    return written
 
 
 def dataset_metadata(samples: DataFrame, features: list[str], length: int, horizon: int) -> DataFrame:

@@ -514,6 +514,121 @@ def test_failure_ledger(spark):
     assert {r.last_reason: r.n for r in K.failure_summary(ledger).collect()} == {"y": 1, "z": 1}
 
 
+def test_places_over_parts(spark, monkeypatch):
+    """Ranks, carries and running products by parts are those of one window, and no exchange goes to one task."""
+    from loompanel.functions import ranks as N
+
+    r = random.Random(4)
+    rows = [(f"T{r.randrange(10**6):06d}é"[: r.randrange(3, 8)], DAY + dt.timedelta(r.randrange(30)), r.uniform(0.9, 1.1)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "tic string, date date, g double").dropDuplicates(["tic"]).persist()
+    df.count()
+    one = N.with_earlier(N.with_earlier(N.with_place(df, ["date", "tic"]), ["tic"], F.col("g"), "p"), ["tic"], F.col("p") * F.col("g"), "m", "max").orderBy("tic").collect()
+    monkeypatch.setattr(N, "ROWS", 50)
+    made = N.with_earlier(N.with_earlier(N.with_place(df, ["date", "tic"]), ["tic"], F.col("g"), "p"), ["tic"], F.col("p") * F.col("g"), "m", "max")
+    assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
+    for x, y in zip(one, made.orderBy("tic").collect(), strict=True):
+        assert (x.tic, x.place, x.p, x.m) == (y.tic, y.place, pytest.approx(y.p), y.m if y.m is None else pytest.approx(y.m))
+    assert sorted(x.place for x in one) == list(range(len(one))) and one[0].m is None and one[0].p == 1.0
+    ids = P.label_ids(df, "tic")
+    assert [x.tic for x in ids.orderBy("id").collect()] == [x.tic for x in one] and "SinglePartition" not in ids._jdf.queryExecution().executedPlan().toString()
+    more = P.extend_ids(ids.where("id < 100"), df, "tic")
+    assert sorted(x.id for x in more.collect()) == list(range(len(one)))
+    small = spark.createDataFrame([(f"T{i:03d}", "G", DAY + dt.timedelta(k), r.choice([-1.0, 1.0]), r.uniform(-3, 3)) for i in range(120) for k in range(3)], "tic string, grp string, date date, prediction double, target double")
+    parted = E.equity(E.positions(small)).orderBy("tic", "date").collect()
+    monkeypatch.setattr(N, "ROWS", 10**6)
+    for x, y in zip(E.equity(E.positions(small)).orderBy("tic", "date").collect(), parted, strict=True):
+        assert (x.turnover, x.equity, x.drawdown) == (y.turnover, pytest.approx(y.equity), pytest.approx(y.drawdown))
+
+
+def test_sparsity_equals_distinct_counts(spark):
+    r = random.Random(9)
+    rows = [(float(r.randrange(40)), r.randrange(2) if r.random() < 0.9 else None, 2**60 + r.randrange(30), r.choice(["a", "b", None]), r.choice([0.0, -0.0, float("nan"), 1.0]), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "x double, flag int, wide bigint, name string, odd double, none double").repartition(6)
+    got = {q.feature: q.n_unique for q in A.distinct_counts(df, df.columns).collect()}
+    assert got == {"x": 40, "flag": 2, "wide": 30, "name": 2, "odd": 3}
+    found = A.sparsity(df, ["x", "flag", "none"])
+    assert {q.feature: q.n_unique for q in found.collect()} == {"x": 40, "flag": 2, "none": 0}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bars_are_checked(spark):
+    df = panel(spark, ("A",), 30)
+    for f in (X.market_structure, A.ohlcv_contract):
+        with pytest.raises(ValueError, match="volume"):
+            f(df.drop("volume"))
+    holes = df.withColumn("open", F.when(F.dayofmonth("date") > 3, F.col("open")))
+    assert {r.feature: (r.nulls, r.rows) for r in A.null_counts(holes).collect()}["open"] == (3, 30)
+    assert X.market_structure(df, X.Structure(enabled=False)).columns == df.columns
+    own = X.market_structure(df, X.Structure(windows=(5,), breakouts=(7,), count=4, trends=(6,), lags=(2,)))
+    assert {"distance_to_5d_high", "breakout_7d", "higher_high_count_4", "trend_persistence_6", "higher_high_lag_2"} <= set(own.columns)
+    assert not {"distance_to_20d_high", "breakout_20d", "higher_high_lag_1", "breakout_20d_lag_2"} & set(own.columns)
+    upside_down = spark.createDataFrame([("A", DAY, 2.0, 1.0, 3.0, 2.5, 1.0)], "tic string, date date, open double, high double, low double, close double, volume double")
+    r = X.candle_shape(upside_down).first()
+    assert (r.high_low_range, r.body_ratio, r.close_position, r.open_position) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_a_half_written_stage_is_made_again(spark, tmp_path):
+    df = spark.range(100).withColumn("x", F.col("id") * 2.0).repartition(4)
+    folder, made = str(tmp_path), []
+
+    def make():
+        made.append(1)
+        return df
+
+    path = f"{folder}/s/fingerprint={K.fingerprint({'a': 1})}"
+
+    class Killed(Exception):
+        pass
+
+    def dies():
+        df.where("id < 50").write.parquet(f"{path}/run=dead")  # whole files, but the run never ends
+        raise Killed
+
+    with pytest.raises(Killed):
+        K.stage(spark, folder, "s", {"a": 1}, dies)
+    assert K.published(spark, path, K.fingerprint({"a": 1})) is None
+    assert K.stage(spark, folder, "s", {"a": 1}, make).count() == 100 and len(made) == 1
+    assert K.stage(spark, folder, "s", {"a": 1}, make).count() == 100 and len(made) == 1  # taken from before
+    marks = spark.read.schema(K.MARK).json(f"{path}/published").collect()
+    assert len(marks) == 1 and marks[0].rows == 100
+    part = next((tmp_path / "s").glob(f"*/run={marks[0].run}/part-*.parquet"))
+    part.unlink()  # a lost file: the number of rows tells
+    assert K.stage(spark, folder, "s", {"a": 1}, make).count() == 100 and len(made) == 2
+    for p in (tmp_path / "s").glob("*/run=*/*"):
+        p.unlink()
+    assert K.stage(spark, folder, "s", {"a": 1}, make).count() == 100 and len(made) == 3
+    stray = f"{folder}/t/fingerprint={K.fingerprint({})}"
+    df.write.parquet(f"{stray}/run=x")
+    spark.createDataFrame([("x", "other", json.dumps(df.dtypes), 100)], K.MARK).write.json(f"{stray}/published")
+    assert K.published(spark, stray, K.fingerprint({})) is None  # of another fingerprint
+
+
+def test_the_complete_panel_has_every_family(spark):
+    """With all switches on, the columns of pairs, unit-root tests, equilibrium, trend lines and statements are those
+    of the operators by themselves."""
+    from loompanel.plans.pipelines import Settings, add_all_features
+
+    df = holed(spark, ("A", "AA", "B", "C"), 90, 12).persist()
+    quarters = spark.createDataFrame([("A", DAY + dt.timedelta(9), 10.0, 4.0, 6.0, 5.0, 2.0, 1.0), ("A", DAY + dt.timedelta(40), 20.0, 4.0, 6.0, 5.0, 2.0, 1.0)], "tic string, date date, totalAssets double, totalLiab double, totalStockholderEquity double, totalCurrentAssets double, totalCurrentLiabilities double, netIncome double")
+    s = Settings(technical=False, geometric=False, trendlines=True, structure=False, fibonacci=False, candles=False, pairs=True, equilibrium=True, pair_window=20, norm_window=15, pair_norm=10)
+    got = {(r.tic, r.date): r.asDict() for r in add_all_features(df, s, statements=quarters).collect()}
+    assert set(got) == {(r.tic, r.date) for r in P.target(df).collect()}
+    same = lambda a, b: a == b or (a is not None and b is not None and a == pytest.approx(b, abs=1e-9, nan_ok=True))
+    pairs = {(r.tic, r.date): r.asDict() for r in C.spread_adf(df, C.spreads(df, 20, 10), 20).collect()}
+    sectors = {(r.grp, r.date): r.asDict() for r in C.equilibrium(df, 20, 10).collect()}
+    lines = {(r.tic, r.date): r.asDict() for r in L.trendlines(df).collect()}
+    known = {(r.tic, r.date): r.asDict() for r in J.as_of(df, J.ratios(quarters), ["roe", "roi", "debt_to_equity", "debt_to_asset", "current_ratio"]).collect()}
+    gap = {(r.tic, r.date): r.relative_price_vs_sector_norm for r in C.relative(df, 15).collect()}
+    assert sum(k in pairs for k in got) > 30 and sum(v["equilibrium_gap"] is not None for v in got.values()) > 20 and sum(v["roe"] is not None for v in got.values()) > 20
+    for k, row in got.items():
+        for source, key in ((pairs, k), (sectors, (row["grp"], row["date"])), (lines, k), (known, k)):
+            want = source.get(key)
+            for c in next(iter(source.values())):
+                if c not in ("tic", "date", "grp", "peer", *df.columns):
+                    assert same(row[c], want and want[c]), (k, c)
+        assert same(row["relative_price_vs_sector_norm"], gap[k])
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("A", DAY, 1.0)], "tic string, date date, x double")
     made = []
