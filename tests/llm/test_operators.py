@@ -284,6 +284,27 @@ def test_license_places(spark, odd):
     assert license_scan.license_scan(odd.limit(0)).count() == 0
 
 
+def test_siblings_are_told_apart(spark):
+    """Each identifier and each phrase gives its own label and, besides base ones, no other."""
+    texts = [(f"// SPDX-License-Identifier: {name}", {name.lower()}) for name in license_scan.SPDX]
+    texts += [(phrase, {label}) for label, phrase, base in license_scan.TEMPLATES if not base]
+    texts += [
+        ("Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc-4.0"}),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"cc-by-nc-sa-4.0"}),
+        ("Creative Commons Attribution-NonCommercial-Something 4.0 International License", set()),
+        ("the GNU Affero General Public License", {"agpl-3.0"}),
+        ("SPDX-License-Identifier: Beerware", set()),
+        ("SPDX-License-Identifier: GPL-2.0-or-later and then SPDX-License-Identifier: MIT", {"gpl-2.0-or-later", "mit"}),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    bases = {label for label, _, base in license_scan.TEMPLATES if base}
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - bases for r in license_scan.license_scan(df).collect()}
+    wrong = [(t, want, got[i]) for i, (t, want) in enumerate(texts) if got[i] != want]
+    assert not wrong and len(license_scan.SPDX) == 47
+    with pytest.raises(ValueError, match="stands whole"):
+        license_scan.obligatory([("a", "some licence text", False), ("b", "by some licence text of", False)])
+
+
 def test_license_spans_are_verified(spark):
     mit = next(p for label, p, _ in license_scan.TEMPLATES if label == "mit-text").split()
     texts = [
