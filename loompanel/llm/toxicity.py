@@ -10,9 +10,10 @@ longer parts) also occur in plain text: there the token's own words count beside
 Tokens of digits alone are numbers.
 
 *Language model.*  Trigrams of characters are counted over all documents into a table in the shared
-folder, which grows with what the corpus holds.  Decoding takes from it the trigrams of the letters it
-can meet: the ``LETTERS`` most frequent ones and those that can be imitated, so what is broadcast has a
-fixed bound.
+folder, which grows with what the corpus holds.  Decoding takes from it the trigrams of a to z, all that
+look-alikes are read as, and of the ``LETTERS`` most frequent letters, so what is broadcast has a fixed bound.
+Any other letter costs more than one of these can in its place: it never beats the letter that it imitates
+by being unknown.
 
 *Gate.*  Readings of one token share a skeleton: look-alikes as letters, runs as one letter, separators
 gone.  A token is decoded if the skeleton of a part of it is that of a marked word or begins with that of a
@@ -22,7 +23,8 @@ marked stem; no other token can be read as one, so nothing is lost.
 by label.  Tokens whose skeletons mark toxic texts beyond chance (lower confidence bound of their precision
 at ``MARK`` or more) are decoded, and the words and stems read are counted anew by the distinct pairs of
 words around them, so that copies of a text count once; those still beyond chance weigh the log of their
-odds.  A logistic regression on a text's largest weights, its length and the weight for its length gives
+odds.  A stem counts only if it marks toxic texts in ``KINDS`` different ways to go on or more, and also without the
+most frequent of these: a plain word that begins like one insult is none.  A logistic regression on a text's largest weights, its length and the weight for its length gives
 the score; both labels weigh the same in it.  Texts are scored whole, row by row.
 
 Nulls count as empty texts (a low score, as for any text without marks).  Unlabelled rows and null labels
@@ -39,6 +41,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log, sqrt
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,7 @@ EDGES = ".,;:!?\"'()[]{}<>#%&*=-–—…«»“”„"
 INNER = EDGES.replace("!", "")
 GAP = "\x1f"
 STEM = range(3, 7)
+KINDS = 3
 LONGEST = 24
 TOP = 3
 MARK = 0.3
@@ -150,6 +154,8 @@ class Letters:
 
     letters: str
     costs: np.ndarray
+    #: Of any letter that is not among them.
+    rare: float = 0.0
 
     def __post_init__(self) -> None:
         self.place = {c: i + 2 for i, c in enumerate(self.letters)} | {" ": BORDER}
@@ -157,39 +163,41 @@ class Letters:
         self.flat = array("f", self.costs.astype(np.float32).tobytes())
 
     def __getstate__(self):
-        return self.letters, self.costs
+        return self.letters, self.costs, self.rare
 
     def __setstate__(self, state) -> None:
-        self.letters, self.costs = state
+        self.letters, self.costs, self.rare = state
         self.__post_init__()
 
     @classmethod
     def of(cls, counts: dict[tuple[str, str, str], int], letters: str) -> Letters:
-        """From counts of trigrams; " " is a border, "." any other character."""
+        """From counts of trigrams; " " is a border, "." any other character.  An unknown letter costs three times
+        what any known one costs anywhere: a known letter in its place changes three trigrams, so it costs less."""
         place = {c: i + 2 for i, c in enumerate(letters)} | {" ": BORDER}
         cube = np.zeros((len(letters) + 2,) * 3)
         for (a, b, c), n in counts.items():
             cube[place.get(a, OTHER), place.get(b, OTHER), place.get(c, OTHER)] += n
         alone = cube.sum(axis=(0, 1)) + 1.0
-        return cls(letters, -np.log((cube + 5 * alone / alone.sum()) / (cube.sum(axis=2, keepdims=True) + 5)))
+        costs = -np.log((cube + 5 * alone / alone.sum()) / (cube.sum(axis=2, keepdims=True) + 5))
+        return cls(letters, costs, 3 * float(costs.max()))
 
     def cost(self, text: str) -> float:
         x = y = BORDER
         total = 0.0
         for c in text:
             z = self.place.get(c, OTHER)
-            total += self.flat[(x * self.size + y) * self.size + z]
+            total += self.rare if z == OTHER and c.isalpha() else self.flat[(x * self.size + y) * self.size + z]
             x, y = y, z
         return total
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> Letters:
-    """The trigrams of the most frequent letters and of those that can be imitated, taken from the table of
-    all; every other letter counts as OTHER."""
+    """The trigrams of a to z and of the most frequent letters, taken from the table of all; every other letter
+    counts as OTHER."""
     table = materialise(count_trigrams(docs, text_col), "trigrams")
     last = F.col("gram").bitwiseAND((1 << 21) - 1)
     common = table.where(last > 1).groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
-    letters = {chr(r.c) for r in common} | set("".join(IMITATES.values())) | set(ALIKE.values())
+    letters = {chr(r.c) for r in common} | set(ascii_lowercase)
     order = sorted(letters)
     place = {ord(c): i + 2 for i, c in enumerate(order)}
     known = F.create_map(*(F.lit(x) for pair in (place | {BORDER: BORDER}).items() for x in pair))
@@ -214,13 +222,14 @@ def lattice(token: str) -> list[list[str]]:
         elif c in IMITATES:
             readings.append([x * k for x in IMITATES[c] for k in range(1, min(n, 2) + 1)] + [run])
         else:
-            readings.append([run, ""] if c in SEPARATORS else [run])
+            # characters without width are never meant to be read
+            readings.append([""] if unicodedata.category(c) in ("Cf", "Mn") else [run, ""] if c in SEPARATORS else [run])
     return readings
 
 
 def viterbi(readings: list[list[str]], model: Letters) -> str:
     """The likeliest string; a reading that keeps a look-alike pays as a character that is no letter."""
-    place, size, flat = model.place, model.size, model.flat
+    place, size, flat, rare = model.place, model.size, model.flat, model.rare
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
     for options in [*readings, [" "]]:
         then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -229,7 +238,7 @@ def viterbi(readings: list[list[str]], model: Letters) -> str:
                 x, y, total = a, b, paid
                 for c in option:
                     z = place.get(c, OTHER)
-                    total += flat[(x * size + y) * size + z]
+                    total += rare if z == OTHER and c.isalpha() else flat[(x * size + y) * size + z]
                     x, y = y, z
                 if (x, y) not in then or total < then[x, y][0]:  # of equals, the first
                     then[x, y] = total, (read, option)
@@ -286,7 +295,7 @@ class ToxicModel:
             words = set(WORD(viterbi(lattice(token), self.letters)))
             if all(len(t) == 1 for t in token.split(GAP)):  # a one-letter word may stand at an end
                 whole = viterbi(lattice(token.replace(GAP, "")), self.letters)
-                words |= {whole, whole[1:], whole[:-1]}
+                words |= {whole, whole[1:], whole[:-1], whole[1:-1]}
             return words
         bare, outer = token.strip(EDGES), token.strip(INNER)
         found = set(WORD(bare))
@@ -295,10 +304,10 @@ class ToxicModel:
                 found.update(WORD(viterbi(lattice(t), self.letters)))
         return found
 
-    def marks_of(self, token: str) -> set[str]:
-        """The words of a token and their beginnings."""
+    def marks_of(self, token: str) -> dict[str, str]:
+        """The words of a token and their beginnings, with the word that each comes from."""
         words = self.words(token)
-        return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
+        return {w[:n] + "*": w for w in words for n in STEM if len(w) > n} | {w: w for w in words}
 
     def tokens(self, text: str) -> list[str]:
         """Lower-cased tokens; three and more single characters in a row make one token."""
@@ -326,10 +335,13 @@ class ToxicModel:
     def pieces(self, tokens: list[str], i: int, begun: str) -> str | None:
         """Tokens from place i on, put together, if their skeletons make up a watched word."""
         whole = begun
-        for j in range(i + 1, min(len(tokens), i + 12)):
+        for j in range(i + 1, len(tokens)):  # each adds letters, or this ends
             if GAP in tokens[j]:
                 return None
-            whole = _double.sub(r"\1", whole + skeleton(tokens[j].strip(EDGES)))
+            more = skeleton(tokens[j].strip(EDGES))
+            if not more:
+                return None
+            whole = _double.sub(r"\1", whole + more)
             if whole in self.whole:
                 return GAP.join(t.strip(EDGES) for t in tokens[i : j + 1])
             if whole not in self.prefixes:
@@ -456,17 +468,24 @@ def fit_toxicity(
                 tokens = ["", *model.tokens(text), ""]
                 for i, form in model.suspects(tokens[1:-1]):
                     around = tokens[i] + " " + tokens[min(i + 2 + (form.count(GAP) if GAP not in tokens[i + 1] else 0), len(tokens) - 1)]
-                    for m in model.marks_of(form):
+                    for m, word in model.marks_of(form).items():
                         if (skeleton(m) if m[-1:] != "*" else skeleton(m) + "*") in watched:
-                            seen.add((m, around, y))
-            marks, near, ys = zip(*seen) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(near, pa.string()), pa.array(ys, pa.int32())], ["mark", "around", "y"])
-
-    apart = rows.mapInArrow(contexts, "mark string, around string, y int").groupBy("mark", "around").agg(F.max("y").alias("y"))
+                            seen.add((m, skeleton(word)[: len(skeleton(m)) + 2], around, y))
+            columns = zip(*seen) if seen else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()))], ["mark", "kind", "around", "y"])
+
+    apart = rows.mapInArrow(contexts, "mark string, kind string, around string, y int").groupBy("mark", "kind", "around").agg(F.max("y").alias("y"))
+    apart = materialise(apart, "toxic-marks")
+    kinds: dict[str, list[tuple[int, int]]] = {}
+    for r in apart.groupBy("mark", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect():
+        kinds.setdefault(r.mark, []).append((r.hits, r.n))
     toxic, clean = sizes[1], sizes[0]
+    beyond = lambda hits, n: hits >= 4 and lower_bound(hits, n) >= MARK
     marks = {}
-    for r in apart.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect():
-        if r.hits >= 4 and lower_bound(r.hits, r.n) >= MARK:
+    for r in apart.groupBy("mark", "around").agg(F.max("y").alias("y")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect():
+        others = sorted(kinds[r.mark])[:-1]
+        varied = sum(hits > 0 for hits, _ in others) >= KINDS - 1 and beyond(*map(sum, zip(*others)))
+        if beyond(r.hits, r.n) and (r.mark[-1] != "*" or varied):
             marks[r.mark] = max(0.0, log((r.hits + 0.5) / (toxic + 1)) - log((r.n - r.hits + 0.5) / (clean + 1)))
     model = ToxicModel(model.letters, marks)
 

@@ -529,6 +529,44 @@ def test_toxicity_on_held_out_labels(spark, odd):
     assert 0 <= empty.score("") <= 1
 
 
+#: Plain English with words that begin as insults do.
+PAGE = """The train left the station a little after seven, and the morning light lay on the fields beside the track. I had brought a book of essays about the history of the harbour town, but I read only a page before the words began to swim, so I looked out of the window instead. A woman across the aisle was peeling an orange; her son, who may have been six, asked whether the moon could see us in the day. She told him that it could, if the clouds were kind, and he was satisfied with that.
+
+We passed the old mill and the lower bridge, where men were mending the stones after the winter floods. Somebody had painted the railings green again. At the next stop a group of students came in with muddy boots and a large map, and they discussed the best path over the ridge. One of them said the western route was longer but more pleasant, because of the woods; another thought the distance did not matter so long as they reached the hut before dark. They were loud, but nobody minded, and the boy with the orange listened as though it were a story.
+
+By noon the weather had turned. Rain ran down the glass in long crooked lines, and the hills disappeared one after another. I thought of my sister, who works in the studio near the market, and of the letter she had written about the patients she draws there on Thursdays: how patient they are, how they study their own hands as if they belonged to strangers. The world seemed wide and worn and worth the journey. When the train stopped at last I put the book away, wished the family a good trip, and walked out into the wet street to look for something warm to eat."""
+
+
+def test_plain_words_and_hidden_ones_under_the_fitted_model(spark):
+    """The model of the largest table: held-out labels, plain words that share a beginning with an insult, and
+    letters and characters that the corpus does not hold."""
+    big = "/root/testdata/sf0.1"
+    texts, labels = load(spark, big, "documents").select("doc_id", "text"), load(spark, big, "labels")
+    model = toxicity.fit_toxicity(texts, labels.where(toxicity.may_learn()))
+    plain = ["we go to work in the world every day and see the new words", "the travel agency was in train traffic", "a patient path to the party", "the idea of an idiom", "stupendous weather and studio", "the moral of a moraine", "a display of disks and distance", PAGE]
+    assert len(PAGE.split()) >= 300 and all(model.score(t) < 0.7 for t in plain)
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "idiot")
+    bold = "".join(chr(ord(c) - ord("a") + 0x1D41A) for c in "idiot")
+    for hidden in ("idiot", wide, bold, "id\u200biot", "i\u2060d\u00adiot", "1d10t", "i d i o t", "і" + "d" + "і" + "о" + "t", "m0r0n", "STUPID"):
+        assert model.score(f"you are {hidden} my friend") >= 0.7, hidden
+    held = labels.where(~toxicity.may_learn()).join(toxicity.score_toxicity(texts, model), "doc_id").where("toxic IS NOT NULL")
+    n = {(r.toxic, r.predicted): r["count"] for r in held.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.92 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 5 and n[0, 0] > 1000
+
+
+def test_an_unknown_letter_never_wins():
+    """Against the letter that it imitates, whatever stands around it."""
+    pick = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(pick.choices(letters[:9], k=pick.randrange(2, 7))) for _ in range(300)]
+    counts = Counter(g for w in words for g in zip("  " + w, " " + w, w + " "))
+    model = toxicity.Letters.of(counts, letters)
+    for _ in range(200):
+        word = "".join(pick.choices(letters, k=pick.randrange(1, 8)))
+        wide = "".join(chr(ord(c) + 0xFEE0) if pick.random() < 0.5 else c for c in word)
+        assert not any(0xFF00 <= ord(c) for c in toxicity.viterbi(toxicity.lattice(wide), model)), wide
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
