@@ -62,15 +62,18 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFram
 
     The ids go into a bit map (broadcast by rows of 4 kB) that grows with their number, so that about one
     other row in 16 ends up in the first part, and the rows of neither part move.  An exact step has to
-    follow there, and only there texts need to be shuffled.  Ids that need a map of more than MAP_MOST
-    bits are joined by sorting instead.
+    follow there, and only there texts need to be shuffled.  More ids than a map of MAP_MOST bits can hold are
+    joined instead, once for both parts: the rows move once, by their id, and are written with their part (a hot
+    id is one row on the side of the ids, so adaptive execution splits its rows).
     """
     name = ids.columns[0]
     count = ids.agg(F.approx_count_distinct(name)).first()[0]
     size = max(1 << 20, 1 << (MAP_SHARE * count - 1).bit_length()) if count else 1 << 20
     if size > MAP_MOST:
-        known = ids.select(F.col(name).alias("__lp_known")).distinct()
-        return docs.join(known, F.col(id_col) == F.col("__lp_known"), "left_semi"), docs.join(known, F.col(id_col) == F.col("__lp_known"), "left_anti")
+        known = ids.select(F.col(name).alias("__lp_known")).where("__lp_known IS NOT NULL").distinct()
+        joined = docs.join(known, F.col(id_col) == F.col("__lp_known"), "left").withColumn("__lp_hit", F.col("__lp_known").isNotNull()).drop("__lp_known")
+        marked = materialise(joined, "split")
+        return marked.where("__lp_hit").select(*docs.columns), marked.where("NOT __lp_hit").select(*docs.columns)
     key = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = ids.select(key(F.col(name)).alias("k")).groupBy(F.floor(F.col("k") / MAP_ROW).alias("__lp_r")).agg(F.bitmap_construct_agg(F.col("k") % MAP_ROW).alias("__lp_bits"))
     keyed = docs.withColumn("__lp_k", key(F.col(id_col)))

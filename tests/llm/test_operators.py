@@ -71,6 +71,27 @@ def test_split_by_ids_is_a_cover(spark, docs):
     assert sure.where("doc_id % 7 = 0").count() == 0 and maybe.where("doc_id % 7 = 0").count() == ids.count()
 
 
+def test_split_by_many_ids_moves_texts_once(spark, docs, odd, monkeypatch):
+    """With no bit map at all: the same results, and one exchange of whole rows in the split."""
+    from loompanel.llm import common
+
+    want = [rows_of(exact_dedup.exact_duplicates(d), "doc_id", "keep_id", "group_size", "kept") for d in (docs, odd)]
+    stay = rows_of(exact_dedup.drop_exact_duplicates(docs), "doc_id")
+    near = rows_of(minhash.near_duplicates(docs), "doc_id", "class_id")
+    monkeypatch.setattr(common, "MAP_MOST", 1)
+    written = []
+    real = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    assert [rows_of(exact_dedup.exact_duplicates(d), "doc_id", "keep_id", "group_size", "kept") for d in (docs, odd)] == want
+    assert rows_of(exact_dedup.drop_exact_duplicates(docs), "doc_id") == stay
+    assert rows_of(minhash.near_duplicates(docs), "doc_id", "class_id") == near
+    splits = [plan for name, plan in written if name == "split"]
+    assert len(splits) >= 4 and all(plan.count("Join ") == 1 for plan in splits)
+    ids = docs.select("doc_id").where("doc_id % 3 = 0").union(docs.limit(1).select(F.lit(None).cast("bigint")))
+    inside, outside = split_by_ids(docs.select("doc_id", "text").union(odd.select("doc_id", "text")), ids, "doc_id")
+    assert inside.where("doc_id % 3 <> 0").count() == 0 == outside.where("doc_id % 3 = 0 AND doc_id > 11").count() and inside.count() + outside.count() == docs.count() + odd.count()
+
+
 def test_sharding_law(spark, odd, docs):
     for df in (odd, docs):
         out = sharding.external_shuffle(df, 8, bucket_bytes=50_000).collect()
