@@ -93,13 +93,18 @@ def documents_of_tickers(s, d):
     st, hl = view(s, d, "statements"), view(s, d, "highlights")
     text = F.struct(*(F.col(c).cast("string").alias(c) for c in I.STATEMENT))
     quarters = st.groupBy("tic").agg(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), text))).alias("quarterly"))
-    doc = quarters.join(hl, "tic").select("tic", F.to_json(F.struct(F.struct(F.col("market_cap").cast("string").alias("MarketCap"), F.lit("12.5").alias("PERatio"), F.col("dividend_yield").cast("string").alias("DividendYield")).alias("Highlights"), F.struct(F.struct("quarterly").alias("Balance_Sheet"), F.struct("quarterly").alias("Income_Statement")).alias("Financials"))).alias("value"))
+    doc = quarters.join(hl, "tic").select("tic", F.to_json(F.struct(F.struct(F.col("market_cap").cast("string").alias("MarketCap"), F.when(F.col("market_cap") > 0, (F.col("market_cap") / 1000).cast("string")).otherwise("n/a").alias("PERatio"), F.when(F.length("tic") % 2 == 0, (F.length("tic") / 4.0).cast("string")).alias("PEGRatio"), (F.col("dividend_yield") * -2).cast("string").alias("DilutedEpsTTM"), F.when(F.length("tic") % 3 > 0, F.col("dividend_yield").cast("string")).alias("DividendYield"), (F.length("tic") - 6).cast("string").alias("DividendShare")).alias("Highlights"), F.struct(F.struct("quarterly").alias("Balance_Sheet"), F.struct("quarterly").alias("Income_Statement")).alias("Financials"))).alias("value"))
     return doc.select("tic", F.from_json("value", I.FUNDAMENTALS).alias("doc"))
 
 
 q("a10_j03_statements", f"WITH {cte('statements')} SELECT tic, date, {', '.join(f'round({c} + 0.0031, 2) AS {c}' for c in I.STATEMENT)} FROM statements", lambda s, d: I.statements(documents_of_tickers(s, d)), 2)
 q("a11_market_cap", f"WITH {cte('highlights')} SELECT tic, round(nullif(market_cap, 0) + 0.0031, 2) AS market_cap FROM highlights", lambda s, d: I.market_caps(documents_of_tickers(s, d)), 2)
-q("f53_highlights", f"WITH {cte('highlights')} SELECT tic, CAST(12.5 AS DOUBLE) AS pe_ratio, CAST(NULL AS DOUBLE) AS peg_ratio, CAST(NULL AS DOUBLE) AS eps, CAST(CASE WHEN dividend_yield > 0 THEN 1 ELSE 2 END AS TINYINT) AS dividend_flag FROM highlights", lambda s, d: I.highlights(documents_of_tickers(s, d)))
+_PAYS = "(length(tic) % 3 > 0 AND dividend_yield > 0) OR (CASE WHEN length(tic) % 3 > 0 THEN dividend_yield = 0 ELSE true END AND length(tic) > 6)"
+q(
+    "f53_highlights",
+    f"WITH {cte('highlights')} SELECT tic, {r6({'pe_ratio': 'CASE WHEN market_cap > 0 THEN market_cap / 1000 END', 'peg_ratio': 'CASE WHEN length(tic) % 2 = 0 THEN length(tic) / 4.0::DOUBLE END', 'eps': '-2 * dividend_yield'})}, CAST(CASE WHEN {_PAYS} THEN 1 ELSE 2 END AS TINYINT) AS dividend_flag FROM highlights",
+    lambda s, d: I.highlights(documents_of_tickers(s, d)),
+)
 RATIO = {"roe": "netIncome / nullif(totalStockholderEquity, 0)", "roi": "netIncome / nullif(totalAssets, 0)", "debt_to_equity": "totalLiab / nullif(totalStockholderEquity, 0)", "debt_to_asset": "totalLiab / nullif(totalAssets, 0)", "current_ratio": "totalCurrentAssets / nullif(totalCurrentLiabilities, 0)"}
 RAT = "rat AS (SELECT tic, date, " + ", ".join(f"{e} AS {k}" for k, e in RATIO.items()) + " FROM statements)"
 q("f54_ratios", f"WITH {cte('statements')}, {RAT} SELECT tic, date, {r6({k: k for k in RATIO})} FROM rat", lambda s, d: J.ratios(view(s, d, "statements")))
@@ -222,21 +227,35 @@ def panel(s, d):
 
 _wo = over(LEN)
 WIN = f"wn AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(target, {HOR}) {OVER} AS y, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM tg)"
-_flat = lambda x, few=True: x.select("tic", "date", "start", *([] if few else [c for c in x.columns if c not in ("tic", "date", "start", "target")]), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), "target")
+#: Every number of a window, in order, as whole thousandths: both engines cut the same doubles.
+_CELL = "CAST(CAST(floor(CAST(CAST({x} AS FLOAT) AS DOUBLE) * 1000 + 0.31) AS BIGINT) AS VARCHAR)"
+
+
+def cells(window: str = "features"):
+    return F.array_join(F.transform(F.flatten(window), lambda x: F.floor(x.cast("double") * 1000 + 0.31).cast("string")), ",")
+
+
+def cells_sql(*lists: str) -> str:
+    row = " || ',' || ".join(_CELL.format(x=f"{v}[i]") for v in lists)
+    return f"array_to_string(list_transform(range(1, {LEN + 1}), lambda i: {row}), ',')"
+
+
+_flat = lambda x, few=True: x.select("tic", "date", "start", *([] if few else [c for c in x.columns if c not in ("tic", "date", "start", "target")]), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), cells().alias("cells"), "target")
 WSQL = "CAST(st AS INTEGER) AS start, round(list_sum(list_transform(cs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS csum, CAST(len(cs) AS INTEGER) AS n"
-query("s01_training_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {WSQL}, CAST(y AS FLOAT) AS target FROM wn WHERE cn = {LEN} AND y IS NOT NULL")(lambda s, d: _flat(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)))
+BOTH = f"{WSQL}, {cells_sql('cs', 'vs')} AS cells"
+query("s01_training_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {BOTH}, CAST(y AS FLOAT) AS target FROM wn WHERE cn = {LEN} AND y IS NOT NULL")(lambda s, d: _flat(S.training_windows(panel(s, d), ["close", "volume"], LEN, HOR)))
 query("s02_window_index", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, CAST(st AS INTEGER) AS start, CAST(st + {LEN + HOR - 1} AS INTEGER) AS target_idx FROM wn WHERE cn = {LEN} AND y IS NOT NULL AND st % 3 = 0")(lambda s, d: S.window_index(panel(s, d), ["close", "volume"], LEN, HOR, 3))
-query("s04_inference_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {WSQL} FROM wn WHERE cn = {LEN}")(lambda s, d: _flat(S.inference_windows(panel(s, d), ["close", "volume"], LEN).withColumn("target", F.lit(0.0))).drop("target"))
-q("s05_trend_samples", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {r6({f'p{i}': f'cs[10] + {i} * (cs[10] - cs[6]) / 4' for i in range(HOR)}, 4)}, CAST(y AS FLOAT) AS target, CAST({HOR} AS BIGINT) AS steps FROM wn WHERE cn = {LEN} AND y IS NOT NULL", lambda s, d: S.trend_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", *(F.col("future_path")[i].alias(f"p{i}") for i in range(HOR)), "target", F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("steps")), 4)
+query("s04_inference_windows", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {BOTH} FROM wn WHERE cn = {LEN}")(lambda s, d: _flat(S.inference_windows(panel(s, d), ["close", "volume"], LEN).withColumn("target", F.lit(0.0))).drop("target"))
+q("s05_trend_samples", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, date, {r6({f'p{i}': f'cs[10] + {i} * (cs[10] - cs[6]) / 4' for i in range(HOR)}, 4)}, CAST(y AS FLOAT) AS target, CAST({HOR} AS BIGINT) AS steps, {cells_sql('cs')} AS cells FROM wn WHERE cn = {LEN} AND y IS NOT NULL", lambda s, d: S.trend_samples(panel(s, d), ["close"], LEN, HOR).select("tic", "date", *(F.col("future_path")[i].alias(f"p{i}") for i in range(HOR)), "target", F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("steps"), cells().alias("cells")), 4)
 RICH = f"rc AS (SELECT *, lead(date, {HOR}) {OVER} AS label_date, {', '.join(f'lead(close, {k}) {OVER} AS c{k}' for k in range(1, HOR + 1))}, list([open, high, low, close, volume]) OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {HOR} FOLLOWING) AS blk FROM wn), rv AS (SELECT *, sqrt(list_var_pop([(c1 - close) / close, (c2 - c1) / close, (c3 - c2) / close, (c4 - c3) / close, (c5 - c4) / close])) AS vol FROM rc WHERE cn = {LEN} AND y IS NOT NULL AND c5 IS NOT NULL AND abs(close) >= 1e-8)"
 _BLOCK = ("open", "high", "low", "close", "volume")
 q(
     "s06_rich_samples",
-    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {WSQL}, label_date, CAST(y AS FLOAT) AS target, "
+    f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT tic, date, {BOTH}, label_date, CAST(y AS FLOAT) AS target, "
     + r6({f"c{i}": f"c{i}" for i in range(1, HOR + 1)} | {f"r{i}": f"(c{i} / close - 1) * 100" for i in range(1, HOR + 1)} | {"volatility": "vol"}, 5)
     + ", " + r6({f"{c}{i}": f"blk[{i}][{j}]" for i in range(1, HOR + 1) for j, c in enumerate(_BLOCK, 1) if c != "close"}, 5) + " FROM rv",
     lambda s, d: _flat(S.rich_samples(panel(s, d), ["close", "volume"], LEN, HOR), False).select(
-        "tic", "date", "start", "csum", "n", "label_date", "target",
+        "tic", "date", "start", "csum", "n", "cells", "label_date", "target",
         *(F.col("close_path")[i].alias(f"c{i + 1}") for i in range(HOR)), *(F.col("return_path")[i].alias(f"r{i + 1}") for i in range(HOR)), "volatility",
         *(F.col("future_ohlcv")[i][j].alias(f"{c}{i + 1}") for i in range(HOR) for j, c in enumerate(_BLOCK) if c != "close"),
     ),
@@ -248,10 +267,26 @@ q(
     f"WITH {cte('bars')}, {TGT}, {WIN}, {RICH} SELECT rv.tic, rv.date, CAST(coalesce(CASE WHEN b.volume >= 10 THEN CAST(b.volume AS BIGINT) % 3 END, 1) AS INTEGER) AS regime_label FROM rv JOIN bars b ON b.tic = rv.tic AND b.date = label_date",
     lambda s, d: S.regime_labels(S.rich_samples(panel(s, d), ["close"], LEN, HOR), bars(s, d).where("volume >= 10").select("tic", "date", (F.col("volume").cast("bigint") % 3).alias("regime_id"))).select("tic", "date", "regime_label"),
 )
-query("s08_tuning_windows", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(close) {OVER} AS y, lead(date) {OVER} AS yd, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM bars) SELECT tic, {WSQL}, round(list_sum(list_transform(vs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS vsum, yd AS date, CAST(y AS FLOAT) AS target FROM w WHERE cn = {LEN} AND y IS NOT NULL")(
-    lambda s, d: (lambda x: x.select("tic", "start", F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[1].cast("double")), 1).alias("vsum"), "date", "target"))(S.tuning_windows(bars(s, d), ["close", "volume"], LEN))
+query("s08_tuning_windows", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, row_number() {OVER} - {LEN} AS st, lead(close) {OVER} AS y, lead(date) {OVER} AS yd, list(close) {_wo} AS cs, list(volume) {_wo} AS vs FROM bars) SELECT tic, {BOTH}, round(list_sum(list_transform(vs, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) + 0.0, 1) AS vsum, yd AS date, CAST(y AS FLOAT) AS target FROM w WHERE cn = {LEN} AND y IS NOT NULL")(
+    lambda s, d: (lambda x: x.select("tic", "start", F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0].cast("double")), 1).alias("csum"), F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, r: a + r[1].cast("double")), 1).alias("vsum"), cells().alias("cells"), "date", "target"))(S.tuning_windows(bars(s, d), ["close", "volume"], LEN))
+)
+_DAYS = "array_to_string(list_transform({x}, lambda d: CAST(d AS VARCHAR)), ',')"
+SCALED = 20.0
+
+
+def metadata(s: SparkSession, d: str) -> DataFrame:
+    days = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    found = S.sample_metadata(bars(s, d), LEN, HOR, SCALED)
+    return found.select("tic", "date", days("x_dates").alias("x_days"), days("y_dates").alias("y_days"), F.col("x_dates")[0].alias("x0"), F.col("y_dates")[0].alias("y0"), "last_close", "future_close", "realised", "realised_scaled")
+
+
+q(
+    "s09_metadata",
+    f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, list(date) {_wo} AS xs, list(date) OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {HOR} FOLLOWING) AS ys, lead(close, {HOR}) {OVER} AS fc FROM bars) "
+    f"SELECT tic, date, {_DAYS.format(x='xs')} AS x_days, {_DAYS.format(x='ys')} AS y_days, xs[1] AS x0, ys[1] AS y0, {r6({'last_close': 'close', 'future_close': 'fc', 'realised': '(fc / close - 1) * 100', 'realised_scaled': f'tanh((fc / close - 1) * 100 / {SCALED})'}, 5)} FROM w WHERE cn = {LEN} AND fc IS NOT NULL",
+    metadata,
+    5,
 )
-q("s09_metadata", f"WITH {cte('bars')}, w AS (SELECT *, count(*) {_wo} AS cn, first_value(date) {_wo} AS x0, lead(date, 1) {OVER} AS y0, lead(close, {HOR}) {OVER} AS fc FROM bars) SELECT tic, date, x0, y0, {r6({'last_close': 'close', 'future_close': 'fc', 'realised': '(fc / close - 1) * 100'}, 5)} FROM w WHERE cn = {LEN} AND fc IS NOT NULL", lambda s, d: S.sample_metadata(bars(s, d), LEN, HOR).select("tic", "date", F.col("x_dates")[0].alias("x0"), F.col("y_dates")[0].alias("y0"), "last_close", "future_close", "realised"), 5)
 query("s10_head", f"WITH {cte('bars')}, {TGT}, {WIN} SELECT tic, CAST(st AS INTEGER) AS start FROM wn WHERE cn = {LEN} AND y IS NOT NULL ORDER BY tic, st LIMIT 25")(lambda s, d: S.head(S.window_index(panel(s, d), ["close"], LEN, HOR), 25).select("tic", "start"))
 DIM = 64
 q("s12_flatten", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS FLOAT) AS e_t{i}" for i in range(DIM)) + " FROM embeddings", lambda s, d: S.flatten(table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("e")), "e", [DIM]))
@@ -347,6 +382,23 @@ def members(s, d):
 q("m02_ensemble", pred_sql(f"tic, date, {r6({'prediction': 'sum(CASE member WHEN $$a$$ THEN 0.75 * p ELSE 0.25 * p END)'})}", "FROM mb GROUP BY tic, date HAVING count(*) = 2", MEM), lambda s, d: E.ensemble(members(s, d), {"a": 3.0, "b": 1.0}))
 query("m15_compare", pred_sql("metric, CASE WHEN metric = 'mse' THEN min_by(grp, (v, grp)) ELSE min_by(grp, (-v, grp)) END AS best_model, CASE WHEN metric = 'mse' THEN min(v) ELSE max(v) END AS best_value", "FROM mt GROUP BY metric", f"mt AS (SELECT grp, 'mse' AS metric, round(avg(pow(prediction - target, 2)) + 0.00031, 3) AS v FROM pred GROUP BY grp UNION ALL SELECT grp, 'hit', round(avg({HIT}) + 0.00031, 3) FROM pred GROUP BY grp)"))(lambda s, d: (lambda m: E.compare_models(m.select(F.col("grp").alias("model"), F.explode(F.create_map(F.lit("mse"), F.round(F.col("mse") + 0.00031, 3), F.lit("hit"), F.round(F.col("directional_accuracy") + 0.00031, 3))).alias("metric", "value"))))(E.regression(predictions(s, d), "grp")))
 q("m16_m17_health", pred_sql(r6({"positive_rate": "avg(CAST(prediction > 0 AS DOUBLE))", "negative_rate": "avg(CAST(prediction < 0 AS DOUBLE))", "zero_rate": "avg(CAST(prediction = 0 AS DOUBLE))", "mean": "avg(prediction)", "std": "stddev_pop(prediction)", "target_positive_rate": "avg(CAST(target > 0 AS DOUBLE))", "correlation": "corr(prediction, target)", "penalty": "0.0"}, 4)), lambda s, d: E.collapse_penalty(E.health(predictions(s, d))), 4)
+_FELL = "CASE WHEN greatest(avg(CAST(p > 0 AS DOUBLE)), avg(CAST(p < 0 AS DOUBLE)), avg(CAST(p = 0 AS DOUBLE))) >= 0.999 OR stddev_pop(p) <= 1e-5 THEN 1000 + abs(avg(CAST(p > 0 AS DOUBLE)) - 0.5) * 100 + greatest(1e-5 - stddev_pop(p), 0) * 1e5 ELSE 0 END"
+
+
+def one_sided(s: SparkSession, d: str) -> DataFrame:
+    """A model that says up on every day, one that says the same on every day, and the momentum model."""
+    p = predictions(s, d)
+    kinds = {"up": F.abs("prediction") + 0.01, "flat": F.lit(0.0), "both": F.col("prediction")}
+    made = [E.collapse_penalty(E.health(p.withColumn("prediction", c))).select(F.lit(k).alias("kind"), "positive_rate", "std", "penalty") for k, c in kinds.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+q(
+    "m17_collapse_penalty",
+    pred_sql(f"kind, {r6({'positive_rate': 'avg(CAST(p > 0 AS DOUBLE))', 'std': 'stddev_pop(p)', 'penalty': _FELL}, 4)}", "FROM kd GROUP BY kind", "kd AS (SELECT 'up' AS kind, abs(prediction) + 0.01 AS p FROM pred UNION ALL SELECT 'flat', 0.0 FROM pred UNION ALL SELECT 'both', prediction FROM pred)"),
+    one_sided,
+    4,
+)
 q("m18_meta_labels", pred_sql(f"tic, date, {r6({'prediction': 'prediction', 'target': 'target', 'confidence': 'abs(prediction)'}, 5)}, CAST(sign(prediction) AS INTEGER) AS direction, CAST(sign(target) AS INTEGER) AS target_direction, {HIT} AS label, 'model' AS source, true AS is_oos", "FROM pred WHERE abs(prediction) >= 5"), lambda s, d: E.meta_labels(predictions(s, d), least_confidence=5.0), 5)
 _e = "(target - prediction)"
 _wr = "0.5 * avg(greatest(-prediction * sign(target), 0))"
