@@ -5,9 +5,10 @@ block elements and the text blocks inside them are the nodes.  Inline elements b
 Parsing takes time in proportion to the page's length, whatever is left open in it.
 
 *Model.*  Every node is content or not.  A node potential for an element's features (hints in class, id
-and role, share of link text, length, sentences) and a potential between parent and child, by the
-child's kind of tag and whether it stands inside an article, are estimated by counting over labelled
-pages.  Wrappers that say nothing and hold one part pass the state on, however deep they are nested.
+and role, share of link text, length, sentences, a copyright sign, a heading before parts that are no paragraphs) and a potential between parent and child,
+by the child's kind of tag and whether it stands inside the page's article, outside of it, or in a page that
+names none, are estimated by counting over labelled pages.  Names that also occur in articles ("tags",
+"head") are weak hints, a kind of their own.  Wrappers that say nothing and hold one part pass the state on, however deep they are nested.
 Sum-product messages go up the tree and down again; a text block is kept if its marginal probability of
 content is at least one half.
 
@@ -27,6 +28,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,14 +49,23 @@ LISTS = set("table ul ol dl menu".split())
 NOWHERE = (-1,) * 6
 #: Tags by kind; other block tags are kind 0.
 KINDS = [set(), {"article", "main"}, {"section", "div"}, {"p", "blockquote", "pre", "figure", "figcaption", "dd"}, set("h1 h2 h3 h4 h5 h6 hgroup".split()), set("ul ol dl menu".split()), {"li", "dt"}, {"nav"}, {"header"}, {"footer", "address"}, {"aside"}, set("form fieldset".split()), set("table tbody thead tfoot tr".split()), {"td", "th"}, {"html", "body"}, {"#text"}]
+#: Kinds of parts that hold no article: nav, footer, aside.
+OFFSIDE = {7, 9, 10}
 KIND = {t: i for i, tags in enumerate(KINDS) for t in tags}
 #: Words that authors of pages use in names of classes, by what they say about the part.
-AGAINST = re.compile(r"(?<![a-z])(?:ads?|adsby\w*|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|rail|foot\w*|head(?:er)?|masthead|comments?\w*|disqus\w*|repl(?:y|ies)|respon(?:d|ses?)|discussions?|reactions?|feedback|threads?|cookies?\w*|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|relat\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|search\w*|form|widgets?|copyright|legal|disclaimer|toolbar|tags?|tagcloud|skip|complementary|contentinfo|navigation|dialog)(?![a-z])")
-IN_FAVOUR = re.compile(r"(?<![a-z])(?:article\w*|content|post|entry|main|story|body|text|prose|page)(?![a-z])")
+AGAINST = re.compile(r"(?<![a-z])(?:ads?|adsby\w*|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|rail|footer\w*|header|masthead|comments?\w*|disqus\w*|repl(?:y|ies)|respon(?:d|ses?)|discussions?|reactions?|feedback|threads?|cookies?\w*|consent|gdpr|notice\w*|alert|disclaimer|pop-?up|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|relat\w*|recommend\w*|bread-?crumbs?|pag(?:er|ination)|search\w*|widgets?|copyright|toolbar|tagcloud|skip|complementary|contentinfo|navigation|dialog)(?![a-z])")
+WEAK = re.compile(r"(?<![a-z])(?:head(?!-?line)|foot\w*|form|legal|tags?)(?![a-z])")
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright)\s*(?:©|\(c\))?\s*\d{4}", re.IGNORECASE)
+IN_FAVOUR = re.compile(r"(?<![a-z])(?:article\w*|content|post|entry|main|story|body|text|prose)(?![a-z])")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 OPENING = re.compile(r"=\s*+([\"'])|>")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|data-main)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-FEATURES = (4, 5, 6, 3)
+#: Values of the features of an element: its hint; links by length; kind by length and sentences; rights; its make-up.
+FEATURES = (5, 30, 18 * len(KINDS), 2, 6)
+#: Kinds that lists of messages are made of: article, div, list, list item.
+ITEMS = {1, 2, 5, 6}
+#: Where a node stands: in a page without a part that is named an article, outside of it, inside.
+NONE_NAMED, OUTSIDE, INSIDE = range(3)
 
 
 @dataclass
@@ -74,7 +85,8 @@ def _hint(attributes: str) -> tuple[int, bool]:
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
     said = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     said = re.sub(r"([a-z])([A-Z])", r"\1-\2", said).lower()
-    return (1 if AGAINST.search(said) else 0) + (2 if IN_FAVOUR.search(said) else 0), found.get("data-main") == "1"
+    hint = (1 if AGAINST.search(said) else 0) + (2 if IN_FAVOUR.search(said) else 0)
+    return hint or (4 if WEAK.search(said) else 0), found.get("data-main") == "1"
 
 
 class Tags:
@@ -247,13 +259,14 @@ def parse(html: str) -> Tree:
     return build.tree
 
 
-def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
-    """The discrete features of every element; a text block, and a plain wrapper around one part, have none
-    of their own."""
+def observed(tree: Tree) -> list[tuple[int, tuple[int, ...]] | None]:
+    """The discrete features of every element, and whether it holds text itself; a text block, and a plain
+    wrapper around one other element, have none of their own."""
     n = len(tree.parent)
-    chars, linked, ends, parts = [0] * n, [0] * n, [0] * n, [0] * n
+    chars, linked, ends, parts, rights = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i, (text, in_links) in tree.blocks.items():
         chars[i], linked[i] = len(text), in_links
+        rights[i] = len(text) < 200 and RIGHTS.search(text) is not None
         ends[i] = text.count(". ") + text.count(", ") + text.endswith((".", "!", "?", "…"))
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
@@ -261,16 +274,27 @@ def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
         linked[p] += linked[i]
         ends[p] += ends[i]
         parts[p] += chars[i] > 0
-    out: list[tuple[int, int, int, int] | None] = []
+        rights[p] += rights[i]
+    direct = [0] * n
+    for i in tree.blocks:
+        direct[tree.parent[i]] = 1
+    headed, items, texts = [-1] * n, [0] * n, [0] * n  # the first part is a heading; parts like messages, paragraphs
+    for i in range(1, n):
+        p = tree.parent[i]
+        if chars[i]:
+            headed[p] = int(tree.kind[i] == 4) if headed[p] < 0 else headed[p]
+            items[p] += tree.kind[i] in ITEMS
+            texts[p] += tree.kind[i] == 3
+    out: list[tuple[int, tuple[int, ...]] | None] = []
     for i in range(n):
-        if i in tree.blocks or tree.kind[i] in (0, 2) and not tree.hint[i] and parts[i] == 1:
+        if i in tree.blocks or tree.kind[i] in (0, 2) and not tree.hint[i] and parts[i] == 1 and not direct[i]:
             out.append(None)
             continue
         share = linked[i] / chars[i] if chars[i] else 0
         density = 0 if not chars[i] else 1 if share == 0 else 2 if share < 0.25 else 3 if share < 0.6 else 4
         c = chars[i]
         size = 0 if not c else 1 if c < 20 else 2 if c < 60 else 3 if c < 200 else 4 if c < 1000 else 5
-        out.append((tree.hint[i], density, size, min(ends[i], 2)))
+        out.append((direct[i], (tree.hint[i], 6 * density + size, 18 * tree.kind[i] + 3 * size + min(ends[i], 2), int(rights[i] > 0 and c < 400), 3 * (headed[i] == 1) + (0 if texts[i] else 1 + (items[i] > 1)))))
     return out
 
 
@@ -278,32 +302,54 @@ def observed(tree: Tree) -> list[tuple[int, int, int, int] | None]:
 STRAIGHT = [[0.999, 0.001], [0.001, 0.999]]
 
 
-def case(tree: Tree, i: int) -> int:
-    """Which pair potential a node has with its parent: by its kind, whether it stands inside an article, and
-    whether its name speaks against it."""
-    return 4 * tree.kind[i] + 2 * tree.inside[i] + (tree.hint[i] == 1)
+def cases(tree: Tree) -> list[int]:
+    """Which pair potential each node has with its parent: by its kind, where it stands, and whether its name
+    speaks against it, strongly or weakly.
+
+    An article of the page is a part that is named so, by its tag or class, stands in no part that speaks
+    against it, and holds a quarter of the text that the largest such part holds; the largest one has to hold
+    a third of the page's text (comments are often tagged as articles, too)."""
+    n = len(tree.parent)
+    chars, against, named = [0] * n, [False] * n, []
+    for i, (text, _) in tree.blocks.items():
+        chars[i] = len(text)
+    for i in range(n - 1, 0, -1):
+        chars[tree.parent[i]] += chars[i]
+    for i in range(1, n):
+        against[i] = against[tree.parent[i]] or tree.hint[i] == 1 or tree.kind[i] in OFFSIDE
+        if not against[i] and (tree.kind[i] == 1 or tree.hint[i] == 2):
+            named.append(i)
+    largest = max((chars[i] for i in named), default=0)
+    whole = {i for i in named if 4 * chars[i] >= largest} if 3 * largest >= chars[0] and largest else set()
+    inside = [False] * n
+    for i in range(1, n):
+        inside[i] = inside[tree.parent[i]] or tree.parent[i] in whole
+    places = ((INSIDE if x else OUTSIDE) if whole else NONE_NAMED for x in inside)
+    said = {1: 1, 4: 2}
+    return [9 * k + 3 * p + said.get(h, 0) for k, p, h in zip(tree.kind, places, tree.hint)]
 
 
 @dataclass
 class TreeModel:
-    """root: shares of the states at the root.  pair[case][parent][child]: potential between states.  node[feature][state][value]: node potentials."""
+    """root: shares of the states at the root.  pair[case][parent][child]: potential between states.
+    node[holds text itself][feature][state][value]: node potentials."""
 
     root: list[float]
     pair: list[list[list[float]]]
-    node: list[list[list[float]]]
+    node: list[list[list[list[float]]]]
 
     def marginals(self, tree: Tree) -> list[float]:
         """Probability of content of every node."""
         n = len(tree.parent)
-        hint, density, size, ends = self.node
+        case = cases(tree)
         up0, up1 = [0.5] * n, [0.5] * n
         pairs = []
         for i, seen in enumerate(observed(tree)):
-            pairs.append(self.pair[case(tree, i)] if seen or i in tree.blocks else STRAIGHT)
+            pairs.append(self.pair[case[i]] if seen or i in tree.blocks else STRAIGHT)
             if seen:
-                f, g, h, k = seen
-                up0[i] = hint[0][f] * density[0][g] * size[0][h] * ends[0][k]
-                up1[i] = hint[1][f] * density[1][g] * size[1][h] * ends[1][k]
+                for (no, yes), v in zip(self.node[seen[0]], seen[1]):
+                    up0[i] *= no[v]
+                    up1[i] *= yes[v]
         to0, to1 = [1.0] * n, [1.0] * n  # message to the parent
         for i in range(n - 1, 0, -1):
             s = up0[i] + up1[i]
@@ -348,38 +394,40 @@ def states_of(tree: Tree) -> list[int]:
     return state
 
 
-def count_tree_model(trees: list[Tree], power: float) -> TreeModel:
-    """Shares by counting.  ``power`` softens the potentials of what the text looks like: siblings look
-    alike, and each counts as evidence of its own."""
-    pair = [[[1.0, 0.02], [1.0, 1.0]] for _ in range(4 * len(KINDS))]  # content hardly stands in what is none
-    node = [[[0.5] * size for _ in range(2)] for size in FEATURES]
+def count_tree_model(trees: list[Tree], powers: tuple[float, float]) -> TreeModel:
+    """Shares by counting.  ``powers`` soften the potentials of what the text looks like, of elements around
+    others and of those that hold text: siblings look alike, and each counts as evidence of its own."""
+    pair = [[[1.0, 0.02], [1.0, 1.0]] for _ in range(9 * len(KINDS))]  # content hardly stands in what is none
+    node = [[[[0.5] * size for _ in range(2)] for size in FEATURES] for _ in range(2)]
     root = [0.5, 1.0]
     for tree in trees:
         state = states_of(tree)
         root[state[0]] += 1
+        case = cases(tree)
         for i, values in enumerate(observed(tree)):
             if i and (values or i in tree.blocks):
-                pair[case(tree, i)][state[tree.parent[i]]][state[i]] += 1
-            for f, v in enumerate(values or ()):
-                node[f][state[i]][v] += 1
+                pair[case[i]][state[tree.parent[i]]][state[i]] += 1
+            if values:
+                for table, v in zip(node[values[0]], values[1]):
+                    table[state[i]][v] += 1
     pair = [[[x / sum(row) for x in row] for row in table] for table in pair]
-    node = [[[(x / sum(row)) ** (power if f else 1.0) for x in row] for row in table] for f, table in enumerate(node)]
+    node = [[[[(x / sum(row)) ** (power if f in (1, 2) else 1.0) for x in row] for row in table] for f, table in enumerate(tables)] for power, tables in zip(powers, node)]
     return TreeModel([x / sum(root) for x in root], pair, node)
 
 
-def fit_tree_model(pages: Iterable[str], powers: tuple[float, ...] = (0.05, 0.1, 0.2, 0.35, 0.6, 1.0)) -> TreeModel:
-    """From pages whose content elements carry ``data-main="1"``; a third of the pages chooses the power."""
+def fit_tree_model(pages: Iterable[str], powers: tuple[float, ...] = (0.05, 0.15, 0.35, 1.0)) -> TreeModel:
+    """From pages whose content elements carry ``data-main="1"``; a third of the pages chooses the powers."""
     trees = [parse(html) for html in pages]
     train, tune = [t for i, t in enumerate(trees) if i % 3], trees[::3]
 
-    def wrong(power: float) -> int:
-        model = count_tree_model(train or trees, power)
+    def wrong(pair: tuple[float, float]) -> int:
+        model = count_tree_model(train or trees, pair)
         return sum((g[i] >= 0.5) != bool(s[i]) for t in tune for g, s in [(model.marginals(t), states_of(t))] for i in t.blocks)
 
-    return count_tree_model(trees, min(powers, key=wrong))
+    return count_tree_model(trees, min(product(powers, powers), key=wrong))
 
 
-def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     """Pages of many layouts with their content marked, drawn from rules: where the article stands, how
     deep, and which menus, headers, notices, adverts, forms, comments, sidebars and footers stand around it."""
     r = random.Random(seed)
@@ -414,6 +462,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
 
     def article() -> str:
         title = f"<h1{m}>{words(3, 10).capitalize()}</h1>"
+        if r.random() < 0.15:
+            title = f'<div class="{r.choice(["head-line", "headline", "title", "head"])}">{title}</div>'
         if r.random() < 0.25:
             title = f"<header>{title}{r.choice(['', f'<p{m}>{prose(1, 1)}</p>'])}</header>"
         parts = [title]
@@ -433,6 +483,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
                 parts.append(f"<figure><figcaption{m}>{words(3, 9)}</figcaption></figure>")
             else:
                 parts.append(wrapped("".join(paragraph() for _ in range(r.randint(2, 4))), 3))
+            if r.random() < 0.05:
+                parts.append(named("div", "tags head-box legal form foot-note", "".join(paragraph() for _ in range(r.randint(1, 2)))))
             if r.random() < 0.06:
                 parts.append(named("div", "ad advert promo-box sponsored advertisement ad-slot", prose(1, 2)))
             if r.random() < 0.04:
@@ -440,6 +492,9 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         if r.random() < 0.1:
             parts.append(f"<footer>{links(r.randint(2, 4), 'span')}</footer>")
         body = wrapped("".join(parts), r.choice([0, 0, 1, 4]))
+        if r.random() < 0.06:  # a list of links with what they lead to
+            items = "".join(f'<li{m}><a href="/{i}">{words(6, 16).capitalize()}</a>{r.choice(["", " " + prose(1, 1)])}</li>' for i in range(r.randint(3, 9)))
+            body = f"{title}<ul>{items}</ul>"
         if r.random() < 0.08:  # a text without paragraphs
             body = f"<div{m}>{prose(1, 4)}<br><br>{prose(1, 4)}<br>{prose(1, 3)}</div>"
         return r.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div id="content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<article class="post-body"><section>{}</section></article>', '<main role="main">{}</main>', '<div class="wrap"><div class="story">{}</div></div>', "<div>{}</div>", "<div>{}</div>", "{}"]).format(body)
@@ -448,6 +503,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         kind = r.choice(["li", "div", "article"])
         inner = "".join(f"<{kind}>{r.choice(['', f'<b>{words(1, 2)}</b>'])}<p>{prose(1, 4)}</p></{kind}>" for _ in range(r.randint(1, 6)))
         inner = f"<h3>{words(1, 2)}</h3>" + (f"<ol>{inner}</ol>" if kind == "li" else inner)
+        if r.random() < 0.3:  # a name that says nothing
+            return r.choice(['<div class="user-posts">{}</div>', '<section class="c-list">{}</section>', "<section>{}</section>", '<div id="visitors">{}</div>']).format(inner)
         return named(r.choice(["section", "div"]), "comments comment-list responses discussion thread replies reader-reactions", inner)
 
     def before() -> list[str]:
@@ -475,8 +532,14 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
             named("div", "related share social newsletter subscribe", f"<p>{words(2, 9)}</p><ul>{links(4)}</ul>"),
             f'<form class="newsletter"><p>{prose(1, 1)}</p><input type="email"></form>',
             named("div", "ad advert promo sponsored", prose(1, 2)),
+            f"<{(k := r.choice(['div', 'p', 'footer', 'address']))}>{r.choice(['©', 'Copyright', 'Copyright ©', '(c)'])} {r.randint(1998, 2026)} {words(1, 3).title()}{r.choice(['', '.', ' Inc.', '. All rights reserved.'])}</{k}>",
         ]
 
+    def bare(inner: str) -> str:
+        """Without names, and with no other element than div for parts of the page."""
+        inner = re.sub(r' (?:class|id|role)="[^"]*"', "", inner)
+        return re.sub(r"(</?)(?:article|main|section|header|footer|nav|aside)(?=[ >])", r"\1div", inner)
+
     pages = []
     for i in range(n):
         first = [b for b in before() if r.random() < 0.4]
@@ -484,6 +547,10 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         r.shuffle(first)
         r.shuffle(last)
         inner = "".join([*first, article(), *last])
+        if r.random() < 0.07:
+            inner = bare(inner)
+        if r.random() < 0.1:  # the whole page in one form
+            inner = f'<form {r.choice(["", "id=aspnetForm ", "name=main "])}method="post" action="./">{inner}</form>'
         if r.random() < 0.3:
             inner = f'<div id="{r.choice(["page", "wrapper", "container"])}">{inner}</div>'
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 7)}</title><style>p{{}}</style></head><body><script>if (a < b) document.write('<p>');</script><!-- {i} -->{inner}</body></html>")
