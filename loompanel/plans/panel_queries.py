@@ -465,10 +465,10 @@ FAMILIES = {
 }
 
 
-def family_columns(s, d) -> dict[str, list[str]]:
+def family_columns(s, d, names: tuple[str, ...] = tuple(FAMILIES)) -> dict[str, list[str]]:
     """The columns of each family, each in the first family that has it."""
     found: dict[str, list[str]] = {}
-    for name in FAMILIES:
+    for name in names:
         known = {c for columns in found.values() for c in columns}
         found[name] = [c for c in QUERIES[name](s, d).columns if c not in ("tic", "date", "peer") and c not in known]
     return found
@@ -493,6 +493,37 @@ _joined = " ".join(f"{'LEFT ' * (name == 'f46_f47_pairs')}JOIN ({ORACLES[name]})
 query("f58_all_features", f"WITH {cte('bars', 'vix')}, {TGT} SELECT tg.tic, tg.date, {r6({'target': 'target', 'vix': 'vix'}, 5)}, {_doubled} FROM tg LEFT JOIN vix ON tg.date = vix.date {_joined}")(all_features)
 query("f58_complete_panel")(lambda s, d: whole_panel(s, d, Settings(trendlines=True, pairs=True, equilibrium=True, pair_window=30, pair_norm=20)))
 
+#: Columns of candles and market structure whose correlations are compared, by the query that has them.
+SHAPES = {
+    "f18_candle_shape": ("body_size", "upper_shadow", "lower_shadow", "high_low_range", "body_ratio", "upper_shadow_ratio", "lower_shadow_ratio", "close_position", "open_position"),
+    "f19_gaps": ("gap_size", "overnight_return"),
+    "f21_ranges": ("atr_14", "atr_20", "rolling_high_low_range_5", "rolling_high_low_range_20"),
+    "f22_percent_sizes": ("body_size_pct", "upper_shadow_pct", "lower_shadow_pct", "range_pct"),
+    "f23_returns": ("return_1d", "return_5d", "return_20d"),
+    "f24_volatility": ("rolling_volatility",),
+    "f31_distances": tuple(f"distance_to_{n}d_{k}" for n in (20, 60, 120, 252) for k in ("high", "low")),
+    "f40_trend_persistence": ("trend_persistence_20", "trend_persistence_60"),
+}
+SHOWN = [c for columns in SHAPES.values() for c in columns]
+
+
+def shape_matrix(s: SparkSession, d: str) -> DataFrame:
+    df = bars(s, d)
+    for family in (X.candle_shape, X.gaps, X.ranges, X.percent_sizes, X.returns, X.volatility, X.distances, X.trend_persistence):
+        df = family(df)
+    return A.correlation_matrix(rounded(df.select(*SHOWN)), SHOWN)
+
+
+_WIDE = ", ".join(f"f{i}.{c}" for i, columns in enumerate(SHAPES.values()) for c in columns)
+_FROM = " ".join(f"JOIN ({ORACLES[n]}) f{i} ON f{i}.tic = bars.tic AND f{i}.date = bars.date" for i, n in enumerate(SHAPES))
+_CORR = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': corr({a}, {b})}}" for a in SHOWN for b in SHOWN)
+q(
+    "g08_matrix_of_families",
+    f"WITH {cte('bars')}, w AS (SELECT {_WIDE} FROM bars {_FROM}), m AS (SELECT unnest([{_CORR}]) AS p FROM w) SELECT p.a AS a, p.b AS b, {r6({'correlation': 'p.c'}, 5)} FROM m",
+    shape_matrix,
+    5,
+)
+
 _SCALED = ("open", "high", "low", "close", "volume", "vix")
 _SPLIT2 = "dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM tg)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2)"
 _FITTED = ", ".join(f"quantile_cont(coalesce({c}, 0), 0.5) AS {c}_c, quantile_cont(coalesce({c}, 0), 0.75) - quantile_cont(coalesce({c}, 0), 0.25) AS {c}_k" for c in _SCALED)
