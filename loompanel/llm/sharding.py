@@ -10,9 +10,8 @@ sizes of the texts or of groups of copies.
 What is held in memory is one bucket of a task (``bucket_bytes`` of text on average; a single text
 larger than that is a bucket of its own size).  A task takes several buckets, one after another, when
 there are more than ``PARTITIONS``.  The result depends on the seed, the bucket count and the rows
-only, not on the order in which tasks or machines deliver them.  Rows equal in id and text of which
-there are more than ``COPIES`` would all fall into one bucket: they are dealt by their place in the
-input besides, so with such rows the result depends on the input's layout, too.
+only, not on the order in which tasks or machines deliver them.  Rows equal in id and text would all fall
+into one bucket: where they overfill it they are numbered, and each ``COPIES`` of them are dealt anew.
 
 Nulls: a null text is scattered and counted as empty and stays null in the result; null ids are
 scattered like any other id.  Repeated rows are dealt one by one; rows equal in id and text can
@@ -22,19 +21,19 @@ input columns of these names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loompanel.llm.common import materialise, text_of
 
-#: Tasks of the scatter at most; more equal rows than COPIES are split.
+#: Tasks of the scatter at most; equal rows that stay together at most, where they overfill a bucket.
 PARTITIONS, COPIES = 50_000, 1000
 #: Offsets of up to so many buckets are broadcast (16 bytes each); beyond, they are joined by sorting.
 BROADCAST_BUCKETS = 500_000
@@ -83,6 +82,30 @@ def _permuted(seed: int):
     return run
 
 
+def _copies_apart(keyed: DataFrame, bucket: Callable[[Column], Column], size: Column, bucket_bytes: int, id_col: str) -> DataFrame:
+    """``keyed`` with ``__lp_salt``: 0, or for rows equal in id and text that would overfill a bucket the number of the
+    row among them, by COPIES.  Counts of buckets tell where to look for such rows; no other rows move for it.
+    Which of the equal rows gets which number does not matter, and the numbers are the same in any layout."""
+    none = F.lit(0).cast("long")
+    full = keyed.groupBy(bucket(none).alias("__lp_b")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    full = materialise(full.where((F.col("n") > COPIES) & (F.col("size") > 2 * bucket_bytes)).select("__lp_b"), "full")
+    if full.isEmpty():
+        return keyed.withColumn("__lp_salt", none)
+    inside = keyed.select(F.col(id_col).alias("__lp_id"), F.col("__lp_tie").alias("__lp_same"), bucket(none).alias("__lp_b")).join(full, "__lp_b", "left_semi")
+    hot = materialise(inside.groupBy("__lp_id", "__lp_same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES).drop("n"), "hot")
+    marked = keyed.join(hot, F.col(id_col).eqNullSafe(F.col("__lp_id")) & (F.col("__lp_tie") == F.col("__lp_same")), "left")
+    cold = marked.where("__lp_same IS NULL").withColumn("__lp_salt", none)
+    rows = materialise(marked.where("__lp_same IS NOT NULL").withColumn("__lp_part", F.spark_partition_id()), "hot-rows")
+    keys = ["__lp_id", "__lp_same", "__lp_part"]
+    earlier = W.partitionBy("__lp_id", "__lp_same").orderBy("__lp_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part
+    offsets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("__lp_from", F.coalesce(F.sum("n").over(earlier), none))
+    offsets = offsets.select(F.col("__lp_id").alias("__lp_i"), F.col("__lp_same").alias("__lp_s"), F.col("__lp_part").alias("__lp_p"), "__lp_from")
+    numbered = rows.withColumn("__lp_n", F.row_number().over(W.partitionBy(*keys).orderBy("__lp_part")) - 1)
+    numbered = numbered.join(offsets, F.col("__lp_id").eqNullSafe(F.col("__lp_i")) & (F.col("__lp_same") == F.col("__lp_s")) & (F.col("__lp_part") == F.col("__lp_p")))
+    salted = numbered.withColumn("__lp_salt", F.floor((F.col("__lp_from") + F.col("__lp_n")) / COPIES))
+    return cold.select(*keyed.columns, "__lp_salt").union(salted.select(*keyed.columns, "__lp_salt"))
+
+
 def external_shuffle(
     docs: DataFrame,
     n_shards: int = 8,
@@ -96,17 +119,11 @@ def external_shuffle(
     docs = docs.drop("shard", "slot")
     text = text_of(text_col)
     keyed = docs.withColumn("__lp_tie", F.xxhash64(text))
-    equal = keyed.groupBy(F.col(id_col).alias("__lp_id"), "__lp_tie").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text) + F.lit(1).cast("long")).alias("size"))
-    size, most = equal.agg(F.sum("size"), F.max("n")).first()
-    n_buckets = max(1, ceil((size or 0) / bucket_bytes))
-    salt = F.lit(0).cast("long")
-    if (most or 0) > COPIES:
-        hot = materialise(equal.where(F.col("n") > COPIES).select("__lp_id", F.col("__lp_tie").alias("__lp_same")), "hot")
-        place = keyed.withColumn("__lp_place", F.monotonically_increasing_id())
-        keyed = place.join(hot, F.col(id_col).eqNullSafe(F.col("__lp_id")) & (F.col("__lp_tie") == F.col("__lp_same")), "left").drop("__lp_id")
-        salt = F.when(F.col("__lp_same").isNotNull(), F.col("__lp_place")).otherwise(salt)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "__lp_tie", salt), F.lit(n_buckets).cast("long"))
-    keyed = keyed.withColumn("__lp_bucket", bucket).drop("__lp_place", "__lp_same")
+    size = F.octet_length(text) + F.lit(1).cast("long")
+    n_buckets = max(1, ceil((keyed.agg(F.sum(size)).first()[0] or 0) / bucket_bytes))
+    bucket = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "__lp_tie", salt), F.lit(n_buckets).cast("long"))
+    keyed = _copies_apart(keyed, bucket, size, bucket_bytes, id_col)
+    keyed = keyed.withColumn("__lp_bucket", bucket(F.col("__lp_salt"))).drop("__lp_salt")
     n_tasks = min(n_buckets, PARTITIONS)
     scattered = keyed.repartitionById(n_tasks, (F.col("__lp_bucket") % n_tasks).cast("int")).sortWithinPartitions("__lp_bucket", id_col, "__lp_tie").drop("__lp_tie")
     schema = T.StructType([*scattered.schema.fields, T.StructField("__lp_pos", T.LongType())])

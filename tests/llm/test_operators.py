@@ -124,6 +124,25 @@ def test_equal_rows_are_split(spark, monkeypatch):
     for s in range(4):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(750))
+    for other in (df.repartition(5), df.orderBy(F.desc("id" if "id" in df.columns else "doc_id")).coalesce(2)):  # in any layout
+        again = sharding.external_shuffle(other, 4, bucket_bytes=1000).collect()
+        assert sorted((r.doc_id, r.text, r.shard, r.slot) for r in again) == sorted((r.doc_id, r.text, r.shard, r.slot) for r in rows)
+
+
+def test_the_shuffle_replayed(spark):
+    """Scatter, order and Fisher-Yates of a small table by hand."""
+    df = spark.createDataFrame([(i, f"text {i % 17} " * (i % 5)) for i in range(200)], "doc_id bigint, text string").repartition(3)
+    size = sum(len(r.text) + 1 for r in df.collect())
+    n = -(-size // 400)
+    tie, salt = F.xxhash64("text"), F.lit(0).cast("long")
+    dealt = df.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64(F.lit(17), "doc_id", tie, salt), F.lit(n).cast("long")).alias("bucket")).collect()
+    place, want = 0, {}
+    for bucket in range(n):
+        rows = sorted((r for r in dealt if r.bucket == bucket), key=lambda r: (r.doc_id, r.tie))
+        for k, at in enumerate(sharding.fisher_yates(len(rows), (17 << 32) ^ bucket).tolist()):
+            want[rows[at].doc_id] = ((place + k) % 8, (place + k) // 8)
+        place += len(rows)
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.external_shuffle(df, 8, bucket_bytes=400).collect()} == want
 
 
 def test_fisher_yates_is_uniform():
