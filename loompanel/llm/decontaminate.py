@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from loompanel.llm.common import text_of, worker_tables
+from loompanel.llm.common import materialise, split_by_ids, text_of, worker_tables
 
 Q = 8
 EDITS = 0.1
@@ -334,14 +335,14 @@ class Shared:
         return self.held.value
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks by a hash of the item; each block is gathered on the driver for broadcast."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[object, str]]]]:
+    """How many blocks the items make, and the blocks by a hash of the item; each is gathered on the driver for
+    broadcast when its turn comes."""
     items = benchmark.select(F.col(item_col).alias("i"), text_of(text_col).alias("t"))
     size = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     n = max(1, ceil(size / block_bytes))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+    parts = (items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n))
+    return n, ([(r.i, r.t) for r in part.collect()] for part in parts)
 
 
 def contamination(
@@ -354,12 +355,15 @@ def contamination(
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row for each place where an item occurs: id, item id, start and end (in characters of the
-    text), edits."""
+    text), edits.  Of several blocks each is a job of its own, whose rows are written before the next block is
+    sent: a worker has one block's tables at a time."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), text_of(text_col).alias("__lp_t"))
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start int, end int, edits int"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    n_blocks, blocks = benchmark_blocks(benchmark, block_bytes, item_col, text_col)
     parts = []
-    for block in benchmark_blocks(benchmark, block_bytes, item_col, text_col):
+    for block in blocks:
         shared = Shared(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -368,27 +372,51 @@ def contamination(
                 found = [(n, *m) for n, t in enumerate(batch.column(1)) for m in items.find(t.as_py())]
                 columns = list(zip(*found)) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], docs_type), *(pa.array(columns[i], pa.int32()) for i in (2, 3, 4))],
+                    [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], item_type), *(pa.array(columns[i], pa.int32()) for i in (2, 3, 4))],
                     [id_col, item_col, "start", "end", "edits"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        docs_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        parts.append(rows.mapInArrow(run, schema))
+        part = rows.mapInArrow(run, schema)
+        if n_blocks > 1:
+            part = materialise(part, "contamination")
+            shared.held.unpersist()
+        parts.append(part)
     return reduce(DataFrame.unionAll, parts)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` without the rows in whose text an item occurs.  Same columns; no shuffle."""
-    place = docs.columns.index(text_col)
-    for block in benchmark_blocks(benchmark, block_bytes, "item_id", "text"):
-        shared = Shared(docs, block)
+def _contaminated_texts(docs: DataFrame, shared: Shared, edits: float, text_col: str) -> DataFrame:
+    """The hashes of texts in which an item of the block occurs."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = worker_tables("items", shared.id, edits, make=lambda: Items(shared.value, Q, edits))
-            for batch in batches:
-                yield batch.filter(pa.array([not items.find(t.as_py() or "") for t in batch.column(place)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = worker_tables("items", shared.id, edits, make=lambda: Items(shared.value, Q, edits))
+        for batch in batches:
+            hit = pa.array([bool(items.find(t.as_py())) for t in batch.column(1)], pa.bool_())
+            yield batch.select([0]).filter(hit)
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(F.sha2(text_of(text_col), 256).alias("h"), text_of(text_col).alias("t")).mapInArrow(run, "h string").distinct()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` without the rows in whose text an item occurs.  Same columns; no shuffle for one block.
+
+    Of several blocks each is a job of its own that writes the hashes of the texts it is found in; then the rows
+    with such a text go.  A worker has one block's tables at a time, however large the benchmark is."""
+    place = docs.columns.index(text_col)
+    n_blocks, blocks = benchmark_blocks(benchmark, block_bytes, "item_id", "text")
+    if n_blocks > 1:
+        found = []
+        for block in blocks:
+            shared = Shared(docs, block)
+            found.append(materialise(_contaminated_texts(docs, shared, edits, text_col), "contaminated"))
+            shared.held.unpersist()
+        texts = reduce(DataFrame.unionAll, found).distinct()
+        maybe, sure = split_by_ids(docs.withColumn("__lp_h", F.sha2(text_of(text_col), 256)), texts, "__lp_h")
+        return sure.union(maybe.join(texts, maybe["__lp_h"] == texts["h"], "left_anti")).select(*docs.columns)
+    shared = Shared(docs, next(blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = worker_tables("items", shared.id, edits, make=lambda: Items(shared.value, Q, edits))
+        for batch in batches:
+            yield batch.filter(pa.array([not items.find(t.as_py() or "") for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

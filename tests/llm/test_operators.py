@@ -279,6 +279,25 @@ def test_decontamination_equals_edit_distance(spark, odd):
     assert decontaminate.contamination(odd.limit(0), b).columns == ["doc_id", "item_id", "start", "end", "edits"]
 
 
+def test_many_blocks_one_after_another(spark, docs, odd, monkeypatch):
+    """A benchmark in twenty blocks gives what one block gives, with one block's table in a worker at a time."""
+    bench = load(spark, SF, "benchmark")
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    names = ("doc_id", "item_id", "start", "end", "edits")
+    written = []
+    real = decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    for df in (docs, odd):
+        whole = rows_of(decontaminate.contamination(df, bench), *names)
+        kept = rows_of(decontaminate.drop_contaminated(df.select(docs.columns[:2]), bench), "doc_id", "text")
+        assert not written
+        assert rows_of(decontaminate.contamination(df, bench, block_bytes=-(-size // 20)), *names) == whole
+        assert rows_of(decontaminate.drop_contaminated(df.select(docs.columns[:2]), bench, block_bytes=-(-size // 20)), "doc_id", "text") == kept
+        assert len(written) >= 38 and all(plan.count("MapInArrow") == 1 for plan in written)
+        written.clear()
+    assert len(whole) == 0 < decontaminate.contamination(docs, bench).count()
+
+
 def test_a_shared_stem_costs_little():
     r = random.Random(1)
     words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
