@@ -132,6 +132,16 @@ q("a22_one_removed", "WITH e AS (SELECT user_id, max_by(event_type, (ts, event_t
 q("a22_without_failed", f"WITH {cte('highlights')} SELECT tic FROM highlights WHERE tic NOT IN (SELECT tic FROM highlights WHERE dividend_yield < -0.9)", lambda s, d: K.without_failed(view(s, d, "highlights").select("tic"), view(s, d, "highlights").where("dividend_yield < -0.9")))
 q("a24_named_ids", "SELECT c_custkey, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'stock_' || c_nationkey END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey", lambda s, d: E.named_ids(table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("id")), table(s, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "id", "name", "stock_").select("c_custkey", "name"))
 q("v04_non_finite", f"WITH {cte('bars')}, x AS (SELECT CASE WHEN volume < 5 THEN 'NaN'::DOUBLE WHEN volume > 90 THEN 'inf'::DOUBLE ELSE close END AS x FROM bars) SELECT 'x' AS feature, count(*) FILTER (WHERE isnan(x)) AS nan, count(*) FILTER (WHERE x = 'inf') AS pos_inf, CAST(0 AS BIGINT) AS neg_inf, CAST(0 AS BIGINT) AS nulls FROM x", lambda s, d: A.non_finite(bars(s, d).select(F.when(F.col("volume") < 5, float("nan")).when(F.col("volume") > 90, float("inf")).otherwise(F.col("close")).alias("x")), ["x"]))
+_HOLES = {"open": "CASE WHEN volume >= 5 THEN open END", "high": "high", "low": "CASE WHEN volume < 60 THEN low END", "close": "close", "volume": "CASE WHEN volume <> 7 THEN volume END"}
+
+
+def bars_with_holes(s: SparkSession, d: str) -> DataFrame:
+    df = bars(s, d).selectExpr("tic", "date", *(f"{e} AS {c}" for c, e in _HOLES.items()))
+    A.ohlcv_contract(df)
+    return A.null_counts(df)
+
+
+q("v03_null_counts", f"WITH {cte('bars')} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({e}) AS nulls, count(*) AS rows FROM bars" for c, e in _HOLES.items()), bars_with_holes)
 q("v05_sanitise", f"WITH {cte('bars')} SELECT tic, date, {r6({'x': 'CASE WHEN volume < 5 THEN 0 ELSE close END'})} FROM bars", lambda s, d: A.sanitise(bars(s, d).select("tic", "date", F.when(F.col("volume") < 5, float("nan")).otherwise(F.col("close")).alias("x")), ["x"]))
 
 # ---- sector features ------------------------------------------------------------------------------
@@ -527,15 +537,21 @@ q(
 _SCALED = ("open", "high", "low", "close", "volume", "vix")
 _SPLIT2 = "dt2 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pl, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM tg)), sp2 AS (SELECT date, CASE WHEN pl < CAST(floor(n * 0.7::DOUBLE) AS INT) THEN 'train' WHEN pl < CAST(floor(n * (0.7::DOUBLE + 0.1::DOUBLE)) AS INT) THEN 'val' ELSE 'test' END AS split FROM dt2)"
 _FITTED = ", ".join(f"quantile_cont(coalesce({c}, 0), 0.5) AS {c}_c, quantile_cont(coalesce({c}, 0), 0.75) - quantile_cont(coalesce({c}, 0), 0.25) AS {c}_k" for c in _SCALED)
-q(
-    "n08_a15_preprocess",
+_PREPARED = (
     f"WITH {cte('bars', 'vix')}, {TGT}, {_SPLIT2}, m AS (SELECT tg.* EXCLUDE (target), CASE WHEN tg.volume > 45 THEN 0 ELSE target END AS target, vix, split, dense_rank() OVER (ORDER BY tic) - 1 AS tic_id, dense_rank() OVER (ORDER BY grp) - 1 AS group_id FROM tg LEFT JOIN vix ON tg.date = vix.date JOIN sp2 ON tg.date = sp2.date), "
     f"st AS (SELECT {_FITTED}, quantile_cont(vix, 1.0 / 3) AS q1, quantile_cont(vix, 2.0 / 3) AS q2 FROM m WHERE split = 'train') "
-    f"SELECT tic, date, grp, split, CAST(tic_id AS INTEGER) AS tic_id, CAST(group_id AS INTEGER) AS group_id, {r6({c: f'(coalesce({c}, 0) - {c}_c) / CASE WHEN abs({c}_k) > 0 THEN {c}_k ELSE 1 END' for c in _SCALED} | {'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st",
-    lambda s, d: preprocess(J.merge_macro(P.target(bars(s, d)).withColumn("target", F.expr("CASE WHEN volume > 45 THEN NULL ELSE target END")), view(s, d, "vix")))[0],
-    5,
+    f"SELECT tic, date, grp, split, CAST(tic_id AS INTEGER) AS tic_id, CAST(group_id AS INTEGER) AS group_id, {r6({c: f'(coalesce({c}, 0) - {c}_c) / CASE WHEN abs({c}_k) > 0 THEN {c}_k ELSE 1 END' for c in _SCALED} | {'target': 'target'}, 5)}, CAST(CASE WHEN vix IS NULL THEN 1 WHEN vix >= q2 THEN 2 WHEN vix >= q1 THEN 1 ELSE 0 END AS INTEGER) AS regime_id FROM m, st"
 )
 
+
+def prepared(s: SparkSession, d: str) -> DataFrame:
+    with_gaps = P.target(bars(s, d)).withColumn("target", F.expr("CASE WHEN volume > 45 THEN NULL ELSE target END"))
+    return preprocess(J.merge_macro(with_gaps, view(s, d, "vix")))[0]
+
+
+q("n08_a15_preprocess", _PREPARED, prepared, 5)
+q("a15_export_normalised", f"SELECT * EXCLUDE (tic, date, grp, split) FROM ({_PREPARED})", lambda s, d: K.export_normalised(prepared(s, d)), 5)
+
 # ---- smaller pieces -------------------------------------------------------------------------------
 
 

@@ -328,6 +328,24 @@ def test_unit_root_and_cointegration():
     assert v[0] / v[1] == pytest.approx(-2, abs=0.05)
 
 
+def test_no_window_is_shuffled_or_sorted(spark):
+    """Windows of samples and trend lines are made after the one shuffle and sort by ticker: what these move are the
+    panel's own columns."""
+    import re
+
+    df = P.target(panel(spark, ("A", "B"), 40))
+    made = {
+        "s01": S.training_windows(df, ["close", "volume"], 10, 5), "s04": S.inference_windows(df, ["close", "volume"], 10), "s05": S.trend_samples(df, ["close"], 10, 5),
+        "s06": S.rich_samples(df, ["close", "volume"], 10, 5), "s08": S.tuning_windows(df, ["close", "volume"], 10), "s09": S.sample_metadata(df, 10, 5), "f15": L.trendlines(df, 20),
+    }
+    for name, out in made.items():
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\(\d+\) (?:Exchange|Sort)\s*\nInput \[\d+\]: \[([^\]]*)\]", plan)
+        columns = {c.split("#")[0] for m in moved for c in m.split(", ")}
+        assert moved and columns <= {*df.columns, "f", "_w0", "_we0"} | {c for c in columns if c.startswith("_w")}, (name, columns)
+        assert plan.count(") Exchange") <= 2, name
+
+
 def test_trendlines_do_not_cross(spark):
     df = panel(spark, ("A",), 50)
     rows = L.trendlines(df, 30).where("opt_slope_sup_30 IS NOT NULL").collect()
