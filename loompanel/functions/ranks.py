@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a part; parts at most; sampled rows for each part.
-ROWS, PARTS, SAMPLED = 1_000_000, 256, 64
+#: Rows of a part; parts at most; sampled rows for each part.  Up to LOCAL rows are held, so that they are made once.
+ROWS, PARTS, SAMPLED, LOCAL = 1_000_000, 256, 64, 100_000
+
+
+def held(df: DataFrame, most: int) -> DataFrame | None:
+    """The rows as a table of their own, if there are no more than ``most``."""
+    rows = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= most else None
 
 
 def _part(df: DataFrame, columns: list[str]) -> tuple[Column, int]:
@@ -37,7 +43,9 @@ def with_place(df: DataFrame, columns: list[str], name: str = "place") -> DataFr
 
     Rows are numbered inside their part, after the rows of the parts before, whose counts (one number for
     each part) are all that the driver holds.  Up to ROWS rows one task numbers them all."""
-    part, n = _part(df, columns)
+    few = held(df, min(LOCAL, ROWS))  # distinct tickers or dates mostly are
+    part, n = _part(df, columns) if few is None else (F.lit(0), 1)
+    df = df if few is None else few
     if n == 1:
         return df.withColumn(name, F.row_number().over(W.orderBy(*columns)) - 1)
     dealt = df.withColumn("__part", part)
@@ -51,7 +59,9 @@ def with_earlier(df: DataFrame, columns: list[str], value: Column, name: str, ki
     """``df`` with the product (1 without any) or the maximum (null without any) of ``value`` over all rows before
     each row in the order of ``columns``: inside its part, and over the parts before (one number each)."""
     f = {"product": F.product, "max": F.max}[kind]
-    part, n = _part(df, columns)
+    few = held(df, min(LOCAL, ROWS))  # distinct tickers or dates mostly are
+    part, n = _part(df, columns) if few is None else (F.lit(0), 1)
+    df = df if few is None else few
     order = W.orderBy(*columns) if n == 1 else W.partitionBy("__part").orderBy(*columns)
     dealt = df.withColumns({"__part": part, "__v": value})
     inside = f("__v").over(order.rowsBetween(W.unboundedPreceding, -1))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loompanel.functions.columns import td
+from loompanel.functions.ranks import held
 
 #: Rows of a date-keyed macro table that are broadcast: 270 years of days.
 BROADCAST_DATES = 100_000
@@ -15,8 +16,9 @@ BROADCAST_DATES = 100_000
 def small(df: DataFrame, bound: int = BROADCAST_DATES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``bound`` rows; else it is joined by sorting.
 
-    Only its first column is made for the count, and no more rows than the bound."""
-    return F.broadcast(df) if df.select(df.columns[0]).limit(bound + 1).count() <= bound else df
+    A small table is held as it is found, so what it is made of runs once for both."""
+    few = held(df, bound)
+    return df if few is None else F.broadcast(few)
 
 
 def merge_macro(panel: DataFrame, vix: DataFrame | None = None, commodities: DataFrame | None = None, yields: DataFrame | None = None) -> DataFrame:

@@ -16,10 +16,6 @@ from loompanel.operators import trendlines as L
 from loompanel.sources import sinks
 
 
-#: Sector days that are broadcast: a hundred sectors over 27 years of days.
-SECTOR_DAYS = 1_000_000
-
-
 @dataclass
 class Settings:
     """Which families are made, and with which windows."""
@@ -73,8 +69,8 @@ def add_all_features(bars: DataFrame, s: Settings | None = None, statements: Dat
     if s.pairs:
         pairs = C.spreads(bars, s.pair_window, s.pair_norm)
         df = df.join((C.spread_adf(bars, pairs, s.pair_window) if s.pair_tests else pairs).drop("peer"), ["tic", "date"], "left")
-    if s.equilibrium:  # one row for each sector and day
-        df = df.join(J.small(C.equilibrium(bars, s.pair_window, s.pair_norm), SECTOR_DAYS), ["grp", "date"], "left")
+    if s.equilibrium:  # one row for each sector and day: broadcast by adaptive execution where that is little
+        df = df.join(C.equilibrium(bars, s.pair_window, s.pair_norm), ["grp", "date"], "left")
     for m in macro:
         df = df.join(J.small(m), "date", "left")
     return P.target(df, s.horizon, s.squash)
