@@ -277,6 +277,8 @@ class ToxicModel:
         self.longest = max([*map(len, self.whole), *self.lengths], default=0)
         # pieces between spaces are put together for words of some length only
         self.prefixes = {w[:n] for w in self.whole if len(w) >= 4 for n in range(1, len(w))}
+        # a token of letters and digits has to begin as a watched word does
+        self.heads = {s[:2] for s in self.whole | self.stems}
         self.seen: dict[str, tuple[float, str]] = {}
 
     def suspect(self, token: str) -> bool:
@@ -329,6 +331,8 @@ class ToxicModel:
         """Whether the token is to be decoded; its skeleton, if a watched word begins with it."""
         if GAP in token:
             return any(c.isalpha() for c in token), ""
+        if token.isalnum() and len(head := skeleton(token[:4])[:2]) == 2 and head not in self.heads:
+            return False, ""
         plain = skeleton(token.strip(EDGES))
         return self.suspect(token), plain if plain in self.prefixes else ""
 
