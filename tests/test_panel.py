@@ -170,6 +170,19 @@ def test_pairs_equal_direct_computation(spark):
     assert tested["A", end].spread_adf_stat == pytest.approx(stat) and tested["A", end].spread_adf_pvalue == pytest.approx(p)
 
 
+def test_spread_tests_of_a_table_read_twice(spark, tmp_path):
+    """The panel and the panel that its spreads come from are two readings of one table, joined and grouped as a query's are."""
+    panel(spark, ("A", "B", "C", "D"), 40).write.parquet(str(tmp_path / "bars"))
+
+    def bars():
+        return spark.read.parquet(str(tmp_path / "bars")).groupBy("tic", "grp", "date").agg(F.max("close").alias("close"))
+
+    keys, once = ["tic", "date"], bars()
+    want = C.spread_adf(once, C.spreads(once, 12, 5), 12).orderBy(*keys).collect()
+    got = C.spread_adf(bars(), C.spreads(bars(), 12, 5), 12).orderBy(*keys).collect()
+    assert got == want and len(got) > 50 and any(r.spread_adf_stat is not None for r in got)
+
+
 def test_spread_tests_of_the_whole_panel_equal_direct_computation(spark):
     """f48_f49: the z-score of the spread and its unit-root test, row by row in pandas."""
     df = panel(spark, ("A", "B", "BB", "C", "D"), 40, seed=3)
