@@ -11,6 +11,8 @@ SF = "/root/testdata/sf0.001"
 ONCE = [
     "a15_export_normalised",
     "n08_a15_preprocess",
+    "s07_volatility_regime",
+    "s07_existing_regime",
 ]
 
 
