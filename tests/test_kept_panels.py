@@ -13,6 +13,7 @@ ONCE = [
     "n08_a15_preprocess",
     "s07_volatility_regime",
     "s07_existing_regime",
+    "f58_complete_panel",
 ]
 
 
