@@ -14,6 +14,12 @@ ONCE = [
     "s07_volatility_regime",
     "s07_existing_regime",
     "f58_complete_panel",
+    "n05_robust",
+    "n06_inference",
+    "n03_standard",
+    "n04_minmax",
+    "n02_log",
+    "n10_inverse",
 ]
 
 
