@@ -20,6 +20,7 @@ ONCE = [
     "n04_minmax",
     "n02_log",
     "n10_inverse",
+    "v08_aligned",
 ]
 
 
