@@ -21,6 +21,7 @@ ONCE = [
     "n02_log",
     "n10_inverse",
     "v08_aligned",
+    "m04_m06_positions",
 ]
 
 
