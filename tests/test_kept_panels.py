@@ -22,6 +22,7 @@ ONCE = [
     "n10_inverse",
     "v08_aligned",
     "m04_m06_positions",
+    "g11_g05_distribution",
 ]
 
 
