@@ -23,6 +23,8 @@ ONCE = [
     "v08_aligned",
     "m04_m06_positions",
     "g11_g05_distribution",
+    "m08_m09_risk",
+    "m11_m14_trades",
 ]
 
 
