@@ -25,6 +25,8 @@ ONCE = [
     "g11_g05_distribution",
     "m08_m09_risk",
     "m11_m14_trades",
+    "f50_f52_equilibrium",
+    "f50_f52_equilibrium_of_weeks",
 ]
 
 
