@@ -27,6 +27,16 @@ ONCE = [
     "m11_m14_trades",
     "f50_f52_equilibrium",
     "f50_f52_equilibrium_of_weeks",
+    "f46_f47_pairs",
+    "f48_f49_spread_adf",
+    "p01_date_split",
+    "e01_encode",
+    "b03_sectors",
+    "r01_r02_regime",
+    "j08_j09_realign",
+    "g10_sparsity",
+    "flagship",
+    "m12_backtest",
 ]
 
 
