@@ -21,7 +21,7 @@ def exchanges(node):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["n06_inference", "n03_standard"])
+@pytest.mark.parametrize("name", ["n06_inference", "n03_standard", "n04_minmax"])
 def test_lines_are_moved_once_and_narrow(spark, monkeypatch, name):
     """Where no table is small enough for broadcast of itself, as at size."""
     run, real = [], {"held": joins.held, "materialise": sinks.materialise}
