@@ -14,11 +14,10 @@ BARS = ("tic", "date", "open", "high", "low", "close", "volume")
 
 
 def run(*families, places: int = 6):
-    """A query that applies the families to the bars and returns key and new columns."""
+    """A query that applies the families to the bars (of the tables if not given) and returns key and new columns."""
 
-    def made(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
-        bars = view(spark, sf_dir, "bars").select(*BARS)
-        out = bars
+    def made(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+        out = (view(spark, sf_dir, "bars") if bars is None else bars).select(*BARS)
         for f in families:
             out = f(out)
         return rounded(out.select("tic", "date", *(c for c in out.columns if c not in BARS)), places)
@@ -27,8 +26,8 @@ def run(*families, places: int = 6):
 
 
 def keep(f, *columns: str, but: tuple[str, ...] = ()):
-    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(spark, sf_dir)
+    def made(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+        out = f(spark, sf_dir, bars)
         return out.select("tic", "date", *(columns or [c for c in out.columns[2:] if c not in but]))
 
     return made
@@ -154,7 +153,7 @@ query(
         ", ".join(f"CAST(coalesce({lag_(s, n)}, 0) AS TINYINT) AS {s}_lag_{n}" for s in _SIG for n in (1, 3, 5, 10, 20)) + ", " + r6({f"trend_strength_score_lag_{n}": z(lag_("ts", n)) for n in (1, 3, 5, 10, 20)}),
         "sl", EXT, f"sx AS (SELECT *, {ti(HL)}, {ti(BRK)} FROM ext)", f"sl AS (SELECT *, {TS} AS ts FROM sx)",
     ),
-)(lambda s, d: (lambda out: out.select("tic", "date", *(c for c in out.columns if "_lag_" in c)))(run(X.breakouts, X.swing_flags, X.trend_strength, X.signal_lags)(s, d)))
+)(lambda s, d, bars=None: (lambda out: out.select("tic", "date", *(c for c in out.columns if "_lag_" in c)))(run(X.breakouts, X.swing_flags, X.trend_strength, X.signal_lags)(s, d, bars)))
 query("f57_amount", panel_sql(r6({"amount": "volume * ((open + high + low + close) / 4)"}, 4)))(run(X.amount, places=4))
 
 

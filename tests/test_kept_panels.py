@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from loompanel.operators import joins
 from loompanel.plans import all_queries
 from loompanel.sources import sinks
 
@@ -53,3 +54,18 @@ def test_panel_is_made_once(spark, monkeypatch, name):
     df = all_queries()[0][name](spark, SF)
     assert sum(made) == 1
     assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_names_of_families_cost_no_panel(spark, monkeypatch):
+    """``f58_all_features`` groups lines once, for its own panel, not to learn the columns of each family."""
+    grouped, real = [], joins.held
+
+    def counted(df, most):
+        grouped.append(any(f.endswith("lineitem.parquet") for f in df.inputFiles()))
+        return real(df, most)
+
+    monkeypatch.setattr(joins, "held", counted)
+    df = all_queries()[0]["f58_all_features"](spark, SF)
+    assert sum(grouped) == 1
+    assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
